@@ -6,12 +6,14 @@ from gridspark.llm.ppm import op2_ppm
 from gridspark.llm.resampling import op6_importance_resampling
 from gridspark.llm.packing import op8_pattern_packing
 from gridspark.llm.token_store import op4_token_store
+from gridspark.llm.toxicity import op10_toxicity
 
 QUERIES = {
     "op2_ppm": op2_ppm,
     "op4_token_store": op4_token_store,
     "op6_importance_resampling": op6_importance_resampling,
     "op8_pattern_packing": op8_pattern_packing,
+    "op10_toxicity": op10_toxicity,
 }
 
 ORACLE_SQL: dict[str, str] = {}
