@@ -34,6 +34,7 @@ SPAN, DECAY, FEATURE_BITS = 6, 0.7, 19
 #: Labelled documents of each kind that the fit sees, drawn by a hash of the id, and landmarks of each kind.
 TOXIC_DOCUMENTS, OTHER_DOCUMENTS, LANDMARKS = 1500, 4500, 160
 ROUNDS = 6
+STEM = 5  # bytes
 _MARK, _END = 1, 2
 _SYMBOL = np.zeros(256, np.uint8)  # 0: not a letter
 _SYMBOL[97:123] = np.arange(97, 123)
@@ -164,12 +165,23 @@ def fit(documents: list[tuple[str, int]]) -> dict:
     # gives any of all words. What copies share always stands behind the same words.
     before = np.r_[-1, which[:-1]]
     before[np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]])] = -1
-    toxic_word = label[rows] == 1
-    company = np.unique(which[toxic_word] * np.int64(len(keys) + 1) + before[toxic_word] + 1) // (len(keys) + 1)
-    apart = np.minimum(in1, np.bincount(company, minlength=len(keys)))
-    rate = (apart + 0.05) / (apart + in0 + 0.1)
-    gain = np.where(rate > share, apart * np.log(rate / share) + in0 * np.log((1 - rate + 1e-9) / (1 - share)), 0)
-    telling = np.flatnonzero((gain > sure) & (rate > 0.8))
+
+    def evidence(ids):
+        """How far the toxic documents of each word, or of each beginning of words, are from chance."""
+        n = int(ids.max()) + 1
+        seen = np.unique(rows * np.int64(n) + ids)
+        toxic, other = (np.bincount(seen[label[seen // n] == y] % n, minlength=n) for y in (1, 0))
+        mine = label[rows] == 1
+        company = np.unique(ids[mine] * np.int64(len(keys) + 1) + before[mine] + 1) // (len(keys) + 1)
+        apart = np.minimum(toxic, np.bincount(company, minlength=n))
+        rate = (apart + 0.05) / (apart + other + 0.1)
+        return np.where(rate > share, apart * np.log(rate / share) + other * np.log((1 - rate + 1e-9) / (1 - share)), 0), rate
+
+    gain, rate = evidence(which)
+    _, stem = np.unique(_HASH.ranges(_HASH.prefix(buf), starts, np.minimum(ends, starts + STEM)), return_inverse=True)
+    stem_gain, stem_rate = (x[stem[first]] for x in evidence(stem))
+    telling = np.flatnonzero(((gain > sure) & (rate > 0.8)) | ((stem_gain > sure) & (stem_rate > 0.95) & (in0 == 0)))
+    gain = np.maximum(gain, 1e-3 * stem_gain)
     telling = telling[np.argsort(-gain[telling], kind="stable")[:2000]] if len(telling) else np.argsort(-gain, kind="stable")[:1]
     hard = np.zeros(0, np.int64)
     for turn in range(ROUNDS):
