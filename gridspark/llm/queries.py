@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from gridspark.llm.ppm import op2_ppm
+from gridspark.llm.repeats import op9_prefix_free_parsing
 from gridspark.llm.resampling import op6_importance_resampling
 from gridspark.llm.line_dedup import op7_line_chunks
 from gridspark.llm.packing import op8_pattern_packing
@@ -15,6 +16,7 @@ QUERIES = {
     "op6_importance_resampling": op6_importance_resampling,
     "op7_line_chunks": op7_line_chunks,
     "op8_pattern_packing": op8_pattern_packing,
+    "op9_prefix_free_parsing": op9_prefix_free_parsing,
     "op10_toxicity": op10_toxicity,
 }
 
