@@ -5,6 +5,7 @@ from __future__ import annotations
 from gridspark.llm.ppm import op2_ppm
 from gridspark.llm.repeats import op9_prefix_free_parsing
 from gridspark.llm.resampling import op6_importance_resampling
+from gridspark.llm.decontaminate import op3_latent_decontamination
 from gridspark.llm.line_dedup import op7_line_chunks
 from gridspark.llm.packing import op8_pattern_packing
 from gridspark.llm.token_store import op4_token_store
@@ -12,6 +13,7 @@ from gridspark.llm.toxicity import op10_toxicity
 
 QUERIES = {
     "op2_ppm": op2_ppm,
+    "op3_latent_decontamination": op3_latent_decontamination,
     "op4_token_store": op4_token_store,
     "op6_importance_resampling": op6_importance_resampling,
     "op7_line_chunks": op7_line_chunks,
