@@ -7,6 +7,7 @@ from gridspark.llm.repeats import op9_prefix_free_parsing
 from gridspark.llm.resampling import op6_importance_resampling
 from gridspark.llm.decontaminate import op3_latent_decontamination
 from gridspark.llm.line_dedup import op7_line_chunks
+from gridspark.llm.near_dups import op5_weighted_minhash
 from gridspark.llm.packing import op8_pattern_packing
 from gridspark.llm.token_store import op4_token_store
 from gridspark.llm.toxicity import op10_toxicity
@@ -15,6 +16,7 @@ QUERIES = {
     "op2_ppm": op2_ppm,
     "op3_latent_decontamination": op3_latent_decontamination,
     "op4_token_store": op4_token_store,
+    "op5_weighted_minhash": op5_weighted_minhash,
     "op6_importance_resampling": op6_importance_resampling,
     "op7_line_chunks": op7_line_chunks,
     "op8_pattern_packing": op8_pattern_packing,
