@@ -124,7 +124,7 @@ class ByteHash:
     def powers(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         have = self._powers.get(self.base)
         if have is None or len(have[0]) < n:
-            n = max(n, SLICE_BYTES + 1)
+            n = max(n, 1 << 20)
             both = []
             for b in (self.base, pow(self.base, -1, 1 << 64)):
                 p = np.full(n, b, np.uint64)

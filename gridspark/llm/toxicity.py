@@ -32,7 +32,7 @@ from gridspark.llm.common import ByteHash, held_out, slices, text_of, words
 
 SPAN, DECAY, FEATURE_BITS = 6, 0.7, 19
 #: Labelled documents of each kind that the fit sees, drawn by a hash of the id, and landmarks of each kind.
-TOXIC_DOCUMENTS, OTHER_DOCUMENTS, LANDMARKS = 1500, 4500, 160
+TOXIC_DOCUMENTS, OTHER_DOCUMENTS, LANDMARKS = 1000, 2500, 160
 ROUNDS = 6
 STEM = 5  # bytes
 _MARK, _END = 1, 2
@@ -94,6 +94,19 @@ def _flat(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
 
 
+def _located(buf: np.ndarray, offsets: np.ndarray, most: int = 1 << 20) -> tuple[np.ndarray, ...]:
+    """Starts, ends and rows of all words, with hashes of them and of their beginnings; in steps, to save memory."""
+    out, first = [], 0
+    while first < len(offsets) - 1:
+        last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + most, side="right")) - 1)
+        at, part = offsets[first], buf[offsets[first] : offsets[last]]
+        starts, ends, rows = windows(part, offsets[first : last + 1] - at)
+        prefix = _HASH.prefix(part)
+        out.append((starts + at, ends + at, rows + first, _HASH.ranges(prefix, starts, ends), _HASH.ranges(prefix, starts, np.minimum(ends, starts + STEM))))
+        first = last
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
 class Words:
     """Distinct words as sparse, normalised kernel features."""
 
@@ -143,10 +156,10 @@ def fit(documents: list[tuple[str, int]]) -> dict:
         return flat
     # words, and in how many documents of each kind they are
     buf, offsets = _flat(texts)
-    starts, ends, rows = windows(buf, offsets)
+    starts, ends, rows, hashes, stems = _located(buf, offsets)
     if not len(starts):
         return flat
-    keys, first, which = np.unique(_HASH.ranges(_HASH.prefix(buf), starts, ends), return_index=True, return_inverse=True)
+    keys, first, which = np.unique(hashes, return_index=True, return_inverse=True)
     pairs = np.unique(rows * np.int64(len(keys)) + which)
     row, term = pairs // len(keys), pairs % len(keys)
     n1, n0 = int(label.sum()), int((label == 0).sum())
@@ -178,7 +191,7 @@ def fit(documents: list[tuple[str, int]]) -> dict:
         return np.where(rate > share, apart * np.log(rate / share) + other * np.log((1 - rate + 1e-9) / (1 - share)), 0), rate
 
     gain, rate = evidence(which)
-    _, stem = np.unique(_HASH.ranges(_HASH.prefix(buf), starts, np.minimum(ends, starts + STEM)), return_inverse=True)
+    _, stem = np.unique(stems, return_inverse=True)
     stem_gain, stem_rate = (x[stem[first]] for x in evidence(stem))
     telling = np.flatnonzero(((gain > sure) & (rate > 0.8)) | ((stem_gain > sure) & (stem_rate > 0.95) & (in0 == 0)))
     gain = np.maximum(gain, 1e-3 * stem_gain)
