@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridspark.llm.common import ByteHash, Scratch, mix64, slices, text_of
+from gridspark.llm.common import ByteHash, Scratch, mix64, release, slices, text_of
 
 WINDOW, MEAN, LONGEST, LONG_LINE = 2, 2, 16, 240
 #: Chunks with fewer bytes than this are left alone: short headings repeat by chance.
@@ -68,30 +68,40 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.withColumns({"_id": F.coalesce(docs["doc_id"].cast("long"), F.lit(-(2**63)).cast("long")), "_th": F.xxhash64(text_of(docs))})
 
 
-def chunks(texts: DataFrame) -> DataFrame:
-    """_id, _th, n, hash, bytes of each chunk of ``texts`` (text, _id, _th) that has two lines or more."""
+def chunks(texts: DataFrame, only: bool = False) -> DataFrame:
+    """_id, _th, n, hash of each chunk of ``texts`` (text, _id, _th) that may be removed if it repeats.
+    ``only``: just those numbered in the fourth column, with their bytes."""
 
     def run(batches):
         for rows, buf, offsets in slices(batches):
             first, end, row, lines = chunk_ranges(buf, offsets)
             number = np.arange(len(row)) - np.searchsorted(row, row)
             feed = buf[end - 1] == 10
-            end = end - feed
-            keep = np.flatnonzero(((lines >= 2) & (end - first >= LEAST_BYTES)) | (end + feed - first >= LONG_LINE))
-            raw, prefix = buf.tobytes(), _HASH.prefix(buf)
-            hashes = _HASH.ranges(prefix, first[keep], end[keep]).view(np.int64)
-            body = pa.array([raw[a:b] for a, b in zip(first[keep], end[keep], strict=True)], pa.binary())
-            take = pa.array(row[keep])
-            yield pa.RecordBatch.from_arrays([rows.column(1).take(take), rows.column(2).take(take), pa.array(number[keep].astype(np.int32)), pa.array(hashes), body], ["_id", "_th", "n", "hash", "body"])
-
-    return texts.mapInArrow(run, "_id bigint, _th bigint, n int, hash bigint, body binary")
+            able = ((lines >= 2) & (end - feed - first >= LEAST_BYTES)) | (end - first >= LONG_LINE)
+            if only:
+                edges, wanted = np.searchsorted(row, np.arange(len(offsets))), np.zeros(len(row), bool)
+                for i, mine in enumerate(rows.column(3).to_pylist()):
+                    wanted[edges[i] + np.array(mine, np.int64)] = True
+                able &= wanted
+            keep = np.flatnonzero(able)
+            first, end, row = first[keep], (end - feed)[keep], pa.array(row[keep])
+            out = [rows.column(1).take(row), rows.column(2).take(row), pa.array(number[keep].astype(np.int32)), pa.array(_HASH.ranges(_HASH.prefix(buf), first, end).view(np.int64))]
+            if only:
+                raw = buf.tobytes()
+                out.append(pa.array([raw[a:b] for a, b in zip(first, end, strict=True)], pa.binary()))
+            yield pa.RecordBatch.from_arrays(out, ["_id", "_th", "n", "hash", "body"][: len(out)])
+
+    return texts.mapInArrow(run, "_id bigint, _th bigint, n int, hash bigint" + ", body binary" * only)
 
 
 def repeated(texts: DataFrame, scratch: Scratch) -> DataFrame:
     """_id, _th, gone: the chunks to remove from each document that has some."""
     found = chunks(texts)
     counts = found.groupBy("hash").agg(F.count("*").alias("copies")).where("copies > 1").select("hash")
-    candidates = scratch.table(found.join(counts, "hash"), "candidates")
+    wanted = scratch.table(found.join(counts, "hash").groupBy("_id", "_th").agg(F.collect_set("n").alias("wanted")), "wanted")
+    # the bytes of those alone; merge joins at any size, as the texts would not fit a broadcast at most sizes
+    candidates = scratch.table(chunks(texts.join(wanted.hint("merge"), ["_id", "_th"]).select("text", "_id", "_th", "wanted"), only=True), "candidates")
+    release(texts.sparkSession)
     # grouping by the bytes is the comparison; each task sends one row for a chunk, however often it has it
     place = F.struct("_id", "_th", "n")
     first = candidates.groupBy("hash", "body").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first != last")
@@ -104,8 +114,9 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     scratch = Scratch(docs.sparkSession, "line-dedup")
     texts = keyed(docs).select(text_of(docs).alias("text"), "_id", "_th")
     gone = scratch.table(repeated(texts, scratch), "gone")
+    scratch.drop("candidates")
     names = [f"`{f.name}`" for f in docs.schema if f.name not in ("text", "n_chunks", "n_removed", "gone")]
-    joined = keyed(docs).withColumn("text", text_of(docs)).join(gone, ["_id", "_th"], "left").select("text", "gone", *names)
+    joined = keyed(docs).withColumn("text", text_of(docs)).join(gone.hint("merge"), ["_id", "_th"], "left").select("text", "gone", *names)
     fields = {f.name: f.dataType for f in joined.schema}
 
     def run(batches):
