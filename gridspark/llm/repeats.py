@@ -9,8 +9,9 @@ stand. All starts with one trigger form a run, and a run's context - from its fi
 its last string - is an entry of the dictionary. A context that occurs twice needs no look inside: all
 its strings repeat. Only contexts that share what follows their trigger with another, different
 context are sorted out string by string, one copy of each: this is where suffixes of the dictionary
-entries with a common prefix of ``length`` bytes meet, and Spark's shuffle by 128-bit hashes of those
-prefixes takes the place of their lexicographic order, which nothing here needs.
+entries with a common prefix of ``length`` bytes meet. They meet by hashes of those prefixes within
+their class, not in lexicographic order: no global suffix array is built, as nothing here needs
+the order itself, and every class is a small group of a Spark shuffle.
 
 Null texts are empty. Strings never cross documents. Rows equal in doc_id and text are two documents
 that repeat each other (null ids equal one another); each keeps its row. Other columns are kept, an
@@ -23,6 +24,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,6 +32,8 @@ from gridspark.llm.common import ByteHash, Scratch, release, slices, text_of
 from gridspark.llm.line_dedup import keyed
 
 GAP, GRAM = 192, 12
+#: Contexts of one class that one group compares; larger classes are dealt out by the strings' hashes.
+TOGETHER = 512
 _GRAM_HASH, _HASH, _OTHER = ByteHash(seed=61), ByteHash(seed=67), ByteHash(seed=71)
 
 
@@ -92,32 +96,78 @@ def _parsed(texts: DataFrame, length: int) -> DataFrame:
     return texts.mapInArrow(run, "_id bigint, _th bigint, first int, last int, tail bigint, whole bigint, other bigint")
 
 
+def _ranges(row: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, first and last of the runs of consecutive starts (sorted by row and start)."""
+    head = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (start[1:] != start[:-1] + 1)]) if len(row) else np.zeros(0, np.int64)
+    return row[head], start[head], start[np.r_[head[1:], len(row)] - 1] if len(row) else start
+
+
+_SENT = "tail bigint, slot int, _id bigint, _th bigint, start int, last int, starts binary, hashes binary"
+
+
 def _strings(texts: DataFrame, unsure: DataFrame, length: int) -> DataFrame:
-    """a, b, _id, _th, start: both hashes of each string of the unsure contexts."""
-    wanted = unsure.groupBy("_id", "_th").agg(F.sort_array(F.collect_set(F.struct("first", "last"))).alias("runs"))
+    """The hashes of the strings of unsure contexts, packed by class (what follows the trigger) and, in large classes, by slots of the
+    hash. A string that a slice has twice is known to repeat: it is returned as a run (``last`` set), and one copy is sent on."""
+    wanted = unsure.groupBy("_id", "_th").agg(F.sort_array(F.collect_set(F.struct("first", "last", "tail", "kinds"))).alias("runs"))
+    names = [c.split()[0] for c in _SENT.split(", ")]
 
     def run(batches):
         for rows, buf, offsets in slices(batches, most=1 << 20):
-            row, start = [], []
+            which, row, tail, slots, first, last = [], [], [], [], [], []
             for i, runs in enumerate(rows.column(3).to_pylist()):
                 for r in runs:
-                    start.append(np.arange(r["first"], r["last"] + 1))
-                    row.append(np.full(len(start[-1]), i))
-            row, start = np.concatenate(row), np.concatenate(start)
-            at = offsets[row] + start
-            a, b = (h.ranges(h.prefix(buf), at, at + length).view(np.int64) for h in (_HASH, _OTHER))
-            for lo in range(0, len(row), 200_000):
-                cut = slice(lo, lo + 200_000)
-                take = pa.array(row[cut])
-                yield pa.RecordBatch.from_arrays([pa.array(a[cut]), pa.array(b[cut]), rows.column(1).take(take), rows.column(2).take(take), pa.array(start[cut].astype(np.int32))], ["a", "b", "_id", "_th", "start"])
-
-    # one row of equal ones is enough
-    held = texts.join(wanted, ["_id", "_th"]).select("text", "_id", "_th", "runs").dropDuplicates(["_id", "_th"])
-    return held.mapInArrow(run, "a bigint, b bigint, _id bigint, _th bigint, start int")
+                    row.append(i)
+                    tail.append(r["tail"])
+                    slots.append(-(-r["kinds"] // TOGETHER))
+                    first.append(r["first"])
+                    last.append(r["last"])
+            row, tail, slots, first, last = (np.array(x, np.int64) for x in (row, tail, slots, first, last))
+            size = last - first + 1
+            which = np.repeat(np.arange(len(row)), size)
+            start = np.repeat(first - np.cumsum(size) + size, size) + np.arange(len(which))
+            at = offsets[row[which]] + start
+            hashes = _HASH.ranges(_HASH.prefix(buf), at, at + length)
+            _, one, of, many = np.unique(hashes, return_index=True, return_inverse=True, return_counts=True)
+            local = many[of] > 1
+            r, a, b = _ranges(which[local], start[local])
+            out = [(int(tail[k]), -1, int(row[k]), int(x), int(y), None, None) for k, x, y in zip(r, a, b, strict=True)]
+            sent = np.zeros(len(hashes), bool)
+            sent[one] = True
+            slot = (hashes % slots[which].astype(np.uint64)).astype(np.int64)
+            order = np.flatnonzero(sent)
+            order = order[np.lexsort((start[order], slot[order], which[order]))]
+            edge = np.flatnonzero(np.r_[True, (which[order][1:] != which[order][:-1]) | (slot[order][1:] != slot[order][:-1])])
+            for x, y in zip(edge.tolist(), [*edge[1:].tolist(), len(order)], strict=True):
+                mine, k = order[x:y], which[order[x]]
+                out.append((int(tail[k]), int(slot[order[x]]), int(row[k]), None, None, start[mine].astype("<u4").tobytes(), hashes[mine].tobytes()))
+            t, s, r, a, b, starts, packed = zip(*out, strict=True)
+            take = pa.array(r)
+            types = [pa.int32(), pa.int32(), pa.binary(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(t, pa.int64()), pa.array(s, pa.int32()), rows.column(1).take(take), rows.column(2).take(take), *(pa.array(x, y) for x, y in zip((a, b, starts, packed), types, strict=True))], names)
+
+    held = texts.join(wanted.hint("merge"), ["_id", "_th"]).select("text", "_id", "_th", "runs")
+    return held.mapInArrow(run, _SENT)
+
+
+def _meet(key, table):
+    """Runs of the strings of a class (or a slot of it) that occur twice."""
+    done = table.filter(pa.compute.is_valid(table.column("last")))
+    open_ = table.filter(pa.compute.is_valid(table.column("hashes")))
+    parts = [np.frombuffer(b, np.uint64) for b in open_.column("hashes").to_pylist()]
+    out = [done.select(["_id", "_th", "start", "last"])]
+    if parts:
+        row = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
+        start = np.concatenate([np.frombuffer(b, "<u4") for b in open_.column("starts").to_pylist()]).astype(np.int64)
+        _, of, many = np.unique(np.concatenate(parts), return_inverse=True, return_counts=True)
+        twice = many[of] > 1
+        r, a, b = _ranges(row[twice], start[twice])
+        take = pa.array(r)
+        out.append(pa.table({"_id": open_.column("_id").take(take), "_th": open_.column("_th").take(take), "start": pa.array(a.astype(np.int32)), "last": pa.array(b.astype(np.int32))}))
+    return pa.concat_tables(out)
 
 
 def repeated_spans(texts: DataFrame, length: int, scratch: Scratch) -> DataFrame:
-    """_id, _th, spans: sorted [from, to) byte ranges that repeated strings cover; they may overlap."""
+    """_id, _th, spans: sorted [start, stop) byte ranges that repeated strings cover; they may overlap."""
     parsed = _parsed(texts, length)
     shared = parsed.groupBy("tail").agg(F.count("*").alias("n")).where("n > 1").select("tail")
     candidates = scratch.table(parsed.join(shared, "tail"), "candidates")
@@ -126,16 +176,16 @@ def repeated_spans(texts: DataFrame, length: int, scratch: Scratch) -> DataFrame
     place = F.struct("_id", "_th", "first", "last")
     entries = scratch.table(candidates.groupBy("tail", "whole", "other").agg(F.count("*").alias("n"), F.min(place).alias("one")), "entries")
     sure = candidates.join(entries.where("n > 1").select("tail", "whole", "other"), ["tail", "whole", "other"])
-    sure = sure.select("_id", "_th", F.col("first").alias("start"), F.col("last").alias("last"))
-    mixed = entries.groupBy("tail").agg(F.count("*").alias("kinds")).where("kinds > 1").select("tail")
-    unsure = entries.join(mixed, "tail").select("one.*", "n")
-    strings = scratch.table(_strings(texts, unsure, length), "strings")
+    sure = scratch.table(sure.select("_id", "_th", F.col("first").alias("start"), "last"), "sure")
+    scratch.drop("candidates")
+    mixed = entries.groupBy("tail").agg(F.count("*").alias("kinds")).where("kinds > 1")
+    unsure = scratch.table(entries.join(mixed, "tail").select("one.*", "tail", "kinds"), "unsure")
+    scratch.drop("entries")
+    met = _strings(texts, unsure, length).groupBy("tail", "slot").applyInArrow(_meet, "_id bigint, _th bigint, start int, last int")
+    found = scratch.table(met, "found")
     release(texts.sparkSession)
-    twice = strings.groupBy("a", "b").agg(F.count("*").alias("n")).where("n > 1").select("a", "b")
-    # a repeated string of an entry that occurs once; the others are sure already
-    found = strings.join(twice, ["a", "b"]).select("_id", "_th", "start", F.col("start").alias("last"))
-    starts = sure.unionByName(found).distinct()
-    return starts.groupBy("_id", "_th").agg(F.sort_array(F.collect_list(F.struct("start", (F.col("last") + length).alias("stop")))).alias("spans"))
+    spans = F.sort_array(F.collect_set(F.struct("start", (F.col("last") + length).alias("stop"))))
+    return sure.unionByName(found).groupBy("_id", "_th").agg(spans.alias("spans"))
 
 
 def remove_repeats(docs: DataFrame, length: int = 400) -> DataFrame:
@@ -146,7 +196,7 @@ def remove_repeats(docs: DataFrame, length: int = 400) -> DataFrame:
     release(docs.sparkSession)
     new = ("text", "kept", "n_bytes", "n_removed", "spans")
     names = [f"`{f.name}`" for f in docs.schema if f.name not in new]
-    joined = keyed(docs).withColumn("text", text_of(docs)).join(spans, ["_id", "_th"], "left").select("text", "spans", *names)
+    joined = keyed(docs).withColumn("text", text_of(docs)).join(spans.hint("merge"), ["_id", "_th"], "left").select("text", "spans", *names)
 
     def run(batches):
         for rows, buf, offsets in slices(batches):
