@@ -6,6 +6,8 @@ from gridspark.llm.ppm import op2_ppm
 from gridspark.llm.repeats import op9_prefix_free_parsing
 from gridspark.llm.resampling import op6_importance_resampling
 from gridspark.llm.decontaminate import op3_latent_decontamination
+from gridspark.llm.hamming import op1_multi_index_hashing
+from gridspark.llm.hamming import oracle as op1_sql
 from gridspark.llm.line_dedup import op7_line_chunks
 from gridspark.llm.near_dups import op5_weighted_minhash
 from gridspark.llm.packing import op8_pattern_packing
@@ -13,6 +15,7 @@ from gridspark.llm.token_store import op4_token_store
 from gridspark.llm.toxicity import op10_toxicity
 
 QUERIES = {
+    "op1_multi_index_hashing": op1_multi_index_hashing,
     "op2_ppm": op2_ppm,
     "op3_latent_decontamination": op3_latent_decontamination,
     "op4_token_store": op4_token_store,
@@ -24,4 +27,4 @@ QUERIES = {
     "op10_toxicity": op10_toxicity,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {"op1_multi_index_hashing": op1_sql()}
