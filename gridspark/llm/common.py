@@ -52,11 +52,15 @@ class Scratch:
 
 
 def release(spark: SparkSession) -> None:
-    """Shuffle files live until the driver's heap is collected; a large job can ask for that between steps."""
+    """Shuffle files live until the driver's heap is collected; a large job can ask for that between steps.
+    The cleaner works beside the driver: it gets a moment, and what that let go of a second call."""
     import gc
+    import time
 
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.4)
 
 
 def text_of(docs: DataFrame) -> Column:
@@ -183,5 +187,17 @@ def shingles(hashes: np.ndarray, rows: np.ndarray, size: int = 5) -> tuple[np.nd
     return np.concatenate(out), np.concatenate(where).astype(np.int64)
 
 
-def blob_array(blobs: list[bytes]) -> pa.Array:
-    return pa.array(blobs, pa.binary())
+def packed(keys: np.ndarray) -> bytes:
+    """Sorted 64-bit keys as differences of as few whole bytes as the largest takes."""
+    gaps = np.diff(keys)
+    width = max(1, (int(gaps.max()).bit_length() + 7) // 8) if len(gaps) else 1
+    return bytes([width]) + keys[:1].tobytes() + gaps.view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+
+
+def unpacked(blob: bytes) -> np.ndarray:
+    width = blob[0]
+    gaps = np.frombuffer(blob, np.uint8, offset=9).reshape(-1, width)
+    wide = np.zeros((len(gaps) + 1, 8), np.uint8)
+    wide[0] = np.frombuffer(blob, np.uint8, 8, offset=1)
+    wide[1:, :width] = gaps
+    return np.cumsum(wide.view(np.uint64).ravel(), dtype=np.uint64)
