@@ -253,26 +253,27 @@ def labelled(docs: DataFrame, labels: DataFrame, usable) -> list[tuple[str, int]
 
 
 def score(docs: DataFrame, model: dict) -> DataFrame:
-    """doc_id, score of each row of ``docs``."""
+    """The rows of ``docs`` with ``score``; a column of this name is replaced."""
     model = docs.sparkSession.sparkContext.broadcast(model)
+    kept = [f"`{f.name}`" for f in docs.schema if f.name != "score"]
+    # the first column holds the text to score, the others pass through
+    rows = docs.select(text_of(docs).alias("_scored"), *kept)
 
     def run(batches):
         m = model.value
-        for rows, buf, offsets in slices(batches, most=2 << 20):
+        for rows, buf, offsets in slices(batches, column="_scored", most=2 << 20):
             top = np.full(len(offsets) - 1, m.get("least", -1.0))
             starts, ends, row = windows(buf, offsets)
             if len(starts):
                 _, first, which = np.unique(_HASH.ranges(_HASH.prefix(buf), starts, ends), return_index=True, return_inverse=True)
                 value = values(buf, starts[first], ends[first], m["weight"])[which]
                 heads = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
-                best = np.maximum.reduceat(value, heads)
-                top[row[heads]] = np.maximum(top[row[heads]], best)
-            yield pa.RecordBatch.from_arrays([*rows.columns[1:], pa.array(1 / (1 + np.exp(-np.clip(m["slope"] * top + m["offset"], -50, 50))))], [*rows.schema.names[1:], "score"])
-
-    kept = [f.name for f in docs.schema if f.name not in ("text", "score")]
-    texts = docs.select(text_of(docs).alias("_text"), *kept, *(["text"] if "_whole" in kept else []))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in texts.schema.fields[1:])
-    return texts.withColumnRenamed("_text", "text").mapInArrow(run, f"{schema}, score double")
+                top[row[heads]] = np.maximum(top[row[heads]], np.maximum.reduceat(value, heads))
+            score = 1 / (1 + np.exp(-np.clip(m["slope"] * top + m["offset"], -50, 50)))
+            yield pa.RecordBatch.from_arrays([*rows.columns[1:], pa.array(score)], [*rows.schema.names[1:], "score"])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[1:])
+    return rows.mapInArrow(run, f"{schema}, score double")
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
