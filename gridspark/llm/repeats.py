@@ -33,7 +33,7 @@ from gridspark.llm.line_dedup import keyed
 
 GAP, GRAM = 192, 12
 #: Contexts of one class that one group compares; larger classes are dealt out by the strings' hashes.
-TOGETHER = 512
+TOGETHER = 4096
 _GRAM_HASH, _HASH, _OTHER = ByteHash(seed=61), ByteHash(seed=67), ByteHash(seed=71)
 
 
@@ -80,7 +80,7 @@ def _parsed(texts: DataFrame, length: int) -> DataFrame:
     """_id, _th, first, last and the hashes of what follows the trigger (inside all its strings) and of the whole context."""
 
     def run(batches):
-        for rows, buf, offsets in slices(batches, most=2 << 20):
+        for rows, buf, offsets in slices(batches, most=1 << 20):
             row, place, first, last = contexts(buf, offsets, length)
             begin, prefix = offsets[row], _HASH.prefix(buf)
             whole = _HASH.ranges(prefix, begin + first, begin + last + length)
@@ -112,7 +112,7 @@ def _strings(texts: DataFrame, unsure: DataFrame, length: int) -> DataFrame:
     names = [c.split()[0] for c in _SENT.split(", ")]
 
     def run(batches):
-        for rows, buf, offsets in slices(batches, most=1 << 20):
+        for rows, buf, offsets in slices(batches, most=1 << 19):
             which, row, tail, slots, first, last = [], [], [], [], [], []
             for i, runs in enumerate(rows.column(3).to_pylist()):
                 for r in runs:
@@ -169,7 +169,8 @@ def _meet(key, table):
 def repeated_spans(texts: DataFrame, length: int, scratch: Scratch) -> DataFrame:
     """_id, _th, spans: sorted [start, stop) byte ranges that repeated strings cover; they may overlap."""
     parsed = _parsed(texts, length)
-    shared = parsed.groupBy("tail").agg(F.count("*").alias("n")).where("n > 1").select("tail")
+    # written first, so that the join can split what most rows share
+    shared = scratch.table(parsed.groupBy("tail").agg(F.count("*").alias("n")).where("n > 1").select("tail"), "shared")
     candidates = scratch.table(parsed.join(shared, "tail"), "candidates")
     release(texts.sparkSession)
     # equal contexts: one entry of the dictionary
