@@ -89,25 +89,41 @@ def straight(p: Px, f) -> Px:
     return Px(*(c * p.a for c in f(u.rgb)), p.a)
 
 
+def let(value: Column, f) -> Column:
+    """f(value) with the value worked out once, however often f uses it: nested hashes would grow without bound otherwise."""
+    return F.get(F.transform(F.array(value), f), 0)
+
+
+# Multiplier, increment and output multiplier of the published 32-bit permuted congruential hash.
+PCG = (747796405, 2891336453, 277803737)
+
+
 def pcg(x: Column) -> Column:
-    """A 32-bit permuted congruential hash (multiplier, increment and output multiplier are the published ones), in BIGINT."""
-    m = 0xFFFFFFFF
-    state = _times(x, 747796405, 2891336453)
-    word = _times(F.call_function("shiftright", state, (F.shiftright(state, 28) + 4).cast("int")).bitwiseXOR(state), 277803737, 0)
-    return F.shiftright(word, 22).bitwiseXOR(word).bitwiseAND(m)
+    """The hash of a BIGINT below 2**32, in BIGINT."""
+
+    def word(state):
+        shifted = F.call_function("shiftright", state, (F.shiftright(state, 28) + 4).cast("int")).bitwiseXOR(state)
+        return let(_times(shifted, PCG[2], 0), lambda w: F.shiftright(w, 22).bitwiseXOR(w))
+
+    return let(_times(x, PCG[0], PCG[1]), word)
+
+
+def pcg_of(v: int) -> int:
+    """The same for a number known when the plan is built."""
+    state = (v * PCG[0] + PCG[1]) & 0xFFFFFFFF
+    word = (((state >> ((state >> 28) + 4)) ^ state) * PCG[2]) & 0xFFFFFFFF
+    return (word >> 22) ^ word
 
 
 def _times(x: Column, factor: int, plus: int) -> Column:
-    """x * factor + plus modulo 2**32, for x below 2**32, without overflow of a BIGINT."""
-    hi, lo = factor >> 16, factor & 0xFFFF
-    high = (x * F.lit(hi)).bitwiseAND(0xFFFF) * F.lit(65536)
-    return (high + x * F.lit(lo) + F.lit(plus)).bitwiseAND(0xFFFFFFFF)
+    """x * factor + plus modulo 2**32: below 2**62 for x below 2**32, so a BIGINT holds it."""
+    return (x * F.lit(factor).cast("bigint") + F.lit(plus).cast("bigint")).bitwiseAND(0xFFFFFFFF)
 
 
 def hash01(x: Column, y: Column, seed: int) -> Column:
     """Noise in [0, 1) of a place and a seed."""
     wrap = lambda v: v.cast("bigint").bitwiseAND(0xFFFFFFFF)
-    inner = pcg(wrap(y).bitwiseXOR(pcg(F.lit(seed & 0xFFFFFFFF).cast("bigint"))))
+    inner = pcg(wrap(y).bitwiseXOR(F.lit(pcg_of(seed & 0xFFFFFFFF)).cast("bigint")))
     return F.shiftright(pcg(wrap(x).bitwiseXOR(inner)), 8).cast("double") * (2.0**-24)
 
 
