@@ -53,7 +53,7 @@ def flag(e: str) -> str:
 
 POINT = {
     "math.linear": each("@ * 1.5 + -0.2"), "math.invert": each("1 - @"), "math.add": both("@ + @2"), "math.sub": both("@ - @2"), "math.mul": both("@ * @2"),
-    "math.div": both("CASE WHEN @2 = 0 THEN NULL ELSE @ / @2 END"), "math.add_const": each("@ + 0.25"), "math.mul_const": each("@ * 0.75"), "math.abs": each("abs(@ - 0.0)"),
+    "math.div": both("CASE WHEN @2 = 0 THEN 0 ELSE @ / @2 END"), "math.add_const": each("@ + 0.25"), "math.mul_const": each("@ * 0.75"), "math.abs": each("abs(@ - 0.0)"),
     "math.sign": each("CASE WHEN @ > 0 THEN 1.0 WHEN @ < 0 THEN -1.0 ELSE 0.0 END"), "math.neg": each("-@"), "math.min": both("least(@, @2)"), "math.max": both("greatest(@, @2)"),
     "math.clamp": each(clamp("@", "0.4", "0.6")), "math.min_const": each("least(@, 0.5)"), "math.max_const": each("greatest(@, 0.5)"),
     "rel.eq": both(flag("@ = @2")), "rel.ne": both(flag("@ <> @2")), "rel.lt": both(flag("@ < @2")), "rel.le": both(flag("@ <= @2")), "rel.gt": both(flag("@ > @2")), "rel.ge": both(flag("@ >= @2")),

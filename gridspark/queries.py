@@ -40,8 +40,9 @@ PARAMS |= {name: {"opacity": 0.75} for name in KERNELS if name.startswith("compo
 
 
 def shown(df: DataFrame) -> DataFrame:
-    """Channels to six decimals, without negative zeros, so that engines' last bits don't show."""
-    return df.select("x", "y", *((F.round(F.col(c), 6) + 0.0).alias(c) for c in CHANNELS))
+    """Channels to six decimals, without negative zeros, so that engines' last bits don't show; 0 for what is not finite."""
+    finite = lambda c: F.when(F.isnan(c) | (F.abs(F.col(c)) == float("inf")), 0.0).otherwise(F.col(c))
+    return df.select("x", "y", *((F.round(finite(c), 6) + 0.0).alias(c) for c in CHANNELS))
 
 
 def kernel_query(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
