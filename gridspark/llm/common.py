@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that one vectorised step works on; a longer text is a step of its own.
 SLICE_BYTES = 4 << 20
+#: Rows in an Arrow batch.
+BATCH_ROWS = 1000
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -32,11 +34,19 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Whole texts are long: Arrow batches of the default 10,000 rows would take hundreds of megabytes on either side."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(name)) > BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 class Scratch:
     """Parquet tables of one run in the shared folder: they cut the lineage, so a lost executor
     costs one stage at most."""
 
     def __init__(self, spark: SparkSession, name: str):
+        small_batches(spark)
         self.spark, self.root = spark, f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
     def table(self, df: DataFrame, name: str, **options) -> DataFrame:

@@ -64,8 +64,9 @@ def chunk_ranges(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """The rows with two columns that tell documents apart and order them."""
-    return docs.withColumns({"_id": F.coalesce(docs["doc_id"].cast("long"), F.lit(-(2**63)).cast("long")), "_th": F.xxhash64(text_of(docs))})
+    """text, _id, _th (which tell documents apart and order them) and ``rest``, all other columns whatever their names."""
+    rest = F.struct(*(f"`{f.name}`" for f in docs.schema if f.name != "text"))
+    return docs.select(text_of(docs).alias("text"), F.coalesce(docs["doc_id"].cast("long"), F.lit(-(2**63)).cast("long")).alias("_id"), F.xxhash64(text_of(docs)).alias("_th"), rest.alias("rest"))
 
 
 def chunks(texts: DataFrame, only: bool = False) -> DataFrame:
@@ -110,14 +111,12 @@ def repeated(texts: DataFrame, scratch: Scratch) -> DataFrame:
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` with repeated chunks cut out of ``text``; adds ``n_chunks`` and ``n_removed`` (chunks)."""
+    """The rows of ``docs`` with repeated chunks cut out of ``text``; adds (or replaces) ``n_chunks`` and ``n_removed`` (chunks)."""
     scratch = Scratch(docs.sparkSession, "line-dedup")
-    texts = keyed(docs).select(text_of(docs).alias("text"), "_id", "_th")
-    gone = scratch.table(repeated(texts, scratch), "gone")
+    rows = keyed(docs)
+    gone = scratch.table(repeated(rows.select("text", "_id", "_th"), scratch), "gone")
     scratch.drop("candidates")
-    names = [f"`{f.name}`" for f in docs.schema if f.name not in ("text", "n_chunks", "n_removed", "gone")]
-    joined = keyed(docs).withColumn("text", text_of(docs)).join(gone.hint("merge"), ["_id", "_th"], "left").select("text", "gone", *names)
-    fields = {f.name: f.dataType for f in joined.schema}
+    joined = rows.join(gone.hint("merge"), ["_id", "_th"], "left").select("text", "gone", "rest")
 
     def run(batches):
         for rows, buf, offsets in slices(batches):
@@ -133,12 +132,11 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
                     texts.append(kept.removesuffix(b"\n") if raw[offsets[i + 1] - 1 : offsets[i + 1]] != b"\n" else kept)
                 n_gone.append(len(mine or ()))
             n_all = np.diff(edges).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.binary()).cast(pa.string()), *rows.columns[2:], pa.array(n_all), pa.array(n_gone, pa.int32())], ["text", *rows.schema.names[2:], "n_chunks", "n_removed"])
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.binary()).cast(pa.string()), rows.column(2), pa.array(n_all), pa.array(n_gone, pa.int32())], ["text", "rest", "n_chunks", "n_removed"])
 
-    schema = ", ".join(f"`{n}` {t.simpleString()}" for n, t in fields.items() if n != "gone")
-    out = joined.mapInArrow(run, f"{schema}, n_chunks int, n_removed int")
-    order = [f"`{f.name}`" for f in docs.schema if f.name not in ("n_chunks", "n_removed", "gone")]
-    return out.select(*order, "n_chunks", "n_removed")
+    out = joined.mapInArrow(run, f"text string, rest {joined.schema['rest'].dataType.simpleString()}, n_chunks int, n_removed int")
+    own = [F.col("text") if f.name == "text" else F.col(f"rest.`{f.name}`") for f in docs.schema if f.name not in ("n_chunks", "n_removed")]
+    return out.select(*own, "n_chunks", "n_removed")
 
 
 def op7_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:

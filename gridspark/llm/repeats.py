@@ -28,7 +28,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridspark.llm.common import ByteHash, Scratch, release, slices, text_of
+from gridspark.llm.common import ByteHash, Scratch, release, slices
 from gridspark.llm.line_dedup import keyed
 
 GAP, GRAM = 192, 12
@@ -192,12 +192,10 @@ def repeated_spans(texts: DataFrame, length: int, scratch: Scratch) -> DataFrame
 def remove_repeats(docs: DataFrame, length: int = 400) -> DataFrame:
     """The rows of ``docs`` with ``kept`` (the remaining bytes), ``n_bytes``, ``n_removed`` and ``spans`` (maximal removed runs)."""
     scratch = Scratch(docs.sparkSession, "repeats")
-    texts = keyed(docs).select(text_of(docs).alias("text"), "_id", "_th")
-    spans = scratch.table(repeated_spans(texts, length, scratch), "spans")
+    rows = keyed(docs)
+    spans = scratch.table(repeated_spans(rows.select("text", "_id", "_th"), length, scratch), "spans")
     release(docs.sparkSession)
-    new = ("text", "kept", "n_bytes", "n_removed", "spans")
-    names = [f"`{f.name}`" for f in docs.schema if f.name not in new]
-    joined = keyed(docs).withColumn("text", text_of(docs)).join(spans.hint("merge"), ["_id", "_th"], "left").select("text", "spans", *names)
+    joined = rows.join(spans.hint("merge"), ["_id", "_th"], "left").select("text", "spans", "rest")
 
     def run(batches):
         for rows, buf, offsets in slices(batches):
@@ -215,10 +213,11 @@ def remove_repeats(docs: DataFrame, length: int = 400) -> DataFrame:
                 gone.append(len(text) - len(kept[-1]))
                 runs.append([{"start": a, "stop": b} for a, b in merged])
             span = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
-            yield pa.RecordBatch.from_arrays([*rows.columns[2:], pa.array(kept, pa.binary()), pa.array(sizes, pa.int64()), pa.array(gone, pa.int64()), pa.array(runs, span)], [*rows.schema.names[2:], "kept", "n_bytes", "n_removed", "spans"])
+            yield pa.RecordBatch.from_arrays([rows.column(2), pa.array(kept, pa.binary()), pa.array(sizes, pa.int64()), pa.array(gone, pa.int64()), pa.array(runs, span)], ["rest", "kept", "n_bytes", "n_removed", "spans"])
 
-    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in joined.schema if f.name not in ("text", "spans"))
-    return joined.mapInArrow(run, schema + "kept binary, n_bytes bigint, n_removed bigint, spans array<struct<start: bigint, stop: bigint>>")
+    new = ("kept", "n_bytes", "n_removed", "spans")
+    out = joined.mapInArrow(run, f"rest {joined.schema['rest'].dataType.simpleString()}, kept binary, n_bytes bigint, n_removed bigint, spans array<struct<start: bigint, stop: bigint>>")
+    return out.select(*(F.col(f"rest.`{f.name}`") for f in docs.schema if f.name not in ("text", *new)), *new)
 
 
 def op9_prefix_free_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:

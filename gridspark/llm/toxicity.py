@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridspark.llm.common import ByteHash, held_out, slices, text_of, words
+from gridspark.llm.common import ByteHash, held_out, slices, small_batches, text_of, words
 
 SPAN, DECAY, FEATURE_BITS = 6, 0.7, 19
 #: Labelled documents of each kind that the fit sees, drawn by a hash of the id, and landmarks of each kind.
@@ -254,14 +254,13 @@ def labelled(docs: DataFrame, labels: DataFrame, usable) -> list[tuple[str, int]
 
 def score(docs: DataFrame, model: dict) -> DataFrame:
     """The rows of ``docs`` with ``score``; a column of this name is replaced."""
+    small_batches(docs.sparkSession)
     model = docs.sparkSession.sparkContext.broadcast(model)
-    kept = [f"`{f.name}`" for f in docs.schema if f.name != "score"]
-    # the first column holds the text to score, the others pass through
-    rows = docs.select(text_of(docs).alias("_scored"), *kept)
+    rows = docs.select(docs["text"].cast("string").alias("text"), *(f"`{f.name}`" for f in docs.schema if f.name not in ("text", "score")))
 
     def run(batches):
         m = model.value
-        for rows, buf, offsets in slices(batches, column="_scored", most=2 << 20):
+        for rows, buf, offsets in slices(batches, most=1 << 20):
             top = np.full(len(offsets) - 1, m.get("least", -1.0))
             starts, ends, row = windows(buf, offsets)
             if len(starts):
@@ -270,9 +269,9 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
                 heads = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
                 top[row[heads]] = np.maximum(top[row[heads]], np.maximum.reduceat(value, heads))
             score = 1 / (1 + np.exp(-np.clip(m["slope"] * top + m["offset"], -50, 50)))
-            yield pa.RecordBatch.from_arrays([*rows.columns[1:], pa.array(score)], [*rows.schema.names[1:], "score"])
+            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(score)], [*rows.schema.names, "score"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[1:])
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
     return rows.mapInArrow(run, f"{schema}, score double")
 
 
