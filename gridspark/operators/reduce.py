@@ -23,7 +23,9 @@ def histogram(df: DataFrame, with_luma: bool = False) -> DataFrame:
     p = Px.of()
     values = {c: to_byte(getattr(p, c)) for c in "rgb"}
     if with_luma:
-        values["luma"] = F.least(F.round(luma([v.cast("double") for v in values.values()], LUMA_601)), F.lit(255.0)).cast("bigint")
+        # whole thousandths, so that halves round alike everywhere
+        weighted = [v * round(w * 1000) for v, w in zip(values.values(), LUMA_601, strict=True)]
+        values["luma"] = F.least(F.floor((weighted[0] + weighted[1] + weighted[2] + 500) / 1000), F.lit(255)).cast("bigint")
     else:
         values["a"] = to_byte(p.a)
     return long_form(df, **values).groupBy("channel", F.col("value").alias("bin")).agg(F.count("*").alias("n"))
