@@ -12,7 +12,7 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from gridspark.functions.pixel import LUMA_709, LUMA_ADJUST, Px, clamp, flag, luma, mix, num, premultiply, ratio, smoothstep, straight, unpremultiply
+from gridspark.functions.pixel import LUMA_709, LUMA_ADJUST, Px, clamp, flag, let, luma, mix, num, premultiply, ratio, smoothstep, straight, unpremultiply
 from gridspark.plans.registry import kernel
 
 # -- arithmetic ---------------------------------------------------------------------------------
@@ -174,34 +174,58 @@ _per_channel("subtract", lambda b, s: F.greatest(b - s, num(0)))
 _per_channel("divide", lambda b, s: F.when(s == 0, 1.0).otherwise(F.least(ratio(b, s, 1.0), num(1))))
 
 
-def clip_color(c):
-    low, high, light = F.least(*c), F.greatest(*c), luma(c)
-    up = [F.when(low < 0, light + ratio((x - light) * light, light - low)).otherwise(x) for x in c]
-    return tuple(F.when(high > 1, light + ratio((x - light) * (1 - light), high - light)).otherwise(x) for x in up)
+# The blends below look at all three channels at once, time and again; each step's triple is an array
+# that is worked out once.
 
 
-def set_luma(c, light):
-    d = light - luma(c)
-    return clip_color(tuple(x + d for x in c))
+def _three(v: Column) -> list[Column]:
+    return [F.get(v, i) for i in range(3)]
+
+
+def clip_color(triple: Column) -> Column:
+    """Into 0..1 at equal luma."""
+
+    def clipped(t):
+        c = _three(t)
+
+        def scaled(k):
+            low, high, light = _three(k)
+            up = [F.when(low < 0, light + ratio((x - light) * light, light - low)).otherwise(x) for x in c]
+            return F.array(*(F.when(high > 1, light + ratio((x - light) * (1 - light), high - light)).otherwise(x) for x in up))
+
+        return let(F.array(F.least(*c), F.greatest(*c), luma(c)), scaled)
+
+    return let(triple, clipped)
+
+
+def set_luma(triple: Column, light: Column) -> Column:
+    return clip_color(let(triple, lambda t: let(light - luma(_three(t)), lambda d: F.array(*(x + d for x in _three(t))))))
 
 
 def saturation_of(c):
     return F.greatest(*c) - F.least(*c)
 
 
-def set_saturation(c, s):
+def set_saturation(c, s) -> Column:
     low, high = F.least(*c), F.greatest(*c)
-    return tuple(F.when(high > low, ratio((x - low) * s, high - low)).otherwise(0.0) for x in c)
+    return F.array(*(F.when(high > low, ratio((x - low) * s, high - low)).otherwise(0.0) for x in c))
+
+
+def _whole(name, f):
+    def blend(cb, cs):
+        return _three(let(F.array(*cb, *cs), lambda v: f([F.get(v, i) for i in range(3)], [F.get(v, i) for i in range(3, 6)])))
+
+    _blend(name, blend)
 
 
 def _pick(first, cb, cs):
     return tuple(F.when(first, b).otherwise(s) for b, s in zip(cb, cs, strict=True))
 
 
-_blend("hue", lambda cb, cs: set_luma(set_saturation(cs, saturation_of(cb)), luma(cb)))
-_blend("saturation", lambda cb, cs: set_luma(set_saturation(cb, saturation_of(cs)), luma(cb)))
-_blend("color", lambda cb, cs: set_luma(cs, luma(cb)))
-_blend("luminosity", lambda cb, cs: set_luma(cb, luma(cs)))
+_whole("hue", lambda cb, cs: set_luma(set_saturation(cs, saturation_of(cb)), luma(cb)))
+_whole("saturation", lambda cb, cs: set_luma(set_saturation(cb, saturation_of(cs)), luma(cb)))
+_whole("color", lambda cb, cs: set_luma(F.array(*cs), luma(cb)))
+_whole("luminosity", lambda cb, cs: set_luma(F.array(*cb), luma(cs)))
 _blend("darker_color", lambda cb, cs: _pick(luma(cb) <= luma(cs), cb, cs))
 _blend("lighter_color", lambda cb, cs: _pick(luma(cb) >= luma(cs), cb, cs))
 
