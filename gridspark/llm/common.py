@@ -3,6 +3,7 @@ slices of whole texts, and vectorised hashing of bytes, words and shingles."""
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -13,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one vectorised step works on; a longer text is a step of its own.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 #: Rows in an Arrow batch.
 BATCH_ROWS = 1000
 
@@ -73,6 +74,14 @@ def release(spark: SparkSession) -> None:
         time.sleep(0.4)
 
 
+def give_back() -> None:
+    """Returns freed memory to the system. Python workers outlive their tasks, and what one stage's arrays took would stay with them."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim is not None:
+        trim(0)
+
+
 def text_of(docs: DataFrame) -> Column:
     """The text, an empty one for null."""
     return F.coalesce(docs["text"].cast("string"), F.lit(""))
@@ -105,6 +114,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int =
             last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + most, side="right")) - 1)
             yield batch.slice(first, last - first), data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first]
             first = last
+    give_back()
 
 
 _SPACE = np.zeros(256, bool)
@@ -128,6 +138,7 @@ class ByteHash:
 
     ``values`` maps a byte to a 64-bit number (bytes that map to one number are equal)."""
 
+    #: Powers for a usual slice, kept; those for longer texts are worked out anew.
     _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
     def __init__(self, seed: int = 1, lower: bool = False):
@@ -138,13 +149,15 @@ class ByteHash:
     def powers(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         have = self._powers.get(self.base)
         if have is None or len(have[0]) < n:
-            n = max(n, 1 << 20)
+            usual = SLICE_BYTES + 1
             both = []
             for b in (self.base, pow(self.base, -1, 1 << 64)):
-                p = np.full(n, b, np.uint64)
+                p = np.full(max(n, usual), b, np.uint64)
                 p[0] = 1
                 both.append(np.multiply.accumulate(p))
-            have = self._powers[self.base] = (both[0], both[1])
+            have = (both[0], both[1])
+            if n <= usual:
+                self._powers[self.base] = have
         return have
 
     def prefix(self, buf: np.ndarray) -> np.ndarray:
