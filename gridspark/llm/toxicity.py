@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridspark.llm.common import ByteHash, held_out, slices, small_batches, text_of, words
+from gridspark.llm.common import ByteHash, give_back, held_out, slices, small_batches, text_of, words
 
 SPAN, DECAY, FEATURE_BITS = 6, 0.7, 19
 #: Labelled documents of each kind that the fit sees, drawn by a hash of the id, and landmarks of each kind.
@@ -95,14 +95,14 @@ def _flat(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _located(buf: np.ndarray, offsets: np.ndarray, most: int = 1 << 20) -> tuple[np.ndarray, ...]:
-    """Starts, ends and rows of all words, with hashes of them and of their beginnings; in steps, to save memory."""
+    """Starts, ends and rows of all words, with hashes of them and of their beginnings; in steps and in 32 bits, to save memory."""
     out, first = [], 0
     while first < len(offsets) - 1:
         last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + most, side="right")) - 1)
         at, part = offsets[first], buf[offsets[first] : offsets[last]]
         starts, ends, rows = windows(part, offsets[first : last + 1] - at)
         prefix = _HASH.prefix(part)
-        out.append((starts + at, ends + at, rows + first, _HASH.ranges(prefix, starts, ends), _HASH.ranges(prefix, starts, np.minimum(ends, starts + STEM))))
+        out.append(((starts + at).astype(np.int32), (ends + at).astype(np.int32), (rows + first).astype(np.int32), _HASH.ranges(prefix, starts, ends), _HASH.ranges(prefix, starts, np.minimum(ends, starts + STEM))))
         first = last
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
@@ -150,24 +150,30 @@ def fit(documents: list[tuple[str, int]]) -> dict:
     documents = list(dict.fromkeys(documents))  # copies would count as evidence
     texts = [(t or "").encode() for t, _ in documents]
     label = np.array([int(y) for _, y in documents], np.int64)
+    del documents
     prior = (label.sum() + 1) / (len(label) + 2)
     flat = {"weight": np.zeros(1 << FEATURE_BITS, np.float32), "slope": 0.0, "offset": float(np.log(prior / (1 - prior)))}
     if len(set(label.tolist())) < 2:
         return flat
     # words, and in how many documents of each kind they are
     buf, offsets = _flat(texts)
+    del texts
     starts, ends, rows, hashes, stems = _located(buf, offsets)
     if not len(starts):
         return flat
     keys, first, which = np.unique(hashes, return_index=True, return_inverse=True)
+    which = which.astype(np.int32)
+    _, stem = np.unique(stems, return_inverse=True)
+    stem = stem.astype(np.int32)
+    del hashes, stems
+    give_back()
     pairs = np.unique(rows * np.int64(len(keys)) + which)
     row, term = pairs // len(keys), pairs % len(keys)
     n1, n0 = int(label.sum()), int((label == 0).sum())
     in1, in0 = np.bincount(term[label[row] == 1], minlength=len(keys)), np.bincount(term[label[row] == 0], minlength=len(keys))
-    raw = buf.tobytes()
 
     def texts_of(terms):
-        return Words([raw[starts[first[i]] : ends[first[i]]] for i in terms])
+        return Words([buf[starts[first[i]] : ends[first[i]]].tobytes() for i in terms])
 
     share = n1 / (n1 + n0)
     value = np.zeros(len(keys))
@@ -176,7 +182,7 @@ def fit(documents: list[tuple[str, int]]) -> dict:
     ordinary = np.unique(np.concatenate([ordinary[np.argsort(-in0[ordinary], kind="stable")[:2500]], ordinary[:: max(1, len(ordinary) // 2500)]]))
     # Telling words: they stand in more toxic documents, and behind more different words there, than chance
     # gives any of all words. What copies share always stands behind the same words.
-    before = np.r_[-1, which[:-1]]
+    before = np.r_[np.int32(-1), which[:-1]]
     before[np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]])] = -1
 
     def evidence(ids):
@@ -185,13 +191,13 @@ def fit(documents: list[tuple[str, int]]) -> dict:
         seen = np.unique(rows * np.int64(n) + ids)
         toxic, other = (np.bincount(seen[label[seen // n] == y] % n, minlength=n) for y in (1, 0))
         mine = label[rows] == 1
-        company = np.unique(ids[mine] * np.int64(len(keys) + 1) + before[mine] + 1) // (len(keys) + 1)
+        company = np.unique(ids[mine] * np.int64(len(keys) + 1) + before[mine] + 1) // np.int64(len(keys) + 1)
         apart = np.minimum(toxic, np.bincount(company, minlength=n))
         rate = (apart + 0.05) / (apart + other + 0.1)
         return np.where(rate > share, apart * np.log(rate / share) + other * np.log((1 - rate + 1e-9) / (1 - share)), 0), rate
 
     gain, rate = evidence(which)
-    _, stem = np.unique(stems, return_inverse=True)
+    give_back()
     stem_gain, stem_rate = (x[stem[first]] for x in evidence(stem))
     telling = np.flatnonzero(((gain > sure) & (rate > 0.8)) | ((stem_gain > sure) & (stem_rate > 0.95) & (in0 == 0)))
     gain = np.maximum(gain, 1e-3 * stem_gain)
@@ -211,17 +217,18 @@ def fit(documents: list[tuple[str, int]]) -> dict:
         w, bias = _hinge(texts_of(sides).against(marks) @ half, y, mass)
         coefficient = half @ w
         folded = np.bincount(marks.place, marks.w * coefficient[marks.word], 1 << FEATURE_BITS)
-        for lo in range(0, len(keys), 50_000):
-            part = first[lo : lo + 50_000]
-            value[lo : lo + 50_000] = values(buf, starts[part], ends[part], folded) + bias
+        for lo in range(0, len(keys), 8_000):
+            part = first[lo : lo + 8_000]
+            value[lo : lo + 8_000] = values(buf, starts[part], ends[part], folded) + bias
         # ordinary words on the wrong side are added, the worst first
         known = np.flatnonzero((in0 > 0) & (value > -0.7))
         known = known[np.argsort(-(value[known] + 0.7) * np.sqrt(in0[known]), kind="stable")[:1000]]
         known = np.setdiff1d(known, telling)
         hard = np.concatenate([known[np.argsort(-value[known], kind="stable")], np.setdiff1d(hard, known)])
-    top = np.full(len(texts), -1.0)
+    top = np.full(len(label), -1.0)
     np.maximum.at(top, row, value[term])
     slope, offset = _logistic(np.maximum(top, -1.0), label)
+    give_back()
     return {"weight": folded.astype(np.float32), "slope": slope, "offset": offset + slope * bias, "least": -1.0 - bias}
 
 
