@@ -66,7 +66,7 @@ def test_top_k_is_exact(spark, n):
 def test_ppm_counts_and_base_score(spark, corpus):
     rows = [*corpus[:40], *ODD]
     docs = frame(spark, rows, extra=True)
-    got = ppm.score(docs, docs.where("doc_id % 3 != 0")).orderBy("doc_id").collect()
+    got = ppm.score(docs, F.expr("doc_id % 3 != 0")).orderBy("doc_id").collect()
     words = lambda t: [w for w in ("".join(c.lower() if c.isascii() else c for c in (t or ""))).replace("\t", " ").replace("\n", " ").split(" ") if w] + [None]
     train = [w for i, t in rows if i is not None and i % 3 for w in words(t)]
     count = {w: train.count(w) for w in set(train)}
@@ -77,27 +77,66 @@ def test_ppm_counts_and_base_score(spark, corpus):
     assert all(r.score < 0 and np.isfinite(r.score) for r in got)
 
 
-def test_ppm_probabilities_sum_to_one(spark, corpus):
-    texts = frame(spark, corpus[:30])
-    model = ppm.train(texts.select("text"), order=3, nodes=500)
-    trie = ppm.Trie(*model)
-    share = np.ones(trie.size)
-    share[0] = 257 - (trie.size - 1)
-    assert np.allclose((10.0 ** trie.logp * share).sum(1), 1, atol=1e-3)
-    assert len(trie.logp) <= 501
+def _plain_ppm(training, text, order):
+    """log10 probability by the definition: counts of all contexts, escapes by method D, symbols excluded one by one."""
+    counts = {}
+    for t in training:
+        seq = [ppm.EDGE] * order + list(t) + [ppm.EDGE]
+        for i in range(order, len(seq)):
+            for d in range(order + 1):
+                followers = counts.setdefault(tuple(seq[i - d : i]), {})
+                followers[seq[i]] = followers.get(seq[i], 0) + 1
+    seq, total = [ppm.EDGE] * order + list(text) + [ppm.EDGE], 0.0
+    for i in range(order, len(seq)):
+        excluded, found = set(), False
+        for d in range(order, -1, -1):
+            left = {s: c for s, c in counts.get(tuple(seq[i - d : i]), {}).items() if s not in excluded}
+            if left:
+                below = 2 * sum(left.values())
+                if seq[i] in left:
+                    total, found = total + np.log10((2 * left[seq[i]] - 1) / below), True
+                    break
+                total, excluded = total + np.log10(len(left) / below), excluded | left.keys()
+        if not found:
+            total -= np.log10(ppm.SYMBOLS - len(excluded))
+    return total
+
+
+@pytest.mark.parametrize("order", [2, 5])
+def test_ppm_scores_equal_the_plain_way(spark, corpus, order, monkeypatch):
+    monkeypatch.setattr(ppm, "CHUNK_BYTES", (2000, 2000))
+    monkeypatch.setattr(ppm, "BUCKET_BYTES", (1500, 1500))
+    rows = [*corpus[:25], *ODD[:-1], (99, "unseen: ~~ \x01\x02 zzzz")]
+    training = [(t or "").encode() for i, t in rows if i is not None and i % 3]
+    got = ppm.score(frame(spark, rows, extra=True), F.expr("doc_id % 3 != 0"), order=order).collect()
+    want = sorted((i if i is not None else -1, round(_plain_ppm(training, (t or "").encode(), order), 2)) for i, t in rows)
+    mine = sorted((r.doc_id if r.doc_id is not None else -1, round(r.score, 2)) for r in got)
+    assert [x[0] for x in mine] == [x[0] for x in want]
+    assert np.allclose([x[1] for x in mine], [x[1] for x in want], atol=0.02)
+
+
+def test_ppm_probabilities_sum_to_one():
+    rng = np.random.default_rng(1)
+    buf = rng.integers(97, 103, 3000).astype(np.uint8)
+    keys, _ = ppm.grams(buf, np.array([0, 1000, 3000]), 3)
+    keys, n = np.unique(keys, return_counts=True)
+    branch = ppm.Branch(keys, n, *ppm.merged([(keys & np.uint64((1 << 18) - 1), n)]), 3)
+    for context in (keys >> np.uint64(9))[::40]:
+        every = (context << np.uint64(9)) | np.arange(ppm.SYMBOLS, dtype=np.uint64)
+        assert abs((10 ** branch.log10(every)).sum() - 1) < 1e-9
 
 
 def test_ppm_adaptive_learns(spark):
     docs = frame(spark, [(1, "abcabcabc" * 20), (2, "q8#kz0!vw" * 1)])
-    got = {r.doc_id: r.score for r in ppm.score(docs, docs, mode="adaptive").collect()}
+    got = {r.doc_id: r.score for r in ppm.score(docs, F.lit(True), mode="adaptive").collect()}
     assert got[1] / 180 > got[2] / 9
 
 
 def test_ppm_empty_training(spark):
     docs = frame(spark, [(1, "some text")])
-    got = ppm.score(docs, docs.where("false")).collect()
+    got = ppm.score(docs, F.lit(False)).collect()
     assert got[0].train_tokens == 0 and got[0].n_known == 0 and got[0].base_score == 0 and np.isfinite(got[0].score)
-    assert ppm.score(docs.where("false"), docs).count() == 0
+    assert ppm.score(docs.where("false"), F.lit(True)).count() == 0
 
 
 # -- 3 --
