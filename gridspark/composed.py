@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gridspark import oracle as sql
 from gridspark.functions.pixel import CHANNELS
-from gridspark.operators import reduce, selection
+from gridspark.operators import reduce, regions, selection
 from gridspark.plans import versions
 from gridspark.plans.layers import Layer, LayerStack, adjust_chain
 from gridspark.plans.registry import apply
@@ -265,3 +265,47 @@ ORACLE_SQL = {
     "versions_latest": sql.final("px", *(f"CASE WHEN y // 8 = 3 THEN 1 - {c} ELSE {c} END" for c in "rgba")), "versions_undo": sql.each("@"),
     "stroke_dabs": f"WITH {_ORDERED}, {_SEG} SELECT stroke, n, round(px + (x - px) * t, 4) + 0.0 AS x, round(py + (y - py) * t, 4) + 0.0 AS y, round(pp + (pressure - pp) * t, 4) + 0.0 AS pressure FROM dab", "stroke_stamp": _STAMP,
 }
+
+
+# -- regions -----------------------------------------------------------------------------------------
+
+
+def _channels(df: DataFrame) -> DataFrame:
+    return _rounded(df.select("x", "y", *CHANNELS), *CHANNELS)
+
+
+def tile_enumeration(spark, sf_dir):
+    """Tiles of a region for each order line: the line number and quantity stand for its place and size."""
+    item = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    part = item.select(F.col("l_partkey").alias("x0"), F.col("l_suppkey").alias("y0"), F.col("l_quantity").cast("bigint").alias("width"), F.col("l_linenumber").cast("bigint").alias("height"))
+    return regions.tiles_of(part, 16).groupBy("tx", "ty").agg(F.count("*").alias("n"))
+
+
+def _oriented(orientation):
+    return lambda spark, sf_dir: _channels(regions.orient(px_embed(spark, sf_dir).where("y < 500"), orientation, 16, 500))
+
+
+QUERIES |= {
+    "crop": lambda spark, sf_dir: _channels(regions.crop(px_embed(spark, sf_dir), 3, 20, 9, 200)),
+    **{f"orient_{k}": _oriented(k) for k in range(1, 9)},
+    "tile_enumeration": tile_enumeration,
+    "selection_from_channel": lambda spark, sf_dir: selection.from_channel(px_embed(spark, sf_dir), "b"),
+    "clone_stamp": lambda spark, sf_dir: _channels(regions.clone(px_embed(spark, sf_dir), _covers(spark, sf_dir)[0], 2, -3)),
+    "fill_gradient": lambda spark, sf_dir: _channels(regions.fill_linear(px_embed(spark, sf_dir), _covers(spark, sf_dir)[0], (0.1, 0.2, 0.3), (0.9, 0.4, 0.6))),
+    "outline_edges": lambda spark, sf_dir: regions.outline(_covers(spark, sf_dir)[0]),
+}
+
+_OUT = ", ".join(f"round({{{c}}}, 6) + 0.0 AS {c}" for c in "rgba")
+_PLACES = {1: ("x", "y"), 2: ("15 - x", "y"), 3: ("15 - x", "499 - y"), 4: ("x", "499 - y"), 5: ("y", "x"), 6: ("499 - y", "x"), 7: ("499 - y", "15 - x"), 8: ("y", "15 - x")}
+_SELF = _OUT.format(r="r", g="g", b="b", a="a")
+_RAMPS = {"r": (0.1, 0.9), "g": (0.2, 0.4), "b": (0.3, 0.6)}
+
+ORACLE_SQL |= {
+    "crop": f"WITH {sql.PX} SELECT CAST(x - 3 AS BIGINT) AS x, CAST(y - 20 AS BIGINT) AS y, {_SELF} FROM px WHERE x BETWEEN 3 AND 11 AND y BETWEEN 20 AND 219",
+    **{f"orient_{k}": f"WITH {sql.PX} SELECT CAST({i} AS BIGINT) AS x, CAST({j} AS BIGINT) AS y, {_SELF} FROM px WHERE y < 500" for k, (i, j) in _PLACES.items()},
+    "tile_enumeration": "WITH t AS (SELECT unnest(range(l_suppkey // 16, (l_suppkey + l_linenumber - 1) // 16 + 1)) AS ty, l_partkey // 16 AS a, (l_partkey + CAST(l_quantity AS BIGINT) - 1) // 16 AS b FROM lineitem WHERE l_quantity >= 1) SELECT tx, ty, count(*) AS n FROM (SELECT ty, unnest(range(a, b + 1)) AS tx FROM t) GROUP BY tx, ty",
+    "selection_from_channel": f"WITH {sql.PX} SELECT {_XY}, {_BYTE.format('b')} AS cov FROM px",
+    "clone_stamp": f"{_COV} SELECT CAST(p.x AS BIGINT) AS x, CAST(p.y AS BIGINT) AS y, {_OUT.format(**{c: f'p.{c} + (coalesce(s.{c}, 0) - p.{c}) * (coalesce(a.cov, 0) / 255)' for c in 'rgba'})} FROM px p LEFT JOIN a ON a.x = p.x AND a.y = p.y LEFT JOIN px s ON s.x = p.x + 2 AND s.y = p.y - 3",
+    "fill_gradient": f"{_COV}, k AS (SELECT min(x) AS lo, max(x) AS hi FROM a WHERE cov > 0), f AS (SELECT px.*, coalesce(a.cov, 0) / 255 AS m, {sql.clamp('(px.x + 0.5 - lo) / (hi - lo + 1)')} AS t FROM px LEFT JOIN a ON a.x = px.x AND a.y = px.y, k) SELECT {_XY}, {_OUT.format(a='a + (1 - a) * m', **{c: f'{c} + ({p}::DOUBLE + ({q}::DOUBLE - {p}::DOUBLE) * t - {c}) * m' for c, (p, q) in _RAMPS.items()})} FROM f",
+    "outline_edges": f"{_COV}, s AS (SELECT CAST(x AS BIGINT) AS x, CAST(y AS BIGINT) AS y FROM a WHERE cov >= 128), d AS (SELECT * FROM (VALUES (0, -1, 0, 0, 1, 0), (1, 0, 1, 0, 1, 1), (0, 1, 1, 1, 0, 1), (-1, 0, 0, 1, 0, 0)) t(dx, dy, ax, ay, bx, b_y)) SELECT x + ax AS x0, y + ay AS y0, x + bx AS x1, y + b_y AS y1 FROM s, d WHERE NOT EXISTS (SELECT 1 FROM s n WHERE n.x = s.x + dx AND n.y = s.y + dy)",
+}
