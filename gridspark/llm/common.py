@@ -15,8 +15,10 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that one vectorised step works on; a longer text is a step of its own.
 SLICE_BYTES = 1 << 20
-#: Rows in an Arrow batch.
+#: Rows in an Arrow batch, at most.
 BATCH_ROWS = 1000
+#: And bytes: a few very long texts are batches of their own.
+BATCH_BYTES = 4 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -40,6 +42,7 @@ def small_batches(spark: SparkSession) -> None:
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(name)) > BATCH_ROWS:
         spark.conf.set(name, str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 class Scratch:
