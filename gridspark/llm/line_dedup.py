@@ -1,6 +1,14 @@
-"""Line dedup by content-defined chunks of lines.
+"""Line dedup by repeated runs of lines, and by content-defined chunks of lines.
 
-A rolling hash over the hashes of the last ``WINDOW`` lines ends a chunk where it is 0 modulo
+``dedup_passages`` finds a repeated passage wherever it stands: every run of two or more neighbouring
+lines that just reaches ``LEAST_BYTES`` is a unit, from each line onwards and from each line backwards,
+and so is a line of ``LONG_LINE`` bytes. Of a unit that occurs more than once anywhere, the first
+occurrence by doc_id and place stays and all lines of the others go. A chunk is then a run of lines
+with one fate: its boundaries come from the counts of all documents, and fall in step with the passage's
+first and last line whatever stands around it. Every removed line stays somewhere before; of three or more
+equal lines in a row one stays. Repeated runs that have fewer than ``LEAST_BYTES`` bytes in all stay.
+
+``dedup_lines`` cuts each document by itself, and misses most short passages. A rolling hash over the hashes of the last ``WINDOW`` lines ends a chunk where it is 0 modulo
 ``MEAN``, so the boundaries inside a repeated passage are the same wherever it stands; chunks
 have 2 to ``LONGEST`` lines (the rest of a document may be a single line). A line of ``LONG_LINE``
 bytes or more is a paragraph of its own and a chunk by itself. A chunk of two or more lines, or of a
@@ -23,7 +31,7 @@ from pyspark.sql import functions as F
 from gridspark.llm.common import ByteHash, Scratch, mix64, release, slices, text_of
 
 WINDOW, MEAN, LONGEST, LONG_LINE = 2, 2, 16, 240
-#: Chunks with fewer bytes than this are left alone: short headings repeat by chance.
+#: Chunks and runs with fewer bytes than this are left alone: short headings repeat by chance.
 LEAST_BYTES = 40
 _HASH = ByteHash(seed=53)
 
@@ -63,29 +71,57 @@ def chunk_ranges(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return starts[firsts], stops[ends], rows[firsts], ends - firsts + 1
 
 
+def chunk_units(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """First and end byte (without the last line feed) and row of the chunks, and which may be removed."""
+    first, end, row, lines = chunk_ranges(buf, offsets)
+    feed = buf[end - 1] == 10
+    return first, end - feed, row, ((lines >= 2) & (end - feed - first >= LEAST_BYTES)) | (end - first >= LONG_LINE)
+
+
+def run_ranges(starts: np.ndarray, ends: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last line of the units: the shortest runs of two or more lines and ``LEAST_BYTES`` bytes from each line
+    onwards and backwards, and long lines. ``ends`` are without line feeds."""
+    n = len(starts)
+    line = np.arange(n)
+    on = np.maximum(np.searchsorted(ends, starts + LEAST_BYTES), line + 1)
+    back = np.minimum(np.searchsorted(starts, ends - LEAST_BYTES, side="right") - 1, line - 1)
+    long = line[ends - starts + 1 >= LONG_LINE]
+    i, j = np.r_[line, back, long], np.r_[on, line, long]
+    whole = np.flatnonzero((i >= 0) & (j < n))
+    whole = whole[rows[i[whole]] == rows[j[whole]]]
+    key = np.unique(i[whole] * n + j[whole])
+    return key // max(n, 1), key % max(n, 1)
+
+
+def run_units(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The same as ``chunk_units`` for the runs of ``run_ranges``, which overlap."""
+    starts, stops, rows = line_ranges(buf, offsets)
+    ends = stops - (buf[stops - 1] == 10)
+    i, j = run_ranges(starts, ends, rows)
+    return starts[i], ends[j], rows[i], np.ones(len(i), bool)
+
+
 def keyed(docs: DataFrame) -> DataFrame:
     """text, _id, _th (which tell documents apart and order them) and ``rest``, all other columns whatever their names."""
     rest = F.struct(*(f"`{f.name}`" for f in docs.schema if f.name != "text"))
     return docs.select(text_of(docs).alias("text"), F.coalesce(docs["doc_id"].cast("long"), F.lit(-(2**63)).cast("long")).alias("_id"), F.xxhash64(text_of(docs)).alias("_th"), rest.alias("rest"))
 
 
-def chunks(texts: DataFrame, only: bool = False) -> DataFrame:
-    """_id, _th, n, hash of each chunk of ``texts`` (text, _id, _th) that may be removed if it repeats.
+def chunks(texts: DataFrame, units=chunk_units, only: bool = False) -> DataFrame:
+    """_id, _th, n, hash of each chunk or run of ``texts`` (text, _id, _th) that may be removed if it repeats.
     ``only``: just those numbered in the fourth column, with their bytes."""
 
     def run(batches):
         for rows, buf, offsets in slices(batches):
-            first, end, row, lines = chunk_ranges(buf, offsets)
+            first, end, row, able = units(buf, offsets)
             number = np.arange(len(row)) - np.searchsorted(row, row)
-            feed = buf[end - 1] == 10
-            able = ((lines >= 2) & (end - feed - first >= LEAST_BYTES)) | (end - first >= LONG_LINE)
             if only:
                 edges, wanted = np.searchsorted(row, np.arange(len(offsets))), np.zeros(len(row), bool)
                 for i, mine in enumerate(rows.column(3).to_pylist()):
                     wanted[edges[i] + np.array(mine, np.int64)] = True
                 able &= wanted
             keep = np.flatnonzero(able)
-            first, end, row = first[keep], (end - feed)[keep], pa.array(row[keep])
+            first, end, row = first[keep], end[keep], pa.array(row[keep])
             out = [rows.column(1).take(row), rows.column(2).take(row), pa.array(number[keep].astype(np.int32)), pa.array(_HASH.ranges(_HASH.prefix(buf), first, end).view(np.int64))]
             if only:
                 raw = buf.tobytes()
@@ -95,13 +131,13 @@ def chunks(texts: DataFrame, only: bool = False) -> DataFrame:
     return texts.mapInArrow(run, "_id bigint, _th bigint, n int, hash bigint" + ", body binary" * only)
 
 
-def repeated(texts: DataFrame, scratch: Scratch) -> DataFrame:
-    """_id, _th, gone: the chunks to remove from each document that has some."""
-    found = chunks(texts)
+def repeated(texts: DataFrame, scratch: Scratch, units=chunk_units) -> DataFrame:
+    """_id, _th, gone: the chunks (or runs) to remove from each document that has some."""
+    found = chunks(texts, units)
     counts = found.groupBy("hash").agg(F.count("*").alias("copies")).where("copies > 1").select("hash")
     wanted = scratch.table(found.join(counts, "hash").groupBy("_id", "_th").agg(F.collect_set("n").alias("wanted")), "wanted")
     # the bytes of those alone; merge joins at any size, as the texts would not fit a broadcast at most sizes
-    candidates = scratch.table(chunks(texts.join(wanted.hint("merge"), ["_id", "_th"]).select("text", "_id", "_th", "wanted"), only=True), "candidates")
+    candidates = scratch.table(chunks(texts.join(wanted.hint("merge"), ["_id", "_th"]).select("text", "_id", "_th", "wanted"), units, only=True), "candidates")
     release(texts.sparkSession)
     # grouping by the bytes is the comparison; each task sends one row for a chunk, however often it has it
     place = F.struct("_id", "_th", "n")
@@ -139,7 +175,44 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     return out.select(*own, "n_chunks", "n_removed")
 
 
+def dedup_passages(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` with repeated runs of lines cut out of ``text``; adds (or replaces) ``n_chunks`` and ``n_removed`` (runs of lines with one fate)."""
+    scratch = Scratch(docs.sparkSession, "passage-dedup")
+    rows = keyed(docs)
+    gone = scratch.table(repeated(rows.select("text", "_id", "_th"), scratch, run_units), "gone")
+    scratch.drop("candidates")
+    joined = rows.join(gone.hint("merge"), ["_id", "_th"], "left").select("text", "gone", "rest")
+
+    def run(batches):
+        for rows, buf, offsets in slices(batches):
+            starts, stops, of = line_ranges(buf, offsets)
+            first, last = run_ranges(starts, stops - (buf[stops - 1] == 10), of)
+            edges, cover = np.searchsorted(of[first], np.arange(len(offsets) - 1)), np.zeros(len(starts) + 1, np.int64)
+            for i, mine in enumerate(rows.column(1).to_pylist()):
+                if mine:
+                    at = edges[i] + np.array(mine, np.int64)
+                    np.add.at(cover, first[at], 1)
+                    np.add.at(cover, last[at] + 1, -1)
+            out = np.cumsum(cover)[:-1] > 0
+            heads = np.flatnonzero(np.r_[True, (of[1:] != of[:-1]) | (out[1:] != out[:-1])][: len(of)])
+            begin, end = starts[heads], stops[np.r_[heads[1:], len(of)][: len(heads)] - 1]
+            row, out = of[heads], out[heads]
+            n_all, n_gone = (np.bincount(x, minlength=len(offsets) - 1).astype(np.int32) for x in (row, row[out]))
+            at, raw, texts = np.searchsorted(row, np.arange(len(offsets))), buf.tobytes(), []
+            for i, some in enumerate(n_gone.tolist()):
+                text = raw[offsets[i] : offsets[i + 1]]
+                if some:
+                    kept = b"".join(raw[begin[k] : end[k]] for k in range(at[i], at[i + 1]) if not out[k])
+                    text = kept if text.endswith(b"\n") else kept.removesuffix(b"\n")
+                texts.append(text)
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.binary()).cast(pa.string()), rows.column(2), pa.array(n_all), pa.array(n_gone)], ["text", "rest", "n_chunks", "n_removed"])
+
+    out = joined.mapInArrow(run, f"text string, rest {joined.schema['rest'].dataType.simpleString()}, n_chunks int, n_removed int")
+    own = [F.col("text") if f.name == "text" else F.col(f"rest.`{f.name}`") for f in docs.schema if f.name not in ("n_chunks", "n_removed")]
+    return out.select(*own, "n_chunks", "n_removed")
+
+
 def op7_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents: how many chunks they had and lost, and a digest of what is left."""
-    out = dedup_lines(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    out = dedup_passages(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     return out.select("doc_id", "n_chunks", "n_removed", F.octet_length("text").cast("long").alias("kept_bytes"), F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))

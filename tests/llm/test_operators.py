@@ -405,6 +405,52 @@ def test_line_dedup(spark):
     assert line_dedup.dedup_lines(frame(spark, [])).count() == 0
 
 
+def plain_passage_dedup(rows):
+    """By lists of lines, without the operator's code: later occurrences of repeated runs of 2 lines and 40 bytes or more go."""
+    docs = sorted({(-(2**63) if i is None else i, t or "") for i, t in rows})
+    lines, places = [], {}
+    for d, (_, t) in enumerate(docs):
+        mine = t.encode().split(b"\n")
+        lines.append(mine if mine[-1] else mine[:-1])
+        mine = lines[-1]
+        for a in range(len(mine)):
+            for b in range(a, min(len(mine), a + 40)):
+                body = b"\n".join(mine[a : b + 1])
+                if (b > a and len(body) >= 40) or len(body) >= 239:
+                    places.setdefault(body, []).append((d, a, b))
+    gone = {(d, k) for where in places.values() for d, a, b in where[1:] for k in range(a, b + 1)}
+    out = {}
+    for d, (i, t) in enumerate(docs):
+        kept = b"".join(x + b"\n" for k, x in enumerate(lines[d]) if (d, k) not in gone)
+        out[i, t] = (kept if t.endswith("\n") else kept.removesuffix(b"\n")).decode()
+    return out
+
+
+def test_short_passages_go(spark):
+    rng = random.Random(14)
+    rows, planted = [], []
+    for k, (n, words) in enumerate([(2, 28), (3, 20), (4, 15), (6, 12), (8, 7), (2, 26), (5, 4)] * 3):
+        passage = [prose(rng, words) for _ in range(n)]
+        assert max(map(len, passage)) < line_dedup.LONG_LINE
+        planted.append(passage)
+        for d in range(5):
+            text = [prose(rng, rng.randint(4, 12)) for _ in range(rng.randint(1, 6))]
+            at = rng.randint(0, len(text))
+            text[at:at] = passage
+            rows.append((10 * k + d, "\n".join(text) + "\n" * (d % 2)))
+    rows += [(900 + i, f"{prose(rng, 9)}\na common line\n{prose(rng, 9)}") for i in range(4)] + [(950, rows[3][1]), (950, rows[3][1]), (951, "\n\n\n"), *ODD[:9]]
+    got = line_dedup.dedup_passages(frame(spark, rows, extra=True).withColumn("text_", F.col("text")))
+    assert {"lang", "node", "n_chunks", "n_removed"} <= set(got.columns)
+    found, want = got.collect(), plain_passage_dedup(rows)
+    assert len(found) == len(rows)
+    for r in found:
+        assert r.text == want[-(2**63) if r.doc_id is None else r.doc_id, r.text_ or ""]
+    left = "\n".join(r.text for r in found).split("\n")
+    assert all(left.count(x) == 1 for passage in planted for x in passage)
+    assert left.count("a common line") == 4
+    assert line_dedup.dedup_passages(frame(spark, [])).count() == 0
+
+
 # -- 9 --
 
 
