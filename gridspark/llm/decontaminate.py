@@ -4,8 +4,8 @@ Documents are read in passages of ``2 * STRIDE`` words, one every ``STRIDE`` wor
 without punctuation at their ends) are hashed into ``FEATURES`` columns and weighted by TF-IDF, whose
 passage counts cover all documents; what is in more than one in ``COMMON`` passages weighs nothing. A
 randomised SVD (power iterations whose partial products Spark sums up) gives ``RANK`` latent
-directions; it is fitted on the benchmark and the passages of a bounded sample of documents, and
-every passage of every document is projected. Passages whose cosine with an item reaches ``COSINE``
+directions; it is fitted on all passages of all documents and on the benchmark, which weighs a fixed
+share of them at any size, and every passage of every document is projected. Passages whose cosine with an item reaches ``COSINE``
 are candidates; they are kept if the longest common subsequence of their telling words with
 the item's covers ``COVERED`` of these, and if one of the item's ``ANSWER`` rarest words is there.
 
@@ -24,9 +24,11 @@ from gridspark.llm.common import ByteHash, slices, text_of, words
 
 STRIDE, FEATURES, RANK, COMMON = 32, 1 << 15, 64, 20
 COSINE, COVERED, ANSWER = 0.4, 0.55, 5
-#: The directions are fitted on so many documents at most, drawn by a hash of the id; all documents are searched.
-#: The benchmark counts as often as this in it, and the directions of most variance, which tell languages apart, are left out.
-FIT_DOCUMENTS, POWER, OVERSAMPLED, ITEM_WEIGHT, LEFT_OUT = 3000, 3, 8, 10, 16
+#: In the fit the runs of the benchmark weigh as much, in all, as this share of the documents' runs;
+#: the directions of most variance, which tell languages apart, are left out.
+POWER, OVERSAMPLED, ITEM_SHARE, LEFT_OUT = 3, 8, 0.6, 16
+#: Bytes of text that a task multiplies at once.
+FIT_BYTES = 1 << 18
 #: Items that are searched for in one pass.
 ITEMS_AT_ONCE = 4096
 _HASH = ByteHash(seed=83, lower=True)
@@ -55,17 +57,6 @@ def blocks(rows: np.ndarray, n_rows: int) -> tuple[np.ndarray, np.ndarray, np.nd
     return edges[row] + STRIDE * (np.arange(len(row)) - first_block[row]), row, np.r_[first_block, len(row)]
 
 
-def passage_sums(values: np.ndarray, begin: np.ndarray, row: np.ndarray) -> np.ndarray:
-    """Sums over passages, each a run and the next of its row, from one line of values for each word."""
-    if not len(begin):
-        return np.zeros((0, values.shape[1]), values.dtype)
-    sums = np.add.reduceat(values, begin, axis=0)
-    out = sums.copy()
-    more = np.flatnonzero(row[1:] == row[:-1])
-    out[more] += sums[more + 1]
-    return out
-
-
 def passage_counts(texts: DataFrame) -> tuple[np.ndarray, int]:
     """In how many runs of words each feature is, over all documents, and the number of runs."""
 
@@ -103,15 +94,23 @@ def weights(counts: np.ndarray, n: int) -> np.ndarray:
     return np.maximum(0, np.log((n + COMMON) / (counts + 1)) - np.log(COMMON)).astype(np.float32)
 
 
-def _product(hashes: np.ndarray, rows: np.ndarray, n_rows: int, weight: np.ndarray, basis: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """A @ basis for the passages A of some texts; features and runs of their words."""
-    feature = (hashes % np.uint64(FEATURES)).astype(np.int64)
+def _product(hashes: np.ndarray, rows: np.ndarray, n_rows: int, weight: np.ndarray, basis: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """A @ basis for the passages A of some texts; row of each; features and runs of their words that weigh something."""
     begin, row, _ = blocks(rows, n_rows)
-    return passage_sums(basis[feature] * weight[feature, None], begin, row), feature, begin
+    feature = (hashes % np.uint64(FEATURES)).astype(np.int64)
+    telling = np.flatnonzero(weight[feature] > 0)
+    feature, which = feature[telling], np.searchsorted(begin, telling, side="right") - 1
+    out = np.zeros((len(begin), basis.shape[1]), np.float32)
+    if len(telling):
+        head = np.flatnonzero(np.r_[True, which[1:] != which[:-1]])
+        out[which[head]] = np.add.reduceat(basis[feature] * weight[feature, None], head, axis=0)
+    more = np.flatnonzero(row[1:] == row[:-1])
+    out[more] += out[more + 1]
+    return out, row, feature, which
 
 
 def latent_basis(texts: DataFrame, weight: np.ndarray, rank: int = RANK, seed: int = 5) -> np.ndarray:
-    """The right singular vectors (FEATURES x rank) of the TF-IDF passages of ``texts`` after the first LEFT_OUT."""
+    """The right singular vectors (FEATURES x rank) of the TF-IDF passages of ``texts`` (text, share: what a passage counts) after the first LEFT_OUT."""
     spark = texts.sparkSession
     q = np.linalg.qr(np.random.default_rng(seed).standard_normal((FEATURES, rank + LEFT_OUT + OVERSAMPLED)))[0].astype(np.float32)
 
@@ -121,18 +120,21 @@ def latent_basis(texts: DataFrame, weight: np.ndarray, rank: int = RANK, seed: i
         def run(batches):
             basis, w = shared.value
             total = np.zeros((basis.shape[1] if gram else FEATURES, basis.shape[1]), np.float64 if gram else np.float32)
-            for _, buf, offsets in slices(batches, most=1 << 20):
+            for batch, buf, offsets in slices(batches, most=FIT_BYTES):
                 hashes, rows = word_hashes(buf, offsets)
                 if not len(hashes):
                     continue
-                y, feature, begin = _product(hashes, rows, len(offsets) - 1, w, basis)
+                y, row, feature, which = _product(hashes, rows, len(offsets) - 1, w, basis)
                 norm = np.maximum(np.linalg.norm(y, axis=1, keepdims=True), 1e-6)
                 y = y / np.sqrt(norm)  # long common passages should not rule
+                share = batch.column(1).to_numpy().astype(np.float32)[row, None]
                 if gram:
-                    total += y.T @ y
+                    total += (y * share).T @ y
+                    continue
+                if not len(feature):
                     continue
-                which = np.repeat(np.arange(len(begin)), np.diff(np.r_[begin, len(hashes)]))
-                order = np.argsort(feature, kind="stable")
+                y *= share
+                order = np.argsort(feature.astype(np.uint16), kind="stable")
                 head = np.flatnonzero(np.r_[True, np.diff(feature[order]) > 0])
                 at = feature[order][head]
                 total[at] += np.add.reduceat(y[which[order]], head, axis=0) * w[at, None]
@@ -218,16 +220,17 @@ class Items:
         return common_subsequence(self.telling[k], telling) / len(self.telling[k])
 
 
-def find(docs: DataFrame, benchmark: DataFrame, fit_documents: int = FIT_DOCUMENTS) -> DataFrame:
+def find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, cosine, covered: the documents that hold a passage of an item, the best one for each item."""
     spark = docs.sparkSession
     texts = docs.select(text_of(docs).alias("text"), docs["doc_id"].cast("long").alias("doc_id"))
     items = benchmark.select(benchmark["item_id"].cast("long").alias("item_id"), text_of(benchmark).alias("text"))
-    n_docs, n_items = docs.count(), items.count()
-    weight = weights(*passage_counts(texts))
-    every = max(1, n_docs // fit_documents)
-    sample = texts.where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0).select("text").unionByName(items.select("text", F.explode(F.array_repeat(F.lit(1), ITEM_WEIGHT))).select("text"))
-    basis = latent_basis(sample.repartition(max(2, min(spark.sparkContext.defaultParallelism, 8))), weight)
+    n_items = items.count()
+    counts, n = passage_counts(texts)
+    weight, share = weights(counts, n), ITEM_SHARE * n / max(1, passage_counts(items)[1])
+    whole = texts.select("text", F.lit(1.0).alias("share")).unionByName(items.select("text", F.lit(float(share)).alias("share")))
+    # each task sums up as many documents as come to it, and sends one matrix
+    basis = latent_basis(whole.coalesce(max(2, spark.sparkContext.defaultParallelism)), weight)
     shared = spark.sparkContext.broadcast((weight, basis))
     n_parts = -(-n_items // ITEMS_AT_ONCE) or 1
     out = None
@@ -244,14 +247,13 @@ def _search(texts: DataFrame, items: Items, shared) -> DataFrame:
 
     def run(batches):
         (weight, basis), items = shared.value, target.value
-        weighted = basis * weight[:, None]
         for rows, buf, offsets in slices(batches, most=1 << 20):
             hashes, row = word_hashes(buf, offsets)
             begin, of, first_block = blocks(row, len(offsets) - 1)
             feature = (hashes % np.uint64(FEATURES)).astype(np.int64)
             if not len(hashes) or not items.ids:
                 continue
-            p = passage_sums(weighted[feature], begin, of)
+            p = _product(hashes, row, len(offsets) - 1, weight, basis)[0]
             p /= np.maximum(np.linalg.norm(p, axis=1, keepdims=True), 1e-9)
             cosine = p @ items.direction.T
             # the checks that cost least come first: is one of the item's rarest words in the passage

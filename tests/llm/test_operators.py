@@ -166,6 +166,22 @@ def test_decontamination_finds_copies_and_paraphrases(spark):
     assert items_short
 
 
+def test_directions_are_fitted_on_all_documents(spark, monkeypatch):
+    seen, fitted = [], decontaminate.latent_basis
+
+    def counted(texts, *args):
+        seen.append(sorted((r.text, r.share) for r in texts.collect()))
+        return fitted(texts, *args)
+
+    monkeypatch.setattr(decontaminate, "latent_basis", counted)
+    docs = spark.range(6500).selectExpr("id AS doc_id", "concat('word', id % 50, ' other', id) AS text")
+    bench = spark.createDataFrame([(1, "some words of an item"), (2, "and of another")], "item_id bigint, text string")
+    decontaminate.find(docs, bench).count()
+    want = [(f"word{i % 50} other{i}", 1.0) for i in range(6500)]
+    want += [(r.text, decontaminate.ITEM_SHARE * 6500 / 2) for r in bench.collect()]
+    assert seen == [sorted(want)]
+
+
 def test_decontamination_of_nothing(spark):
     docs, bench = frame(spark, []), spark.createDataFrame([(1, "some words")], "item_id bigint, text string")
     assert decontaminate.find(docs, bench).count() == 0
