@@ -5,8 +5,10 @@ without punctuation at their ends) are hashed into ``FEATURES`` columns and weig
 passage counts cover all documents; what is in more than one in ``COMMON`` passages weighs nothing. A
 randomised SVD (power iterations whose partial products Spark sums up) gives ``RANK`` latent
 directions; it is fitted on all passages of all documents and on the benchmark, which weighs a fixed
-share of them at any size, and every passage of every document is projected. Passages whose cosine with an item reaches ``COSINE``
-are candidates; they are kept if the longest common subsequence of their telling words with
+share of them at any size, and every passage of every document is projected. Passages whose cosine with an item (if it is
+longer than a passage, with one of its own passages) reaches ``COSINE`` are candidates. So are, whatever
+their cosine, those that hold ``SEVERAL`` of the ``ANSWER`` rarest words of a run of ``STRIDE`` words of an
+item: every such run of a verbatim copy lies whole in some passage. Candidates are kept if the longest common subsequence of their telling words with
 the item's covers ``COVERED`` of these, and if one of the item's ``ANSWER`` rarest words is there.
 
 Null texts have no passages, items without words match nothing, repeated rows match alike, null
@@ -23,7 +25,7 @@ from pyspark.sql import functions as F
 from gridspark.llm.common import ByteHash, slices, text_of, words
 
 STRIDE, FEATURES, RANK, COMMON = 32, 1 << 15, 64, 20
-COSINE, COVERED, ANSWER = 0.4, 0.55, 5
+COSINE, COVERED, ANSWER, SEVERAL = 0.4, 0.55, 5, 3
 #: In the fit the runs of the benchmark weigh as much, in all, as this share of the documents' runs;
 #: the directions of most variance, which tell languages apart, are left out.
 POWER, OVERSAMPLED, ITEM_SHARE, LEFT_OUT = 3, 8, 0.6, 16
@@ -172,43 +174,78 @@ def common_subsequence(a: list[int], b: list[int]) -> int:
     return len(a) - bin(row).count("1")
 
 
+class Words:
+    """The rarest words of some runs of words, to find passages that hold several of one's."""
+
+    def __init__(self, runs: list[set[int]], needed: list[int]):
+        pairs = np.array([(x, k) for k, rare in enumerate(runs) for x in rare], np.uint64).reshape(-1, 2)
+        pairs = pairs[np.argsort(pairs[:, 0], kind="stable")]
+        self.word, self.run, self.n, self.needed = pairs[:, 0].copy(), pairs[:, 1].astype(np.int64), len(runs), np.array(needed, np.int64)
+
+    def held(self, hashes: np.ndarray, begin: np.ndarray, of: np.ndarray) -> np.ndarray:
+        """Sorted passage * n + run for the passages that hold as many different words of a run as it needs."""
+        none = np.zeros(0, np.int64)
+        if not len(self.word) or not len(hashes):
+            return none
+        lo = np.searchsorted(self.word, hashes)
+        hit = np.flatnonzero(self.word[np.minimum(lo, len(self.word) - 1)] == hashes)
+        lo, hi = lo[hit], np.searchsorted(self.word, hashes[hit], side="right")
+        # a word of a run of the text is in the passage that begins there, and in the one before
+        at = np.searchsorted(begin, hit, side="right") - 1
+        entry = np.repeat(lo - np.cumsum(hi - lo) + hi - lo, hi - lo) + np.arange(int((hi - lo).sum()))
+        at = np.repeat(at, hi - lo)
+        before = np.flatnonzero((at > 0) & (of[at - 1] == of[at]))
+        at, entry = np.r_[at, at[before] - 1], np.r_[entry, entry[before]]
+        seen = np.unique(at * len(self.word) + entry)
+        keys, many = np.unique(seen // len(self.word) * self.n + self.run[seen % len(self.word)], return_counts=True)
+        return keys[many >= self.needed[keys % self.n]]
+
+
 class Items:
-    """A block of benchmark items: their directions, telling words and rarest words."""
+    """A block of benchmark items: the directions of them or their passages, their telling words and rarest words."""
 
     def __init__(self, rows: list[tuple[int, str]], weight: np.ndarray, basis: np.ndarray):
         texts = [(t or "").encode() for _, t in rows]
         buf, offsets = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
         hashes, row = word_hashes(buf, offsets)
         feature = (hashes % np.uint64(FEATURES)).astype(np.int64)
-        sums = np.zeros((len(rows), basis.shape[1]), np.float32)
-        np.add.at(sums, row, basis[feature] * weight[feature, None])
-        self.direction = sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-9)
         edges = np.searchsorted(row, np.arange(len(rows) + 1))
         self.ids, self.telling, self.rarest, self.all = [i for i, _ in rows], [], [], []
-        for a, b in zip(edges[:-1], edges[1:], strict=True):
+        sums, self.direction_of, runs, needed, self.run_of = [], [], [], [], []
+        for k, (a, b) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)):
             w = weight[feature[a:b]]
             self.all.append(hashes[a:b].tolist())
             self.telling.append(hashes[a:b][w > 0].tolist())
             self.rarest.append(set(hashes[a:b][np.argsort(-w, kind="stable")[:ANSWER]].tolist()))
-        pairs = np.array([(x, k) for k, rare in enumerate(self.rarest) for x in rare], np.uint64).reshape(-1, 2)
-        pairs = pairs[np.argsort(pairs[:, 0], kind="stable")]
-        self.answer, self.answer_of = pairs[:, 0], pairs[:, 1].astype(np.int64)
-
-    def answered(self, hashes: np.ndarray, begin: np.ndarray, of: np.ndarray) -> np.ndarray:
-        """For passages and items: does one of the item's rarest words occur."""
-        out = np.zeros((len(begin), len(self.ids)), bool)
-        if not len(self.answer):
-            return out
-        lo = np.searchsorted(self.answer, hashes)
-        hit = np.flatnonzero(self.answer[np.minimum(lo, len(self.answer) - 1)] == hashes)
-        lo, hi = lo[hit], np.searchsorted(self.answer, hashes[hit], side="right")
-        at = np.searchsorted(begin, hit, side="right") - 1
-        for step in range(int((hi - lo).max()) if len(hit) else 0):
-            more = hi - lo > step
-            out[at[more], self.answer_of[lo[more] + step]] = True
-        follows = np.flatnonzero(of[1:] == of[:-1])
-        out[follows] |= out[follows + 1]
-        return out
+            # the whole item, and the passages of one that is longer than a passage
+            for lo, hi in [(a, b)] + [(x, min(x + 2 * STRIDE, b)) for x in range(a, b - STRIDE, STRIDE) if b - a > 2 * STRIDE]:
+                sums.append((basis[feature[lo:hi]] * weight[feature[lo:hi], None]).sum(axis=0))
+                self.direction_of.append(k)
+            # an item of few telling words, which any text may hold, is not looked for by words alone
+            for lo in range(a, b, STRIDE) if len(self.telling[k]) >= 4 else ():
+                lo = max(a, min(lo, b - STRIDE))
+                w, mine = weight[feature[lo : min(lo + STRIDE, b)]], hashes[lo : min(lo + STRIDE, b)]
+                telling = mine[np.argsort(-w, kind="stable")][: int((w > 0).sum())].tolist()
+                rare = set(list(dict.fromkeys(telling))[:ANSWER])
+                if len(rare) > 1:
+                    runs.append(rare)
+                    needed.append(min(SEVERAL, len(rare)))
+                    self.run_of.append(k)
+        sums = np.array(sums, np.float32).reshape(-1, basis.shape[1])
+        self.direction = sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-9)
+        self.direction_of, self.run_of = np.array(self.direction_of, np.int64), np.array(self.run_of, np.int64)
+        self.answer, self.several = Words(self.rarest, [1] * len(rows)), Words(runs, needed)
+
+    def near(self, cosine: np.ndarray, hashes: np.ndarray, begin: np.ndarray, of: np.ndarray) -> np.ndarray:
+        """Candidates as passage * number of items + item: by their cosine, if one of the item's rarest words is there, or by several words."""
+        n = len(self.ids)
+        at, which = np.nonzero(cosine >= COSINE)
+        close = at * n + self.direction_of[which]
+        close = close[np.isin(close, self.answer.held(hashes, begin, of))]
+        words = self.several.held(hashes, begin, of)
+        if len(words):
+            words = words // self.several.n * n + self.run_of[words % self.several.n]
+        return np.union1d(close, words)
 
     def covered(self, k: int, passage: list[int], telling: list[int]) -> float:
         """Share of the item's telling words, in order, in a passage; of all its words if it has few telling ones (and then nearly all must be there)."""
@@ -247,7 +284,7 @@ def _search(texts: DataFrame, items: Items, shared) -> DataFrame:
 
     def run(batches):
         (weight, basis), items = shared.value, target.value
-        for rows, buf, offsets in slices(batches, most=1 << 20):
+        for rows, buf, offsets in slices(batches, most=FIT_BYTES):
             hashes, row = word_hashes(buf, offsets)
             begin, of, first_block = blocks(row, len(offsets) - 1)
             feature = (hashes % np.uint64(FEATURES)).astype(np.int64)
@@ -256,10 +293,10 @@ def _search(texts: DataFrame, items: Items, shared) -> DataFrame:
             p = _product(hashes, row, len(offsets) - 1, weight, basis)[0]
             p /= np.maximum(np.linalg.norm(p, axis=1, keepdims=True), 1e-9)
             cosine = p @ items.direction.T
-            # the checks that cost least come first: is one of the item's rarest words in the passage
-            near = (cosine >= COSINE) & items.answered(hashes, begin, of)
-            edges, hits = np.searchsorted(row, np.arange(len(offsets))), {}
-            for at, k in zip(*(x.tolist() for x in np.nonzero(near)), strict=True):
+            edges, hits, n = np.searchsorted(row, np.arange(len(offsets))), {}, len(items.ids)
+            # the checks that cost least come first
+            for key in items.near(cosine, hashes, begin, of).tolist():
+                at, k = divmod(key, n)
                 i = int(of[at])
                 # a passage and as much around it as a long item needs
                 more = max(0, len(items.all[k]) - STRIDE)
@@ -267,7 +304,8 @@ def _search(texts: DataFrame, items: Items, shared) -> DataFrame:
                 passage = hashes[a:b].tolist()
                 covered = items.covered(k, passage, hashes[a:b][weight[feature[a:b]] > 0].tolist())
                 if covered >= COVERED:
-                    hits[i, k] = max(hits.get((i, k), (0.0, 0.0)), (covered, float(cosine[at, k])))
+                    best = float(cosine[at, items.direction_of == k].max())
+                    hits[i, k] = max(hits.get((i, k), (0.0, -1.0)), (covered, best))
             if hits:
                 at, k = zip(*hits, strict=True)
                 best = list(hits.values())

@@ -166,6 +166,26 @@ def test_decontamination_finds_copies_and_paraphrases(spark):
     assert items_short
 
 
+@pytest.mark.parametrize("cosine", [0.4, 2.0])
+def test_every_verbatim_leak_is_found(spark, cosine, monkeypatch):
+    """Short and long items, copied whole at any place; by words alone too, when no cosine is enough."""
+    monkeypatch.setattr(decontaminate, "COSINE", cosine)
+    rng = random.Random(15)
+    items = [(k, prose(rng, 16 + k % 5)) for k in range(40)] + [(40 + k, prose(rng, 150 + 120 * k)) for k in range(4)]
+    rows, want = [], set()
+    for d in range(220):
+        words = prose(rng, rng.randint(60, 300)).split()
+        k = d % 55
+        if k < len(items):
+            at = rng.randrange(len(words))
+            words[at:at] = items[k][1].split()
+            want.add((d, k))
+        rows.append((d, " ".join(words)))
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.find(frame(spark, rows), bench).collect()}
+    assert got == want
+
+
 def test_directions_are_fitted_on_all_documents(spark, monkeypatch):
     seen, fitted = [], decontaminate.latent_basis
 
