@@ -88,8 +88,9 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = K, m: int = SEGMENTS) -
     coded = usable.select(F.col("vec_id").cast("long").alias("vec_id"), code_of(F.col("embedding")).alias("code"), is_query.alias("asks"))
     coded = Scratch(vectors.sparkSession, "hamming").table(coded, "codes")
     n, n_queries = coded.count(), coded.where("asks").count()
-    # each task drops what is beyond the rank before the shuffle, so a code that most vectors share is no large group
-    rank = F.rank().over(Window.partitionBy("code").orderBy("vec_id"))
+    # each task drops what is beyond the rank before the shuffle, so a code that most vectors share is no large group;
+    # the dense one counts different ids, however often their rows are repeated
+    rank = F.dense_rank().over(Window.partitionBy("code").orderBy("vec_id"))
     few = coded.select("vec_id", "code").withColumn("place", rank).where(F.col("place") <= k + 1).select("vec_id", "code").distinct()
     # every block of queries meets every shard of the index; a shard answers exactly, by its own multi-index
     shards = -(-n // min(max(n // 64, SHARD[0]), SHARD[1])) or 1

@@ -45,6 +45,17 @@ def corpus():
 # -- 1 --
 
 
+@pytest.mark.parametrize("times", [2, 8])
+def test_top_k_of_repeated_rows(spark, times):
+    """Twenty ids share a code, and each of their rows occurs more than once."""
+    rng = np.random.default_rng(times)
+    shared = rng.standard_normal(64).tolist()
+    rows = [(i, shared) for i in range(20)] * times + [(i, rng.standard_normal(64).tolist()) for i in range(20, 60)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")
+    got = sorted((r.query_id, r.rank, r.neighbour_id) for r in hamming.top_k(df, F.col("vec_id").isin(0, 7, 19), k=5).where("distance = 0").collect())
+    assert got == sorted((q, k + 1, i) for q in (0, 7, 19) for k, i in enumerate([i for i in range(20) if i != q][:5]))
+
+
 @pytest.mark.parametrize("n", [0, 3, 400])
 def test_top_k_is_exact(spark, n):
     rng = np.random.default_rng(n)
