@@ -259,8 +259,13 @@ class Items:
 
 def find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, cosine, covered: the documents that hold a passage of an item, the best one for each item."""
+    return matches(docs, benchmark).groupBy("doc_id", "item_id").agg(F.max("cosine").alias("cosine"), F.max("covered").alias("covered"))
+
+
+def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """doc_id, text_hash, item_id, cosine, covered: the same for each row; the hash tells rows of one doc_id apart."""
     spark = docs.sparkSession
-    texts = docs.select(text_of(docs).alias("text"), docs["doc_id"].cast("long").alias("doc_id"))
+    texts = docs.select(text_of(docs).alias("text"), docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64(text_of(docs)).alias("text_hash"))
     items = benchmark.select(benchmark["item_id"].cast("long").alias("item_id"), text_of(benchmark).alias("text"))
     n_items = items.count()
     counts, n = passage_counts(texts)
@@ -275,12 +280,12 @@ def find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         rows = items.where(F.pmod(F.xxhash64("item_id"), F.lit(n_parts)) == part).orderBy("item_id", "text").collect()  # about ITEMS_AT_ONCE
         found = _search(texts, Items([tuple(r) for r in rows], weight, basis), shared)
         out = found if out is None else out.unionByName(found)
-    return out.groupBy("doc_id", "item_id").agg(F.max("cosine").alias("cosine"), F.max("covered").alias("covered"))
+    return out
 
 
 def _search(texts: DataFrame, items: Items, shared) -> DataFrame:
     target = texts.sparkSession.sparkContext.broadcast(items)
-    names = ["doc_id", "item_id", "cosine", "covered"]
+    names = ["doc_id", "text_hash", "item_id", "cosine", "covered"]
 
     def run(batches):
         (weight, basis), items = shared.value, target.value
@@ -309,10 +314,10 @@ def _search(texts: DataFrame, items: Items, shared) -> DataFrame:
             if hits:
                 at, k = zip(*hits, strict=True)
                 best = list(hits.values())
-                ids = rows.column(1).take(pa.array(at))
-                yield pa.RecordBatch.from_arrays([ids, pa.array([items.ids[x] for x in k], pa.int64()), pa.array([b[1] for b in best], pa.float64()), pa.array([b[0] for b in best], pa.float64())], names)
+                at = pa.array(at)
+                yield pa.RecordBatch.from_arrays([rows.column(1).take(at), rows.column(2).take(at), pa.array([items.ids[x] for x in k], pa.int64()), pa.array([b[1] for b in best], pa.float64()), pa.array([b[0] for b in best], pa.float64())], names)
 
-    return texts.mapInArrow(run, "doc_id bigint, item_id bigint, cosine double, covered double")
+    return texts.mapInArrow(run, "doc_id bigint, text_hash bigint, item_id bigint, cosine double, covered double")
 
 
 def op3_latent_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

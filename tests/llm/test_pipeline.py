@@ -77,3 +77,25 @@ def test_sql(spark, name):
     want = duckdb.sql(ORACLE_SQL[name])
     got = QUERIES[name](spark, SF).select(want.columns).collect()
     assert sorted(map(tuple, got)) == sorted(want.fetchall())
+
+
+def test_rows_without_or_with_shared_ids(spark, tmp_path):
+    """Null, repeated and shared doc_ids: each row's own text decides."""
+    text = {k: " ".join(f"{k}{i}" for i in range(60)) for k in "abcdef"}
+    item = " ".join(f"item{i}" for i in range(20))
+    spark.createDataFrame([(1, item)], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    leak = f"{text['a']} {item} {text['b']}"
+
+    def after(stage, rows):
+        docs = spark.createDataFrame([(i, t, "en") for i, t in rows], "doc_id bigint, text string, lang string")
+        return sorted(((r.doc_id, r.text, r.lang) for r in stage(spark, docs, str(tmp_path)).collect()), key=repr)
+
+    def want(rows):
+        return sorted(((i, t, "en") for i, t in rows), key=repr)
+
+    clean = [(7, text["c"]), (None, text["d"]), (8, text["e"]), (8, text["e"]), (9, None)]
+    clean += [(100 + d, " ".join(f"filler{d}x{i}" for i in range(60))) for d in range(200)]  # so that the item's words are rare
+    assert after(corpus_pipeline.drop_contaminated, [(None, leak), (7, leak), (3, leak), *clean]) == want([(i, t) for i, t in clean])
+    near = text["b"] + " more"
+    rows = [(1, text["b"]), (6, near), (6, text["c"]), (None, text["d"]), (None, text["d"]), (5, text["e"]), (5, text["e"]), (2, text["f"]), (None, text["f"])]
+    assert after(corpus_pipeline.drop_near_duplicates, rows) == want([(1, text["b"]), (6, text["c"]), (None, text["d"]), (5, text["e"]), (2, text["f"])])
