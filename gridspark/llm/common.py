@@ -174,6 +174,44 @@ class ByteHash:
         return mix64((prefix[ends] - prefix[starts]) * down[starts] + (ends - starts).astype(np.uint64))
 
 
+def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The positions start..start+length of each range, one after the other."""
+    before = np.cumsum(lengths) - lengths
+    return np.repeat(starts - before, lengths) + np.arange(int(lengths.sum()))
+
+
+class WordHash:
+    """Hashes of whole words: sums of a pseudo-random number for each byte at its place in the word.
+
+    Polynomial hashes mod 2**64 fall to words built like the Thue-Morse sequence whatever their base; here
+    a byte's number depends on its place by a full mixer, so no structure of a word cancels out."""
+
+    #: Places in a word whose numbers come from a table.
+    TABLE = 24
+
+    def __init__(self, seed: int = 1, lower: bool = False):
+        self.seed, self.lower = np.uint64(seed * 0x1000193 + 0x5851F42D), lower
+        self.table = self._number(np.repeat(np.arange(self.TABLE), 256), np.tile(np.arange(256), self.TABLE))
+
+    def _number(self, place: np.ndarray, byte: np.ndarray) -> np.ndarray:
+        byte = _LOWER[byte] if self.lower else byte
+        return mix64(mix64((place.astype(np.uint64) << np.uint64(8)) + byte.astype(np.uint64) + self.seed) + self.seed)
+
+    def of(self, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """The hash of each range of ``buf``; ranges are not empty."""
+        size = ends - starts
+        if not len(size):
+            return np.zeros(0, np.uint64)
+        head = np.cumsum(size) - size
+        place = np.arange(int(size.sum())) - np.repeat(head, size)
+        byte = buf[place + np.repeat(starts, size)]
+        number = self.table[(np.minimum(place, self.TABLE - 1) << 8) + byte]
+        far = np.flatnonzero(place >= self.TABLE)
+        if len(far):
+            number[far] = self._number(place[far], byte[far])
+        return mix64(np.add.reduceat(number, head) + size.astype(np.uint64))
+
+
 def words(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of the runs of bytes that are not ASCII white space, and the row of each."""
     n = len(buf)

@@ -6,10 +6,11 @@ symbol that a longer context has ruled out is excluded from the shorter ones.
 
 The trie holds every context of the training texts, so it grows with the corpus and is never in one
 place. Documents are dealt into chunks. A chunk sends each distinct context with its follower
-once, with its count in the training texts, to the bucket of the context's last two symbols; there all
+once, with its count in the training texts, to the bucket of the context's last ``DEALT`` symbols; there all
 longer contexts that end alike meet. A bucket builds its branch of the trie, works out the
-probability of each follower and sends it back to the chunks that asked; shorter contexts (at most 257 * 257
-followers, whatever the corpus) are the same for all buckets. A text's score is then a sum over its symbols.
+probability of each follower and sends it back (as a 32-bit logarithm) to the chunks that asked; shorter contexts
+are the same for all buckets: they have at most 257**3 followers whatever the corpus, a few hundred thousand
+in texts. A text's score is then a sum over its symbols.
 
 The mode "adaptive" starts each text with an empty trie and learns as it goes: plain Python
 for each byte, meant for short texts.
@@ -29,17 +30,19 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridspark.llm.common import ByteHash, Scratch, held_out, mix64, packed, release, slices, text_bytes, text_of, unpacked, words
+from gridspark.llm.common import Scratch, WordHash, held_out, mix64, packed, release, slices, text_bytes, text_of, unpacked, words
 
 ORDER = 5
 #: Tokens seen most often are looked up in the tasks, at most so many; the rest by a join.
 COMMON_TOKENS = 300_000
 EDGE = 256  # stands before and after each text
 SYMBOLS = 257
-#: Bytes of text in a chunk and behind a bucket, between these bounds and growing with the input.
-CHUNK_BYTES, BUCKET_BYTES = (12 << 20, 64 << 20), (8 << 20, 512 << 20)
+#: Bytes of text in a chunk and behind a bucket, whatever the input.
+CHUNK_BYTES, BUCKET_BYTES = 12 << 20, 8 << 20
+#: Contexts are dealt out by so many of their last symbols, so that the commonest end of a context is a small share of all.
+DEALT = 3
 _BITS = 9
-_HASH = ByteHash(seed=31, lower=True)
+_HASH = WordHash(seed=31, lower=True)
 
 
 def _last(keys: np.ndarray, symbols: int) -> np.ndarray:
@@ -76,7 +79,7 @@ def counted_tokens(texts: DataFrame, held: int = 1_500_000) -> DataFrame:
         for _, buf, offsets in slices(batches):
             starts, ends, _ = words(buf, offsets)
             if len(starts):
-                parts.append(np.unique(_HASH.ranges(_HASH.prefix(buf), starts, ends).view(np.int64), return_counts=True))
+                parts.append(np.unique(_HASH.of(buf, starts, ends).view(np.int64), return_counts=True))
                 size += len(parts[-1][0])
             if size > held:
                 parts = [merged(parts)]
@@ -103,15 +106,15 @@ def frequent(counts: DataFrame, most: int) -> int:
 
 
 class Branch:
-    """Contexts of all lengths with their followers: those of two symbols and more from ``keys``, the shorter ones from ``pairs``."""
+    """Contexts of all lengths with their followers: those of ``dealt`` symbols and more from ``keys``, the shorter ones from ``short``."""
 
-    def __init__(self, keys: np.ndarray, n: np.ndarray, pairs: np.ndarray, pairs_n: np.ndarray, order: int):
+    def __init__(self, keys: np.ndarray, n: np.ndarray, short: np.ndarray, short_n: np.ndarray, order: int, dealt: int = 2):
         self.order, self.levels = order, {}
-        for d in range(order, 1, -1):
+        for d in range(order, dealt - 1, -1):
             keys, n = merged([(_last(keys, d + 1), n)])
             self.levels[d] = [keys, n]
-        for d in (1, 0):
-            self.levels[d] = [*merged([(_last(pairs, d + 1), pairs_n)])]
+        for d in range(dealt - 1, -1, -1):
+            self.levels[d] = [*merged([(_last(short, d + 1), short_n)])]
         for d, level in self.levels.items():
             keys, n = level
             contexts = keys >> np.uint64(_BITS)
@@ -159,14 +162,15 @@ def _count_chunk(order: int, n_buckets: int):
             both, counts = np.unique((keys << np.uint64(1)) | learns, return_counts=True)
             parts.append((both >> np.uint64(1), np.where(both & np.uint64(1), counts, 0)))
         keys, n = merged(parts)
-        pairs, pairs_n = merged([(_last(keys[n > 0], 2), n[n > 0])])
-        bucket = (mix64(_last(keys >> np.uint64(_BITS), 2)) >> shift).astype(np.int64) if n_buckets > 1 else np.zeros(len(keys), np.int64)
+        dealt = min(DEALT, order)
+        short, short_n = merged([(_last(keys[n > 0], dealt), n[n > 0])])
+        bucket = (mix64(_last(keys >> np.uint64(_BITS), dealt)) >> shift).astype(np.int64) if n_buckets > 1 else np.zeros(len(keys), np.int64)
         by = np.argsort(bucket, kind="stable")
         keys, n, edges = keys[by], n[by], np.searchsorted(bucket[by], np.arange(n_buckets + 1))
         full = np.flatnonzero(np.diff(edges))
         out = [(int(b), packed(keys[edges[b] : edges[b + 1]]), n[edges[b] : edges[b + 1]]) for b in full]
-        if len(pairs):
-            out.append((-1, packed(pairs), pairs_n))
+        if len(short):
+            out.append((-1, packed(short), short_n))
         return pa.table(
             {
                 "bucket": pa.array([x[0] for x in out], pa.int32()),
@@ -179,7 +183,7 @@ def _count_chunk(order: int, n_buckets: int):
     return run
 
 
-def _pairs(batches):
+def _short(batches):
     for batch in batches:
         parts = [(unpacked(k), np.frombuffer(n, "<u4").astype(np.int64)) for k, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
         if parts:
@@ -193,7 +197,7 @@ def _answer(order: int, shared):
         counts = np.concatenate([np.frombuffer(b, "<u4") for b in table.column("counts").to_pylist()])
         keys, of = np.unique(np.concatenate(parts), return_inverse=True)
         n = np.bincount(of, counts, len(keys)).astype(np.int64)
-        logs = Branch(keys[n > 0], n[n > 0], *shared.value, order).log10(keys).astype("<f4")[of]
+        logs = Branch(keys[n > 0], n[n > 0], *shared.value, order, min(DEALT, order)).log10(keys).astype("<f4")[of]
         edges = np.cumsum([0, *map(len, parts)])
         return pa.table({"chunk": table.column("chunk"), "keys": table.column("keys"), "logs": pa.array([logs[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)], pa.binary())})
 
@@ -241,7 +245,7 @@ def _score_chunk(order: int, mode: str, shared):
         for rows, buf, offsets in slices(docs.to_batches()):
             size = len(offsets) - 1
             starts, ends, row = words(buf, offsets)
-            hashes = _HASH.ranges(_HASH.prefix(buf), starts, ends).view(np.int64)
+            hashes = _HASH.of(buf, starts, ends).view(np.int64)
             at = np.minimum(np.searchsorted(known, hashes), max(len(known) - 1, 0))
             hit = known[at] == hashes if len(known) else np.zeros(len(hashes), bool)
             base = np.bincount(row[hit], log_count[at[hit]], size) + np.log10(end_count + 1.0)
@@ -281,8 +285,8 @@ def score(docs: DataFrame, learns: Column, order: int = ORDER, mode: str = "pret
     spark = docs.sparkSession
     scratch = Scratch(spark, "ppm")
     total = text_bytes(docs)
-    n_chunks = -(-total // min(max(total // 256, CHUNK_BYTES[0]), CHUNK_BYTES[1])) or 1
-    n_buckets = 1 << ((-(-total // min(max(total // 64, BUCKET_BYTES[0]), BUCKET_BYTES[1])) or 1) - 1).bit_length()
+    n_chunks = -(-total // CHUNK_BYTES) or 1
+    n_buckets = 1 << ((-(-total // BUCKET_BYTES) or 1) - 1).bit_length()
     doc_id = docs["doc_id"].cast("long")
     chunk = F.pmod(F.xxhash64(doc_id, text_of(docs)), F.lit(n_chunks)).cast("int")
     dealt = docs.select(text_of(docs).alias("text"), doc_id.alias("doc_id"), F.coalesce(learns, F.lit(False)).alias("learns"), chunk.alias("chunk"))
@@ -299,9 +303,9 @@ def score(docs: DataFrame, learns: Column, order: int = ORDER, mode: str = "pret
     if mode == "pretrained":
         counts = scratch.table(dealt.groupBy("chunk").applyInArrow(_count_chunk(order, n_buckets), "bucket int, chunk int, keys binary, counts binary"), "grams")
         release(spark)
-        # at most 257 * 257 rows
-        pairs = counts.where("bucket < 0").select("keys", "counts").mapInArrow(_pairs, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n")).orderBy("key").toArrow()
-        shorter = spark.sparkContext.broadcast((pairs.column(0).to_numpy().astype(np.uint64), pairs.column(1).to_numpy().astype(np.int64)))
+        # at most 257 ** DEALT rows
+        short = counts.where("bucket < 0").select("keys", "counts").mapInArrow(_short, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n")).orderBy("key").toArrow()
+        shorter = spark.sparkContext.broadcast((short.column(0).to_numpy().astype(np.uint64), short.column(1).to_numpy().astype(np.int64)))
         replies = scratch.table(counts.where("bucket >= 0").groupBy("bucket").applyInArrow(_answer(order, shorter), "chunk int, keys binary, logs binary"), "replies", compression="none")
         scratch.drop("grams")
     unigrams = spark.sparkContext.broadcast((keys[by_key], logs[by_key], end_count))

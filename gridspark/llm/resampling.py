@@ -20,18 +20,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gridspark.llm.common import ByteHash, Scratch, mix64, slices, text_of, words
+from gridspark.llm.common import Scratch, WordHash, mix64, slices, text_of, words
 
 BUCKETS = 10_000
 #: The target model is fitted on so many labelled documents at most, drawn by a hash of the id.
 TARGET_DOCUMENTS = 20_000
-_HASH = ByteHash(seed=23, lower=True)
+_HASH = WordHash(seed=23, lower=True)
 
 
 def ngram_buckets(buf: np.ndarray, offsets: np.ndarray, buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray]:
     """The bucket of each unigram and bigram of the texts, and its row."""
     starts, ends, rows = words(buf, offsets)
-    one = _HASH.ranges(_HASH.prefix(buf), starts, ends)
+    one = _HASH.of(buf, starts, ends)
     same = rows[1:] == rows[:-1]
     two = mix64(one[:-1] * np.uint64(0x9E3779B97F4A7C15) + one[1:])[same]
     return (np.concatenate([one, two]) % np.uint64(buckets)).astype(np.int64), np.concatenate([rows, rows[1:][same]])

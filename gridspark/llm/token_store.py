@@ -27,7 +27,8 @@ from pyspark.sql import functions as F
 from gridspark.llm.common import Scratch, slices, text_of
 from gridspark.llm.tokens import default_vocabulary, documents_ids
 
-#: The dictionary is fitted on about so many documents, drawn by a hash of the id, and so many bytes of each.
+#: The dictionary is fitted on so many documents, those of the least hashes of their texts, and on so many bytes of each, from
+#: a place in its ids that the hash chooses.
 SAMPLE_DOCUMENTS, SAMPLE_BYTES = 1024, 16384
 DICTIONARY_BYTES = 65536
 LEVEL = 3
@@ -52,14 +53,18 @@ def train_dictionary(docs: DataFrame, vocabulary: str, end_id: int, width: int,
     """A zstandard dictionary from the serialized ids of a hash sample of documents; empty if there is too little to learn from."""
     import zstandard
 
-    every = max(1, docs.count() // sample)
-    picked = docs.select("doc_id", text_of(docs).alias("text")).where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0)
+    hashed = docs.select(text_of(docs).alias("text")).withColumn("hash", F.xxhash64("text"))
+    picked = hashed.where("text != ''").orderBy("hash", "text").limit(sample).select("hash", "text")
 
     def run(batches):
-        for _, _, blobs in _serialized(batches, vocabulary, end_id, width):
-            yield pa.RecordBatch.from_arrays([pa.array([b[:SAMPLE_BYTES] for b in blobs], pa.binary())], ["ids"])
-
-    rows = sorted(bytes(r.ids) for r in picked.mapInArrow(run, "ids binary").limit(4 * sample).collect())
+        for rows, buf, offsets in slices(batches):
+            out = []
+            for h, ids in zip(rows.column(0).to_pylist(), documents_ids(vocabulary, buf, offsets, end_id), strict=True):
+                first = h % max(1, len(ids) - SAMPLE_BYTES // width + 1)
+                out.append(ids[first : first + SAMPLE_BYTES // width].astype(f"<u{width}").tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["ids"])
+
+    rows = sorted(bytes(r.ids) for r in picked.mapInArrow(run, "ids binary").collect())  # ``sample`` short rows
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, [r for r in rows if len(r) > 16]).as_bytes()
     except (zstandard.ZstdError, ValueError):
@@ -106,8 +111,9 @@ def write_store(docs: DataFrame, path: str, vocabulary: str | None = None, end_i
 
     scratch = Scratch(spark, "token-store")
     frames = scratch.table(docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_of(docs).alias("text")).mapInArrow(compress, "doc_id bigint, n_tokens bigint, frame binary"), "frames", compression="none")
-    # an explicit number of parts, so that blocks of one part have one task
-    ordered = frames.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "frame")
+    # ranges of ids and, within one id, of frames: repeated and null ids may be many rows
+    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("frame"), F.col("frame")]
+    ordered = frames.repartitionByRange(*order[:2]).sortWithinPartitions(*order)
     ordered.mapInArrow(block, _BLOCKS).write.option("compression", "none").parquet(f"{path}/blocks")
     scratch.drop()
     totals = spark.read.schema(_BLOCKS).parquet(f"{path}/blocks").groupBy("part").agg(F.sum("n_tokens").alias("n_tokens"))

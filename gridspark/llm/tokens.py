@@ -3,7 +3,8 @@
 The word vocabulary (``word_bpe_49k.json``) drops white space and never merges across
 it, so a text's ids are the ids of its white-space-separated words in order. The
 tokenizers library encodes each distinct word once per worker; a text is then a gather.
-Words are told apart by 64-bit hashes of their bytes.
+Words are found by 64-bit hashes and told apart by their bytes: where two words of one hash meet, the
+slice's words are compared as strings.
 """
 
 from __future__ import annotations
@@ -13,11 +14,11 @@ from collections.abc import Iterator
 
 import numpy as np
 
-from gridspark.llm.common import ByteHash, words
+from gridspark.llm.common import WordHash, ragged, words
 
 #: Distinct words that a worker remembers (about 50 bytes each); beyond that it starts anew.
 REMEMBERED_WORDS = 3_000_000
-_HASH = ByteHash(seed=11)
+_HASH = WordHash(seed=11)
 
 
 def default_vocabulary() -> str:
@@ -26,15 +27,6 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def _ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """The positions start..start+length of each range, one after the other."""
-    total = int(lengths.sum())
-    if not total:
-        return np.zeros(0, np.int64)
-    before = np.cumsum(lengths) - lengths
-    return np.repeat(starts - before, lengths) + np.arange(total)
-
-
 class WordEncoder:
     """Encodes the texts of a slice; keeps what it has learned for later slices of this worker."""
 
@@ -54,52 +46,75 @@ class WordEncoder:
         return cls._of_path[path]
 
     def forget(self) -> None:
-        empty = np.zeros(0, np.uint64)
-        self.tiers = [(empty, np.zeros(0, np.int64), np.zeros(0, np.int64))] * 2
-        self.ids = np.zeros(1 << 16, np.uint32)
-        self.used = 0
-
-    def _find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Place and length of the ids of each key; the keys that are not known yet."""
-        place, length = np.zeros(len(keys), np.int64), np.full(len(keys), -1, np.int64)
-        for known, places, lengths in self.tiers:
+        empty, none = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.tiers = [(empty, none, none, none, none)] * 2  # hash, place and number of the ids, place and length of the bytes
+        self.ids, self.bytes = np.zeros(1 << 16, np.uint32), np.zeros(1 << 18, np.uint8)
+        self.used, self.filled = 0, 0
+
+    def _find(self, keys: np.ndarray, buf: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, bool]:
+        """Place and number of the ids of each word; the words that are not known yet; is there a known one with the hash of another word."""
+        place, length, clash = np.zeros(len(keys), np.int64), np.full(len(keys), -1, np.int64), False
+        for known, places, lengths, at_byte, n_bytes in self.tiers:
             if len(known):
                 at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
-                hit = known[at] == keys
-                place[hit], length[hit] = places[at[hit]], lengths[at[hit]]
-        return place, length, np.flatnonzero(length < 0)
+                hit = np.flatnonzero(known[at] == keys)
+                at = at[hit]
+                place[hit], length[hit] = places[at], lengths[at]
+                clash |= bool((n_bytes[at] != sizes[hit]).any()) or not np.array_equal(self.bytes[ragged(at_byte[at], sizes[hit])], buf[ragged(starts[hit], sizes[hit])])
+        return place, length, np.flatnonzero(length < 0), clash
 
-    def _learn(self, keys: np.ndarray, texts: list[str]) -> None:
+    def _ids_of(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         encoded = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         lengths = np.array([len(e) for e in encoded], np.int64)
-        flat = np.fromiter((i for e in encoded for i in e), np.uint32, int(lengths.sum()))
+        return np.fromiter((i for e in encoded for i in e), np.uint32, int(lengths.sum())), lengths
+
+    def _learn(self, keys: np.ndarray, texts: list[bytes]) -> None:
+        flat, lengths = self._ids_of([t.decode("utf-8", "replace") for t in texts])
+        raw, sizes = np.frombuffer(b"".join(texts), np.uint8), np.array([len(t) for t in texts], np.int64)
         while self.used + len(flat) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        while self.filled + len(raw) > len(self.bytes):
+            self.bytes = np.concatenate([self.bytes, np.zeros_like(self.bytes)])
         self.ids[self.used : self.used + len(flat)] = flat
-        places = self.used + np.cumsum(lengths) - lengths
-        self.used += len(flat)
+        self.bytes[self.filled : self.filled + len(raw)] = raw
+        new = (keys, self.used + np.cumsum(lengths) - lengths, lengths, self.filled + np.cumsum(sizes) - sizes, sizes)
+        self.used, self.filled = self.used + len(flat), self.filled + len(raw)
         old, young = self.tiers
-        young = tuple(np.concatenate(x) for x in zip(young, (keys, places, lengths), strict=True))
+        young = tuple(np.concatenate(x) for x in zip(young, new, strict=True))
         if len(young[0]) > 50_000 + len(old[0]) // 8:
-            old, young = tuple(np.concatenate(x) for x in zip(old, young, strict=True)), self.tiers[0]
-            young = tuple(x[:0] for x in young)
+            old, young = tuple(np.concatenate(x) for x in zip(old, young, strict=True)), tuple(x[:0] for x in young)
         self.tiers = [tuple(x[order] for x in tier) for tier in (old, young) for order in [np.argsort(tier[0], kind="stable")]]
 
+    def _plain(self, raw: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids and each word's number of ids, by the words themselves: what decides where hashes clash."""
+        texts = [raw[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+        number: dict[bytes, int] = {}
+        which = np.array([number.setdefault(t, len(number)) for t in texts], np.int64)
+        flat, lengths = self._ids_of([t.decode("utf-8", "replace") for t in number])
+        place = np.cumsum(lengths) - lengths
+        return flat[ragged(place[which], lengths[which])], lengths[which]
+
     def encode(self, buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the slice and, for each text, the number of its ids."""
         starts, ends, rows = words(buf, offsets)
         if not len(starts):
             return np.zeros(0, np.uint32), np.zeros(len(offsets) - 1, np.int64)
-        keys, first, which = np.unique(_HASH.ranges(_HASH.prefix(buf), starts, ends), return_index=True, return_inverse=True)
+        keys, first, which = np.unique(_HASH.of(buf, starts, ends), return_index=True, return_inverse=True)
         if len(self.tiers[0][0]) + len(self.tiers[1][0]) > REMEMBERED_WORDS:
             self.forget()
-        place, length, new = self._find(keys)
-        if len(new):
-            raw = buf.tobytes()
-            self._learn(keys[new], [raw[starts[i] : ends[i]].decode("utf-8", "replace") for i in first[new]])
-            place, length, _ = self._find(keys)
-        each = length[which]
-        flat = self.ids[_ragged(place[which], each)]
+        size = ends - starts
+        # equal hashes of this slice hold equal words, if no byte says otherwise
+        same = np.array_equal(size, size[first][which]) and np.array_equal(buf[ragged(starts, size)], buf[ragged(starts[first][which], size)])
+        place, length, new, clash = self._find(keys, buf, starts[first], size[first])
+        if clash or not same:
+            flat, each = self._plain(buf.tobytes(), starts, ends)
+        else:
+            if len(new):
+                raw = buf.tobytes()
+                self._learn(keys[new], [raw[starts[i] : ends[i]] for i in first[new]])
+                place, length, _, _ = self._find(keys, buf, starts[first], size[first])
+            each = length[which]
+            flat = self.ids[ragged(place[which], each)]
         totals = np.concatenate([[0], np.cumsum(each)])
         edges = np.searchsorted(rows, np.arange(len(offsets)))
         return flat, np.diff(totals[edges])

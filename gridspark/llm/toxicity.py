@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridspark.llm.common import ByteHash, give_back, held_out, slices, small_batches, text_of, words
+from gridspark.llm.common import WordHash, give_back, held_out, slices, small_batches, text_of, words
 
 SPAN, DECAY, FEATURE_BITS = 6, 0.7, 19
 #: Labelled documents of each kind that the fit sees, drawn by a hash of the id, and landmarks of each kind.
@@ -41,7 +41,7 @@ _SYMBOL[97:123] = np.arange(97, 123)
 _SYMBOL[65:91] = np.arange(97, 123)
 _SYMBOL[128:] = np.arange(128, 256)
 _PATTERNS = [(j, k) for j in range(1, SPAN - 1) for k in range(j + 1, SPAN)]
-_HASH = ByteHash(seed=41, lower=True)
+_HASH = WordHash(seed=41, lower=True)
 
 
 def windows(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -101,8 +101,7 @@ def _located(buf: np.ndarray, offsets: np.ndarray, most: int = 1 << 20) -> tuple
         last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + most, side="right")) - 1)
         at, part = offsets[first], buf[offsets[first] : offsets[last]]
         starts, ends, rows = windows(part, offsets[first : last + 1] - at)
-        prefix = _HASH.prefix(part)
-        out.append(((starts + at).astype(np.int32), (ends + at).astype(np.int32), (rows + first).astype(np.int32), _HASH.ranges(prefix, starts, ends), _HASH.ranges(prefix, starts, np.minimum(ends, starts + STEM))))
+        out.append(((starts + at).astype(np.int32), (ends + at).astype(np.int32), (rows + first).astype(np.int32), _HASH.of(part, starts, ends), _HASH.of(part, starts, np.minimum(ends, starts + STEM))))
         first = last
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
@@ -271,7 +270,7 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
             top = np.full(len(offsets) - 1, m.get("least", -1.0))
             starts, ends, row = windows(buf, offsets)
             if len(starts):
-                _, first, which = np.unique(_HASH.ranges(_HASH.prefix(buf), starts, ends), return_index=True, return_inverse=True)
+                _, first, which = np.unique(_HASH.of(buf, starts, ends), return_index=True, return_inverse=True)
                 value = values(buf, starts[first], ends[first], m["weight"])[which]
                 heads = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
                 top[row[heads]] = np.maximum(top[row[heads]], np.maximum.reduceat(value, heads))

@@ -115,8 +115,8 @@ def _plain_ppm(training, text, order):
 
 @pytest.mark.parametrize("order", [2, 5])
 def test_ppm_scores_equal_the_plain_way(spark, corpus, order, monkeypatch):
-    monkeypatch.setattr(ppm, "CHUNK_BYTES", (2000, 2000))
-    monkeypatch.setattr(ppm, "BUCKET_BYTES", (1500, 1500))
+    monkeypatch.setattr(ppm, "CHUNK_BYTES", 2000)
+    monkeypatch.setattr(ppm, "BUCKET_BYTES", 1500)
     rows = [*corpus[:25], *ODD[:-1], (99, "unseen: ~~ \x01\x02 zzzz")]
     training = [(t or "").encode() for i, t in rows if i is not None and i % 3]
     got = ppm.score(frame(spark, rows, extra=True), F.expr("doc_id % 3 != 0"), order=order).collect()
@@ -150,6 +150,22 @@ def test_ppm_empty_training(spark):
     assert ppm.score(docs.where("false"), F.lit(True)).count() == 0
 
 
+def thue_morse(k):
+    """Two words of 2**k letters that polynomial hashes mod 2**64 take for one."""
+    word = "a"
+    for _ in range(k):
+        word += word.translate(str.maketrans("ab", "ba"))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
+def test_ppm_tells_structured_words_apart(spark):
+    one, other = thue_morse(11)
+    got = {r.doc_id: r for r in ppm.score(frame(spark, [(1, f"{one} {other}"), (2, other), (3, f"{one} x")]), F.expr("doc_id = 1")).collect()}
+    # one, other and the end occur once each in training
+    assert got[1].train_tokens == 3 and got[1].n_known == 3 and got[2].n_known == 2 and got[3].n_known == 2
+    assert abs(got[2].base_score - 2 * np.log10(2 / (3 + 3 + 1))) < 1e-9
+
+
 # -- 3 --
 
 
@@ -243,6 +259,7 @@ def test_token_store_round_trip(spark, corpus):
     rows = [*corpus[:30], *ODD, (99, "<|endoftext|> it's 'll a\x0bb\x85c"), (98, "É é ")]
     path = Scratch(spark, "store").root
     token_store.write_store(frame(spark, rows, extra=True), path, block_bytes=400)
+    assert len(spark.read.parquet(f"{path}/dictionary").first().bytes) > 1000
     got = token_store.read_store(spark, path).collect()
     ids = lambda r: np.frombuffer(r.ids, "<u4").tolist()
     assert sorted((str(r.doc_id), ids(r)) for r in got) == sorted((str(i), encoded(t, 1)) for i, t in rows)
@@ -256,6 +273,36 @@ def test_token_store_round_trip(spark, corpus):
     assert sorted(r.doc_id for r in some) == sorted(i for i, _ in rows if i in (4, 17))
 
 
+def test_structured_words_have_their_own_ids(spark):
+    one, other = thue_morse(11)
+    rows = [(1, one), (2, other), (3, f"{other} {one}"), (4, f"plain {one[:1024]} {other[:1024]}")]
+    path = Scratch(spark, "structured").root
+    token_store.write_store(frame(spark, rows), path)
+    got = {r.doc_id: np.frombuffer(r.ids, "<u4").tolist() for r in token_store.read_store(spark, path).collect()}
+    assert got == {i: encoded(t, 1) for i, t in rows} and got[1] != got[2]
+    for r in packing.pack(frame(spark, rows)).where("piece = 0").collect():
+        assert r.ids_crc32 == zlib.crc32(np.array(encoded(dict(rows)[r.doc_id], 0)[:2048], "<u4").tobytes())
+
+
+def test_words_of_one_hash_are_compared_as_strings(monkeypatch):
+    """With a hash that takes all words for one."""
+    from gridspark.llm import tokens
+
+    class Zero:
+        def of(self, buf, starts, ends):
+            return np.zeros(len(starts), np.uint64)
+
+    texts = [b"some words", b"other words here", b"", b"some"]
+    buf, offsets = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
+    want = [encoded(t.decode(), 0)[:-1] for t in texts]
+    monkeypatch.setattr(tokens, "_HASH", Zero())
+    coder = tokens.WordEncoder(default_vocabulary())
+    for _ in range(2):
+        flat, counts = coder.encode(buf, offsets)
+        at = np.cumsum([0, *counts])
+        assert [flat[a:b].tolist() for a, b in zip(at[:-1], at[1:])] == want
+
+
 def test_token_store_empty(spark):
     path = Scratch(spark, "store").root
     token_store.write_store(frame(spark, []), path)
