@@ -3,12 +3,13 @@
 Documents are read in passages of ``2 * STRIDE`` words, one every ``STRIDE`` words. Words (lower-cased,
 without punctuation at their ends) are hashed into ``FEATURES`` columns and weighted by TF-IDF, whose
 passage counts cover all documents; what is in more than one in ``COMMON`` passages weighs nothing. A
-randomised SVD (power iterations whose partial products Spark sums up) gives ``RANK`` latent
-directions; it is fitted on all passages of all documents and on the benchmark, which weighs a fixed
-share of them at any size, and every passage of every document is projected. Passages whose cosine with an item (if it is
+randomised SVD gives ``RANK`` latent directions: a random sparse matrix of signs (one for each feature) takes the
+TF-IDF passages to ``WIDTH`` columns, Spark sums up the Gram matrix of what that gives, and its eigenvectors are
+the right singular vectors of the sketched passages. It is fitted, in one pass, on all passages of all documents and on
+the benchmark, which weighs a fixed share of them at any size, and every passage of every document is projected. Passages whose cosine with an item (if it is
 longer than a passage, with one of its own passages) reaches ``COSINE`` are candidates. So are, whatever
-their cosine, those that hold ``SEVERAL`` of the ``ANSWER`` rarest words of a run of ``STRIDE`` words of an
-item: every such run of a verbatim copy lies whole in some passage. Candidates are kept if the longest common subsequence of their telling words with
+their cosine, those that hold ``SEVERAL`` of the ``RUN_WORDS`` rarest words of a run of ``STRIDE`` words of an
+item (nearly all of them, if the item has hardly any word that is rare in the corpus): every such run of a verbatim copy lies whole in some passage. Candidates are kept if the longest common subsequence of their telling words with
 the item's covers ``COVERED`` of these, and if one of the item's ``ANSWER`` rarest words is there.
 
 Null texts have no passages, items without words match nothing, repeated rows match alike, null
@@ -19,21 +20,22 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridspark.llm.common import ByteHash, slices, text_of, words
+from gridspark.llm.common import WordHash, mix64, slices, text_of, words
 
-STRIDE, FEATURES, RANK, COMMON = 32, 1 << 15, 64, 20
-COSINE, COVERED, ANSWER, SEVERAL = 0.4, 0.55, 5, 3
+STRIDE, FEATURES, WIDTH, RANK, COMMON = 32, 1 << 15, 512, 96, 20
+COSINE, COVERED, ANSWER, RUN_WORDS, SEVERAL = 0.4, 0.55, 5, 8, 3
 #: In the fit the runs of the benchmark weigh as much, in all, as this share of the documents' runs;
 #: the directions of most variance, which tell languages apart, are left out.
-POWER, OVERSAMPLED, ITEM_SHARE, LEFT_OUT = 3, 8, 0.6, 16
-#: Bytes of text that a task multiplies at once.
-FIT_BYTES = 1 << 18
-#: Items that are searched for in one pass.
-ITEMS_AT_ONCE = 4096
-_HASH = ByteHash(seed=83, lower=True)
+ITEM_SHARE, LEFT_OUT = 0.6, 16
+#: Bytes of text that a task multiplies at once; matrices of so many lots of tasks are summed up first.
+FIT_BYTES, LOTS = 1 << 18, 64
+#: Items that are searched for in one pass (some 50 MB in a broadcast), and directions of them that a slice is multiplied by at once.
+ITEMS_AT_ONCE, DIRECTIONS_AT_ONCE = 32_768, 2048
+_HASH = WordHash(seed=83, lower=True)
 _EDGE = np.zeros(256, bool)
 _EDGE[np.frombuffer(b".,;:!?\"'()[]{}*#&%$-", np.uint8)] = True
 
@@ -47,7 +49,7 @@ def word_hashes(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
         ends[which] -= 1
     if len(starts):
         starts = starts + (_EDGE[buf[starts]] & (ends - starts > 1))
-    return _HASH.ranges(_HASH.prefix(buf), starts, ends), rows
+    return _HASH.of(buf, starts, ends), rows
 
 
 def blocks(rows: np.ndarray, n_rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -96,69 +98,55 @@ def weights(counts: np.ndarray, n: int) -> np.ndarray:
     return np.maximum(0, np.log((n + COMMON) / (counts + 1)) - np.log(COMMON)).astype(np.float32)
 
 
-def _product(hashes: np.ndarray, rows: np.ndarray, n_rows: int, weight: np.ndarray, basis: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """A @ basis for the passages A of some texts; row of each; features and runs of their words that weigh something."""
+def _signs() -> tuple[np.ndarray, np.ndarray]:
+    """The sketch's column of each feature, and the sign there."""
+    drawn = mix64(mix64(np.arange(1, FEATURES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
+    return (drawn % np.uint64(WIDTH)).astype(np.int64), np.where(drawn >> np.uint64(63), 1.0, -1.0).astype(np.float32)
+
+
+_COLUMN, _SIGN = _signs()
+
+
+def _sketch(hashes: np.ndarray, rows: np.ndarray, n_rows: int, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The sketched TF-IDF passages of some texts, and the row of each."""
     begin, row, _ = blocks(rows, n_rows)
     feature = (hashes % np.uint64(FEATURES)).astype(np.int64)
-    telling = np.flatnonzero(weight[feature] > 0)
-    feature, which = feature[telling], np.searchsorted(begin, telling, side="right") - 1
-    out = np.zeros((len(begin), basis.shape[1]), np.float32)
-    if len(telling):
-        head = np.flatnonzero(np.r_[True, which[1:] != which[:-1]])
-        out[which[head]] = np.add.reduceat(basis[feature] * weight[feature, None], head, axis=0)
+    which = np.repeat(np.arange(len(begin)), np.diff(np.r_[begin, len(hashes)]))
+    out = np.bincount(which * WIDTH + _COLUMN[feature], weight[feature] * _SIGN[feature], len(begin) * WIDTH).astype(np.float32).reshape(-1, WIDTH)
     more = np.flatnonzero(row[1:] == row[:-1])
     out[more] += out[more + 1]
-    return out, row, feature, which
-
-
-def latent_basis(texts: DataFrame, weight: np.ndarray, rank: int = RANK, seed: int = 5) -> np.ndarray:
-    """The right singular vectors (FEATURES x rank) of the TF-IDF passages of ``texts`` (text, share: what a passage counts) after the first LEFT_OUT."""
-    spark = texts.sparkSession
-    q = np.linalg.qr(np.random.default_rng(seed).standard_normal((FEATURES, rank + LEFT_OUT + OVERSAMPLED)))[0].astype(np.float32)
-
-    def multiplied(q, gram):
-        shared = spark.sparkContext.broadcast((q, weight))
-
-        def run(batches):
-            basis, w = shared.value
-            total = np.zeros((basis.shape[1] if gram else FEATURES, basis.shape[1]), np.float64 if gram else np.float32)
-            for batch, buf, offsets in slices(batches, most=FIT_BYTES):
-                hashes, rows = word_hashes(buf, offsets)
-                if not len(hashes):
-                    continue
-                y, row, feature, which = _product(hashes, rows, len(offsets) - 1, w, basis)
-                norm = np.maximum(np.linalg.norm(y, axis=1, keepdims=True), 1e-6)
-                y = y / np.sqrt(norm)  # long common passages should not rule
-                share = batch.column(1).to_numpy().astype(np.float32)[row, None]
-                if gram:
-                    total += (y * share).T @ y
-                    continue
-                if not len(feature):
-                    continue
-                y *= share
-                order = np.argsort(feature.astype(np.uint16), kind="stable")
-                head = np.flatnonzero(np.r_[True, np.diff(feature[order]) > 0])
-                at = feature[order][head]
-                total[at] += np.add.reduceat(y[which[order]], head, axis=0) * w[at, None]
-            step = max(1, len(total) // 64)
-            yield pa.RecordBatch.from_arrays([pa.array(range(0, len(total), step), pa.int32()), pa.array([total[k : k + step].tobytes() for k in range(0, len(total), step)], pa.binary())], ["at", "part"])
-
-        kind = np.float64 if gram else np.float32
-
-        def summed(key, table):
-            total = np.sum([np.frombuffer(b, kind) for b in table.column(1).to_pylist()], axis=0, dtype=kind)
-            return pa.table({"at": pa.array([key[0].as_py()], pa.int32()), "part": pa.array([total.tobytes()], pa.binary())})
-
-        parts = texts.mapInArrow(run, "at int, part binary").groupBy("at").applyInArrow(summed, "at int, part binary").collect()  # one matrix in all
-        shared.destroy()
-        if not parts:
-            return np.zeros((q.shape[1] if gram else FEATURES, q.shape[1]), kind)
-        return np.concatenate([np.frombuffer(bytes(r.part), kind) for r in sorted(parts, key=lambda r: r.at)]).reshape(-1, q.shape[1])
-
-    for _ in range(POWER):
-        q = np.linalg.qr(multiplied(q, False) + 1e-9 * q)[0].astype(np.float32)
-    values, rotation = np.linalg.eigh(multiplied(q, True))
-    return (q @ rotation[:, np.argsort(-values)[LEFT_OUT : LEFT_OUT + rank]]).astype(np.float32)
+    return out, row
+
+
+def latent_basis(texts: DataFrame, weight: np.ndarray, rank: int = RANK) -> np.ndarray:
+    """The right singular vectors (WIDTH x rank) of the sketched TF-IDF passages of ``texts`` (text, share: what a passage counts) after the first LEFT_OUT."""
+    shared = texts.sparkSession.sparkContext.broadcast(weight)
+
+    def run(batches):
+        total = np.zeros((WIDTH, WIDTH), np.float64)
+        for batch, buf, offsets in slices(batches, most=FIT_BYTES):
+            hashes, rows = word_hashes(buf, offsets)
+            if not len(hashes):
+                continue
+            y, row = _sketch(hashes, rows, len(offsets) - 1, shared.value)
+            share = batch.column(1).to_numpy().astype(np.float32)[row]
+            # a passage counts by its length, not the square of it: long common passages should not rule
+            y *= np.sqrt(share / np.maximum(np.linalg.norm(y, axis=1), 1e-6))[:, None]
+            total += y.T @ y
+        lot = TaskContext.get().partitionId() % LOTS
+        yield pa.RecordBatch.from_arrays([pa.array(range(0, WIDTH, 16), pa.int32()), pa.array([lot] * (WIDTH // 16), pa.int32()), pa.array([total[k : k + 16].tobytes() for k in range(0, WIDTH, 16)], pa.binary())], ["at", "lot", "part"])
+
+    def summed(key, table):
+        total = sum(np.frombuffer(b) for b in table.column("part").to_pylist())
+        return pa.table({"at": pa.array([key[0].as_py()], pa.int32()), "part": pa.array([total.tobytes()], pa.binary())})
+
+    parts = texts.mapInArrow(run, "at int, lot int, part binary").groupBy("at", "lot").applyInArrow(summed, "at int, part binary")
+    rows = parts.groupBy("at").applyInArrow(summed, "at int, part binary").collect()  # one matrix of WIDTH x WIDTH
+    shared.destroy()
+    if not rows:
+        return np.zeros((WIDTH, rank), np.float32)
+    values, vectors = np.linalg.eigh(np.concatenate([np.frombuffer(bytes(r.part)) for r in sorted(rows, key=lambda r: r.at)]).reshape(WIDTH, WIDTH))
+    return vectors[:, np.argsort(-values)[LEFT_OUT : LEFT_OUT + rank]].astype(np.float32)
 
 
 def common_subsequence(a: list[int], b: list[int]) -> int:
@@ -219,29 +207,33 @@ class Items:
             self.rarest.append(set(hashes[a:b][np.argsort(-w, kind="stable")[:ANSWER]].tolist()))
             # the whole item, and the passages of one that is longer than a passage
             for lo, hi in [(a, b)] + [(x, min(x + 2 * STRIDE, b)) for x in range(a, b - STRIDE, STRIDE) if b - a > 2 * STRIDE]:
-                sums.append((basis[feature[lo:hi]] * weight[feature[lo:hi], None]).sum(axis=0))
+                f = feature[lo:hi]
+                sums.append(np.bincount(_COLUMN[f], weight[f] * _SIGN[f], WIDTH).astype(np.float32) @ basis)
                 self.direction_of.append(k)
-            # an item of few telling words, which any text may hold, is not looked for by words alone
-            for lo in range(a, b, STRIDE) if len(self.telling[k]) >= 4 else ():
+            for lo in range(a, b, STRIDE):
                 lo = max(a, min(lo, b - STRIDE))
                 w, mine = weight[feature[lo : min(lo + STRIDE, b)]], hashes[lo : min(lo + STRIDE, b)]
-                telling = mine[np.argsort(-w, kind="stable")][: int((w > 0).sum())].tolist()
-                rare = set(list(dict.fromkeys(telling))[:ANSWER])
-                if len(rare) > 1:
+                # words that much of the corpus holds tell little, also where it holds copies of the item: then nearly all must be there
+                few = len(self.telling[k]) < 4
+                telling = mine[np.argsort(-w, kind="stable")][: len(mine) if few else int((w > 0).sum())].tolist()
+                rare = set(list(dict.fromkeys(telling))[:RUN_WORDS])
+                if len(rare) > 1 or few:
                     runs.append(rare)
-                    needed.append(min(SEVERAL, len(rare)))
+                    needed.append(max(1, len(rare) - 1) if few else min(SEVERAL, len(rare)))
                     self.run_of.append(k)
         sums = np.array(sums, np.float32).reshape(-1, basis.shape[1])
         self.direction = sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-9)
         self.direction_of, self.run_of = np.array(self.direction_of, np.int64), np.array(self.run_of, np.int64)
         self.answer, self.several = Words(self.rarest, [1] * len(rows)), Words(runs, needed)
 
-    def near(self, cosine: np.ndarray, hashes: np.ndarray, begin: np.ndarray, of: np.ndarray) -> np.ndarray:
-        """Candidates as passage * number of items + item: by their cosine, if one of the item's rarest words is there, or by several words."""
-        n = len(self.ids)
-        at, which = np.nonzero(cosine >= COSINE)
-        close = at * n + self.direction_of[which]
-        close = close[np.isin(close, self.answer.held(hashes, begin, of))]
+    def near(self, p: np.ndarray, hashes: np.ndarray, begin: np.ndarray, of: np.ndarray) -> np.ndarray:
+        """Candidates as passage * number of items + item: by the cosine with ``p``, if one of the item's rarest words is there, or by several words."""
+        n, close = len(self.ids), []
+        for lo in range(0, len(self.direction), DIRECTIONS_AT_ONCE):
+            at, which = np.nonzero(p @ self.direction[lo : lo + DIRECTIONS_AT_ONCE].T >= COSINE)
+            close.append(at * n + self.direction_of[lo + which])
+        close = np.unique(np.concatenate(close)) if close else np.zeros(0, np.int64)
+        close = close[np.isin(close, self.answer.held(hashes, begin, of), assume_unique=True)]
         words = self.several.held(hashes, begin, of)
         if len(words):
             words = words // self.several.n * n + self.run_of[words % self.several.n]
@@ -271,8 +263,8 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     counts, n = passage_counts(texts)
     weight, share = weights(counts, n), ITEM_SHARE * n / max(1, passage_counts(items)[1])
     whole = texts.select("text", F.lit(1.0).alias("share")).unionByName(items.select("text", F.lit(float(share)).alias("share")))
-    # each task sums up as many documents as come to it, and sends one matrix
-    basis = latent_basis(whole.coalesce(max(2, spark.sparkContext.defaultParallelism)), weight)
+    # each task sums up the documents that come to it and sends one matrix: a few tasks for each core, however large the input
+    basis = latent_basis(whole.coalesce(4 * spark.sparkContext.defaultParallelism), weight)
     shared = spark.sparkContext.broadcast((weight, basis))
     n_parts = -(-n_items // ITEMS_AT_ONCE) or 1
     out = None
@@ -295,12 +287,11 @@ def _search(texts: DataFrame, items: Items, shared) -> DataFrame:
             feature = (hashes % np.uint64(FEATURES)).astype(np.int64)
             if not len(hashes) or not items.ids:
                 continue
-            p = _product(hashes, row, len(offsets) - 1, weight, basis)[0]
+            p = _sketch(hashes, row, len(offsets) - 1, weight)[0] @ basis
             p /= np.maximum(np.linalg.norm(p, axis=1, keepdims=True), 1e-9)
-            cosine = p @ items.direction.T
             edges, hits, n = np.searchsorted(row, np.arange(len(offsets))), {}, len(items.ids)
             # the checks that cost least come first
-            for key in items.near(cosine, hashes, begin, of).tolist():
+            for key in items.near(p, hashes, begin, of).tolist():
                 at, k = divmod(key, n)
                 i = int(of[at])
                 # a passage and as much around it as a long item needs
@@ -309,7 +300,7 @@ def _search(texts: DataFrame, items: Items, shared) -> DataFrame:
                 passage = hashes[a:b].tolist()
                 covered = items.covered(k, passage, hashes[a:b][weight[feature[a:b]] > 0].tolist())
                 if covered >= COVERED:
-                    best = float(cosine[at, items.direction_of == k].max())
+                    best = float((items.direction[items.direction_of == k] @ p[at]).max())
                     hits[i, k] = max(hits.get((i, k), (0.0, -1.0)), (covered, best))
             if hits:
                 at, k = zip(*hits, strict=True)

@@ -229,6 +229,63 @@ def test_directions_are_fitted_on_all_documents(spark, monkeypatch):
     assert seen == [sorted(want)]
 
 
+def plain_leaks(rows, items):
+    """Every passage of every document against every item, on the words themselves."""
+    edge = ".,;:!?\"'()[]{}*#&%$-"
+
+    def words_of(text):
+        out = []
+        for w in (text or "").lower().split():
+            for _ in range(3):
+                w = w[:-1] if len(w) > 1 and w[-1] in edge else w
+            out.append(w[1:] if len(w) > 1 and w[0] in edge else w)
+        return out
+
+    docs = [(i, words_of(t)) for i, t in rows]
+    runs = [set(w[k : k + 32]) for _, w in docs for k in range(0, len(w), 32)]
+    df = {}
+    for x in runs:
+        for w in x:
+            df[w] = df.get(w, 0) + 1
+    weight = lambda w: max(0.0, np.log((len(runs) + 20) / (df.get(w, 0) + 1)) - np.log(20))
+    found = set()
+    for k, text in items:
+        item = words_of(text)
+        telling = [w for w in item if weight(w) > 0]
+        rare = set(sorted(item, key=lambda w: -weight(w))[:5])
+        for i, words in docs:
+            for at in range(0, len(words), 32):
+                more = max(0, len(item) - 32)
+                passage = words[max(0, at - more) : at + 64 + more]
+                if not rare & set(passage):
+                    continue
+                if len(telling) < 4:
+                    hit = item and decontaminate.common_subsequence(item, passage) > 0.85 * len(item)
+                else:
+                    hit = decontaminate.common_subsequence(telling, [w for w in passage if weight(w) > 0]) >= 0.55 * len(telling)
+                if hit:
+                    found.add((i, k))
+    return found
+
+
+def test_decontamination_against_all_pairs(spark):
+    rng = random.Random(8)
+    items = [(k, prose(rng, rng.randint(14, 90))) for k in range(25)]
+    rows = []
+    for d in range(120):
+        words = prose(rng, rng.randint(5, 250)).split()
+        if d % 3:
+            item = items[d % 25][1].split()
+            kept = [w for w in item if rng.random() > (0, 0.2, 0.35, 0.5)[d % 4]]  # words left out, so that some are no leaks
+            at = rng.randrange(len(words))
+            words[at:at] = kept
+        rows.append((d, " ".join(words).title() + "."))
+    rows += [(500, rows[1][1]), (501, rows[1][1]), (502, ""), (503, " ".join(rows[4][1] for _ in range(300)))]
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    got, want = {(r.doc_id, r.item_id) for r in decontaminate.find(frame(spark, rows), bench).collect()}, plain_leaks(rows, items)
+    assert got <= want and len(got) >= 0.97 * len(want) and len(want) > 50
+
+
 def test_decontamination_of_nothing(spark):
     docs, bench = frame(spark, []), spark.createDataFrame([(1, "some words")], "item_id bigint, text string")
     assert decontaminate.find(docs, bench).count() == 0
