@@ -7,12 +7,13 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from gridspark.functions.pixel import CHANNELS, LUMA_709, Px, clamp, hash01, luma, mix, num, smoothstep
 from gridspark.plans.registry import kernel
-from gridspark.plans.stencil import extent, gather, sobel, square3, tap
+from gridspark.plans.stencil import at, looked_up, moved, sobel, square3, tiled
 
 GREEN_STREAM, BLUE_STREAM, DISC_STREAM, SITE_STREAM = 2654435769, 2246822507, 668265261, 3037000493
 
@@ -20,7 +21,7 @@ GREEN_STREAM, BLUE_STREAM, DISC_STREAM, SITE_STREAM = 2654435769, 2246822507, 66
 def _styled(rows, colour, amount, own=CHANNELS):
     """The colour blended with the pixel's own."""
     k = min(max(amount, 0.0), 1.0)
-    return rows.select("x", "y", *(mix(F.col(o), v, k).alias(c) for c, o, v in zip("rgb", own, colour, strict=False)), F.col(own[3]).alias("a"))
+    return rows.select(*at(rows), *(mix(F.col(o), v, k).alias(c) for c, o, v in zip("rgb", own, colour, strict=False)), F.col(own[3]).alias("a"))
 
 
 def _step(lo: Column, hi: Column, x: Column) -> Column:
@@ -33,7 +34,7 @@ def _light(p) -> Column:
 
 
 def _own(df):
-    return df.select("x", "y", *(F.col(c).alias(f"c_{c}") for c in CHANNELS))
+    return df.select(*at(df), *(F.col(c).alias(f"c_{c}") for c in CHANNELS))
 
 
 OWN = tuple(f"c_{c}" for c in CHANNELS)
@@ -41,7 +42,7 @@ OWN = tuple(f"c_{c}" for c in CHANNELS)
 
 def _single(df, sx: Column, sy: Column):
     """Each place's own pixel (c_) and that of one other place (s_)."""
-    return gather(df, _own(df), [tap(sx, sy)], extent(df))
+    return looked_up(df, _own(df), sx, sy)
 
 
 @kernel("gallery.kuwahara", kind="frame", radius_px=2.0, amount=1.0)
@@ -49,19 +50,27 @@ def kuwahara(df, radius_px, amount):
     """The mean of the quadrant whose luma varies least; the first one wins ties."""
     r = int(min(max(math.floor(radius_px + 0.5), 1), 8))
     spans = ((-r, 0), (0, r))
-    places = [(q, dx, dy) for q in range(4) for dy in range(spans[q >> 1][0], spans[q >> 1][1] + 1) for dx in range(spans[q & 1][0], spans[q & 1][1] + 1)]
-    table = F.array(*(F.struct(F.lit(q).alias("q"), F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for q, dx, dy in places))
-    read = gather(df, _own(df), F.transform(table, lambda o: tap(F.col("x") + o["dx"], F.col("y") + o["dy"], 1.0, q=o["q"])), extent(df))
-    light = luma(Px.of("s_").rgb, LUMA_709)
-    quads = read.groupBy("x", "y", *OWN, F.col("_tap.q").alias("q")).agg(*(F.avg(f"s_{c}").alias(c) for c in "rgb"), (F.avg(light * light) - F.avg(light) * F.avg(light)).alias("v"))
-    best = quads.groupBy("x", "y", *OWN).agg(F.min_by(F.struct("r", "g", "b"), F.struct(F.round(F.greatest("v", F.lit(0.0)), 12), "q")).alias("best"))
-    return _styled(best, [clamp(F.col(f"best.{c}")) for c in "rgb"], amount, OWN)
+
+    def run(source, x, y):
+        own = moved(source, r, 0, 0)
+        best, least = None, None
+        for q in range(4):
+            parts = [moved(source, r, dx, dy) for dy in range(spans[q >> 1][0], spans[q >> 1][1] + 1) for dx in range(spans[q & 1][0], spans[q & 1][1] + 1)]
+            lights = [sum(p[k] * w for k, w in enumerate(LUMA_709)) for p in parts]
+            mean, light, square = (sum(v) / len(v) for v in (parts, lights, [v * v for v in lights]))
+            spread = np.round(np.maximum(square - light * light, 0.0), 12)
+            better = np.ones(spread.shape, bool) if least is None else spread < least
+            best, least = (mean, spread) if least is None else (np.where(better, mean, best), np.minimum(spread, least))
+        k = min(max(amount, 0.0), 1.0)
+        return np.concatenate([own[:3] + (np.clip(best[:3], 0.0, 1.0) - own[:3]) * k, own[3:]])
+
+    return tiled(df, r, run)
 
 
 def _with_luma(df):
     """Nine lumas around each place in n_r."""
-    light = df.select("x", "y", luma(Px.of().rgb, LUMA_709).alias("r"), *(F.lit(0.0).alias(c) for c in "gba"))
-    return square3(light).select("x", "y", F.col("n_r").alias("n_l")).join(df, ["x", "y"])
+    light = df.select(*at(df), luma(Px.of().rgb, LUMA_709).alias("r"), *(F.lit(0.0).alias(c) for c in "gba"))
+    return square3(light).select(*at(df), F.col("n_r").alias("n_l")).join(df, at(df))
 
 
 @kernel("gallery.posterize_edges", kind="frame", levels=4.0, edge_amount=1.0, edge_threshold=0.2, amount=1.0)
@@ -118,7 +127,7 @@ def diffuse(df, seed, radius_px, angle_deg, anisotropy, amount, ox, oy):
     along, across = F.cos(angle) * rad, F.sin(angle) * rad * (1 - min(max(anisotropy, 0.0), 1.0))
     read = _single(df, F.col("x") + F.rint(along * dx - across * dy), F.col("y") + F.rint(along * dy + across * dx))
     k = min(max(amount, 0.0), 1.0)
-    return read.select("x", "y", *(mix(F.col(f"c_{c}"), F.col(f"s_{c}"), k).alias(c) for c in CHANNELS))
+    return read.select(*at(read), *(mix(F.col(f"c_{c}"), F.col(f"s_{c}"), k).alias(c) for c in CHANNELS))
 
 
 @kernel("gallery.crosshatch", kind="frame", angle_deg=45.0, spacing_px=4.0, strength=1.0, sets=2, amount=1.0, ox=0, oy=0)
@@ -162,8 +171,8 @@ def stained_glass(df, seed, cell_px, border, amount, ox, oy):
     near = _own(df).withColumn("sites", F.array_sort(F.array(*(site(i, j) for j in (-1, 0, 1) for i in (-1, 0, 1)))))
     first, second = F.get("sites", 0), F.get("sites", 1)
     away = lambda v: clamp(F.rint(v), -24.0, 24.0)
-    near = near.select("x", "y", *OWN, ((second["d"] - first["d"]) * 0.5).alias("gap"), away(first["sx"] * s - F.col("x") - ox).alias("dx"), away(first["sy"] * s - F.col("y") - oy).alias("dy"))
-    read = gather(df, near, [tap(F.col("x") + F.col("dx"), F.col("y") + F.col("dy"))], extent(df))
+    near = near.select(*at(df), *OWN, ((second["d"] - first["d"]) * 0.5).alias("gap"), away(first["sx"] * s - F.col("x") - ox).alias("dx"), away(first["sy"] * s - F.col("y") - oy).alias("dy"))
+    read = looked_up(df, near, F.col("x") + F.col("dx"), F.col("y") + F.col("dy"))
     edge = 1 - smoothstep(0.0, max(min(max(border, 0.0), 1.0), 0.001), F.col("gap")) if border > 0 else num(0)
     return _styled(read, [clamp(F.col(f"s_{c}") * (1 - edge)) for c in "rgb"], amount, OWN)
 
@@ -184,7 +193,7 @@ def glass(df, seed, scale_px, distortion, amount, ox, oy):
     moved = lambda v: clamp(F.rint(v * most), -16.0, 16.0)
     read = _single(df, F.col("x") + moved(slope(0.5, 0.0)), F.col("y") + moved(slope(0.0, 0.5)))
     k = min(max(amount, 0.0), 1.0)
-    return read.select("x", "y", *(mix(F.col(f"c_{c}"), F.col(f"s_{c}"), k).alias(c) for c in CHANNELS))
+    return read.select(*at(read), *(mix(F.col(f"c_{c}"), F.col(f"s_{c}"), k).alias(c) for c in CHANNELS))
 
 
 @kernel("gallery.texturizer", kind="frame", seed=1, texture=0, scale_px=4.0, relief=1.0, angle_deg=45.0, amount=1.0, ox=0, oy=0)

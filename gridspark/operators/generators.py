@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 from gridspark.functions.pixel import CHANNELS, Px, clamp, hash01, num
 from gridspark.operators.point import source_over
 from gridspark.plans.registry import kernel
-from gridspark.plans.stencil import bilinear, gather, weighted
+from gridspark.plans.stencil import at, sizes
 
+#: Pixels of a pattern's tile at most: it is broadcast.
+TILE_PIXELS = 1 << 18
 BLACK, WHITE = (0.0, 0.0, 0.0, 1.0), (1.0, 1.0, 1.0, 1.0)
 
 
@@ -20,12 +22,12 @@ def _place(ox: int, oy: int) -> tuple[Column, Column]:
 
 
 def _ramp(df, t: Column, c0, c1):
-    return df.select("x", "y", *((num(p) + (num(q) - num(p)) * t).alias(c) for c, p, q in zip(CHANNELS, c0, c1, strict=True)))
+    return df.select(*at(df), *((num(p) + (num(q) - num(p)) * t).alias(c) for c, p, q in zip(CHANNELS, c0, c1, strict=True)))
 
 
 @kernel("gen.solid", kind="frame", color=WHITE)
 def solid(df, color):
-    return df.select("x", "y", *(num(v).alias(c) for c, v in zip(CHANNELS, color, strict=True)))
+    return df.select(*at(df), *(num(v).alias(c) for c, v in zip(CHANNELS, color, strict=True)))
 
 
 @kernel("gen.checker", kind="frame", size=4, c0=BLACK, c1=WHITE, ox=0, oy=0)
@@ -98,19 +100,30 @@ def diamond_gradient(df, cx, cy, angle, scale, c0, c1, ox, oy):
 @kernel("gen.noise", kind="frame", seed=1, amount=1.0, ox=0, oy=0)
 def noise(df, seed, amount, ox, oy):
     v = hash01(*_place(ox, oy), seed) * amount
-    return df.select("x", "y", v.alias("r"), v.alias("g"), v.alias("b"), num(1).alias("a"))
+    return df.select(*at(df), v.alias("r"), v.alias("g"), v.alias("b"), num(1).alias("a"))
 
 
 @kernel("gen.pattern", inputs=2, kind="frame", scale=1.0, angle_deg=0.0, offset_x=0.0, offset_y=0.0, opacity=1.0, tile_w=4, tile_h=4, ox=0, oy=0)
 def pattern(df, tile, scale, angle_deg, offset_x, offset_y, opacity, tile_w, tile_h, ox, oy):
-    """The second image's corner of tile_w x tile_h, repeated on a turned and scaled lattice, over the first."""
-    x, y = _place(ox, oy)
+    """The second image's corner of tile_w x tile_h (all of it for 0), repeated on a turned and scaled lattice, over the first. A scale
+    that is not above 0 shows nothing of it. The corner is one image, read by all of the first."""
+    if not scale > 0:
+        scale, opacity = 1.0, 0.0
+    opacity = min(opacity, 1.0) if opacity > 0 else 0.0
+    x, y = (v + 0.5 for v in _place(ox, oy))
     c, s = math.cos(math.radians(angle_deg)), math.sin(math.radians(angle_deg))
-    px, py = ((x - offset_x) * c + (y - offset_y) * s) / scale, ((y - offset_y) * c - (x - offset_x) * s) / scale
-    small = tile.where((F.col("x") < tile_w) & (F.col("y") < tile_h))
-    own = df.select("x", "y", *(F.col(k).alias(f"c_{k}") for k in CHANNELS))
-    read = weighted(gather(small, own, bilinear(px, py), (tile_w, tile_h), "wrap"), normalize=False, keys=("x", "y", *(f"c_{k}" for k in CHANNELS)))
-    over = source_over(Px.of("c_"), Px.of(), lambda b, s: s, opacity)
-    return over.select(read, "x", "y")
-
-
+    px, py = ((x - offset_x) * c + (y - offset_y) * s) / scale - 0.5, ((y - offset_y) * c - (x - offset_x) * s) / scale - 0.5
+    w, h = (min(n, m) if n > 0 else m for n, m in zip((tile_w, tile_h), map(int, sizes(tile.select("x", "y")).first()), strict=True))  # one row
+    if w * h > TILE_PIXELS:
+        raise ValueError(f"a pattern's tile has {TILE_PIXELS} pixels at most")
+    small = F.broadcast(tile.where((F.col("x") < w) & (F.col("y") < h)).select(F.col("x").alias("_sx"), F.col("y").alias("_sy"), F.struct(*CHANNELS).alias("_p")))
+    read = df.select(*at(df), *(F.col(k).alias(f"c_{k}") for k in CHANNELS), px.alias("_px"), py.alias("_py"))
+    total = None
+    for i, j in ((0, 0), (1, 0), (0, 1), (1, 1)):
+        fx, fy = (F.col(c) - F.floor(c) for c in ("_px", "_py"))
+        read = read.withColumns({"_sx": F.pmod(F.floor("_px") + i, F.lit(w)), "_sy": F.pmod(F.floor("_py") + j, F.lit(h))}).join(small.withColumnRenamed("_p", f"_p{i}{j}"), ["_sx", "_sy"], "left").drop("_sx", "_sy")
+        part = [F.coalesce(F.col(f"_p{i}{j}.{c}"), F.lit(0.0)) * (fx if i else 1 - fx) * (fy if j else 1 - fy) for c in CHANNELS]
+        total = part if total is None else [p + q for p, q in zip(total, part, strict=True)]
+    read = read.withColumns({f"s_{c}": v for c, v in zip(CHANNELS, total, strict=True)})
+    over = source_over(Px.of("c_"), Px.of("s_"), lambda b, s: s, opacity)
+    return over.select(read, *at(df))

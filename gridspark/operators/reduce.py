@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridspark.functions.pixel import CHANNELS, LUMA_601, LUMA_709, Px, luma
+from gridspark.plans.stencil import TILE, at, image, moved, tiled
 
 
 def to_byte(v: Column) -> Column:
@@ -119,18 +121,35 @@ def pyramid(df: DataFrame, width: int, height: int, levels: int) -> DataFrame:
     return out
 
 
+def window_opaque(df: DataFrame, x0: int, y0: int, width: int, height: int) -> DataFrame:
+    """One row: is every pixel of a window there and opaque as a byte."""
+    inside = df.where(F.col("x").between(x0, x0 + width - 1) & F.col("y").between(y0, y0 + height - 1))
+    return inside.agg(((F.count("*") == width * height) & F.coalesce(F.bool_and(to_byte(F.col("a")) == 255), F.lit(True))).alias("opaque"))
+
+
 def distance_transform(df: DataFrame, threshold: float = 0.5, manhattan: bool = False, limit: int = 64) -> DataFrame:
     """x, y, r: the chamfer distance (steps of 1 and sqrt 2, or 1 and 2) to the nearest place with m >= threshold.
 
-    Exact within ``limit``; beyond it 65504 as for no place at all. Seeds are joined by column first
-    (distance along the column, two window passes), then along each row over ``limit`` columns.
+    Exact where a seed is within ``limit`` columns; 65504 where none is. Distances along the columns come first: within blocks of
+    rows by windows, and from block to block by a window over one row for each block; then tiles look along their rows.
     """
-    diagonal = 2.0 if manhattan else 2.0**0.5
-    seed = F.when(F.col("m") >= threshold, F.col("y"))
-    up = F.last(seed, ignorenulls=True).over(Window.partitionBy("x").orderBy("y"))
-    down = F.first(seed, ignorenulls=True).over(Window.partitionBy("x").orderBy("y").rowsBetween(0, Window.unboundedFollowing))
-    column = df.select("x", "y", F.least(F.col("y") - up, down - F.col("y")).cast("double").alias("v"))
-    line = Window.partitionBy("y").orderBy("x").rangeBetween(-limit, limit)
-    cells = F.collect_list(F.when(F.col("v").isNotNull(), F.struct("x", "v"))).over(line)
-    far = lambda s: F.greatest(F.abs(s["x"] - F.col("x")).cast("double"), s["v"]) + (diagonal - 1) * F.least(F.abs(s["x"] - F.col("x")).cast("double"), s["v"])
-    return column.withColumn("cells", cells).select("x", "y", F.coalesce(F.array_min(F.transform("cells", far)), F.lit(65504.0)).alias("r"))
+    keys, diagonal = image(df), 2.0 if manhattan else 2.0**0.5
+    rows = df.select(*at(df), F.when(F.col("m") >= threshold, F.col("y")).alias("seed"), F.floor(F.col("y") / TILE).alias("block"))
+    blocks = rows.groupBy(*keys, "x", "block").agg(F.max("seed").alias("last"), F.min("seed").alias("first"))
+    line = Window.partitionBy(*keys, "x").orderBy("block")
+    above, below = F.last("last", ignorenulls=True).over(line.rowsBetween(Window.unboundedPreceding, -1)), F.first("first", ignorenulls=True).over(line.rowsBetween(1, Window.unboundedFollowing))
+    blocks = blocks.select(*keys, "x", "block", above.alias("above"), below.alias("below"))
+    part = Window.partitionBy(*keys, "x", "block").orderBy("y")
+    up, down = F.last("seed", ignorenulls=True).over(part), F.first("seed", ignorenulls=True).over(part.rowsBetween(0, Window.unboundedFollowing))
+    near = rows.withColumns({"up": up, "down": down}).join(blocks, [*keys, "x", "block"])
+    v = F.least(F.col("y") - F.coalesce("up", "above"), F.coalesce("down", "below") - F.col("y"))
+    column = near.select(*at(df), F.coalesce(v.cast("double"), F.lit(65504.0)).alias("r"), *(F.lit(0.0).alias(c) for c in "gba"))
+
+    def run(source, x, y):
+        out = np.full(source.shape[1:], 65504.0)[limit : source.shape[1] - limit, limit : source.shape[2] - limit]
+        for d in range(-limit, limit + 1):
+            v = moved(source, limit, d, 0)[0]
+            out = np.minimum(out, np.where(v < 65504, np.maximum(abs(d), v) + (diagonal - 1) * np.minimum(abs(d), v), 65504.0))
+        return np.stack([out] * 4)
+
+    return tiled(column, limit, run).select(*at(df), "r")

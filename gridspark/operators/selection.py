@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import math
+import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridspark.functions.pixel import CHANNELS
-from gridspark.plans.stencil import weighted_line
+from gridspark.plans.stencil import TILE, at, image, weighted_line
 from gridspark.sources.rasters import grid
 
 
@@ -72,26 +73,52 @@ def _near(df: DataFrame, x: int, y: int, tolerance: float) -> DataFrame:
     return df.join(F.broadcast(seed)).where(far <= tolerance).select("x", "y")  # one row
 
 
-def wand(df: DataFrame, x: int, y: int, tolerance: float, contiguous: bool = True, scratch: str | None = None) -> DataFrame:
-    """Places like the seed, all of them or those connected to it by their edges."""
-    near = _near(df, x, y, tolerance)
-    if not contiguous:
-        return near.withColumn("cov", F.lit(255).cast("bigint"))
-    # runs along rows first: a flood then takes as many rounds as it has turns, not pixels
-    step = F.col("x") - F.row_number().over(Window.partitionBy("y").orderBy("x"))
-    runs = near.withColumn("run", step).groupBy("y", "run").agg(F.min("x").alias("lo"), F.max("x").alias("hi")).select("y", "lo", "hi")
-    runs = runs.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else runs.persist()
-    held = runs.where((F.col("y") == y) & (F.col("lo") <= x) & (F.col("hi") >= x))
-    front = held
+def _settled(df: DataFrame) -> DataFrame:
+    """Written to the checkpoint folder, which executors share; a local session without one gets a temporary folder."""
+    sc = df.sparkSession.sparkContext
+    if not sc.getCheckpointDir():
+        if not sc.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="gridspark-"))
+    return df.checkpoint()
+
+
+def connected(places: DataFrame, seeds: DataFrame) -> DataFrame:
+    """The x, y of ``places`` that are connected to one of ``seeds`` by steps along x and y.
+
+    Runs along rows (cut at tiles, so that a line is no unit) are the nodes; labels pass between touching runs and jump to
+    their labels' labels, so the rounds grow with the logarithm of a region's turns."""
+    keys = image(places)
+    tile = F.floor(F.col("x") / TILE)
+    step = F.col("x") - F.row_number().over(Window.partitionBy(*keys, "y", "tile").orderBy("x"))
+    runs = places.select(*keys, "x", "y", tile.alias("tile")).withColumn("run", step).groupBy(*keys, "y", "tile", "run").agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
+    runs = _settled(runs.select(*keys, "y", "tile", "lo", "hi", F.struct("y", "lo").alias("node")))
+    after = runs.select(*keys, (F.col("y") - 1).alias("y"), "tile", F.col("lo").alias("lo2"), F.col("hi").alias("hi2"), F.col("node").alias("b"))
+    beside = runs.select(*keys, "y", (F.col("lo") - 1).alias("hi"), F.col("node").alias("b"))
+    down = runs.join(after, [*keys, "y", "tile"]).where((F.col("lo") <= F.col("hi2")) & (F.col("lo2") <= F.col("hi")))
+    edges = down.select(*keys, F.col("node").alias("a"), "b").unionByName(runs.join(beside, [*keys, "y", "hi"]).select(*keys, F.col("node").alias("a"), "b"))
+    edges = _settled(edges.unionByName(edges.select(*keys, F.col("b").alias("a"), F.col("a").alias("b"))))
+    labels = _settled(runs.select(*keys, "node", F.col("node").alias("label")))
     while True:
-        met = runs.alias("r").join(front.alias("f"), (F.abs(F.col("r.y") - F.col("f.y")) == 1) & (F.col("r.lo") <= F.col("f.hi")) & (F.col("f.lo") <= F.col("r.hi"))).select("r.y", "r.lo", "r.hi").distinct()
-        front = met.join(held, ["y", "lo", "hi"], "left_anti")
-        front = front.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else front.persist()
-        if front.isEmpty():
+        near = edges.join(labels.withColumnRenamed("node", "b"), [*keys, "b"]).groupBy(*keys, F.col("a").alias("node")).agg(F.min("label").alias("near"))
+        met = labels.join(near, [*keys, "node"], "left").select(*keys, "node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
+        jump = labels.select(*keys, F.col("node").alias("label"), F.col("label").alias("far"))
+        new = _settled(met.join(jump, [*keys, "label"]).select(*keys, "node", "old", F.least("label", "far").alias("label")))
+        labels = new.drop("old")
+        if new.where("old != label").isEmpty():
             break
-        held = held.unionByName(front)
-        held = held.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else held.persist()
-    return held.select(F.explode(F.sequence("lo", "hi")).alias("x"), "y", F.lit(255).cast("bigint").alias("cov"))
+    held = runs.join(labels, [*keys, "node"])
+    asked = seeds.select(*keys, "y", F.col("x").alias("sx"), F.floor(F.col("x") / TILE).alias("tile")).distinct()
+    wanted = held.join(asked, [*keys, "y", "tile"]).where(F.col("sx").between(F.col("lo"), F.col("hi"))).select(*keys, "label").distinct()
+    return held.join(wanted, [*keys, "label"], "left_semi").select(*keys, F.explode(F.sequence("lo", "hi")).alias("x"), "y")
+
+
+def wand(df: DataFrame, x: int, y: int, tolerance: float, contiguous: bool = True) -> DataFrame:
+    """Places like the seed, all of them or those connected to it by their edges."""
+    near = _near(df, x, y, tolerance)
+    if contiguous:
+        near = connected(near, near.where((F.col("x") == x) & (F.col("y") == y)))
+    return near.withColumn("cov", F.lit(255).cast("bigint"))
 
 
 def feather(cov: DataFrame, sigma: float, width: int, height: int) -> DataFrame:
@@ -111,8 +138,11 @@ def as_mask(cov: DataFrame) -> DataFrame:
 
 
 def quick_select(df: DataFrame, painted: DataFrame) -> DataFrame:
-    """Places within min(72, 16 + 1.5 sigma) bytes of the painted places' mean, channel by channel."""
-    rgb = "rgb"
-    stats = df.join(painted.select("x", "y"), ["x", "y"], "left_semi").agg(*(f(F.round(F.col(c) * 255)).alias(f"{n}_{c}") for c in rgb for n, f in (("m", F.avg), ("s", F.stddev_pop))))
-    fits = [F.abs(F.round(F.col(c) * 255) - F.col(f"m_{c}")) <= F.least(F.lit(72.0), 16 + 1.5 * F.col(f"s_{c}")) for c in rgb]
-    return df.join(F.broadcast(stats)).where(fits[0] & fits[1] & fits[2]).select("x", "y", F.lit(255).cast("bigint").alias("cov"))  # one row
+    """The painted places and all that are connected to them through places within min(72, 16 + 1.5 sigma) bytes of the painted
+    places' mean, in each of the four channels."""
+    inked = df.join(painted.select(*at(painted)), at(painted), "left_semi")
+    stats = inked.agg(*(f(F.round(F.col(c) * 255)).alias(f"{n}_{c}") for c in CHANNELS for n, f in (("m", F.avg), ("s", F.stddev_pop))))
+    far = [F.abs(F.round(F.col(c) * 255) - F.col(f"m_{c}")) > F.least(F.lit(72.0), 16 + 1.5 * F.col(f"s_{c}")) for c in CHANNELS]
+    alike = df.crossJoin(F.broadcast(stats)).where(~(far[0] | far[1] | far[2] | far[3])).select(*at(df))  # one row
+    held = inked.select(*at(df))
+    return connected(alike.unionByName(held).distinct(), held).withColumn("cov", F.lit(255).cast("bigint"))

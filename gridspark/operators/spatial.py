@@ -4,13 +4,13 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from gridspark.functions.pixel import CHANNELS, LUMA_709, Px, clamp, luma, mix
+from gridspark.functions.pixel import CHANNELS, LUMA_709, clamp, mix
 from gridspark.plans.registry import joined, kernel
-from gridspark.plans.stencil import bilinear, extent, gather, reduced_line, sobel, square3, tap, weighted, weighted_line
-from gridspark.sources.rasters import grid
+from gridspark.plans.stencil import as_pixels, at, image, looked_up, mean_of, moved, reduced_line, sampled, sized, sizes, sobel, square3, tap, tiled, weighted_line
 
 # -- convolution --------------------------------------------------------------------------------
 
@@ -19,11 +19,16 @@ from gridspark.sources.rasters import grid
 def box(df, edge):
     third = dict.fromkeys((-1, 0, 1), 1.0)
     both = weighted_line(weighted_line(df, third, "x", edge), third, "y", edge)
-    return both.select("x", "y", *((F.col(c) / 9).alias(c) for c in CHANNELS))
+    return both.select(*at(both), *((F.col(c) / 9).alias(c) for c in CHANNELS))
+
+
+#: The widest radius of the convolutions, as everywhere they are defined.
+R_MAX = 24
 
 
 def gaussian_weights(sigma: float, radius: int) -> dict[int, float]:
-    r = min(radius, 24)
+    """Weights of the places up to ``radius`` (``R_MAX`` at most), which sum to one."""
+    r = min(radius, R_MAX)
     raw = {d: math.exp(-d * d / (2 * sigma * sigma)) for d in range(-r, r + 1)}
     return {d: w / sum(raw.values()) for d, w in raw.items()}
 
@@ -46,9 +51,9 @@ def unsharp(a, b, amount, threshold):
 @kernel("conv.emboss", kind="frame", angle_deg=0.0, height=1.0)
 def emboss(df, angle_deg, height):
     dx, dy = (math.floor(abs(v) + 0.5) * (1 if v >= 0 else -1) for v in (math.cos(math.radians(angle_deg)), -math.sin(math.radians(angle_deg))))
-    at = 4 + dy * 3 + dx
+    place = 4 + dy * 3 + dx
     n = square3(df)
-    return n.select("x", "y", *(clamp(0.5 + (F.get(f"n_{c}", at) - F.get(f"n_{c}", 8 - at)) * height * 0.5).alias(c) for c in "rgb"), "a")
+    return n.select(*at(n), *(clamp(0.5 + (F.get(f"n_{c}", place) - F.get(f"n_{c}", 8 - place)) * height * 0.5).alias(c) for c in "rgb"), "a")
 
 
 def edge_size(n: str) -> Column:
@@ -58,35 +63,36 @@ def edge_size(n: str) -> Column:
 
 @kernel("conv.find_edges", kind="frame", strength=1.0)
 def find_edges(df, strength):
-    return square3(df).select("x", "y", *(clamp(1 - edge_size(f"n_{c}") * strength).alias(c) for c in "rgb"), "a")
+    return square3(df).select(*at(df), *(clamp(1 - edge_size(f"n_{c}") * strength).alias(c) for c in "rgb"), "a")
 
 
 TAPS = [i / 8 - 1 for i in range(17)]
 
 
-def _round(v: Column) -> Column:
-    """To the nearest integer, halves to the even one."""
-    return F.rint(v)
-
-
 @kernel("conv.motion", kind="frame", angle_deg=0.0, length_px=8.0)
 def motion(df, angle_deg, length_px):
     dx, dy = math.cos(math.radians(angle_deg)) * length_px / 2, -math.sin(math.radians(angle_deg)) * length_px / 2
-    taps = [tap(_round(F.col("x") + t * dx), _round(F.col("y") + t * dy)) for t in TAPS]
-    return weighted(gather(df, df.select("x", "y"), taps, extent(df)))
+    r = math.ceil(abs(length_px) / 2) + 1
+
+    def run(source, x, y):
+        taps = (source[:, (np.rint(y + t * dy).astype(int) - y[0] + r)[:, None], (np.rint(x + t * dx).astype(int) - x[0] + r)[None, :]] for t in TAPS)
+        return sum(taps) / len(TAPS)
+
+    return tiled(df, r, run)
 
 
 @kernel("conv.radial", kind="frame", cx=0.5, cy=0.5, amount=0.1, mode=0)
 def radial(df, cx, cy, amount, mode):
     """mode 0 spins around the centre, any other zooms."""
-    w, h = extent(df)
-    rx, ry = F.col("x") - cx * w, F.col("y") - cy * h
+    places = sized(df.select(*at(df)), df)
+    mx, my = F.col("w") * cx, F.col("h") * cy
+    rx, ry = F.col("x") - mx, F.col("y") - my
     rad, angle = F.sqrt(rx * rx + ry * ry), F.atan2(ry, rx)
     if mode == 0:
-        taps = [tap(_round(cx * w + F.cos(angle + t * amount) * rad), _round(cy * h + F.sin(angle + t * amount) * rad)) for t in TAPS]
+        taps = [tap(F.rint(mx + F.cos(angle + t * amount) * rad), F.rint(my + F.sin(angle + t * amount) * rad)) for t in TAPS]
     else:
-        taps = [tap(_round(cx * w + rx * (1 + t * amount)), _round(cy * h + ry * (1 + t * amount))) for t in TAPS]
-    return weighted(gather(df, df.select("x", "y"), taps, (w, h)))
+        taps = [tap(F.rint(mx + rx * (1 + t * amount)), F.rint(my + ry * (1 + t * amount))) for t in TAPS]
+    return mean_of(df, places, taps)
 
 
 def disc(radius: float) -> list[tuple[int, int]]:
@@ -94,31 +100,32 @@ def disc(radius: float) -> list[tuple[int, int]]:
     return [(dx, dy) for dy in range(-r, r + 1) for dx in range(-r, r + 1) if dx * dx + dy * dy <= radius * radius]
 
 
-def offsets(places: list[tuple[int, int]], weights: list[float] | None = None) -> Column:
-    """Taps at fixed offsets, as one literal array."""
-    weights = weights or [1.0] * len(places)
-    table = F.array(*(F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy"), F.lit(float(w)).alias("w")) for (dx, dy), w in zip(places, weights, strict=True)))
-    return F.transform(table, lambda o: tap(F.col("x") + o["dx"], F.col("y") + o["dy"], o["w"]))
+def _light(p: np.ndarray) -> np.ndarray:
+    return sum(p[k] * w for k, w in enumerate(LUMA_709))
+
+
+def _core(source: np.ndarray, r: int) -> np.ndarray:
+    return moved(source, r, 0, 0)
 
 
 @kernel("conv.lens", kind="frame", radius_px=2.0, threshold=0.8, boost=1.0)
 def lens(df, radius_px, threshold, boost):
-    r = min(max(radius_px, 0.0), 24.0)
-    if math.ceil(r) < 1:
+    """A disc of up to ``R_MAX`` pixels in which lights above the threshold weigh more."""
+    radius = min(max(radius_px, 0.0), float(R_MAX))
+    r = math.ceil(radius)
+    if r < 1:
         return df
-    read = gather(df, df.select("x", "y"), offsets(disc(r)), extent(df))
-    light = luma(Px.of("s_").rgb, LUMA_709)
-    return weighted(read.withColumn("w", F.when(light > threshold, 1 + boost * (light - threshold)).otherwise(1.0)))
-
-
-def _with_centre(df, places, weights=None):
-    """The taps of each place beside its own pixel (c_r .. c_a)."""
-    own = df.select("x", "y", *(F.col(c).alias(f"c_{c}") for c in CHANNELS))
-    return gather(df, own, offsets(places, weights), extent(df))
 
+    def run(source, x, y):
+        total, out = 0.0, 0.0
+        for dx, dy in disc(radius):
+            p = moved(source, r, dx, dy)
+            light = _light(p)
+            w = np.where(light > threshold, 1 + boost * (light - threshold), 1.0)
+            total, out = total + w, out + p * w
+        return np.where(total == 0, 0.0, out / np.where(total == 0, 1.0, total))
 
-def _mean_and_centre(read):
-    return weighted(read, keys=("x", "y", *(f"c_{c}" for c in CHANNELS)))
+    return tiled(df, r, run)
 
 
 def _square(r: int) -> list[tuple[int, int]]:
@@ -127,38 +134,66 @@ def _square(r: int) -> list[tuple[int, int]]:
 
 @kernel("conv.bilateral", kind="frame", radius_px=2.0, sigma_range=0.1, amount=1.0)
 def bilateral(df, radius_px, sigma_range, amount):
-    r = min(max(int(radius_px + 0.5), 1), 8)
-    places = _square(r)
-    sigma = max(radius_px / 2, 1e-3)
-    read = _with_centre(df, places, [math.exp(-(dx * dx + dy * dy) / (2 * sigma * sigma)) for dx, dy in places])
-    away = sum(((F.col(f"s_{c}") - F.col(f"c_{c}")) * (F.col(f"s_{c}") - F.col(f"c_{c}")) for c in "gb"), (F.col("s_r") - F.col("c_r")) * (F.col("s_r") - F.col("c_r")))
-    read = read.withColumn("w", F.col("w") * F.exp(-away / (2 * max(sigma_range, 1e-3) ** 2)))
-    return _mean_and_centre(read).select("x", "y", *(mix(F.col(f"c_{c}"), F.col(c), amount).alias(c) for c in "rgb"), F.col("c_a").alias("a"))
+    radius, k = min(max(radius_px, 0.0), 8.0), min(max(amount, 0.0), 1.0)
+    r, sigma, tone = math.ceil(radius), max(radius / 2, 1e-4), max(sigma_range, 1e-4)
+
+    def run(source, x, y):
+        own, total, out = _core(source, r), 0.0, 0.0
+        for dx, dy in _square(r):
+            p = moved(source, r, dx, dy)
+            away = ((p[:3] - own[:3]) ** 2).sum(axis=0)
+            w = math.exp(-(dx * dx + dy * dy) / (2 * sigma * sigma)) * np.exp(-away / (2 * tone * tone))
+            total, out = total + w, out + p * w
+        return own + (out / total - own) * k
+
+    return tiled(df, r, run)
 
 
 @kernel("conv.smart_sharpen", kind="frame", radius_px=2.0, amount=1.0, threshold=0.0, clamp_hi=1.0)
 def smart_sharpen(df, radius_px, amount, threshold, clamp_hi):
-    r = min(max(int(radius_px + 0.5), 1), 8)
-    places, sigma = _square(r), max(radius_px / 2, 1e-3)
-    m = _mean_and_centre(_with_centre(df, places, [math.exp(-(dx * dx + dy * dy) / (2 * sigma * sigma)) for dx, dy in places]))
-    diff = {c: F.col(f"c_{c}") - F.col(c) for c in "rgb"}
-    flat = F.greatest(*(F.abs(d) for d in diff.values())) < threshold
-    return m.select("x", "y", *(F.when(flat, F.col(f"c_{c}")).otherwise(F.col(f"c_{c}") + clamp(d * amount, -clamp_hi, clamp_hi)).alias(c) for c, d in diff.items()), F.col("c_a").alias("a"))
+    radius = min(max(radius_px, 0.0), 8.0)
+    r, sigma = max(math.ceil(radius), 1), max(radius / 2, 1e-4)
+    places = [(dx, dy, math.exp(-(dx * dx + dy * dy) / (2 * sigma * sigma))) for dx, dy in _square(r)]
+
+    def run(source, x, y):
+        own = _core(source, r)
+        soft = sum(moved(source, r, dx, dy) * w for dx, dy, w in places) / sum(w for _, _, w in places)
+        diff = own[:3] - soft[:3]
+        sharp = np.clip(own[:3] + np.clip(diff * amount, -clamp_hi, clamp_hi), 0.0, 1.0)
+        return np.concatenate([np.where(np.abs(diff).max(axis=0) < threshold, own[:3], sharp), own[3:]])
 
+    return tiled(df, r, run)
 
-@kernel("conv.shape", inputs=2, kind="frame", radius_px=2.0, amount=1.0, shape_w=3, shape_h=3)
+
+#: Pixels of a shape at most: it is sent to all tasks.
+SHAPE_PIXELS = 1 << 18
+
+
+@kernel("conv.shape", inputs=2, kind="frame", radius_px=2.0, amount=1.0, shape_w=0, shape_h=0)
 def shape_blur(df, shape, radius_px, amount, shape_w, shape_h):
-    """The red channel of the second image, stretched over the box, gives the weights."""
-    r = min(max(int(radius_px + 0.5), 1), 24)
-    side = 2 * r + 1
-    place = F.array(*(F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx, dy in _square(r)))
-    own = df.select("x", "y", *(F.col(c).alias(f"c_{c}") for c in CHANNELS))
-    taps = F.transform(place, lambda o: tap(F.col("x") + o["dx"], F.col("y") + o["dy"], 1.0, dx=o["dx"], dy=o["dy"]))
-    read = gather(df, own, taps, extent(df))
-    cell = lambda d, n: F.least(F.floor((F.col(f"_tap.{d}") + r + 0.5) / side * n), F.lit(n - 1)).cast("bigint")
-    weight = shape.select(F.col("x").alias("_kx"), F.col("y").alias("_ky"), F.col("r").alias("_k")).where((F.col("x") < shape_w) & (F.col("y") < shape_h))
-    read = read.withColumns({"_kx": cell("dx", shape_w), "_ky": cell("dy", shape_h)}).join(weight, ["_kx", "_ky"], "left").withColumn("w", F.coalesce("_k", F.lit(0.0)))
-    return _mean_and_centre(read).select("x", "y", *(mix(F.col(f"c_{c}"), F.col(c), amount).alias(c) for c in CHANNELS))
+    """The red channel of the second image (one image of up to ``SHAPE_PIXELS``), stretched over the box, gives the weights; sizes of 0 mean all of it."""
+    if not amount > 0 or not radius_px >= 0.5:
+        return df
+    w, h = sizes(shape.select("x", "y")).first()  # one row
+    w, h = (min(n, m) if n > 0 else m for n, m in ((shape_w, int(w or 1)), (shape_h, int(h or 1))))
+    if w * h > SHAPE_PIXELS:
+        raise ValueError(f"a shape has {SHAPE_PIXELS} pixels at most")
+    field = np.zeros((h, w))
+    for p in shape.where((F.col("x") < w) & (F.col("y") < h)).select("x", "y", "r").collect():  # at most SHAPE_PIXELS
+        field[p.y, p.x] = p.r
+    radius = min(radius_px, float(R_MAX))
+    r, k = math.ceil(radius), min(amount, 1.0)
+    places = [(dx, dy, field[min(int((dy + radius) * h / (2 * radius)), h - 1), min(int((dx + radius) * w / (2 * radius)), w - 1)]) for dx, dy in _square(r) if max(abs(dx), abs(dy)) <= radius]
+    places = [(dx, dy, weight) for dx, dy, weight in places if weight > 0]
+    if not places:
+        return df
+
+    def run(source, x, y):
+        own = _core(source, r)
+        soft = sum(moved(source, r, dx, dy) * weight for dx, dy, weight in places) / sum(weight for _, _, weight in places)
+        return own + (soft - own) * k
+
+    return tiled(df, r, run)
 
 
 # -- morphology and rank ------------------------------------------------------------------------
@@ -176,7 +211,7 @@ def erode(df):
 
 @kernel("rank.median3", kind="frame")
 def median3(df):
-    return square3(df).select("x", "y", *(F.get(F.array_sort(f"n_{c}"), 4).alias(c) for c in CHANNELS))
+    return square3(df).select(*at(df), *(F.get(F.array_sort(f"n_{c}"), 4).alias(c) for c in CHANNELS))
 
 
 @kernel("rank.despeckle", kind="frame", edge_threshold=0.2, amount=1.0)
@@ -185,41 +220,42 @@ def despeckle(df, edge_threshold, amount):
         s = F.array_sort(f"n_{c}")
         return mix(F.col(c), F.when(F.get(s, 7) - F.get(s, 1) <= edge_threshold, F.get(s, 4)).otherwise(F.col(c)), amount)
 
-    return square3(df).select("x", "y", *(f(c).alias(c) for c in "rgb"), "a")
+    return square3(df).select(*at(df), *(f(c).alias(c) for c in "rgb"), "a")
 
 
 @kernel("rank.dust_scratches", kind="frame", radius=2, threshold=0.1)
 def dust_scratches(df, radius, threshold):
     r = min(max(radius, 1), 4)
-    read = _with_centre(df, _square(r))
-    middle = ((2 * r + 1) ** 2) // 2
-    m = read.groupBy("x", "y", *(f"c_{c}" for c in CHANNELS)).agg(*(F.get(F.array_sort(F.collect_list(f"s_{c}")), middle).alias(c) for c in "rgb"))
-    return m.select("x", "y", *(F.when(F.abs(F.col(f"c_{c}") - F.col(c)) > threshold, F.col(c)).otherwise(F.col(f"c_{c}")).alias(c) for c in "rgb"), F.col("c_a").alias("a"))
+
+    def run(source, x, y):
+        own = _core(source, r)
+        middle = np.median(np.stack([moved(source, r, dx, dy)[:3] for dx, dy in _square(r)]), axis=0)
+        return np.concatenate([np.where(np.abs(own[:3] - middle) > threshold, middle, own[:3]), own[3:]])
+
+    return tiled(df, r, run)
 
 
 # -- resampling ---------------------------------------------------------------------------------
 
 
-def _mitchell(t: Column) -> Column:
-    t = F.abs(t)
-    near, far = (7 * t * t * t - 12 * t * t + 16 / 3) / 6, (-7 / 3 * t * t * t + 12 * t * t - 20 * t + 32 / 3) / 6
-    return F.when(t < 1, near).when(t < 2, far).otherwise(0.0)
+def _mitchell(t: np.ndarray) -> np.ndarray:
+    t = np.abs(t)
+    near, far = (7 * t**3 - 12 * t**2 + 16 / 3) / 6, (-7 / 3 * t**3 + 12 * t**2 - 20 * t + 32 / 3) / 6
+    return np.where(t < 1, near, np.where(t < 2, far, 0.0))
 
 
-def _lanczos3(t: Column) -> Column:
-    sinc = lambda v: F.when(F.abs(v) < 1e-9, 1.0).otherwise(F.sin(v * math.pi) / F.when(v == 0, 1.0).otherwise(v * math.pi))
-    return F.when(F.abs(t) < 3, sinc(t) * sinc(t / 3)).otherwise(0.0)
+def _lanczos3(t: np.ndarray) -> np.ndarray:
+    return np.where(np.abs(t) < 3, np.sinc(t) * np.sinc(t / 3), 0.0)
 
 
 def _resample(df, width, height, reach, weight):
-    w, h = extent(df)
-    px, py = (F.col("x") + 0.5) * (w / width) - 0.5, (F.col("y") + 0.5) * (h / height) - 0.5
-    out = grid(df.sparkSession, width, height)
+    """A grid of the new size for each image, and the place of each of its pixels in the old one."""
+    span = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint")))
+    out = sizes(df).select("*", span(height).alias("y")).select("*", span(width).alias("x"))
+    px, py = (F.col("x") + 0.5) * (F.col("w") / width) - 0.5, (F.col("y") + 0.5) * (F.col("h") / height) - 0.5
     if weight is None:
-        return weighted(gather(df, out, [tap(F.floor(px + 0.5), F.floor(py + 0.5))], (w, h)))
-    x0, y0 = F.floor(px), F.floor(py)
-    span = range(1 - reach, reach + 1)
-    return weighted(gather(df, out, [tap(x0 + i, y0 + j, weight(px - x0 - i) * weight(py - y0 - j)) for j in span for i in span], (w, h)))
+        return as_pixels(looked_up(df, out, F.floor(px + 0.5), F.floor(py + 0.5)))
+    return as_pixels(sampled(df, out, px, py, reach, weight, normalize=True))
 
 
 @kernel("resample.nearest", kind="frame", width=8, height=8)
@@ -241,7 +277,7 @@ def lanczos3(df, width, height):
 
 
 def _moved(df, x, y):
-    return df.select(x.cast("bigint").alias("x"), y.cast("bigint").alias("y"), *CHANNELS)
+    return df.select(*image(df), x.cast("bigint").alias("x"), y.cast("bigint").alias("y"), *CHANNELS)
 
 
 @kernel("geom.flip_h", kind="frame", width=16)
@@ -266,35 +302,40 @@ def rotate90_ccw(df, src_w):
 
 @kernel("geom.crop", kind="frame", off_x=0, off_y=0, width=8, height=8)
 def crop(df, off_x, off_y, width, height):
-    """A cut; inside the image it is a filter that reaches the scan, beyond it the border is repeated."""
-    w, h = extent(df)
-    if off_x >= 0 and off_y >= 0 and off_x + width <= w and off_y + height <= h:
-        inside = df.where(F.col("x").between(off_x, off_x + width - 1) & F.col("y").between(off_y, off_y + height - 1))
-        return _moved(inside, F.col("x") - off_x, F.col("y") - off_y)
-    return weighted(gather(df, grid(df.sparkSession, width, height), [tap(F.col("x") + off_x, F.col("y") + off_y)], (w, h)))
+    """A cut: a filter that reaches the scan. Where it goes beyond the image, the border's pixels are repeated: each then stands for a range of places."""
+    cut = df.where(F.col("x").between(off_x, off_x + width - 1) & F.col("y").between(off_y, off_y + height - 1))
+    rim = sizes(df).where((F.lit(off_x) < 0) | (F.lit(off_y) < 0) | (F.col("w") < off_x + width) | (F.col("h") < off_y + height))
+    span = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint")))
+    places = rim.select("*", span(height).alias("y")).select("*", span(width).alias("x"))
+    sx, sy = F.col("x") + off_x, F.col("y") + off_y
+    outside = places.where((sx < 0) | (sy < 0) | (sx >= F.col("w")) | (sy >= F.col("h")))
+    return _moved(cut, F.col("x") - off_x, F.col("y") - off_y).unionByName(as_pixels(looked_up(df, outside, sx, sy)))
+
+
+def _sampled(df, px, py, edge="clamp"):
+    return as_pixels(sampled(df, sized(df.select(*at(df)), df), px, py, edge=edge))
 
 
 @kernel("geom.rotate_bilinear", kind="frame", degrees=0.0)
 def rotate_bilinear(df, degrees):
-    w, h = extent(df)
     c, s = math.cos(math.radians(degrees)), math.sin(math.radians(degrees))
-    rx, ry = F.col("x") - (w - 1) / 2, F.col("y") - (h - 1) / 2
-    return weighted(gather(df, df.select("x", "y"), bilinear(rx * c + ry * s + (w - 1) / 2, ry * c - rx * s + (h - 1) / 2), (w, h)), normalize=False)
+    mx, my = (F.col("w") - 1) / 2, (F.col("h") - 1) / 2
+    rx, ry = F.col("x") - mx, F.col("y") - my
+    return _sampled(df, rx * c + ry * s + mx, ry * c - rx * s + my)
 
 
 @kernel("geom.offset", kind="frame", dx=0.0, dy=0.0, edge=0)
 def offset(df, dx, dy, edge):
     """edge: 0 transparent, 1 clamp, 2 wrap."""
-    size = extent(df)
-    return weighted(gather(df, df.select("x", "y"), bilinear(F.col("x") - dx, F.col("y") - dy), size, ("zero", "clamp", "wrap")[edge]), normalize=False)
+    return _sampled(df, F.col("x") - dx, F.col("y") - dy, ("zero", "clamp", "wrap")[edge])
 
 
 @kernel("geom.mosaic", kind="frame", cell_px=4.0)
 def mosaic(df, cell_px):
     """Each cell shows the pixel at its middle."""
     cell = max(cell_px, 1.0)
-    at = lambda c: F.floor(F.floor(F.col(c) / cell) * cell + cell / 2)
-    return weighted(gather(df, df.select("x", "y"), [tap(at("x"), at("y"))], extent(df)))
+    middle = lambda c: F.floor(F.floor(F.col(c) / cell) * cell + cell / 2)
+    return as_pixels(looked_up(df, df.select(*at(df)), middle("x"), middle("y")))
 
 
 @kernel("geom.warp_backward", kind="frame", warp=0, amount=0.5, cx=8.0, cy=8.0, radius=8.0, frequency=1.0)
@@ -311,21 +352,18 @@ def warp_backward(df, warp, amount, cx, cy, radius, frequency):
         px, py = cx + dx * F.cos(angle) - dy * F.sin(angle), cy + dx * F.sin(angle) + dy * F.cos(angle)
     else:
         px, py, inside = F.col("x") + amount * radius * 0.05 * F.sin(frequency * 2 * math.pi * dy / radius), F.col("y") + 0.0, F.lit(True)
-    px, py = F.when(inside, px).otherwise(F.col("x").cast("double")), F.when(inside, py).otherwise(F.col("y").cast("double"))
-    return weighted(gather(df, df.select("x", "y"), bilinear(px, py), extent(df)), normalize=False)
+    return _sampled(df, F.when(inside, px).otherwise(F.col("x").cast("double")), F.when(inside, py).otherwise(F.col("y").cast("double")))
 
 
 @kernel("geom.move_selection", inputs=2, kind="frame", dx=0.0, dy=0.0, vacate=1)
 def move_selection(df, selection, dx, dy, vacate):
-    """``selection`` (red channel: weight) is cut out, if ``vacate``, and shown moved by (dx, dy)."""
-    held = joined(df, selection).select("x", "y", *(F.col(c).alias(c) for c in CHANNELS), F.col("b_r").alias("m"))
-    cut = held.select("x", "y", *((F.col(c) * F.col("m")).alias(c) for c in "rgb"), (F.col("a") * F.col("m")).alias("a"))
-    weight = held.select("x", "y", F.col("m").alias("r"), *(F.lit(0.0).alias(c) for c in "gba"))
-    taps = bilinear(F.col("x") - dx, F.col("y") - dy)
-    moved = weighted(gather(cut, df.select("x", "y"), taps, None, "zero"), normalize=False).select("x", "y", *(F.col(c).alias(f"p_{c}") for c in CHANNELS))
-    there = weighted(gather(weight, df.select("x", "y"), taps, None, "zero"), normalize=False).select("x", "y", F.col("r").alias("there"))
-    all_ = held.join(moved, ["x", "y"]).join(there, ["x", "y"])
-    leaving = F.greatest("there", "m") if vacate else F.col("there")
-    return all_.select("x", "y", *(clamp(F.col(c) * (1 - leaving) + F.col(f"p_{c}")).alias(c) for c in CHANNELS))
-
-
+    """``selection`` (red channel: weight) moves its share of the pixels by (dx, dy): what was there stays by 1 - leaving, where leaving is
+    the own weight, or for ``vacate`` 1 (a copy) the arriving one. Beyond the border there is nothing."""
+    held = joined(df, selection).select(*at(df), *CHANNELS, F.col("b_r").alias("m"))
+    px, py = F.col("x") - dx, F.col("y") - dy
+    own = held.select(*at(df), *(F.col(c).alias(f"c_{c}") for c in CHANNELS), "m")
+    colour = sampled(df, own, px, py, edge="zero").select(*at(df), *(f"c_{c}" for c in CHANNELS), "m", *(F.col(f"s_{c}").alias(f"p_{c}") for c in CHANNELS))
+    weight = held.select(*at(df), F.col("m").alias("r"), *(F.lit(0.0).alias(c) for c in "gba"))
+    both = sampled(weight, colour, px, py, edge="zero")
+    leaving = F.col("s_r") if vacate == 1 else F.col("m")
+    return both.select(*at(df), *((F.col(f"c_{c}") * (1 - leaving) + F.col(f"p_{c}") * F.col("s_r")).alias(c) for c in CHANNELS))

@@ -277,12 +277,12 @@ _C, _S = math.cos(math.radians(20)), math.sin(math.radians(20))
 SPATIAL = {
     "conv.box": grouped(SQUARE, "sum(q@) / 9"), "conv.gaussian_h": _gauss(1.2, 3, "x"), "conv.gaussian_v": _gauss(1.2, 3, "y"), "conv.unsharp": both("CASE WHEN abs(@ - @2) > 0.1 THEN @ + 0.8 * (@ - @2) ELSE @ END"),
     "conv.emboss": grouped(SQUARE, clamp(f"0.5 + ({pick(1, -1)} - {pick(-1, 1)}) * 1.5 * 0.5"), "t.a"), "conv.find_edges": grouped(SQUARE, clamp(f"1 - {_EDGE} * 0.8"), "t.a"),
-    "conv.lens": grouped(disc(2.0), f"sum({_LENS} * q@) / sum({_LENS})"), "conv.bilateral": grouped(_spatial(2, 1.0), f"t.@ + (sum({_BIL} * q@) / sum({_BIL}) - t.@) * 0.9", "t.a"),
+    "conv.lens": grouped(disc(2.0), f"sum({_LENS} * q@) / sum({_LENS})"), "conv.bilateral": grouped(_spatial(2, 1.0), f"t.@ + (sum({_BIL} * q@) / sum({_BIL}) - t.@) * 0.9"),
     "morph.dilate": grouped(SQUARE, "max(q@)"), "morph.erode": grouped(SQUARE, "min(q@)"), "rank.median3": grouped(SQUARE, "list_sort(list(q@))[5]"),
     "rank.despeckle": grouped(SQUARE, "t.@ + ((CASE WHEN list_sort(list(q@))[8] - list_sort(list(q@))[2] <= 0.2 THEN list_sort(list(q@))[5] ELSE t.@ END) - t.@) * 0.75", "t.a"),
     "rank.dust_scratches": grouped(square(2), "CASE WHEN abs(t.@ - list_sort(list(q@))[13]) > 0.1 THEN list_sort(list(q@))[13] ELSE t.@ END", "t.a"),
     "resample.nearest": _resized(8, 100, 0, None), "resample.mitchell": _resized(8, 100, 2, _mitchell), "resample.lanczos3": _resized(8, 100, 3, _lanczos),
-    "geom.flip_h": _moved("15 - x", "y"), "geom.flip_v": _moved("x", "499 - y"), "geom.rotate90_cw": _moved("499 - y", "x"), "geom.rotate90_ccw": _moved("y", "15 - x"),
+    "geom.flip_h": _moved("15 - x", "y"), "geom.flip_v": _moved("x", "h - y"), "geom.rotate90_cw": _moved("h - y", "x"), "geom.rotate90_ccw": _moved("y", "15 - x"),
     "geom.crop": _moved("x - 4", "y - 10", " WHERE x BETWEEN 4 AND 11 AND y BETWEEN 10 AND 109"), "geom.mosaic": gathered("SELECT x, y, floor(floor(x / 4.0) * 4 + 2) AS sx, floor(floor(y / 4.0) * 4 + 2) AS sy, 1.0 AS k FROM px", True),
     "geom.offset": gathered(bilinear("x - 2.5", "y + 1.25"), False, "wrap"),
     "geom.rotate_bilinear": gathered(bilinear(f"(x - w / 2.0) * {_C!r} + (y - h / 2.0) * {_S!r} + w / 2.0", f"(y - h / 2.0) * {_C!r} - (x - w / 2.0) * {_S!r} + h / 2.0"), False),
@@ -364,4 +364,87 @@ GENERATED = {
     "gallery.bas_relief": grouped(SQUARE, f"t.@ + ({clamp(_RELIEF)} - t.@) * 0.8", "t.a"), "gallery.texturizer": styled(*(clamp(f"{c} * {_TEX}") for c in "rgb")),
 }
 
-KERNEL_SQL = POINT | COMPOSE | ADJUST | SPATIAL | GENERATED
+# -- kernels whose places or weights take more than one step ------------------------------------------
+
+_STEPS = [i / 8 - 1 for i in range(17)]
+
+
+def _mean_of(sx: str, sy: str, source: str = "px") -> str:
+    """The mean over t = -1, -7/8 .. 1 of the pixels at (sx, sy)."""
+    steps = ", ".join(f"({t!r}::DOUBLE)" for t in _STEPS)
+    return gathered(f"SELECT x, y, round_even({sx}, 0) AS sx, round_even({sy}, 0) AS sy, 1.0 AS k FROM {source} CROSS JOIN (VALUES {steps}) o(t)", True)
+
+
+_SHARP = _spatial(2, 1.0)
+_SOFT = f"(sum(k * q@) / {sum(float(k) for _, _, k in _SHARP)!r})"
+_FLAT = f"(greatest({', '.join(f'abs(t.{c} - ' + _SOFT.replace('@', c) + ')' for c in 'rgb')}) < 0.02)"
+# the second image is the raster read from right to left: its shape is 5 wide and 4 high
+_SHAPE = f"""kernel AS (SELECT a.d AS dx, b.d AS dy, m.r AS k FROM (VALUES (-2), (-1), (0), (1), (2)) a(d) CROSS JOIN (VALUES (-2), (-1), (0), (1), (2)) b(d)
+ JOIN px m ON m.x = 15 - least(CAST(floor((a.d + 2.5) * 5 / 5.0) AS BIGINT), 4) AND m.y = least(CAST(floor((b.d + 2.5) * 4 / 5.0) AS BIGINT), 3) WHERE m.r > 0),
+ t AS (SELECT p.x, p.y, p.r, p.g, p.b, p.a, q.r AS qr, q.g AS qg, q.b AS qb, q.a AS qa, k FROM px p CROSS JOIN size CROSS JOIN kernel o JOIN px q ON q.x = least(greatest(p.x + o.dx, 0), w) AND q.y = least(greatest(p.y + o.dy, 0), h)),
+ s AS (SELECT t.x, t.y, {', '.join(f't.{c} + (sum(k * q{c}) / sum(k) - t.{c}) * 0.8 AS {c}' for c in 'rgba')} FROM t GROUP BY t.x, t.y, t.r, t.g, t.b, t.a)"""
+_QUADS = [(q, dx, dy) for q in range(4) for dy in range(-2 * (q < 2), 2 * (q > 1) + 1) for dx in range(-2 * (q % 2 == 0), 2 * (q % 2) + 1)]
+_KUWAHARA = f"""t AS (SELECT p.x, p.y, o.q, q.r AS qr, q.g AS qg, q.b AS qb FROM px p CROSS JOIN size CROSS JOIN (VALUES {', '.join(map(str, _QUADS))}) o(q, dx, dy) JOIN px q ON q.x = least(greatest(p.x + dx, 0), w) AND q.y = least(greatest(p.y + dy, 0), h)),
+ m AS (SELECT x, y, q, avg(qr) AS mr, avg(qg) AS mg, avg(qb) AS mb, greatest(avg({_QL} * {_QL}) - avg({_QL}) * avg({_QL}), 0) AS v FROM t GROUP BY x, y, q),
+ n AS (SELECT *, row_number() OVER (PARTITION BY x, y ORDER BY round(v, 12), q) AS rank FROM m), s AS (SELECT px.*, mr, mg, mb FROM px JOIN n ON n.x = px.x AND n.y = px.y AND rank = 1)"""
+
+
+def _shown(points: str, *ctes: str, shade: str = "1") -> str:
+    """Each place's pixel blended by 0.8 with the one at (sx, sy), clamped; ``points`` has x, y, sx, sy and what the shade needs."""
+    cols = ", ".join(f"px.{c} + ({f'least(greatest(q.{c} * {shade}, 0), 1)' if shade != '1' else f'q.{c}'} - px.{c}) * 0.8 AS {c}" for c in "rgb")
+    alpha = "px.a" if shade != "1" else "px.a + (q.a - px.a) * 0.8"
+    return final("s", *"rgba", SIZE, *ctes, f"pts AS ({points})", f"s AS (SELECT px.x, px.y, {cols}, {alpha} AS a FROM pts p CROSS JOIN size JOIN px ON px.x = p.x AND px.y = p.y JOIN px q ON q.x = least(greatest(p.sx, 0), w) AND q.y = least(greatest(p.sy, 0), h))")
+
+
+_ANGLE, _RAD = f"({noise('x', 'y', 5)} * 2 * pi())", f"(sqrt({noise('x', 'y', 5 ^ 668265261)}) * 3.0)"
+_DX, _DY = math.cos(math.radians(30)), -math.sin(math.radians(30))
+
+
+def _value_noise(x: str, y: str) -> list[str]:
+    """The steps of smooth noise at (x, y): places in the lattice, then their four corners mixed."""
+    u, v = (f"({f} * {f} * (3 - 2 * {f}))" for f in (f"({x} - floor({x}))", f"({y} - floor({y}))"))
+    h = lambda i, j: noise(f"floor({x}) + {i}", f"floor({y}) + {j}", 9)
+    low, high = (f"({h(0, j)} + ({h(1, j)} - {h(0, j)}) * {u})" for j in (0, 1))
+    return f"({low} + ({high} - {low}) * {v})"
+
+
+_GLASS = f"""lattice AS (SELECT x, y, {', '.join(f'{_value_noise(f"(x / 4.0 + {dx})", f"(y / 4.0 + {dy})")} AS n{k}' for k, (dx, dy) in enumerate(((0.5, 0.0), (-0.5, 0.0), (0.0, 0.5), (0.0, -0.5))))} FROM px)"""
+_SITES = f"""cell AS (SELECT x, y, x / 4.0 AS fx, y / 4.0 AS fy, floor(x / 4.0) + i AS cx, floor(y / 4.0) + j AS cy, (j + 1) * 3 + i + 1 AS n FROM px CROSS JOIN (VALUES (-1), (0), (1)) a(i) CROSS JOIN (VALUES (-1), (0), (1)) b(j)),
+ site AS (SELECT x, y, fx, fy, n, cx + {noise('cx', 'cy', 3)} AS sx, cy + {noise('cx', 'cy', 3 ^ 3037000493)} AS sy FROM cell),
+ far AS (SELECT *, sqrt((fx - sx) * (fx - sx) + (fy - sy) * (fy - sy)) AS d FROM site), ranked AS (SELECT *, row_number() OVER (PARTITION BY x, y ORDER BY d, n) AS rank FROM far)"""
+_PANES = """SELECT a.x, a.y, a.x + least(greatest(round_even(a.sx * 4 - a.x, 0), -24), 24) AS sx, a.y + least(greatest(round_even(a.sy * 4 - a.y, 0), -24), 24) AS sy, (b.d - a.d) * 0.5 AS gap FROM ranked a JOIN ranked b ON a.x = b.x AND a.y = b.y AND a.rank = 1 AND b.rank = 2"""
+
+
+def _pattern() -> str:
+    """The corner of 5 x 3 of the raster read from right to left, turned by 25 degrees and scaled by 1.7, over the raster at 0.6."""
+    c, s = math.cos(math.radians(25)), math.sin(math.radians(25))
+    qx, qy = "(x + 0.5 - 1.25)", "(y + 0.5 + 2.5)"
+    places = f"SELECT x, y, ({qx} * {c!r} + {qy} * {s!r}) / 1.7 - 0.5 AS fx, ({qy} * {c!r} - {qx} * {s!r}) / 1.7 - 0.5 AS fy FROM px"
+    wrap = lambda v, n: f"(CAST(({v}) % {n} AS BIGINT) + {n}) % {n}"
+    taps_ = f"""SELECT x, y, {wrap('floor(fx) + i', 5)} AS sx, {wrap('floor(fy) + j', 3)} AS sy, (CASE WHEN i = 1 THEN fx - floor(fx) ELSE 1 - fx + floor(fx) END) * (CASE WHEN j = 1 THEN fy - floor(fy) ELSE 1 - fy + floor(fy) END) AS k
+ FROM ({places}) CROSS JOIN (VALUES (0), (1)) a(i) CROSS JOIN (VALUES (0), (1)) b(j)"""
+    mixed = ", ".join(f"sum(k * q.{c}) AS s{c}" for c in "rgba")
+    return final("m", *(f"s{c} * 0.6 + {c} * (1 - sa * 0.6)" for c in "rgb"), "sa * 0.6 + a * (1 - sa * 0.6)", f"t AS ({taps_})", f"u AS (SELECT t.x, t.y, {mixed} FROM t JOIN px q ON q.x = 15 - t.sx AND q.y = t.sy GROUP BY t.x, t.y)", "m AS (SELECT px.*, sr, sg, sb, sa FROM px JOIN u ON u.x = px.x AND u.y = px.y)")
+
+
+def _move_selection() -> str:
+    """The raster read from right to left selects by its red channel; what it selects arrives at (2.5, -1.25)."""
+    c = bilinear("x - 2.5", "y + 1.25", "px")
+    sums = ", ".join([*(f"sum(k * coalesce(q.{c}, 0)) AS p{c}" for c in "rgba"), "sum(k * coalesce(m.r, 0)) AS there"])
+    return final("s", *(f"{c} * (1 - there) + p{c} * there" for c in "rgba"), f"t AS ({c})", f"u AS (SELECT t.x, t.y, {sums} FROM t LEFT JOIN px q ON q.x = t.sx AND q.y = t.sy LEFT JOIN px m ON m.x = 15 - t.sx AND m.y = t.sy GROUP BY t.x, t.y)", "s AS (SELECT px.*, pr, pg, pb, pa, there FROM px JOIN u ON u.x = px.x AND u.y = px.y)")
+
+
+_MDX, _MDY = math.cos(math.radians(35)) * 3.5, -math.sin(math.radians(35)) * 3.5
+_RADIAL = "(SELECT x, y, mx, my, rad, atan2(y - my, x - mx) AS ang FROM (SELECT x, y, (w + 1) * 0.5 AS mx, (h + 1) * 0.5 AS my, sqrt((x - (w + 1) * 0.5) * (x - (w + 1) * 0.5) + (y - (h + 1) * 0.5) * (y - (h + 1) * 0.5)) AS rad FROM px CROSS JOIN size))"
+
+STEPPED = {
+    "conv.motion": _mean_of(f"x + t * {_MDX!r}", f"y + t * {_MDY!r}"), "conv.radial": _mean_of("mx + cos(ang + t * 0.1) * rad", "my + sin(ang + t * 0.1) * rad", _RADIAL),
+    "conv.smart_sharpen": grouped(_SHARP, f"CASE WHEN {_FLAT} THEN t.@ ELSE {clamp(f't.@ + {clamp(f'(t.@ - {_SOFT}) * 1.5', '-0.2', '0.2')}')} END", "t.a"),
+    "conv.shape": final("s", *"rgba", SIZE, _SHAPE), "geom.move_selection": _move_selection(), "gen.pattern": _pattern(),
+    "gallery.kuwahara": final("s", *(f"{c} + ({clamp('m' + c)} - {c}) * 0.8" for c in "rgb"), "a", SIZE, _KUWAHARA),
+    "gallery.diffuse": _shown(f"SELECT x, y, x + round_even(cos(ang) * rad * {_DX!r} - sin(ang) * rad * 0.75 * {_DY!r}, 0) AS sx, y + round_even(cos(ang) * rad * {_DY!r} + sin(ang) * rad * 0.75 * {_DX!r}, 0) AS sy FROM (SELECT x, y, {_ANGLE} AS ang, {_RAD} AS rad FROM px)"),
+    "gallery.glass": _shown("SELECT x, y, x + least(greatest(round_even((n0 - n1) * 6.0, 0), -16), 16) AS sx, y + least(greatest(round_even((n2 - n3) * 6.0, 0), -16), 16) AS sy FROM lattice", _GLASS),
+    "gallery.stained_glass": _shown(_PANES, _SITES, shade=f"(1 - (1 - {smooth(0, 0.1, 'gap')}))"),
+}
+
+KERNEL_SQL = POINT | COMPOSE | ADJUST | SPATIAL | GENERATED | STEPPED

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridspark.functions.pixel import CHANNELS, Px, mix
+from gridspark.plans.stencil import at
 
 
 class Kernel(NamedTuple):
@@ -33,14 +34,14 @@ def kernel(name: str, inputs: int = 1, kind: str = "point", **params):
 
 
 def joined(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Both pixels of a place; a missing second one is transparent black."""
-    second = b.select("x", "y", *(F.col(c).alias(f"b_{c}") for c in CHANNELS))
-    both = a.join(second, ["x", "y"], "left")
+    """Both pixels of a place; a missing second one is transparent black. A second raster without ``image_id`` is one for all images."""
+    second = b.select(*at(b), *(F.col(c).alias(f"b_{c}") for c in CHANNELS))
+    both = a.join(second, at(b), "left")
     return both.withColumns({f"b_{c}": F.coalesce(f"b_{c}", F.lit(0.0)) for c in CHANNELS})
 
 
 def apply(df: DataFrame, name: str, other: DataFrame | None = None, mask: DataFrame | None = None, **params) -> DataFrame:
-    """x, y, r, g, b, a of a kernel's result over ``df``; ``mask`` (x, y, m) weighs it against the first input, 1 where absent."""
+    """x, y, r, g, b, a (and image_id, level, if ``df`` has them) of a kernel's result over ``df``; ``mask`` (x, y, m) weighs it against the first input, 1 where absent."""
     k = KERNELS[name]
     unknown = set(params) - set(k.params)
     if unknown:
@@ -59,7 +60,7 @@ def apply(df: DataFrame, name: str, other: DataFrame | None = None, mask: DataFr
         rows = joined(df, out)
         result = Px.of("b_")
     if mask is not None:
-        rows = rows.join(mask.select("x", "y", "m"), ["x", "y"], "left")
+        rows = rows.join(mask.select(*at(mask), "m"), at(mask), "left")
         m = F.coalesce("m", F.lit(1.0))
         result = Px.of().zip(result, lambda before, after: mix(before, after, m))
-    return result.select(rows, "x", "y")
+    return result.select(rows, *at(rows))

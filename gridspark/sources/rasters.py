@@ -17,6 +17,11 @@ def px_embed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cells.select(F.col("x").cast("bigint").alias("x"), F.col("vec_id").alias("y"), *(F.coalesce(value(i), F.lit(0.0)).alias(c) for i, c in enumerate("rgba")))
 
 
+def height(spark: SparkSession, sf_dir: str) -> int:
+    """Rows of the raster of embeddings: the greatest vec_id, which Parquet's footers have."""
+    return int(spark.read.parquet(f"{sf_dir}/embeddings.parquet").agg(F.coalesce(F.max("vec_id") + 1, F.lit(0))).first()[0])
+
+
 def mirrored(px: DataFrame) -> DataFrame:
     """The raster read from right to left: a second input of the same extent."""
     return px.withColumn("x", F.lit(WIDTH - 1).cast("bigint") - F.col("x"))

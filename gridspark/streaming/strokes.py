@@ -68,27 +68,48 @@ def dab_stream(samples: DataFrame, step: float) -> DataFrame:
     return samples.groupBy("stroke").applyInPandasWithState(run, "stroke bigint, n bigint, x double, y double, pressure double", _STATE, "append", GroupStateTimeout.NoTimeout)
 
 
-def tip(distance: Column, radius: Column, hardness: float) -> Column:
-    """Coverage of a round tip: full inside hardness * radius, falling smoothly over the rest and at least one pixel."""
-    hard = F.least(radius * hardness, radius - 0.5)
-    t = F.least(F.greatest((radius + 0.5 - distance) / F.greatest(radius + 0.5 - hard, F.lit(1.0)), F.lit(0.0)), F.lit(1.0))
-    return t * t * (3 - 2 * t)
+def tip(distance: Column, radius: Column, hardness: float, pencil: bool = False) -> Column:
+    """Coverage of a round tip: full inside hardness * radius, falling smoothly to none at the radius, over one pixel at least; a pencil's has no slope."""
+    if pencil:
+        return F.when((radius > 0) & (distance <= radius), 1.0).otherwise(0.0)
+    t = F.least(F.greatest((radius - distance) / F.greatest(radius - radius * min(max(hardness, 0.0), 1.0), F.lit(1.0)), F.lit(0.0)), F.lit(1.0))
+    return F.when(radius > 0, t * t * (3 - 2 * t)).otherwise(0.0)
 
 
-def stamp(dabs: DataFrame, radius: float, flow: float, hardness: float = 0.8, by_pressure: bool = True) -> DataFrame:
-    """stroke, x, y, cover: 1 less the product over dabs of (1 - flow * tip). Dabs explode into the pixels of their footprint; the product is an order-free aggregate."""
+def stamp(dabs: DataFrame, radius: float, flow: float, hardness: float = 0.8, by_pressure: bool = True, flow_by_pressure: bool = False, pencil: bool = False) -> DataFrame:
+    """stroke, x, y, cover: 1 less the product over dabs of (1 - flow * tip), the tip taken at the pixels' centres.
+    Dabs explode into the pixels of their footprint; the product is an order-free aggregate."""
     size = F.col("pressure") * radius if by_pressure else F.lit(float(radius))
-    d = dabs.select("stroke", "x", "y", F.greatest(size, F.lit(0.5)).alias("size"))
-    reach = F.ceil(F.col("size") + 1)
-    span = lambda c: F.explode(F.sequence((F.floor(c) - reach).cast("bigint"), (F.floor(c) + reach).cast("bigint")))
-    cells = d.withColumn("px", span(F.col("x"))).withColumn("py", span(F.col("y")))
-    far = F.sqrt((F.col("px") - F.col("x")) * (F.col("px") - F.col("x")) + (F.col("py") - F.col("y")) * (F.col("py") - F.col("y")))
-    hit = cells.withColumn("c", flow * tip(far, F.col("size"), hardness)).where("c > 0")
+    ink = F.col("pressure") * flow if flow_by_pressure else F.lit(float(flow))
+    d = dabs.select("stroke", "x", "y", size.alias("size"), ink.alias("ink")).where("size > 0")
+    span = lambda c: F.explode(F.sequence(F.floor(F.col(c) - F.col("size") - 0.5).cast("bigint"), F.ceil(F.col(c) + F.col("size") - 0.5).cast("bigint")))
+    cells = d.withColumn("px", span("x")).withColumn("py", span("y"))
+    dx, dy = F.col("px") + 0.5 - F.col("x"), F.col("py") + 0.5 - F.col("y")
+    hit = cells.withColumn("c", F.col("ink") * tip(F.sqrt(dx * dx + dy * dy), F.col("size"), hardness, pencil)).where("c > 0")
     full = F.bool_or(F.col("c") >= 1)
     log = F.sum(F.when(F.col("c") < 1, F.log1p(-F.col("c"))).otherwise(0.0))
     return hit.groupBy("stroke", F.col("px").alias("x"), F.col("py").alias("y")).agg(F.when(full, 1.0).otherwise(1 - F.exp(log)).alias("cover"))
 
 
+def effective_cover(cover: DataFrame, opacity: float = 1.0, selection: DataFrame | None = None) -> DataFrame:
+    """x, y, cover of a stroke: its own, times its opacity, times the selection (x, y, cov 0..255) where there is one."""
+    rows = cover.select("x", "y", F.col("cover"))
+    if selection is not None:
+        rows = rows.join(selection.select("x", "y", "cov"), ["x", "y"], "left").withColumn("cover", F.col("cover") * F.coalesce("cov", F.lit(0)) / 255)
+    return rows.select("x", "y", (F.col("cover") * min(max(opacity, 0.0), 1.0)).alias("cover")).where("cover > 0")
+
+
+def paint(px: DataFrame, cover: DataFrame, colour: tuple[float, float, float], erase: bool = False) -> DataFrame:
+    """The raster (straight colour) with a stroke's effective cover: the colour over it, or alpha taken away."""
+    rows = px.join(cover.select("x", "y", "cover"), ["x", "y"], "left")
+    k = F.coalesce("cover", F.lit(0.0))
+    if erase:
+        return rows.select("x", "y", *"rgb", (F.col("a") * (1 - k)).alias("a"))
+    alpha = k + F.col("a") * (1 - k)
+    over = [F.when(alpha == 0, 0.0).otherwise((F.lit(float(v)) * k + F.col(c) * F.col("a") * (1 - k)) / F.when(alpha == 0, 1.0).otherwise(alpha)).alias(c) for c, v in zip("rgb", colour, strict=True)]
+    return rows.select("x", "y", *over, alpha.alias("a"))
+
+
 def stroke_windows(samples: DataFrame, gap: str = "6 hours", late: str = "1 day") -> DataFrame:
     """Stroke length and samples by session, with a watermark on streams; an addition of this library."""
     rows = samples.withColumn("ts", F.col("ts").cast("timestamp"))
