@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from gridspark.functions.pixel import CHANNELS, Px, clamp, hash01, num
+from gridspark.functions.pixel import CHANNELS, Px, clamp, hash01, let, num
 from gridspark.operators.point import source_over
 from gridspark.plans.registry import kernel
 from gridspark.plans.stencil import at, sizes
@@ -69,11 +69,14 @@ def polynomial_atan2(y: Column, x: Column) -> Column:
     ax, ay = F.abs(x), F.abs(y)
     high = F.greatest(ax, ay)
     z = F.when(high == 0, 0.0).otherwise(F.least(ax, ay) / F.when(high == 0, 1.0).otherwise(high))
-    s = z * z
-    p = num(ATAN[4])
-    for k in reversed(ATAN[:4]):
-        p = p * s + k
-    angle = p * z
+
+    def odd(z: Column) -> Column:
+        s, p = z * z, num(ATAN[4])
+        for k in reversed(ATAN[:4]):
+            p = p * s + k
+        return p * z
+
+    angle = let(z, odd)
     angle = F.when(ay > ax, math.pi / 2 - angle).otherwise(angle)
     angle = F.when(x < 0, math.pi - angle).otherwise(angle)
     return F.when(y < 0, -angle).otherwise(angle)

@@ -87,9 +87,12 @@ def lossless_shape(df: DataFrame) -> DataFrame:
 
 
 def content_hash(df: DataFrame) -> DataFrame:
-    """An order-independent digest of a raster (not the byte hash of an encoded file)."""
-    row = F.xxhash64("x", "y", *(F.round(F.col(c), 6) for c in CHANNELS))
-    return df.agg(F.count("*").alias("n"), F.bit_xor(row).alias("digest"))
+    """n and an order-independent digest of a raster's places and bytes (not the byte hash of an encoded file)."""
+    prime = 2147483647
+    b = [to_byte(F.col(c)) for c in CHANNELS]
+    word = (((b[0] * 256 + b[1]) * 256 + b[2]) * 256 + b[3]) % prime
+    mixed = ((F.col("x") * 73856093 + F.col("y") * 19349663) % prime * 31 + word) % prime * 48271 % prime
+    return df.agg(F.count("*").alias("n"), F.coalesce(F.sum(mixed * mixed % prime), F.lit(0)).alias("digest"))
 
 
 def bounds(coverage: DataFrame) -> DataFrame:

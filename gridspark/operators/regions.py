@@ -6,12 +6,19 @@ join a raster with a moved copy of itself on (x, y).
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridspark.functions.pixel import CHANNELS
+import gridspark.operators.spatial  # noqa: F401
+from gridspark.functions.pixel import CHANNELS, Px, clamp, hash01, let, mix, num, premultiply, unpremultiply
+from gridspark.operators.generators import polynomial_atan2
+from gridspark.operators.point import source_over
+from gridspark.operators.reduce import to_byte
+from gridspark.plans.registry import apply
+from gridspark.plans.stencil import sizes
 
 
 def crop(px: DataFrame, x0: int, y0: int, width: int, height: int) -> DataFrame:
@@ -44,14 +51,56 @@ def clone(px: DataFrame, cover: DataFrame, dx: int, dy: int) -> DataFrame:
     return joined.select("x", "y", *mixed)
 
 
-def fill_linear(px: DataFrame, cover: DataFrame, start: tuple[float, ...], stop: tuple[float, ...]) -> DataFrame:
-    """Fills a selection with an opaque gradient from the left to the right edge of its bounds."""
-    bounds = cover.where("cov > 0").agg(F.min("x").alias("left"), F.max("x").alias("right"))  # one row
-    joined = px.join(cover.select("x", "y", (F.col("cov") / 255).alias("m")), ["x", "y"], "left").crossJoin(F.broadcast(bounds))
-    t = F.least(F.greatest((F.col("x") + 0.5 - F.col("left")) / (F.col("right") - F.col("left") + 1), F.lit(0.0)), F.lit(1.0))
-    m = F.coalesce("m", F.lit(0.0))
-    colours = [F.when(m > 0, F.col(c) + (F.lit(a) + (b - a) * t - F.col(c)) * m).otherwise(F.col(c)).alias(c) for c, a, b in zip("rgb", start, stop, strict=True)]
-    return joined.select("x", "y", *colours, F.when(m > 0, F.col("a") + (1 - F.col("a")) * m).otherwise(F.col("a")).alias("a"))
+def _between(p: float, q: float):
+    return lambda t: num(p) + (num(q) - num(p)) * t
+
+
+def fill(px: DataFrame, cover: DataFrame, kind: str, c0: tuple[float, ...] = (0.0, 0.0, 0.0, 1.0), c1: tuple[float, ...] = (1.0, 1.0, 1.0, 1.0), amount: float = 1.0, seed: int = 1) -> DataFrame:
+    """Fills a selection (x, y, cov) of a straight raster: ``linear``, ``radial``, ``angular``, ``reflected`` or ``diamond`` from c0 to c1
+    (straight RGBA) over the bounds of the selection, or over the image where nothing is selected; ``noise`` or ``solid``."""
+    bounds = cover.where("cov > 0").agg(F.min("x").alias("x0"), F.min("y").alias("y0"), (F.max("x") + 1).alias("x1"), (F.max("y") + 1).alias("y1"))
+    whole = sizes(px.select("x", "y"))
+    frame = bounds.crossJoin(whole).select(*(F.coalesce(k, d).cast("double").alias(f"f_{k}") for k, d in (("x0", F.lit(0)), ("y0", F.lit(0)), ("x1", F.col("w")), ("y1", F.col("h")))))
+    rows = px.join(cover.select("x", "y", (F.col("cov") / 255).alias("m")), ["x", "y"], "left").crossJoin(F.broadcast(frame))  # one row
+    w, h = F.col("f_x1") - F.col("f_x0"), F.col("f_y1") - F.col("f_y0")
+    dx, dy, half = F.col("x") - (F.col("f_x0") + w / 2), F.col("y") - (F.col("f_y0") + h / 2), F.greatest(w, h, num(1)) / 2
+    t = {
+        "linear": (F.col("x") - F.col("f_x0")) / w, "reflected": F.abs(dx) / (w / 2), "radial": F.sqrt(dx * dx + dy * dy) / half,
+        "diamond": (F.abs(dx) + F.abs(dy)) / half, "angular": (polynomial_atan2(dy, dx) + math.pi) / (2 * math.pi),
+    }.get(kind)
+    if kind == "noise":
+        v = hash01(F.col("x"), F.col("y"), seed) * amount
+        made = Px(v, v, v, num(1))
+    else:
+        ends = [[v * c[3] for v in c[:3]] + [c[3]] for c in (c0, c0 if kind == "solid" else c1)]
+        place = clamp(t) if t is not None else num(0)
+        made = Px(*(let(place, _between(p, q)) for p, q in zip(*ends, strict=True)))
+    base, m = premultiply(Px.of()), F.coalesce("m", num(0))
+    over = source_over(base, made, lambda b, s: s, 1.0)
+    return unpremultiply(base.zip(over, lambda p, q: mix(p, q, m))).select(rows, "x", "y")
+
+
+def straighten(px: DataFrame, degrees: float, x0: int, y0: int, width: int, height: int) -> DataFrame:
+    """The raster turned around its middle (bilinear, borders repeated), then cut."""
+    return crop(apply(px, "geom.rotate_bilinear", degrees=degrees), x0, y0, width, height)
+
+
+def curve_bytes(px: DataFrame, lut: list[int], cover: DataFrame | None = None) -> DataFrame:
+    """x, y and the channels as bytes after a 256-entry table; with a selection, (byte * (255 - cov) + mapped * cov + 127) div 255."""
+    rows = px.select("x", "y", *(to_byte(F.col(c)).alias(c) for c in CHANNELS))
+    table = F.array(*(F.lit(int(v)) for v in lut))
+    mapped = {c: F.get(table, F.col(c).cast("int")).cast("bigint") for c in "rgb"}
+    if cover is None:
+        return rows.select("x", "y", *(v.alias(c) for c, v in mapped.items()), "a")
+    rows = rows.join(cover.select("x", "y", "cov"), ["x", "y"], "left")
+    m = F.coalesce("cov", F.lit(0))
+    return rows.select("x", "y", *(F.floor((F.col(c) * (255 - m) + v * m + 127) / 255).alias(c) for c, v in mapped.items()), "a")
+
+
+def cmyk_to_rgba(df: DataFrame) -> DataFrame:
+    """x, y and bytes r, g, b, a of ink bytes c, m, y_ink, k, by the device formula (no profile)."""
+    paper = lambda ink: F.floor((1 - F.col(ink) / 255) * (1 - F.col("k") / 255) * 255 + 0.5).cast("bigint")
+    return df.select("x", "y", paper("c").alias("r"), paper("m").alias("g"), paper("y_ink").alias("b"), F.lit(255).cast("bigint").alias("a"))
 
 
 def outline(cover: DataFrame, least: int = 128) -> DataFrame:

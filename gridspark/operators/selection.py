@@ -101,9 +101,12 @@ def connected(places: DataFrame, seeds: DataFrame) -> DataFrame:
     labels = _settled(runs.select(*keys, "node", F.col("node").alias("label")))
     while True:
         near = edges.join(labels.withColumnRenamed("node", "b"), [*keys, "b"]).groupBy(*keys, F.col("a").alias("node")).agg(F.min("label").alias("near"))
-        met = labels.join(near, [*keys, "node"], "left").select(*keys, "node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
+        met = labels.join(near, [*keys, "node"], "left").select(*keys, "node", "label", F.coalesce(F.least("label", "near"), "label").alias("least"))
+        # what a node hears is also told to the node that its label names, so that whole trees are hung up at once
+        told = met.select(*keys, "node", "least", F.col("label").alias("old")).unionByName(met.select(*keys, F.col("label").alias("node"), "least", F.lit(None).cast(met.schema["label"].dataType).alias("old")))
+        hung = told.groupBy(*keys, "node").agg(F.min("least").alias("label"), F.max("old").alias("old"))
         jump = labels.select(*keys, F.col("node").alias("label"), F.col("label").alias("far"))
-        new = _settled(met.join(jump, [*keys, "label"]).select(*keys, "node", "old", F.least("label", "far").alias("label")))
+        new = _settled(hung.join(jump, [*keys, "label"]).select(*keys, "node", "old", F.least("label", "far").alias("label")))
         labels = new.drop("old")
         if new.where("old != label").isEmpty():
             break
@@ -132,9 +135,9 @@ def feather(cov: DataFrame, sigma: float, width: int, height: int) -> DataFrame:
     return soft.select("x", "y", F.least(F.greatest(F.round("r"), F.lit(0.0)), F.lit(255.0)).cast("bigint").alias("cov"))
 
 
-def as_mask(cov: DataFrame) -> DataFrame:
-    """x, y, m for the masked operators."""
-    return cov.select("x", "y", (F.col("cov") / 255).alias("m"))
+def mask_window(cov: DataFrame, df: DataFrame) -> DataFrame:
+    """x, y, m for the masked operators: the selection over the places of a raster, 0 where it has none."""
+    return df.select(*at(df)).join(cov.select(*at(cov), "cov"), at(cov), "left").select(*at(df), (F.coalesce("cov", F.lit(0)) / 255).alias("m"))
 
 
 def quick_select(df: DataFrame, painted: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ SIZE = "size AS (SELECT max(x) AS w, max(y) AS h FROM px)"
 
 
 def final(source: str, r: str, g: str, b: str, a: str, *ctes: str, where: str = "") -> str:
-    cols = ", ".join(f"round({e}, 6) + 0.0 AS {c}" for c, e in zip("rgba", (r, g, b, a), strict=True))
+    cols = ", ".join(f"round(({e})::DOUBLE, 6) + 0.0 AS {c}" for c, e in zip("rgba", (r, g, b, a), strict=True))
     return f"WITH {', '.join((PX, *ctes))} SELECT CAST(x AS BIGINT) AS x, CAST(y AS BIGINT) AS y, {cols} FROM {source}{where}"
 
 
