@@ -4,9 +4,8 @@ import duckdb
 import pytest
 
 import corpus_pipeline
-from gridspark.llm import line_dedup
 from gridspark.llm.queries import ORACLE_SQL, QUERIES
-from tests.llm.test_operators import plain_line_dedup, similarity
+from tests.llm.test_operators import plain_passage_dedup, similarity
 
 SF = "/root/testdata/sf0.001"
 
@@ -37,9 +36,8 @@ def test_toxic_documents_go(spark, stages):
 
 def test_lines(stages):
     before, after = stages["line_dedup"]
-    want = plain_line_dedup([(r.doc_id, r.text) for r in before.collect()])
+    want = plain_passage_dedup([(r.doc_id, r.text) for r in before.collect()])
     assert {r.doc_id: r.text for r in after.collect()} == {i: t for (i, _), t in want.items()}
-    assert line_dedup.WINDOW >= 1
 
 
 def test_one_of_each_class_stays(stages):
