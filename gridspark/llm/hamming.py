@@ -27,8 +27,9 @@ from gridspark.llm.common import Scratch
 
 BITS, SEGMENTS = 64, 4
 K = 10
-#: Vectors in a shard of the index (between these bounds, growing with the table) and queries in a block.
-SHARD, QUERIES_AT_ONCE = (16_384, 4_000_000), 256
+#: Vectors in a shard of the index and queries in a block (between these bounds, growing with the table). Every block meets every
+#: shard, so the index is sent out once for each block: ``BLOCKS`` times, as long as blocks are below their upper bound.
+SHARD, QUERIES_AT_ONCE, BLOCKS = (16_384, 4_000_000), (256, 500_000), 64
 
 
 def code_of(embedding: Column) -> Column:
@@ -94,7 +95,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = K, m: int = SEGMENTS) -
     few = coded.select("vec_id", "code").withColumn("place", rank).where(F.col("place") <= k + 1).select("vec_id", "code").distinct()
     # every block of queries meets every shard of the index; a shard answers exactly, by its own multi-index
     shards = -(-n // min(max(n // 64, SHARD[0]), SHARD[1])) or 1
-    blocks = -(-n_queries // QUERIES_AT_ONCE) or 1
+    blocks = -(-n_queries // min(max(n_queries // BLOCKS, QUERIES_AT_ONCE[0]), QUERIES_AT_ONCE[1])) or 1
 
     def dealt(df, column, mine, its_own, other, others):
         own = F.pmod(F.xxhash64(column), F.lit(mine)).cast("int").alias(its_own)

@@ -42,8 +42,9 @@ def leftmost_least(values: np.ndarray, width: int) -> np.ndarray:
     n = len(values) - width + 1
     if n <= 0:
         return np.zeros(0, np.int64)
-    # the low bits of a value hold its place, so that the least value carries it along
-    bits = np.uint64(int(len(values)).bit_length())
+    # the low bits of a value hold its place, so that the least value carries it along; as many for every text, so that
+    # equal strings choose alike in short and long ones (the first place, where the upper 32 bits are equal)
+    bits = np.uint64(32)
     packed = ((values >> bits) << bits) | np.arange(len(values), dtype=np.uint64)
     span = 1
     while span * 2 <= width:

@@ -627,6 +627,16 @@ def test_repeats_against_brute_force(spark, length):
     assert repeats.remove_repeats(frame(spark, []), length).count() == 0
 
 
+def test_triggers_do_not_depend_on_the_length_of_a_text():
+    """Near ties: values that differ in their low bits only."""
+    values = (np.uint64(7) << np.uint64(40)) + np.random.default_rng(4).integers(0, 1 << 36, 300).astype(np.uint64)
+    alone = repeats.leftmost_least(values, 40)
+    for before, after in ((1, 5), (5000, 100_000), (100_000, 3)):
+        rest = np.random.default_rng(before).integers(0, 1 << 63, before + after).astype(np.uint64)
+        inside = repeats.leftmost_least(np.concatenate([rest[:before], values, rest[before:]]), 40)
+        assert (inside[before : before + len(alone)] - before).tolist() == alone.tolist()
+
+
 def test_leftmost_least():
     rng = np.random.default_rng(1)
     values = rng.integers(0, 2**63, 500, dtype=np.uint64)
