@@ -80,10 +80,16 @@ class WordEncoder:
         new = (keys, self.used + np.cumsum(lengths) - lengths, lengths, self.filled + np.cumsum(sizes) - sizes, sizes)
         self.used, self.filled = self.used + len(flat), self.filled + len(raw)
         old, young = self.tiers
-        young = tuple(np.concatenate(x) for x in zip(young, new, strict=True))
-        if len(young[0]) > 50_000 + len(old[0]) // 8:
-            old, young = tuple(np.concatenate(x) for x in zip(old, young, strict=True)), tuple(x[:0] for x in young)
-        self.tiers = [tuple(x[order] for x in tier) for tier in (old, young) for order in [np.argsort(tier[0], kind="stable")]]
+
+        def merged(tier, more):
+            both = tuple(np.concatenate(x) for x in zip(tier, more, strict=True))
+            order = np.argsort(both[0], kind="stable")
+            return tuple(x[order] for x in both)
+
+        young = merged(young, new)
+        if len(young[0]) > 50_000 + len(old[0]) // 8:  # the large tier is sorted anew only when it grows
+            old, young = merged(old, young), tuple(x[:0] for x in young)
+        self.tiers = [old, young]
 
     def _plain(self, raw: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids and each word's number of ids, by the words themselves: what decides where hashes clash."""
