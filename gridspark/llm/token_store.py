@@ -53,8 +53,10 @@ def train_dictionary(docs: DataFrame, vocabulary: str, end_id: int, width: int,
     """A zstandard dictionary from the serialized ids of a hash sample of documents; empty if there is too little to learn from."""
     import zstandard
 
-    hashed = docs.select(text_of(docs).alias("text")).withColumn("hash", F.xxhash64("text"))
-    picked = hashed.where("text != ''").orderBy("hash", "text").limit(sample).select("hash", "text")
+    hashed = docs.select(text_of(docs).alias("text")).where("text != ''").withColumn("hash", F.xxhash64("text"))
+    # the hashes alone meet to find the bound; then one text of each hash below it
+    bound = hashed.select("hash").distinct().orderBy("hash").limit(sample).agg(F.max("hash")).first()[0]
+    picked = hashed.where(F.col("hash") <= F.lit(bound)).dropDuplicates(["hash"]).select("hash", "text")
 
     def run(batches):
         for rows, buf, offsets in slices(batches):
