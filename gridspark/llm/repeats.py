@@ -6,12 +6,22 @@ and the bytes that such strings cover are removed.
 Parsing: the position with the least rolling hash among the first ``GAP`` of a string triggers a
 phrase; it depends on the string's own bytes only, so equal strings are parsed alike wherever they
 stand. All starts with one trigger form a run, and a run's context - from its first start to the end of
-its last string - is an entry of the dictionary. A context that occurs twice needs no look inside: all
-its strings repeat. Only contexts that share what follows their trigger with another, different
-context are sorted out string by string, one copy of each: this is where suffixes of the dictionary
-entries with a common prefix of ``length`` bytes meet. They meet by hashes of those prefixes within
-their class, not in lexicographic order: no global suffix array is built, as nothing here needs
-the order itself, and every class is a small group of a Spark shuffle.
+its last string - is an entry of the dictionary, told apart by a 128-bit BLAKE2b digest. A context that
+occurs twice needs no look inside: all its strings repeat. Only contexts that share what follows their
+trigger with another, different context form a class whose strings have to be looked at.
+
+Suffix order: a string that starts ``d`` bytes before its trigger is a suffix of a phrase followed by
+the parse from the trigger on. So the entries of a class are put in order twice, as bytes: by what
+stands before the trigger, read backwards (suffixes of the phrases), and by what follows it (suffixes
+of the parse). The common prefixes of neighbours in both orders give, for each ``d``, the rank of a
+string's phrase suffix and of its parse suffix, and strings are equal if both ranks are. Equal strings
+are always in one class, so classes are ordered each for itself and never against one another: what
+the corpus order would add - which class comes first - decides nothing here.
+
+A class of more than ``together`` entries is parsed finer: the starts of its runs are dealt by their
+distance from the trigger into ``FINER`` widths, each with a longer common part, and such parts form
+classes of their own; at last each string is an entry, and only digests are counted. So no task
+compares more than ``together`` entries at a time, whatever repeats.
 
 Null texts are empty. Strings never cross documents. Rows equal in doc_id and text are two documents
 that repeat each other (null ids equal one another); each keeps its row. Other columns are kept, an
@@ -21,10 +31,10 @@ empty table gives no rows. Long texts are parsed whole.
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,9 +42,10 @@ from gridspark.llm.common import ByteHash, Scratch, release, slices
 from gridspark.llm.line_dedup import keyed
 
 GAP, GRAM = 192, 12
-#: Contexts of one class that one group compares; larger classes are dealt out by the strings' hashes.
+#: Entries of one class that are compared together; the runs of larger classes are cut to the widths that follow, in turn.
 TOGETHER = 4096
-_GRAM_HASH, _HASH, _OTHER = ByteHash(seed=61), ByteHash(seed=67), ByteHash(seed=71)
+FINER = (24, 1)
+_GRAM_HASH, _HASH = ByteHash(seed=61), ByteHash(seed=67)
 
 
 def leftmost_least(values: np.ndarray, width: int) -> np.ndarray:
@@ -77,124 +88,192 @@ def contexts(buf: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndar
     return tuple(np.concatenate(x).astype(np.int64) for x in (rows, places, first, last))
 
 
+_PIECE = "_id bigint, _th bigint, first int, last int, at int, tail bigint, high bigint, low bigint"
+
+
+def _pieces(rows: pa.RecordBatch, buf: np.ndarray, offsets: np.ndarray, runs: tuple[np.ndarray, ...], length: int, width: int) -> pa.RecordBatch:
+    """Rows of ``_PIECE``: the runs, cut where the distance from the trigger is a multiple of ``width``, with the hash of
+    what all strings of such a piece share and the digest of its context."""
+    row, place, first, last = runs
+    begin = offsets[row]
+    near, far = (place - last) // width, (place - first) // width
+    of = np.repeat(np.arange(len(row)), far - near + 1)
+    part = near[of] + np.arange(len(of)) - np.repeat(np.cumsum(far - near + 1) - (far - near + 1), far - near + 1)
+    row, place, begin = row[of], place[of], begin[of]
+    first, last = np.maximum(first[of], place - part * width - width + 1), np.minimum(last[of], place - part * width)
+    shared = begin + place - part * width
+    tail = _HASH.ranges(_HASH.prefix(buf), shared, shared + length - width + 1)
+    raw = memoryview(buf)
+    digests = b"".join(hashlib.blake2b(raw[x:y], digest_size=16).digest() for x, y in zip((begin + first).tolist(), (begin + last + length).tolist(), strict=True))
+    digests = np.frombuffer(digests, np.int64).reshape(-1, 2)
+    take = pa.array(row)
+    numbers = [pa.array(x.astype(np.int32)) for x in (first, last, place)]
+    hashes = [pa.array(x) for x in (tail.view(np.int64), digests[:, 0].copy(), digests[:, 1].copy())]
+    return pa.RecordBatch.from_arrays([rows.column(1).take(take), rows.column(2).take(take), *numbers, *hashes], [c.split()[0] for c in _PIECE.split(", ")])
+
+
 def _parsed(texts: DataFrame, length: int) -> DataFrame:
-    """_id, _th, first, last and the hashes of what follows the trigger (inside all its strings) and of the whole context."""
+    """The runs of all triggers, whole."""
 
     def run(batches):
         for rows, buf, offsets in slices(batches, most=1 << 20):
             row, place, first, last = contexts(buf, offsets, length)
-            begin, prefix = offsets[row], _HASH.prefix(buf)
-            whole = _HASH.ranges(prefix, begin + first, begin + last + length)
-            other = _OTHER.ranges(_OTHER.prefix(buf), begin + first, begin + last + length)
-            # the common part of all strings with this trigger has a fixed length
-            fixed = length - min(GAP, length // 2) + 1
-            tail = _HASH.ranges(prefix, begin + place, begin + place + fixed)
-            take = pa.array(row)
-            numbers = [pa.array(x.astype(np.int32)) for x in (first, last)]
-            hashes = [pa.array(x.view(np.int64)) for x in (tail, whole, other)]
-            yield pa.RecordBatch.from_arrays([rows.column(1).take(take), rows.column(2).take(take), *numbers, *hashes], ["_id", "_th", "first", "last", "tail", "whole", "other"])
+            yield _pieces(rows, buf, offsets, (row, place, first, last), length, min(GAP, length // 2))
 
-    return texts.mapInArrow(run, "_id bigint, _th bigint, first int, last int, tail bigint, whole bigint, other bigint")
+    return texts.mapInArrow(run, _PIECE)
 
 
-def _ranges(row: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row, first and last of the runs of consecutive starts (sorted by row and start)."""
-    head = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (start[1:] != start[:-1] + 1)]) if len(row) else np.zeros(0, np.int64)
-    return row[head], start[head], start[np.r_[head[1:], len(row)] - 1] if len(row) else start
+def _tails(texts: DataFrame, length: int) -> DataFrame:
+    """What follows each trigger, as a hash."""
 
+    def run(batches):
+        for _, buf, offsets in slices(batches, most=1 << 20):
+            row, place, _, _ = contexts(buf, offsets, length)
+            at = offsets[row] + place
+            tail = _HASH.ranges(_HASH.prefix(buf), at, at + length - min(GAP, length // 2) + 1)
+            yield pa.RecordBatch.from_arrays([pa.array(tail.view(np.int64))], ["tail"])
 
-_SENT = "tail bigint, slot int, _id bigint, _th bigint, start int, last int, starts binary, hashes binary"
+    return texts.mapInArrow(run, "tail bigint")
 
 
-def _strings(texts: DataFrame, unsure: DataFrame, length: int) -> DataFrame:
-    """The hashes of the strings of unsure contexts, packed by class (what follows the trigger) and, in large classes, by slots of the
-    hash. A string that a slice has twice is known to repeat: it is returned as a run (``last`` set), and one copy is sent on."""
-    wanted = unsure.groupBy("_id", "_th").agg(F.sort_array(F.collect_set(F.struct("first", "last", "tail", "kinds"))).alias("runs"))
-    names = [c.split()[0] for c in _SENT.split(", ")]
+def _looked_up(texts: DataFrame, runs: DataFrame, make, schema: str) -> DataFrame:
+    """``make(rows, buf, offsets, runs, tails)`` on the texts that ``runs`` (_id, _th, first, last, at, tail) are in; rows that
+    are equal in id and text are looked at once."""
+    wanted = runs.groupBy("_id", "_th").agg(F.sort_array(F.collect_set(F.struct("first", "last", "at", "tail"))).alias("runs"))
+    held = texts.join(wanted.hint("merge"), ["_id", "_th"]).dropDuplicates(["_id", "_th"]).select("text", "_id", "_th", "runs")
 
     def run(batches):
         for rows, buf, offsets in slices(batches, most=1 << 19):
-            which, row, tail, slots, first, last = [], [], [], [], [], []
-            for i, runs in enumerate(rows.column(3).to_pylist()):
-                for r in runs:
-                    row.append(i)
-                    tail.append(r["tail"])
-                    slots.append(-(-r["kinds"] // TOGETHER))
-                    first.append(r["first"])
-                    last.append(r["last"])
-            row, tail, slots, first, last = (np.array(x, np.int64) for x in (row, tail, slots, first, last))
-            size = last - first + 1
-            which = np.repeat(np.arange(len(row)), size)
-            start = np.repeat(first - np.cumsum(size) + size, size) + np.arange(len(which))
-            at = offsets[row[which]] + start
-            hashes = _HASH.ranges(_HASH.prefix(buf), at, at + length)
-            _, one, of, many = np.unique(hashes, return_index=True, return_inverse=True, return_counts=True)
-            local = many[of] > 1
-            r, a, b = _ranges(which[local], start[local])
-            out = [(int(tail[k]), -1, int(row[k]), int(x), int(y), None, None) for k, x, y in zip(r, a, b, strict=True)]
-            sent = np.zeros(len(hashes), bool)
-            sent[one] = True
-            slot = (hashes % slots[which].astype(np.uint64)).astype(np.int64)
-            order = np.flatnonzero(sent)
-            order = order[np.lexsort((start[order], slot[order], which[order]))]
-            edge = np.flatnonzero(np.r_[True, (which[order][1:] != which[order][:-1]) | (slot[order][1:] != slot[order][:-1])])
-            for x, y in zip(edge.tolist(), [*edge[1:].tolist(), len(order)], strict=True):
-                mine, k = order[x:y], which[order[x]]
-                out.append((int(tail[k]), int(slot[order[x]]), int(row[k]), None, None, start[mine].astype("<u4").tobytes(), hashes[mine].tobytes()))
-            t, s, r, a, b, starts, packed = zip(*out, strict=True)
-            take = pa.array(r)
-            types = [pa.int32(), pa.int32(), pa.binary(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(t, pa.int64()), pa.array(s, pa.int32()), rows.column(1).take(take), rows.column(2).take(take), *(pa.array(x, y) for x, y in zip((a, b, starts, packed), types, strict=True))], names)
-
-    held = texts.join(wanted.hint("merge"), ["_id", "_th"]).select("text", "_id", "_th", "runs")
-    return held.mapInArrow(run, _SENT)
-
-
-def _meet(key, table):
-    """Runs of the strings of a class (or a slot of it) that occur twice."""
-    done = table.filter(pa.compute.is_valid(table.column("last")))
-    open_ = table.filter(pa.compute.is_valid(table.column("hashes")))
-    parts = [np.frombuffer(b, np.uint64) for b in open_.column("hashes").to_pylist()]
-    out = [done.select(["_id", "_th", "start", "last"])]
-    if parts:
-        row = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
-        start = np.concatenate([np.frombuffer(b, "<u4") for b in open_.column("starts").to_pylist()]).astype(np.int64)
-        _, of, many = np.unique(np.concatenate(parts), return_inverse=True, return_counts=True)
-        twice = many[of] > 1
-        r, a, b = _ranges(row[twice], start[twice])
-        take = pa.array(r)
-        out.append(pa.table({"_id": open_.column("_id").take(take), "_th": open_.column("_th").take(take), "start": pa.array(a.astype(np.int32)), "last": pa.array(b.astype(np.int32))}))
-    return pa.concat_tables(out)
-
-
-def repeated_spans(texts: DataFrame, length: int, scratch: Scratch) -> DataFrame:
+            runs = rows.column(3)
+            flat, edges = runs.flatten(), np.diff(runs.offsets.to_numpy())
+            first, last, at, tail = (flat.field(i).to_numpy().astype(np.int64) for i in range(4))
+            yield make(rows, buf, offsets, (np.repeat(np.arange(len(edges)), edges), at, first, last), tail)
+
+    return held.mapInArrow(run, schema)
+
+
+def _finer(texts: DataFrame, runs: DataFrame, length: int, width: int) -> DataFrame:
+    """Runs of classes that are too large, cut to ``width``."""
+    return _looked_up(texts, runs, lambda rows, buf, offsets, runs, _: _pieces(rows, buf, offsets, runs, length, width), _PIECE)
+
+
+_ENTRY = "tail bigint, _id bigint, _th bigint, first int, last int, at int, context binary"
+
+
+def _entries(texts: DataFrame, runs: DataFrame, length: int) -> DataFrame:
+    """The bytes of the contexts that have to be compared."""
+
+    def make(rows, buf, offsets, runs, tail):
+        row, place, first, last = runs
+        raw, begin, take = buf.tobytes(), offsets[row], pa.array(row)
+        context = [raw[x:y] for x, y in zip((begin + first).tolist(), (begin + last + length).tolist(), strict=True)]
+        numbers = [pa.array(x.astype(np.int32)) for x in (first, last, place)]
+        return pa.RecordBatch.from_arrays([pa.array(tail), rows.column(1).take(take), rows.column(2).take(take), *numbers, pa.array(context, pa.binary())], [c.split()[0] for c in _ENTRY.split(", ")])
+
+    return _looked_up(texts, runs, make, _ENTRY)
+
+
+def _ordered(keys: list, sides: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order of entries by (key, side), and what each has in common with the one before it: -1 if the keys differ, else
+    the number of first bytes, ``width`` at most."""
+    order = sorted(range(len(keys)), key=lambda i: (keys[i], sides[i]))
+    block = np.frombuffer(b"".join(sides[i].ljust(width, b"\0") for i in order), np.uint8).reshape(len(order), width)
+    differ = np.ones((len(order), width + 1), bool)
+    differ[1:, :width] = block[1:] != block[:-1]
+    common = differ.argmax(1)
+    common[[k for k, i in enumerate(order) if k == 0 or keys[i] != keys[order[k - 1]]]] = -1
+    return np.array(order), common
+
+
+def equal_strings(tail: list[int], first: np.ndarray, last: np.ndarray, at: np.ndarray, context: list[bytes], length: int, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Entry, first and last start of the runs of strings that another entry has too."""
+    n, nearest = len(tail), (at - last) // width * width  # the least distance from the trigger that such a piece may have
+    before = (at - nearest - first).tolist()  # bytes that stand before what all strings of the class share
+    fixed = length - width + 1
+    keys = [(t, int(d), c[b : b + fixed]) for t, d, c, b in zip(tail, nearest, context, before, strict=True)]
+    left, left_common = _ordered(keys, [c[:b][::-1] for c, b in zip(context, before, strict=True)], width - 1)
+    right, right_common = _ordered(keys, [c[b + fixed :] for c, b in zip(context, before, strict=True)], width - 1)
+    least, most = at - last - nearest, at - first - nearest
+    rank, mark = np.empty(n, np.int64), np.zeros((n, width), bool)
+    for d in range(width):
+        # ranks among the suffixes of d bytes of the phrases, and among those of the parse
+        rank[left] = np.cumsum(left_common < d) * (n + 1)
+        rank[right] += np.cumsum(right_common < width - 1 - d)
+        here = np.flatnonzero((least <= d) & (d <= most))
+        _, of, many = np.unique(rank[here], return_inverse=True, return_counts=True)
+        mark[here, d] = many[of] > 1
+    edge = np.diff(np.pad(mark, ((0, 0), (1, 1))).astype(np.int8), axis=1)
+    entry, low = np.nonzero(edge == 1)
+    _, high = np.nonzero(edge == -1)
+    trigger = (at - nearest)[entry]
+    return entry, trigger - high + 1, trigger - low
+
+
+def _met(entries: DataFrame, length: int, width: int) -> DataFrame:
+    """_id, _th, start, last of the strings that two entries of a class share. Classes come one after the other, so that
+    small ones are compared many at a time."""
+
+    def compared(rows):
+        first, last, at = (rows.column(i).to_numpy().astype(np.int64) for i in (3, 4, 5))
+        entry, start, stop = equal_strings(rows.column(0).to_pylist(), first, last, at, rows.column(6).to_pylist(), length, width)
+        take = pa.array(entry)
+        return pa.RecordBatch.from_arrays([rows.column(1).take(take), rows.column(2).take(take), pa.array(start.astype(np.int32)), pa.array(stop.astype(np.int32))], ["_id", "_th", "start", "last"])
+
+    def run(batches):
+        held = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held = batch if held is None else pa.concat_batches([held, batch])
+            tails = held.column(0).to_numpy()
+            whole = int(np.argmax(tails == tails[-1]))  # the last class may go on in the next batch
+            if whole:
+                yield compared(held.slice(0, whole))
+                held = held.slice(whole)
+        if held is not None:
+            yield compared(held)
+
+    return entries.repartition("tail").sortWithinPartitions("tail").mapInArrow(run, "_id bigint, _th bigint, start int, last int")
+
+
+def repeated_spans(texts: DataFrame, length: int, scratch: Scratch, together: int = TOGETHER) -> DataFrame:
     """_id, _th, spans: sorted [start, stop) byte ranges that repeated strings cover; they may overlap."""
-    parsed = _parsed(texts, length)
-    # written first, so that the join can split what most rows share
-    shared = scratch.table(parsed.groupBy("tail").agg(F.count("*").alias("n")).where("n > 1").select("tail"), "shared")
-    candidates = scratch.table(parsed.join(shared, "tail"), "candidates")
-    release(texts.sparkSession)
-    # equal contexts: one entry of the dictionary
-    place = F.struct("_id", "_th", "first", "last")
-    entries = scratch.table(candidates.groupBy("tail", "whole", "other").agg(F.count("*").alias("n"), F.min(place).alias("one")), "entries")
-    sure = candidates.join(entries.where("n > 1").select("tail", "whole", "other"), ["tail", "whole", "other"])
-    sure = scratch.table(sure.select("_id", "_th", F.col("first").alias("start"), "last"), "sure")
-    scratch.drop("candidates")
-    mixed = entries.groupBy("tail").agg(F.count("*").alias("kinds")).where("kinds > 1")
-    unsure = scratch.table(entries.join(mixed, "tail").select("one.*", "tail", "kinds"), "unsure")
-    scratch.drop("entries")
-    met = _strings(texts, unsure, length).groupBy("tail", "slot").applyInArrow(_meet, "_id bigint, _th bigint, start int, last int")
-    found = scratch.table(met, "found")
-    release(texts.sparkSession)
+    gap = min(GAP, length // 2)
+    pieces, parts = _parsed(texts, length), []
+    widths = [gap, *(w for w in FINER if w < gap)]
+    for turn, width in enumerate(widths):
+        # written first, so that the join can split what most rows share
+        tails = _tails(texts, length) if not turn else pieces.select("tail")
+        shared = scratch.table(tails.groupBy("tail").agg(F.count("*").alias("n")).where("n > 1").select("tail"), f"shared{turn}")
+        candidates = scratch.table(pieces.join(shared, "tail"), f"candidates{turn}")
+        release(texts.sparkSession)
+        # equal contexts: one entry of the dictionary
+        context = ["tail", "high", "low"]
+        place = F.struct("_id", "_th", "first", "last", "at")
+        entries = scratch.table(candidates.groupBy(*context).agg(F.count("*").alias("n"), F.min(place).alias("one")), f"entries{turn}")
+        sure = candidates.join(entries.where("n > 1").select(*context), context)
+        parts.append(scratch.table(sure.select("_id", "_th", F.col("first").alias("start"), "last"), f"sure{turn}"))
+        scratch.drop(f"candidates{turn}")
+        if width == 1:
+            break  # entries are single strings
+        mixed = entries.groupBy("tail").agg(F.count("*").alias("kinds")).where("kinds > 1")
+        unsure = scratch.table(entries.join(mixed, "tail").select("one.*", "tail", "kinds"), f"unsure{turn}")
+        scratch.drop(f"entries{turn}")
+        parts.append(scratch.table(_met(_entries(texts, unsure.where(F.col("kinds") <= together), length), length, width), f"met{turn}"))
+        release(texts.sparkSession)
+        large = unsure.where(F.col("kinds") > together)
+        if large.isEmpty():
+            break
+        pieces = scratch.table(_finer(texts, large, length, widths[turn + 1]), f"pieces{turn}")
     spans = F.sort_array(F.collect_set(F.struct("start", (F.col("last") + length).alias("stop"))))
-    return sure.unionByName(found).groupBy("_id", "_th").agg(spans.alias("spans"))
+    return reduce(DataFrame.unionByName, parts).groupBy("_id", "_th").agg(spans.alias("spans"))
 
 
-def remove_repeats(docs: DataFrame, length: int = 400) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 400, together: int = TOGETHER) -> DataFrame:
     """The rows of ``docs`` with ``kept`` (the remaining bytes), ``n_bytes``, ``n_removed`` and ``spans`` (maximal removed runs)."""
     scratch = Scratch(docs.sparkSession, "repeats")
     rows = keyed(docs)
-    spans = scratch.table(repeated_spans(rows.select("text", "_id", "_th"), length, scratch), "spans")
+    spans = scratch.table(repeated_spans(rows.select("text", "_id", "_th"), length, scratch, together), "spans")
     release(docs.sparkSession)
     joined = rows.join(spans.hint("merge"), ["_id", "_th"], "left").select("text", "spans", "rest")
 

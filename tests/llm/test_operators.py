@@ -627,6 +627,24 @@ def test_repeats_against_brute_force(spark, length):
     assert repeats.remove_repeats(frame(spark, []), length).count() == 0
 
 
+def thue_morse(n):
+    return "".join("ab"[bin(i).count("1") % 2] for i in range(n))
+
+
+@pytest.mark.parametrize("together", [repeats.TOGETHER, 3])
+def test_repeats_of_hot_and_structured_texts(spark, together):
+    """One passage in many different surroundings, words that fool polynomial hashes, a very long text; classes of at most three entries, too."""
+    rng, length = random.Random(together), 60
+    hot = prose(rng, 12)[: length - 7]
+    rows = [(i, prose(rng, rng.randint(3, 25)) + rng.choice("ab") + hot + rng.choice("xy") * rng.randint(1, 9) + prose(rng, rng.randint(3, 25))) for i in range(60)]
+    one = thue_morse(2048)
+    rows += [(100, one), (101, one.translate({97: 98, 98: 97})), (102, prose(rng, 3000)), (103, "é" * 200), (104, rows[0][1] + "é" * 40)]
+    got = repeats.remove_repeats(frame(spark, rows), length, together)
+    mine = {r.doc_id: (r.n_removed, len(r.spans)) for r in got.collect()}
+    want = repeats.brute_force([t.encode() for _, t in rows], length)
+    assert mine == {i: w[:2] for (i, _), w in zip(rows, want, strict=True)}
+
+
 def test_triggers_do_not_depend_on_the_length_of_a_text():
     """Near ties: values that differ in their low bits only."""
     values = (np.uint64(7) << np.uint64(40)) + np.random.default_rng(4).integers(0, 1 << 36, 300).astype(np.uint64)
