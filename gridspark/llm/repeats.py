@@ -91,11 +91,10 @@ def contexts(buf: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndar
 _PIECE = "_id bigint, _th bigint, first int, last int, at int, tail bigint, high bigint, low bigint"
 
 
-def _pieces(rows: pa.RecordBatch, buf: np.ndarray, offsets: np.ndarray, runs: tuple[np.ndarray, ...], length: int, width: int) -> pa.RecordBatch:
+def _pieces(rows: pa.RecordBatch, buf: np.ndarray, begin: np.ndarray, runs: tuple[np.ndarray, ...], length: int, width: int) -> pa.RecordBatch:
     """Rows of ``_PIECE``: the runs, cut where the distance from the trigger is a multiple of ``width``, with the hash of
-    what all strings of such a piece share and the digest of its context."""
+    what all strings of such a piece share and the digest of its context. ``begin``: where the text of each run would begin in ``buf``."""
     row, place, first, last = runs
-    begin = offsets[row]
     near, far = (place - last) // width, (place - first) // width
     of = np.repeat(np.arange(len(row)), far - near + 1)
     part = near[of] + np.arange(len(of)) - np.repeat(np.cumsum(far - near + 1) - (far - near + 1), far - near + 1)
@@ -117,8 +116,8 @@ def _parsed(texts: DataFrame, length: int) -> DataFrame:
 
     def run(batches):
         for rows, buf, offsets in slices(batches, most=1 << 20):
-            row, place, first, last = contexts(buf, offsets, length)
-            yield _pieces(rows, buf, offsets, (row, place, first, last), length, min(GAP, length // 2))
+            runs = contexts(buf, offsets, length)
+            yield _pieces(rows, buf, offsets[runs[0]], runs, length, min(GAP, length // 2))
 
     return texts.mapInArrow(run, _PIECE)
 
@@ -136,41 +135,38 @@ def _tails(texts: DataFrame, length: int) -> DataFrame:
     return texts.mapInArrow(run, "tail bigint")
 
 
-def _looked_up(texts: DataFrame, runs: DataFrame, make, schema: str) -> DataFrame:
-    """``make(rows, buf, offsets, runs, tails)`` on the texts that ``runs`` (_id, _th, first, last, at, tail) are in; rows that
-    are equal in id and text are looked at once."""
-    wanted = runs.groupBy("_id", "_th").agg(F.sort_array(F.collect_set(F.struct("first", "last", "at", "tail"))).alias("runs"))
-    held = texts.join(wanted.hint("merge"), ["_id", "_th"]).dropDuplicates(["_id", "_th"]).select("text", "_id", "_th", "runs")
-
-    def run(batches):
-        for rows, buf, offsets in slices(batches, most=1 << 19):
-            runs = rows.column(3)
-            flat, edges = runs.flatten(), np.diff(runs.offsets.to_numpy())
-            first, last, at, tail = (flat.field(i).to_numpy().astype(np.int64) for i in range(4))
-            yield make(rows, buf, offsets, (np.repeat(np.arange(len(edges)), edges), at, first, last), tail)
-
-    return held.mapInArrow(run, schema)
+_ENTRY = "tail bigint, _id bigint, _th bigint, first int, last int, at int, kinds bigint, context binary"
 
 
-def _finer(texts: DataFrame, runs: DataFrame, length: int, width: int) -> DataFrame:
-    """Runs of classes that are too large, cut to ``width``."""
-    return _looked_up(texts, runs, lambda rows, buf, offsets, runs, _: _pieces(rows, buf, offsets, runs, length, width), _PIECE)
+def _entries(source: DataFrame, keys: list[str], runs: DataFrame, length: int) -> DataFrame:
+    """``runs`` (_id, _th, first, last, at, tail, kinds) with the bytes of their contexts, from ``source``: text, _id, _th, at, base,
+    where the text begins at the byte ``base`` of the document. Rows that are equal in ``keys`` are looked at once."""
+    wanted = runs.groupBy(*keys).agg(F.sort_array(F.collect_set(F.struct("first", "last", "at", "tail", "kinds"))).alias("runs"))
+    held = source.join(wanted.hint("merge"), keys).dropDuplicates(keys).select("text", "_id", "_th", "base", "runs")
 
+    def run(batches):
+        for rows, buf, offsets in slices(batches, most=1 << 19):
+            runs = rows.column(4)
+            flat, size = runs.flatten(), np.diff(runs.offsets.to_numpy())
+            first, last = (flat.field(i).to_numpy().astype(np.int64) for i in range(2))
+            row = np.repeat(np.arange(len(size)), size)
+            raw, begin, take = buf.tobytes(), (offsets[:-1] - rows.column(3).to_numpy())[row], pa.array(row)
+            context = [raw[x:y] for x, y in zip((begin + first).tolist(), (begin + last + length).tolist(), strict=True)]
+            out = [flat.field(3), rows.column(1).take(take), rows.column(2).take(take), flat.field(0), flat.field(1), flat.field(2), flat.field(4), pa.array(context, pa.binary())]
+            yield pa.RecordBatch.from_arrays(out, [c.split()[0] for c in _ENTRY.split(", ")])
 
-_ENTRY = "tail bigint, _id bigint, _th bigint, first int, last int, at int, context binary"
+    return held.mapInArrow(run, _ENTRY)
 
 
-def _entries(texts: DataFrame, runs: DataFrame, length: int) -> DataFrame:
-    """The bytes of the contexts that have to be compared."""
+def _finer(entries: DataFrame, length: int, width: int) -> DataFrame:
+    """The runs of entries whose classes are too large, cut to ``width``; their contexts hold all that this takes."""
 
-    def make(rows, buf, offsets, runs, tail):
-        row, place, first, last = runs
-        raw, begin, take = buf.tobytes(), offsets[row], pa.array(row)
-        context = [raw[x:y] for x, y in zip((begin + first).tolist(), (begin + last + length).tolist(), strict=True)]
-        numbers = [pa.array(x.astype(np.int32)) for x in (first, last, place)]
-        return pa.RecordBatch.from_arrays([pa.array(tail), rows.column(1).take(take), rows.column(2).take(take), *numbers, pa.array(context, pa.binary())], [c.split()[0] for c in _ENTRY.split(", ")])
+    def run(batches):
+        for rows, buf, offsets in slices(batches, "context", most=1 << 19):
+            first, last, at = (rows.column(i).to_numpy().astype(np.int64) for i in (3, 4, 5))
+            yield _pieces(rows, buf, offsets[:-1] - first, (np.arange(len(first)), at, first, last), length, width)
 
-    return _looked_up(texts, runs, make, _ENTRY)
+    return entries.mapInArrow(run, _PIECE)
 
 
 def _ordered(keys: list, sides: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -215,7 +211,7 @@ def _met(entries: DataFrame, length: int, width: int) -> DataFrame:
 
     def compared(rows):
         first, last, at = (rows.column(i).to_numpy().astype(np.int64) for i in (3, 4, 5))
-        entry, start, stop = equal_strings(rows.column(0).to_pylist(), first, last, at, rows.column(6).to_pylist(), length, width)
+        entry, start, stop = equal_strings(rows.column(0).to_pylist(), first, last, at, rows.column(7).to_pylist(), length, width)
         take = pa.array(entry)
         return pa.RecordBatch.from_arrays([rows.column(1).take(take), rows.column(2).take(take), pa.array(start.astype(np.int32)), pa.array(stop.astype(np.int32))], ["_id", "_th", "start", "last"])
 
@@ -240,6 +236,7 @@ def repeated_spans(texts: DataFrame, length: int, scratch: Scratch, together: in
     """_id, _th, spans: sorted [start, stop) byte ranges that repeated strings cover; they may overlap."""
     gap = min(GAP, length // 2)
     pieces, parts = _parsed(texts, length), []
+    source, keys = texts.select("text", "_id", "_th", F.lit(0).alias("base")), ["_id", "_th"]
     widths = [gap, *(w for w in FINER if w < gap)]
     for turn, width in enumerate(widths):
         # written first, so that the join can split what most rows share
@@ -259,12 +256,15 @@ def repeated_spans(texts: DataFrame, length: int, scratch: Scratch, together: in
         mixed = entries.groupBy("tail").agg(F.count("*").alias("kinds")).where("kinds > 1")
         unsure = scratch.table(entries.join(mixed, "tail").select("one.*", "tail", "kinds"), f"unsure{turn}")
         scratch.drop(f"entries{turn}")
-        parts.append(scratch.table(_met(_entries(texts, unsure.where(F.col("kinds") <= together), length), length, width), f"met{turn}"))
+        held = scratch.table(_entries(source, keys, unsure, length), f"held{turn}")
+        parts.append(scratch.table(_met(held.where(F.col("kinds") <= together), length, width), f"met{turn}"))
         release(texts.sparkSession)
-        large = unsure.where(F.col("kinds") > together)
+        large = held.where(F.col("kinds") > together)
         if large.isEmpty():
             break
-        pieces = scratch.table(_finer(texts, large, length, widths[turn + 1]), f"pieces{turn}")
+        pieces = scratch.table(_finer(large, length, widths[turn + 1]), f"pieces{turn}")
+        # a trigger has one context in a document
+        source, keys = large.select(F.col("context").alias("text"), "_id", "_th", "at", F.col("first").alias("base")), ["_id", "_th", "at"]
     spans = F.sort_array(F.collect_set(F.struct("start", (F.col("last") + length).alias("stop"))))
     return reduce(DataFrame.unionByName, parts).groupBy("_id", "_th").agg(spans.alias("spans"))
 
