@@ -13,8 +13,9 @@ from gridspark.operators import reduce, regions, selection
 from gridspark.plans import versions
 from gridspark.plans.layers import Layer, LayerStack, adjust_chain, curve_lut
 from gridspark.plans.registry import apply
+from gridspark.plans.roi import Region, apply_within
 from gridspark.queries import shown
-from gridspark.sources.rasters import height, mirrored, px_embed, px_layers, px_line
+from gridspark.sources.rasters import grid, height, mirrored, px_embed, px_layers, px_line
 from gridspark.streaming import strokes
 
 
@@ -336,17 +337,28 @@ def layer_group(spark, sf_dir):
     return shown(LayerStack(stack.pixels, [Layer(1), group]).composite())
 
 
-def _one_stroke(spark, sf_dir):
-    cover = _strokes_cover(spark, sf_dir).where("stroke = 1")
+def _all_strokes(spark, sf_dir):
+    cover = _strokes_cover(spark, sf_dir).groupBy("x", "y").agg(F.max("cover").alias("cover"))  # the heaviest stroke of each place
     return strokes.effective_cover(cover, 0.8, selection.rectangle(spark, 256, 256, 10.5, 0.0, 200.0, 300.0))
 
 
 def stroke_cover(spark, sf_dir):
-    return _rounded(_one_stroke(spark, sf_dir), "cover", digits=4).where("cover > 0.0001")
+    return _rounded(_all_strokes(spark, sf_dir), "cover", digits=4).where("cover > 0.0001")
 
 
 def _painted(erase):
-    return lambda spark, sf_dir: _channels(strokes.paint(px_embed(spark, sf_dir), _one_stroke(spark, sf_dir), (0.9, 0.2, 0.1), erase))
+    return lambda spark, sf_dir: _channels(strokes.paint(px_embed(spark, sf_dir), _all_strokes(spark, sf_dir), (0.9, 0.2, 0.1), erase))
+
+
+def contours(spark, sf_dir):
+    out = regions.contours(_covers(spark, sf_dir)[0])
+    return out.select(F.col("ring.x").alias("ring_x"), F.col("ring.y").alias("ring_y"), "n", "x", "y", F.col("outer").cast("int").alias("outer"))
+
+
+def stroke_sampled_tip(spark, sf_dir):
+    tip = grid(spark, 5, 4).select(F.col("x").alias("tx"), F.col("y").alias("ty"), ((F.col("x") * 50 + F.col("y") * 20) % 256).alias("alpha"))
+    dabs = strokes.dabs(strokes.samples(spark, sf_dir), 40.0)
+    return _rounded(strokes.stamp_sampled(dabs, tip, (5, 4), 0.6, diameter=7.0, roundness=0.8, flip=(True, False)), "cover", digits=4).where("cover > 0.0001")
 
 
 QUERIES |= {
@@ -364,7 +376,9 @@ QUERIES |= {
     "mask_window": _masked_by_selection, "adjust_blur": lambda spark, sf_dir: shown(adjust_chain(px_embed(spark, sf_dir), blur=1.0)),
     "adjust_sharpen": lambda spark, sf_dir: shown(adjust_chain(px_embed(spark, sf_dir), sharpen=0.8)), "adjust_curve": lambda spark, sf_dir: shown(adjust_chain(px_embed(spark, sf_dir), curve=_CURVE)),
     "layer_masked": layer_masked, "layer_group": layer_group, "stroke_cover": stroke_cover, "stroke_paint": _painted(False), "stroke_erase": _painted(True),
-    "outline_edges": lambda spark, sf_dir: regions.outline(_covers(spark, sf_dir)[0]),
+    "outline_edges": lambda spark, sf_dir: regions.outline(_covers(spark, sf_dir)[0]), "contours": contours, "stroke_sampled_tip": stroke_sampled_tip,
+    "roi_box": lambda spark, sf_dir: _channels(apply_within(px_embed(spark, sf_dir), "conv.box", Region(2, 20, 9, 120))),
+    "roi_gaussian_v": lambda spark, sf_dir: _channels(apply_within(px_embed(spark, sf_dir), "conv.gaussian_v", Region(0, 30, 16, 90), sigma=1.2, radius=3)),
 }
 
 _OUT = ", ".join(f"round({{{c}}}, 6) + 0.0 AS {c}" for c in "rgba")
@@ -406,13 +420,28 @@ def _fill_sql(kind: str) -> str:
     return f"{_COV}, {steps} SELECT {_XY}, {_OUT.format(a='a', **{c: f'CASE WHEN a = 0 THEN 0 ELSE {c} / a END' for c in 'rgb'})} FROM o"
 
 
-_EFFECT = "effect AS (SELECT x, y, cover * 0.8 * CAST(round(greatest(least(x + 1, 200.0::DOUBLE) - greatest(x, 10.5::DOUBLE), 0) * 255) AS BIGINT) / 255 AS k FROM stamped WHERE stroke = 1 AND x BETWEEN 0 AND 255 AND y BETWEEN 0 AND 255)"
+_EFFECT = "effect AS (SELECT x, y, cover * 0.8 * CAST(round(greatest(least(x + 1, 200.0::DOUBLE) - greatest(x, 10.5::DOUBLE), 0) * 255) AS BIGINT) / 255 AS k FROM (SELECT x, y, max(cover) AS cover FROM stamped GROUP BY ALL) WHERE x BETWEEN 0 AND 255 AND y BETWEEN 0 AND 255)"
 _WET = "w AS (SELECT px.x AS x, px.y AS y, r, g, b, a, coalesce(k, 0) AS k FROM px LEFT JOIN effect ON effect.x = px.x AND effect.y = px.y)"
 _MASKED = f"""base AS (SELECT *, {', '.join(f'p{c} * pa AS b{c}' for c in 'rgb')}, qa * 0.7 AS k, pa * (x / 15) AS weight FROM wide),
  o AS (SELECT *, {', '.join(f'k * (1 - pa) * q{c} + k * pa * (p{c} + q{c} - p{c} * q{c}) + (1 - k) * b{c} AS over_{c}' for c in 'rgb')}, k + pa * (1 - k) AS over_a FROM base),
  n AS (SELECT x, y, {', '.join(f'b{c} + (over_{c} - b{c}) * weight AS n{c}' for c in 'rgb')}, pa + (over_a - pa) * weight AS a FROM o), f AS (SELECT x, y, {', '.join(f'CASE WHEN a = 0 THEN 0 ELSE n{c} / a END AS {c}' for c in 'rgb')}, a FROM n)"""
 _GROUPED = f"""inner_a AS (SELECT *, qa + pa * (1 - qa) AS ga FROM wide), grouped AS (SELECT *, {', '.join(f'CASE WHEN ga = 0 THEN 0 ELSE (qa * (1 - pa) * q{c} + qa * pa * (p{c} * q{c}) + (1 - qa) * p{c} * pa) / ga END AS g{c}' for c in 'rgb')} FROM inner_a)"""
 
+# Every side of every ring is walked until it closes; the ring belongs to its first side that runs right.
+_CONTOURS = f"""{_COV.replace('WITH ', 'WITH RECURSIVE ', 1)}, s AS (SELECT CAST(x AS BIGINT) AS x, CAST(y AS BIGINT) AS y FROM a WHERE cov >= 128),
+ d AS (SELECT * FROM (VALUES (0, 0, -1, 0, 0, 1, 0), (1, 1, 0, 1, 0, 1, 1), (2, 0, 1, 1, 1, 0, 1), (3, -1, 0, 0, 1, 0, 0)) t(dir, dx, dy, ax, ay, bx, b_y)),
+ e AS (SELECT x + ax AS x0, y + ay AS y0, x + bx AS x1, y + b_y AS y1, dir FROM s, d WHERE NOT EXISTS (SELECT 1 FROM s n WHERE n.x = s.x + dx AND n.y = s.y + dy)), ids AS (SELECT *, row_number() OVER (ORDER BY dir > 0, y0, x0, dir) AS id FROM e),
+ nx AS (SELECT p.id, arg_min(q.id, (q.dir - p.dir + 5) % 4) AS next FROM ids p JOIN ids q ON q.x0 = p.x1 AND q.y0 = p.y1 GROUP BY p.id),
+ walk AS (SELECT id AS first, next AS here, 1 AS n FROM nx JOIN ids USING (id) WHERE dir = 0 UNION ALL SELECT first, nx.next, n + 1 FROM walk JOIN nx ON nx.id = walk.here WHERE walk.here > first),
+ heads AS (SELECT first FROM walk GROUP BY first HAVING min(here) = first), places AS (SELECT first, here AS id, CASE WHEN here = first THEN 0 ELSE n END AS n FROM walk SEMI JOIN heads USING (first)),
+ turns AS (SELECT first, n, x0, y0, dir, coalesce(lag(dir) OVER (PARTITION BY first ORDER BY n), last_value(dir) OVER (PARTITION BY first ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) AS came,
+ sum(x0 * y1 - x1 * y0) OVER (PARTITION BY first) AS area FROM places JOIN ids USING (id))
+ SELECT h.x0 AS ring_x, h.y0 AS ring_y, CAST(row_number() OVER (PARTITION BY t.first ORDER BY n) - 1 AS BIGINT) AS n, t.x0 AS x, t.y0 AS y, CAST(area > 0 AS INT) AS outer FROM turns t JOIN ids h ON h.id = t.first WHERE came <> t.dir"""
+_SAMPLED = f"""WITH {_ORDERED}, {_SEG}, d AS (SELECT stroke, n, px + (x - px) * t AS x, py + (y - py) * t AS y FROM dab),
+ c AS (SELECT *, 5 - ((gx + 0.5 - x) / 1.4 + 2.5) - 0.5 AS u, (gy + 0.5 - y) / 1.12 + 2 - 0.5 AS v FROM (SELECT *, unnest(range(CAST(floor(x) - 6 AS BIGINT), CAST(floor(x) + 7 AS BIGINT))) AS gx FROM d) CROSS JOIN range(-6, 7) k(dy) CROSS JOIN LATERAL (SELECT CAST(floor(y) AS BIGINT) + k.dy AS gy)),
+ q AS (SELECT stroke, n, gx, gy, sum(greatest(1 - abs(u - tx), 0) * greatest(1 - abs(v - ty), 0) * ((tx * 50 + ty * 20) % 256)) / 255 AS k FROM c CROSS JOIN range(5) a(tx) CROSS JOIN range(4) b(ty) GROUP BY ALL)
+ SELECT stroke, gx AS x, gy AS y, round(1 - exp(sum(ln(1 - 0.6 * least(k, 1)))), 4) + 0.0 AS cover FROM q GROUP BY ALL HAVING round(1 - exp(sum(ln(1 - 0.6 * least(k, 1)))), 4) > 0.0001"""
+
 ORACLE_SQL |= {
     "crop": f"WITH {sql.PX} SELECT CAST(x - 3 AS BIGINT) AS x, CAST(y - 20 AS BIGINT) AS y, {_SELF} FROM px WHERE x BETWEEN 3 AND 11 AND y BETWEEN 20 AND 219",
     **{f"orient_{k}": f"WITH {sql.PX}, {sql.SIZE} SELECT CAST({i} AS BIGINT) AS x, CAST({j} AS BIGINT) AS y, {_SELF} FROM px CROSS JOIN size" for k, (i, j) in _PLACES.items()},
@@ -420,7 +449,9 @@ ORACLE_SQL |= {
     "selection_from_channel": f"WITH {sql.PX} SELECT {_XY}, {_BYTE.format('b')} AS cov FROM px",
     "clone_stamp": f"{_COV} SELECT CAST(p.x AS BIGINT) AS x, CAST(p.y AS BIGINT) AS y, {_OUT.format(**{c: f'p.{c} + (coalesce(s.{c}, 0) - p.{c}) * (coalesce(a.cov, 0) / 255)' for c in 'rgba'})} FROM px p LEFT JOIN a ON a.x = p.x AND a.y = p.y LEFT JOIN px s ON s.x = p.x + 2 AND s.y = p.y - 3",
     **{f"fill_{kind}": _fill_sql(kind) for kind in ("linear", "radial", "angular", "reflected", "diamond", "noise", "solid")},
-    "straighten_crop": f"WITH turned AS ({sql.KERNEL_SQL['geom.rotate_bilinear'].replace(repr(sql._C), _cos(7)).replace(repr(sql._S), _sin(7))}) SELECT CAST(x - 2 AS BIGINT) AS x, CAST(y - 30 AS BIGINT) AS y, r, g, b, a FROM turned WHERE x BETWEEN 2 AND 12 AND y BETWEEN 30 AND 149",
+    "straighten_crop": f"WITH turned AS ({sql.gathered(sql.bilinear(f'(x - 7) * {_cos(-7)} + (y - 89.5) * {_sin(-7)} + 7', f'(y - 89.5) * {_cos(-7)} - (x - 7) * {_sin(-7)} + 89.5'), False)}) SELECT CAST(x - 2 AS BIGINT) AS x, CAST(y - 30 AS BIGINT) AS y, r, g, b, a FROM turned WHERE x BETWEEN 2 AND 12 AND y BETWEEN 30 AND 149",
+    "roi_box": f"SELECT * FROM ({sql.KERNEL_SQL['conv.box']}) WHERE x BETWEEN 2 AND 10 AND y BETWEEN 20 AND 139", "roi_gaussian_v": f"SELECT * FROM ({sql.KERNEL_SQL['conv.gaussian_v']}) WHERE y BETWEEN 30 AND 119",
+    "stroke_sampled_tip": _SAMPLED, "contours": _CONTOURS,
     "curve_masked": f"""{_COV}, {_HERMITE}, p AS (SELECT px.x, px.y, {', '.join(f'{_BYTE.format("px." + c)} AS {c}' for c in 'rgba')}, coalesce(a.cov, 0) AS m FROM px LEFT JOIN a ON a.x = px.x AND a.y = px.y)
  SELECT {_XY}, {', '.join(f'CAST(({c} * (255 - m) + lut[{c} + 1] * m + 127) // 255 AS BIGINT) AS {c}' for c in 'rgb')}, a FROM p CROSS JOIN curve""",
     "cmyk_device": f"WITH {sql.PX} SELECT {_XY}, {', '.join(f'CAST(floor((1 - {_BYTE.format(i)} / 255) * (1 - {_BYTE.format("a")} / 255) * 255 + 0.5) AS BIGINT) AS {c}' for i, c in zip('rgb', 'rgb', strict=True))}, CAST(255 AS BIGINT) AS a FROM px",

@@ -1,7 +1,7 @@
 """Operators on regions of a raster: cuts, orientation, tiles, clones, fills and outlines.
 
-All but ``outline`` and ``clone`` are projections and filters, so a cut reaches the scan; those two
-join a raster with a moved copy of itself on (x, y).
+Most are projections and filters, so a cut reaches the scan. ``clone`` and ``outline`` join a raster with a
+moved copy of itself on (x, y), ``contours`` chains the sides of an outline in a logarithmic number of joins.
 """
 
 from __future__ import annotations
@@ -9,7 +9,7 @@ from __future__ import annotations
 import math
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 import gridspark.operators.spatial  # noqa: F401
@@ -17,8 +17,8 @@ from gridspark.functions.pixel import CHANNELS, Px, clamp, hash01, let, mix, num
 from gridspark.operators.generators import polynomial_atan2
 from gridspark.operators.point import source_over
 from gridspark.operators.reduce import to_byte
-from gridspark.plans.registry import apply
-from gridspark.plans.stencil import sizes
+from gridspark.operators.selection import settled
+from gridspark.plans.stencil import as_pixels, at, sampled, sizes
 
 
 def crop(px: DataFrame, x0: int, y0: int, width: int, height: int) -> DataFrame:
@@ -81,8 +81,14 @@ def fill(px: DataFrame, cover: DataFrame, kind: str, c0: tuple[float, ...] = (0.
 
 
 def straighten(px: DataFrame, degrees: float, x0: int, y0: int, width: int, height: int) -> DataFrame:
-    """The raster turned around its middle (bilinear, borders repeated), then cut."""
-    return crop(apply(px, "geom.rotate_bilinear", degrees=degrees), x0, y0, width, height)
+    """What lies in a frame that is turned by ``degrees`` around its own middle, upright (bilinear, borders repeated); the frame is cut to the image."""
+    if degrees == 0:
+        return crop(px, x0, y0, width, height)
+    inside = px.where(F.col("x").between(x0, x0 + width - 1) & F.col("y").between(y0, y0 + height - 1))
+    cos, sin, cx, cy = math.cos(math.radians(-degrees)), math.sin(math.radians(-degrees)), x0 + width / 2, y0 + height / 2
+    dx, dy = F.col("x") + 0.5 - cx, F.col("y") + 0.5 - cy
+    turned = as_pixels(sampled(px, inside.select(*at(px)), dx * cos + dy * sin + cx - 0.5, dy * cos - dx * sin + cy - 0.5))
+    return turned.withColumns({"x": F.col("x") - x0, "y": F.col("y") - y0})
 
 
 def curve_bytes(px: DataFrame, lut: list[int], cover: DataFrame | None = None) -> DataFrame:
@@ -116,3 +122,39 @@ def outline(cover: DataFrame, least: int = 128) -> DataFrame:
         return own.join(beside, ["x", "y"], "left_anti").select(ax.alias("x0"), ay.alias("y0"), bx.alias("x1"), by.alias("y1"))
 
     return reduce(DataFrame.unionByName, (open_side(*d) for d in sides))
+
+
+def contours(cover: DataFrame, least: int = 128) -> DataFrame:
+    """The closed rings of an outline: ring, n, x, y, outer - corners only, with the inside on the right, from
+    the topmost, then leftmost side that runs to the right.
+
+    ``ring`` is the start's (y, x); ``outer`` is false around a hole. Diagonal neighbours are one region, as a ring turns left where two
+    sides leave a point; one that meets its start's point twice goes on. Each side learns the ring's first side and its distance from it by
+    doubling: after k rounds it has seen 2**k sides, so no task walks a ring.
+    """
+    dx, dy = F.signum(F.col("x1") - F.col("x0")), F.signum(F.col("y1") - F.col("y0"))
+    heading = F.when(dx == 1, 0).when(dy == 1, 1).when(dx == -1, 2).otherwise(3)
+    sides = settled(outline(cover, least).withColumn("dir", heading).withColumn("side", F.struct((F.col("dir") != 0).alias("turned"), "y0", "x0", "dir")))
+    after = sides.select(F.col("x0").alias("x1"), F.col("y0").alias("y1"), F.col("side").alias("next"), F.col("dir").alias("then"))
+    left_first = F.struct(F.pmod(F.col("then") - F.col("dir") + 1, F.lit(4)).alias("turn"), "next")
+    chained = sides.join(after, ["x1", "y1"]).groupBy("side").agg(F.min(left_first).getField("next").alias("far"))
+    # the least side among those seen, how far ahead it is, and the side behind the last one seen
+    seen, reach = settled(chained.select("side", "far", F.struct(F.col("side").alias("first"), F.lit(0).cast("bigint").alias("ahead")).alias("head"))), 1
+    while True:
+        there = seen.select(F.col("side").alias("far"), F.col("far").alias("farther"), F.struct(F.col("head.first").alias("first"), (F.col("head.ahead") + reach).alias("ahead")).alias("other"))
+        both = seen.join(there, "far").select("side", F.col("farther").alias("far"), F.least("head", "other").alias("head"), (F.col("head.first") != F.col("other.first")).alias("moved"))
+        both, reach = settled(both), 2 * reach
+        seen = both.drop("moved")
+        if both.where("moved").isEmpty():
+            break
+    rings = seen.groupBy("head.first").agg(F.count("*").alias("sides"))
+    placed = seen.select("side", F.col("head.first").alias("first"), "head.ahead").join(rings, "first").withColumn("n", F.pmod(-F.col("ahead"), F.col("sides")))
+    before = placed.select("first", F.pmod(F.col("n") + 1, F.col("sides")).alias("n"), F.col("side.dir").alias("came"))
+    # twice the signed area: each side's x0 * y1 - x1 * y0
+    sx, sy, sd = F.col("side.x0"), F.col("side.y0"), F.col("side.dir")
+    twice = F.when(sd == 0, -sy).when(sd == 1, sx).when(sd == 2, sy).otherwise(-sx)
+    areas = placed.groupBy("first").agg((F.sum(twice) > 0).alias("outer"))
+    corners = placed.join(before, ["first", "n"]).where(F.col("came") != sd).join(areas, "first")
+    ring = F.struct(F.col("first.y0").alias("y"), F.col("first.x0").alias("x"))
+    order = F.row_number().over(Window.partitionBy("first").orderBy("n")) - 1
+    return corners.select(ring.alias("ring"), order.cast("bigint").alias("n"), sx.alias("x"), sy.alias("y"), "outer")

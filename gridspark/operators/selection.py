@@ -73,7 +73,7 @@ def _near(df: DataFrame, x: int, y: int, tolerance: float) -> DataFrame:
     return df.join(F.broadcast(seed)).where(far <= tolerance).select("x", "y")  # one row
 
 
-def _settled(df: DataFrame) -> DataFrame:
+def settled(df: DataFrame) -> DataFrame:
     """Written to the checkpoint folder, which executors share; a local session without one gets a temporary folder."""
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
@@ -92,13 +92,13 @@ def connected(places: DataFrame, seeds: DataFrame) -> DataFrame:
     tile = F.floor(F.col("x") / TILE)
     step = F.col("x") - F.row_number().over(Window.partitionBy(*keys, "y", "tile").orderBy("x"))
     runs = places.select(*keys, "x", "y", tile.alias("tile")).withColumn("run", step).groupBy(*keys, "y", "tile", "run").agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
-    runs = _settled(runs.select(*keys, "y", "tile", "lo", "hi", F.struct("y", "lo").alias("node")))
+    runs = settled(runs.select(*keys, "y", "tile", "lo", "hi", F.struct("y", "lo").alias("node")))
     after = runs.select(*keys, (F.col("y") - 1).alias("y"), "tile", F.col("lo").alias("lo2"), F.col("hi").alias("hi2"), F.col("node").alias("b"))
     beside = runs.select(*keys, "y", (F.col("lo") - 1).alias("hi"), F.col("node").alias("b"))
     down = runs.join(after, [*keys, "y", "tile"]).where((F.col("lo") <= F.col("hi2")) & (F.col("lo2") <= F.col("hi")))
     edges = down.select(*keys, F.col("node").alias("a"), "b").unionByName(runs.join(beside, [*keys, "y", "hi"]).select(*keys, F.col("node").alias("a"), "b"))
-    edges = _settled(edges.unionByName(edges.select(*keys, F.col("b").alias("a"), F.col("a").alias("b"))))
-    labels = _settled(runs.select(*keys, "node", F.col("node").alias("label")))
+    edges = settled(edges.unionByName(edges.select(*keys, F.col("b").alias("a"), F.col("a").alias("b"))))
+    labels = settled(runs.select(*keys, "node", F.col("node").alias("label")))
     while True:
         near = edges.join(labels.withColumnRenamed("node", "b"), [*keys, "b"]).groupBy(*keys, F.col("a").alias("node")).agg(F.min("label").alias("near"))
         met = labels.join(near, [*keys, "node"], "left").select(*keys, "node", "label", F.coalesce(F.least("label", "near"), "label").alias("least"))
@@ -106,7 +106,7 @@ def connected(places: DataFrame, seeds: DataFrame) -> DataFrame:
         told = met.select(*keys, "node", "least", F.col("label").alias("old")).unionByName(met.select(*keys, F.col("label").alias("node"), "least", F.lit(None).cast(met.schema["label"].dataType).alias("old")))
         hung = told.groupBy(*keys, "node").agg(F.min("least").alias("label"), F.max("old").alias("old"))
         jump = labels.select(*keys, F.col("node").alias("label"), F.col("label").alias("far"))
-        new = _settled(hung.join(jump, [*keys, "label"]).select(*keys, "node", "old", F.least("label", "far").alias("label")))
+        new = settled(hung.join(jump, [*keys, "label"]).select(*keys, "node", "old", F.least("label", "far").alias("label")))
         labels = new.drop("old")
         if new.where("old != label").isEmpty():
             break

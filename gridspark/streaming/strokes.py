@@ -76,6 +76,12 @@ def tip(distance: Column, radius: Column, hardness: float, pencil: bool = False)
     return F.when(radius > 0, t * t * (3 - 2 * t)).otherwise(0.0)
 
 
+def _built_up(hit: DataFrame) -> DataFrame:
+    full = F.bool_or(F.col("c") >= 1)
+    log = F.sum(F.when(F.col("c") < 1, F.log1p(-F.col("c"))).otherwise(0.0))
+    return hit.groupBy("stroke", F.col("px").alias("x"), F.col("py").alias("y")).agg(F.when(full, 1.0).otherwise(1 - F.exp(log)).alias("cover"))
+
+
 def stamp(dabs: DataFrame, radius: float, flow: float, hardness: float = 0.8, by_pressure: bool = True, flow_by_pressure: bool = False, pencil: bool = False) -> DataFrame:
     """stroke, x, y, cover: 1 less the product over dabs of (1 - flow * tip), the tip taken at the pixels' centres.
     Dabs explode into the pixels of their footprint; the product is an order-free aggregate."""
@@ -86,9 +92,29 @@ def stamp(dabs: DataFrame, radius: float, flow: float, hardness: float = 0.8, by
     cells = d.withColumn("px", span("x")).withColumn("py", span("y"))
     dx, dy = F.col("px") + 0.5 - F.col("x"), F.col("py") + 0.5 - F.col("y")
     hit = cells.withColumn("c", F.col("ink") * tip(F.sqrt(dx * dx + dy * dy), F.col("size"), hardness, pencil)).where("c > 0")
-    full = F.bool_or(F.col("c") >= 1)
-    log = F.sum(F.when(F.col("c") < 1, F.log1p(-F.col("c"))).otherwise(0.0))
-    return hit.groupBy("stroke", F.col("px").alias("x"), F.col("py").alias("y")).agg(F.when(full, 1.0).otherwise(1 - F.exp(log)).alias("cover"))
+    return _built_up(hit)
+
+
+def stamp_sampled(dabs: DataFrame, tip: DataFrame, size: tuple[int, int], flow: float, diameter: float | None = None, roundness: float = 1.0, flip: tuple[bool, bool] = (False, False), by_pressure: bool = False, flow_by_pressure: bool = False) -> DataFrame:
+    """``stamp`` with a bitmap for a tip: ``tip`` has tx, ty and alpha (0 to 255), absent texels are 0; ``size`` is its width and height.
+
+    The longer side is scaled to ``diameter`` pixels, the height by ``roundness`` too, and read bilinearly at the pixels' centres.
+    Every pixel of a footprint reads four texels: a join with the tip, then sums for each dab, then the product over dabs."""
+    (width, height), (flip_x, flip_y) = size, flip
+    full = float(max(width, height)) if diameter is None or not 0 < diameter < math.inf else float(diameter)
+    roundness = roundness if 0 < roundness < math.inf else 1.0
+    scale = F.lit(full / max(width, height)) * (F.col("pressure") if by_pressure else F.lit(1.0))
+    ink = F.col("pressure") * flow if flow_by_pressure else F.lit(float(flow))
+    d = dabs.select("stroke", "n", "x", "y", scale.alias("sx"), (scale * roundness).alias("sy"), ink.alias("ink")).where("sx > 0 AND ink > 0")
+    span = lambda c, s, n: F.explode(F.sequence(F.floor(F.col(c) - F.col(s) * n / 2 - 1).cast("bigint"), F.ceil(F.col(c) + F.col(s) * n / 2 + 1).cast("bigint") - 1))
+    cells = d.withColumn("px", span("x", "sx", width)).withColumn("py", span("y", "sy", height))
+    tx, ty = (F.col("px") + 0.5 - F.col("x")) / F.col("sx") + width / 2, (F.col("py") + 0.5 - F.col("y")) / F.col("sy") + height / 2
+    cells = cells.withColumns({"u": (width - tx if flip_x else tx) - 0.5, "v": (height - ty if flip_y else ty) - 0.5})
+    fx, fy = F.col("u") - F.floor("u"), F.col("v") - F.floor("v")
+    texels = [F.struct((F.floor("u") + i).alias("tx"), (F.floor("v") + j).alias("ty"), ((fx if i else 1 - fx) * (fy if j else 1 - fy)).alias("k")) for i in (0, 1) for j in (0, 1)]
+    read = cells.select("stroke", "n", "px", "py", "ink", F.inline(F.array(*texels))).where(F.col("tx").between(0, width - 1) & F.col("ty").between(0, height - 1) & (F.col("k") > 0))
+    hit = read.join(tip.select("tx", "ty", "alpha"), ["tx", "ty"]).groupBy("stroke", "n", "px", "py").agg((F.max("ink") * F.least(F.sum(F.col("k") * F.col("alpha")) / 255, F.lit(1.0))).alias("c"))
+    return _built_up(hit.where("c > 0"))
 
 
 def effective_cover(cover: DataFrame, opacity: float = 1.0, selection: DataFrame | None = None) -> DataFrame:
