@@ -47,12 +47,12 @@ def required(name: str, region: Region, **params) -> Region | None:
     k = KERNELS[name]
     if k.kind == "point":
         return region
-    if k.kind == "generator":
+    if name.startswith("gen."):
         return Region(0, 0, 0, 0)
     return region.expanded(*_REACH[name](k.params | params)) if name in _REACH else None
 
 
 def apply_within(px: DataFrame, name: str, region: Region, other: DataFrame | None = None, mask: DataFrame | None = None, **params) -> DataFrame:
     """``apply``, of the pixels in a region only; they equal those of the whole result."""
-    part = required(name, region, **params)
+    part = region if name.startswith("gen.") else required(name, region, **params)  # generators read no pixels, but are asked for at their places
     return region.of(apply(px if part is None else part.of(px), name, other, mask, **params))
