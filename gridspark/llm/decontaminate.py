@@ -192,7 +192,8 @@ class Words:
 class Items:
     """A block of benchmark items: the directions of them or their passages, their telling words and rarest words."""
 
-    def __init__(self, rows: list[tuple[int, str]], weight: np.ndarray, basis: np.ndarray):
+    def __init__(self, rows: list[tuple[int, str]], weight: np.ndarray, basis: np.ndarray, cosine: float = COSINE):
+        self.cosine = cosine
         texts = [(t or "").encode() for _, t in rows]
         buf, offsets = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
         hashes, row = word_hashes(buf, offsets)
@@ -230,7 +231,7 @@ class Items:
         """Candidates as passage * number of items + item: by the cosine with ``p``, if one of the item's rarest words is there, or by several words."""
         n, close = len(self.ids), []
         for lo in range(0, len(self.direction), DIRECTIONS_AT_ONCE):
-            at, which = np.nonzero(p @ self.direction[lo : lo + DIRECTIONS_AT_ONCE].T >= COSINE)
+            at, which = np.nonzero(p @ self.direction[lo : lo + DIRECTIONS_AT_ONCE].T >= self.cosine)
             close.append(at * n + self.direction_of[lo + which])
         close = np.unique(np.concatenate(close)) if close else np.zeros(0, np.int64)
         close = close[np.isin(close, self.answer.held(hashes, begin, of), assume_unique=True)]
@@ -249,12 +250,12 @@ class Items:
         return common_subsequence(self.telling[k], telling) / len(self.telling[k])
 
 
-def find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def find(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE) -> DataFrame:
     """doc_id, item_id, cosine, covered: the documents that hold a passage of an item, the best one for each item."""
-    return matches(docs, benchmark).groupBy("doc_id", "item_id").agg(F.max("cosine").alias("cosine"), F.max("covered").alias("covered"))
+    return matches(docs, benchmark, cosine).groupBy("doc_id", "item_id").agg(F.max("cosine").alias("cosine"), F.max("covered").alias("covered"))
 
 
-def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def matches(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE) -> DataFrame:
     """doc_id, text_hash, item_id, cosine, covered: the same for each row; the hash tells rows of one doc_id apart."""
     spark = docs.sparkSession
     texts = docs.select(text_of(docs).alias("text"), docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64(text_of(docs)).alias("text_hash"))
@@ -270,7 +271,7 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     out = None
     for part in range(n_parts):
         rows = items.where(F.pmod(F.xxhash64("item_id"), F.lit(n_parts)) == part).orderBy("item_id", "text").collect()  # about ITEMS_AT_ONCE
-        found = _search(texts, Items([tuple(r) for r in rows], weight, basis), shared)
+        found = _search(texts, Items([tuple(r) for r in rows], weight, basis, cosine), shared)
         out = found if out is None else out.unionByName(found)
     return out
 

@@ -231,6 +231,11 @@ def fit(documents: list[tuple[str, int]]) -> dict:
     return {"weight": folded.astype(np.float32), "slope": slope, "offset": offset + slope * bias, "least": -1.0 - bias}
 
 
+def has_learned(model: dict) -> bool:
+    """Were there documents of both kinds, with words in them; otherwise every score is the share of toxic labels."""
+    return model["slope"] != 0.0
+
+
 def _logistic(x: np.ndarray, y: np.ndarray, steps: int = 60) -> tuple[float, float]:
     """A logistic curve through (x, y) with softened targets, by Newton steps."""
     hi, lo = (y.sum() + 1) / (y.sum() + 2), 1 / ((1 - y).sum() + 2)

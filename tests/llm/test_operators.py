@@ -1,4 +1,4 @@
-"""The ten operators against brute force, and on nulls, empty and long texts, ties, repeated rows, empty tables and extra columns."""
+"""The operators 1 to 10 against brute force, and on nulls, empty and long texts, ties, repeated rows, empty tables and extra columns."""
 
 import random
 import zlib
@@ -194,9 +194,8 @@ def test_decontamination_finds_copies_and_paraphrases(spark):
 
 
 @pytest.mark.parametrize("cosine", [0.4, 2.0])
-def test_every_verbatim_leak_is_found(spark, cosine, monkeypatch):
+def test_every_verbatim_leak_is_found(spark, cosine):
     """Short and long items, copied whole at any place; by words alone too, when no cosine is enough."""
-    monkeypatch.setattr(decontaminate, "COSINE", cosine)
     rng = random.Random(15)
     items = [(k, prose(rng, 16 + k % 5)) for k in range(40)] + [(40 + k, prose(rng, 150 + 120 * k)) for k in range(4)]
     rows, want = [], set()
@@ -209,7 +208,7 @@ def test_every_verbatim_leak_is_found(spark, cosine, monkeypatch):
             want.add((d, k))
         rows.append((d, " ".join(words)))
     bench = spark.createDataFrame(items, "item_id bigint, text string")
-    got = {(r.doc_id, r.item_id) for r in decontaminate.find(frame(spark, rows), bench).collect()}
+    got = {(r.doc_id, r.item_id) for r in decontaminate.find(frame(spark, rows), bench, cosine).collect()}
     assert got == want
 
 
@@ -627,7 +626,7 @@ def test_repeats_against_brute_force(spark, length):
     assert repeats.remove_repeats(frame(spark, []), length).count() == 0
 
 
-def thue_morse(n):
+def thue_morse_letters(n):
     return "".join("ab"[bin(i).count("1") % 2] for i in range(n))
 
 
@@ -637,7 +636,7 @@ def test_repeats_of_hot_and_structured_texts(spark, together):
     rng, length = random.Random(together), 60
     hot = prose(rng, 12)[: length - 7]
     rows = [(i, prose(rng, rng.randint(3, 25)) + rng.choice("ab") + hot + rng.choice("xy") * rng.randint(1, 9) + prose(rng, rng.randint(3, 25))) for i in range(60)]
-    one = thue_morse(2048)
+    one = thue_morse_letters(2048)
     rows += [(100, one), (101, one.translate({97: 98, 98: 97})), (102, prose(rng, 3000)), (103, "é" * 200), (104, rows[0][1] + "é" * 40)]
     got = repeats.remove_repeats(frame(spark, rows), length, together)
     mine = {r.doc_id: (r.n_removed, len(r.spans)) for r in got.collect()}

@@ -97,3 +97,34 @@ def test_rows_without_or_with_shared_ids(spark, tmp_path):
     near = text["b"] + " more"
     rows = [(1, text["b"]), (6, near), (6, text["c"]), (None, text["d"]), (None, text["d"]), (5, text["e"]), (5, text["e"]), (2, text["f"]), (None, text["f"])]
     assert after(corpus_pipeline.drop_near_duplicates, rows) == want([(1, text["b"]), (6, text["c"]), (None, text["d"]), (5, text["e"]), (2, text["f"])])
+
+
+ODD_TEXTS = [(1, None), (None, "a null id"), (None, None), (2, ""), (3, "short"), (3, "short"), (4, " \n\t "), (5, "ünï ☃ 中文"), (6, "long words here " * 7000)]
+
+
+@pytest.mark.parametrize("name,stage", corpus_pipeline.STAGES)
+@pytest.mark.parametrize("empty", [False, True])
+def test_odd_rows_and_clashing_columns(spark, tmp_path, name, stage, empty):
+    """Null, empty, repeated and long texts, empty tables, and columns named as those that the stages use; nothing is toxic or leaks here."""
+    spark.createDataFrame([], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.createDataFrame([] if empty else [(i, t, "x", 0) for i, t in ODD_TEXTS], "doc_id bigint, text string, score string, _id int")
+    out = stage(spark, docs, str(tmp_path))
+    rows = out.collect()
+    if name == "packing":
+        assert {r.doc_id for r in rows} == (set() if empty else {i for i, _ in ODD_TEXTS})
+        return
+    assert out.columns == docs.columns
+    mine, all_ = sorted(map(tuple, rows), key=repr), sorted(map(tuple, docs.collect()), key=repr)
+    if name in ("toxicity", "decontamination"):
+        assert mine == all_
+    else:  # deduplication leaves one of equal texts, and no text that was not there
+        assert {r[0] for r in mine} <= {r[0] for r in all_} and len(mine) <= len(all_) and bool(mine) != empty
+
+
+def test_without_labels_of_both_kinds_everything_stays(spark, tmp_path):
+    docs = spark.createDataFrame([(i, f"clean text number {i}") for i in range(20)], "doc_id bigint, text string")
+    for k, labels in enumerate([[], [(i, 1) for i in range(20)], [(i, 0) for i in range(20)]]):
+        folder = f"{tmp_path}/{k}"
+        spark.createDataFrame(labels, "doc_id bigint, toxic int").write.parquet(f"{folder}/labels.parquet")
+        assert corpus_pipeline.drop_toxic(spark, docs, folder).count() == 20
