@@ -59,10 +59,14 @@ class Scratch:
 
     def drop(self, name: str = "") -> None:
         """Frees a table that no later step reads, and asks the driver to let go of finished shuffles."""
+        self.forget(name)
+        release(self.spark)
+
+    def forget(self, name: str = "") -> None:
+        """Removes a table that no later step reads."""
         jvm = self.spark.sparkContext._jvm
         path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}".rstrip("/"))
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-        release(self.spark)
 
 
 def release(spark: SparkSession) -> None:

@@ -9,6 +9,8 @@ from gridspark.llm.decontaminate import op3_latent_decontamination
 from gridspark.llm.hamming import op1_multi_index_hashing
 from gridspark.llm.hamming import oracle as op1_sql
 from gridspark.llm.line_dedup import op7_line_chunks
+from gridspark.llm.merkle import op11_merkle_manifest
+from gridspark.llm.merkle import oracle as op11_sql
 from gridspark.llm.near_dups import op5_weighted_minhash
 from gridspark.llm.packing import op8_pattern_packing
 from gridspark.llm.token_store import op4_token_store
@@ -25,6 +27,7 @@ QUERIES = {
     "op8_pattern_packing": op8_pattern_packing,
     "op9_prefix_free_parsing": op9_prefix_free_parsing,
     "op10_toxicity": op10_toxicity,
+    "op11_merkle_manifest": op11_merkle_manifest,
 }
 
-ORACLE_SQL = {"op1_multi_index_hashing": op1_sql()}
+ORACLE_SQL = {"op1_multi_index_hashing": op1_sql(), "op11_merkle_manifest": op11_sql()}
