@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from gridspark.llm.byte_bpe import op12_byte_bpe
 from gridspark.llm.ppm import op2_ppm
 from gridspark.llm.repeats import op9_prefix_free_parsing
 from gridspark.llm.resampling import op6_importance_resampling
 from gridspark.llm.decontaminate import op3_latent_decontamination
+from gridspark.llm.hard_negatives import op13_hard_negatives
+from gridspark.llm.hard_negatives import oracle as op13_sql
 from gridspark.llm.hamming import op1_multi_index_hashing
 from gridspark.llm.hamming import oracle as op1_sql
 from gridspark.llm.line_dedup import op7_line_chunks
@@ -28,6 +31,8 @@ QUERIES = {
     "op9_prefix_free_parsing": op9_prefix_free_parsing,
     "op10_toxicity": op10_toxicity,
     "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_byte_bpe": op12_byte_bpe,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
-ORACLE_SQL = {"op1_multi_index_hashing": op1_sql(), "op11_merkle_manifest": op11_sql()}
+ORACLE_SQL = {"op1_multi_index_hashing": op1_sql(), "op11_merkle_manifest": op11_sql(), "op13_hard_negatives": op13_sql()}
