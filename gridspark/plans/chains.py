@@ -19,13 +19,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import gridspark.operators.gallery
+import gridspark.operators.generators
 import gridspark.operators.point
 import gridspark.operators.spatial  # noqa: F401
 from gridspark.functions.pixel import CHANNELS
 from gridspark.plans.registry import KERNELS, apply
 from gridspark.plans.roi import Region, required
-from gridspark.plans.stencil import at, image
-
+from gridspark.plans.stencil import image
 
 #: Tiles along a side of a block, which is about one file, and blocks that a scan is given by name.
 BLOCK, MOST_LISTED = 8, 4096
