@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridspark import oracle as sql
-from gridspark.plans import stacks
+from gridspark.plans import journal, stacks
 
 #: The blends of the stacks' query, in a fixed order: those that SQL has channel by channel, and two that look at whole colours.
 BLENDS = [*sql.CHANNEL_BLENDS, "darker_color", "lighter_color"]
@@ -42,7 +42,21 @@ def layer_stacks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(stacks.composite(*order_stacks(spark, sf_dir)), "r", "g", "b", "a")
 
 
-QUERIES = {"layer_stacks": layer_stacks}
+def edit_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every user's events are the log of a document: errors undo, sign-ups redo, all others edit, some of them no tile; bytes follow from the values."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    op = F.when(F.col("event_type") == "error", "undo").when(F.col("event_type") == "signup", "redo").otherwise("edit")
+    size = F.floor(F.col("value") * F.when(F.col("user_id") % 2 == 0, 1 << 15).otherwise(1 << 20)).cast("bigint")  # many small edits, or some above all bounds
+    before, after = F.when(F.col("event_id") % 17 != 0, size), F.floor(size * (F.col("event_id") % 4) / 2).cast("bigint")
+    return events.select(F.col("user_id").alias("document"), F.col("event_id").alias("seq"), op.alias("op"), before.alias("bytes"), after.alias("after"))
+
+
+def journal_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each operation does to its document's journal."""
+    return journal.resolved(edit_log(spark, sf_dir), ["document"])
+
+
+QUERIES = {"layer_stacks": layer_stacks, "journal_log": journal_log}
 
 # -- the same in DuckDB ------------------------------------------------------------------------------
 
@@ -95,4 +109,29 @@ walk AS (
 SELECT w.doc AS image_id, i.x, i.y, {', '.join(f'round(CASE WHEN acc[1].a = 0 THEN 0 ELSE acc[1].{c} / acc[1].a END, 6) + 0.0 AS {c}' for c in 'rgb')}, round(acc[1].a, 6) + 0.0 AS a
 FROM walk w JOIN cell i ON i.doc = w.doc AND i.c = w.c WHERE todo = 'stop' AND drawn"""
 
-ORACLE_SQL = {"layer_stacks": _STACKS}
+_HELD = lambda u, r: f"coalesce(list_sum([e.b for e in {u}]), 0) + coalesce(list_sum([e.a for e in {r}]), 0)"
+
+#: A walk over each user's events, one at a time, with both stacks in lists; the bounds keep the longest end of the undo stack that fits.
+_JOURNAL = f"""
+WITH RECURSIVE log AS (
+  SELECT user_id AS doc, event_id AS s, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k, CASE event_type WHEN 'error' THEN 'undo' WHEN 'signup' THEN 'redo' ELSE 'edit' END AS op,
+    CASE WHEN event_id % 17 <> 0 THEN size END AS b, CAST(floor(size * (event_id % 4) / 2) AS BIGINT) AS a
+  FROM (SELECT *, CAST(floor(value * CASE WHEN user_id % 2 = 0 THEN {1 << 15} ELSE {1 << 20} END) AS BIGINT) AS size FROM events)),
+walk AS (
+  SELECT DISTINCT doc, CAST(0 AS BIGINT) AS k, CAST(NULL AS BIGINT) AS s, '' AS op, '' AS outcome, CAST(NULL AS BIGINT) AS target, CAST([] AS STRUCT(s BIGINT, g BIGINT, b BIGINT, a BIGINT)[]) AS u, CAST([] AS STRUCT(s BIGINT, g BIGINT, b BIGINT, a BIGINT)[]) AS r, CAST(0 AS BIGINT) AS g, CAST(0 AS BIGINT) AS dropped FROM log
+  UNION ALL
+  SELECT doc, k, s, op, outcome, target, u2, CASE WHEN {_HELD('u2', 'r1')} > {journal.MOST_BYTES} THEN [] ELSE r1 END, g1, CAST(dropped + len(u1) - len(u2) AS BIGINT)
+  FROM (
+    SELECT *, u1[1 + list_filter(range(len(u1) + 1), lambda n: len(u1) - n <= {journal.MOST_ENTRIES} AND (n = len(u1) OR coalesce(list_sum(list_transform(u1[n + 1:], lambda e: e.b)), 0) + coalesce(list_sum([e.a for e in r1]), 0) <= {journal.MOST_BYTES}))[1]:] AS u2
+    FROM (
+      SELECT doc, k, s, op, dropped, outcome, CASE outcome WHEN 'recorded' THEN s WHEN 'undone' THEN u[-1].s WHEN 'redone' THEN r[-1].s END AS target,
+        CASE outcome WHEN 'recorded' THEN list_append(u, {{'s': s, 'g': g, 'b': b, 'a': a}}) WHEN 'too_large' THEN [] WHEN 'undone' THEN u[1:len(u) - 1] WHEN 'redone' THEN list_append(u, {{'s': r[-1].s, 'g': g, 'b': r[-1].b, 'a': r[-1].a}}) ELSE u END AS u1,
+        CASE outcome WHEN 'recorded' THEN [] WHEN 'too_large' THEN [] WHEN 'undone' THEN list_append(r, {{'s': u[-1].s, 'g': g, 'b': u[-1].b, 'a': u[-1].a}}) WHEN 'redone' THEN r[1:len(r) - 1] ELSE r END AS r1,
+        CASE outcome WHEN 'recorded' THEN g + 1 WHEN 'undone' THEN u[-1].g WHEN 'redone' THEN r[-1].g ELSE g END AS g1
+      FROM (
+        SELECT l.*, w.u, w.r, w.g, w.dropped, CASE WHEN l.op = 'undo' THEN CASE WHEN len(w.u) > 0 THEN 'undone' ELSE 'nothing' END WHEN l.op = 'redo' THEN CASE WHEN len(w.r) > 0 THEN 'redone' ELSE 'nothing' END
+          WHEN l.b IS NULL THEN 'no_change' WHEN l.b > {journal.MOST_BYTES} THEN 'too_large' ELSE 'recorded' END AS outcome
+        FROM walk w JOIN log l ON l.doc = w.doc AND l.k = w.k + 1))))
+SELECT doc AS document, s AS seq, op, outcome, target, CAST(len(u) AS INTEGER) AS undo_depth, CAST(len(r) AS INTEGER) AS redo_depth, CAST({_HELD('u', 'r')} AS BIGINT) AS bytes_held, g AS generation, dropped FROM walk WHERE k > 0"""
+
+ORACLE_SQL = {"layer_stacks": _STACKS, "journal_log": _JOURNAL}
