@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridspark import oracle as sql
+from gridspark.functions.pixel import CHANNELS
+from gridspark.operators.selection import shared_folder
 from gridspark.plans import journal, stacks
+from gridspark.plans.chains import Chain, Step
+from gridspark.queries import shown
+from gridspark.sources.rasters import px_embed
 
 #: The blends of the stacks' query, in a fixed order: those that SQL has channel by channel, and two that look at whole colours.
 BLENDS = [*sql.CHANNEL_BLENDS, "darker_color", "lighter_color"]
@@ -56,7 +63,20 @@ def journal_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return journal.resolved(edit_log(spark, sf_dir), ["document"])
 
 
-QUERIES = {"layer_stacks": layer_stacks, "journal_log": journal_log}
+#: The chain of the query about edits, and tiles along its sides.
+STEPS, TILE = [Step("conv.box"), Step("math.linear", {"gain": 1.5, "bias": -0.2}), Step("conv.box")], 64
+
+
+def chain_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A chain over the raster of embeddings after two edits: pixels here and there are inverted, then others cleared."""
+    px = px_embed(spark, sf_dir)
+    chain = Chain.over(px, STEPS, f"{shared_folder(spark)}/chain-{uuid.uuid4().hex[:12]}", TILE)
+    inverted = px.where("x = 3 AND y % 500 = 5").withColumns({c: 1 - F.col(c) for c in CHANNELS})
+    cleared = px.where("x = 9 AND y % 700 = 5").withColumns({c: F.lit(0.0) for c in CHANNELS})
+    return shown(chain.edited(inverted).edited(cleared).result())
+
+
+QUERIES = {"layer_stacks": layer_stacks, "journal_log": journal_log, "chain_edits": chain_edits}
 
 # -- the same in DuckDB ------------------------------------------------------------------------------
 
@@ -134,4 +154,13 @@ walk AS (
         FROM walk w JOIN log l ON l.doc = w.doc AND l.k = w.k + 1))))
 SELECT doc AS document, s AS seq, op, outcome, target, CAST(len(u) AS INTEGER) AS undo_depth, CAST(len(r) AS INTEGER) AS redo_depth, CAST({_HELD('u', 'r')} AS BIGINT) AS bytes_held, g AS generation, dropped FROM walk WHERE k > 0"""
 
-ORACLE_SQL = {"layer_stacks": _STACKS, "journal_log": _JOURNAL}
+_BOXED = lambda source: f"SELECT p.x, p.y, {', '.join(f'sum(q.{c}) / 9 AS {c}' for c in CHANNELS)} FROM {source} p CROSS JOIN size CROSS JOIN range(-1, 2) i(dx) CROSS JOIN range(-1, 2) j(dy) JOIN {source} q ON q.x = least(greatest(p.x + dx, 0), w) AND q.y = least(greatest(p.y + dy, 0), h) GROUP BY ALL"
+
+#: The whole chain over the raster as the edits leave it.
+_CHAIN = f"""
+WITH {sql.PX}, size AS (SELECT max(x) AS w, max(y) AS h FROM px),
+source AS (SELECT x, y, {', '.join(f'CASE WHEN x = 3 AND y % 500 = 5 THEN 1 - {c} WHEN x = 9 AND y % 700 = 5 THEN 0 ELSE {c} END AS {c}' for c in CHANNELS)} FROM px),
+one AS ({_BOXED('source')}), two AS (SELECT x, y, {', '.join(f'{c} * 1.5 - 0.2 AS {c}' for c in CHANNELS)} FROM one), three AS ({_BOXED('two')})
+SELECT CAST(x AS BIGINT) AS x, CAST(y AS BIGINT) AS y, {', '.join(f'round(({c})::DOUBLE, 6) + 0.0 AS {c}' for c in CHANNELS)} FROM three"""
+
+ORACLE_SQL = {"layer_stacks": _STACKS, "journal_log": _JOURNAL, "chain_edits": _CHAIN}

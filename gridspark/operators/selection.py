@@ -73,13 +73,19 @@ def _near(df: DataFrame, x: int, y: int, tolerance: float) -> DataFrame:
     return df.join(F.broadcast(seed)).where(far <= tolerance).select("x", "y")  # one row
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """Written to the checkpoint folder, which executors share; a local session without one gets a temporary folder."""
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder, which executors share; a local session without one gets a temporary folder."""
+    sc = spark.sparkContext
     if not sc.getCheckpointDir():
         if not sc.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="gridspark-"))
+    return sc.getCheckpointDir().rstrip("/")
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """Written to the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
