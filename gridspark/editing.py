@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from gridspark import oracle as sql
 from gridspark.functions.pixel import CHANNELS
 from gridspark.operators.selection import shared_folder
-from gridspark.plans import journal, stacks
+from gridspark.plans import journal, packbits, stacks
 from gridspark.plans.chains import Chain, Step
 from gridspark.queries import shown
 from gridspark.sources.rasters import px_embed
@@ -76,7 +76,14 @@ def chain_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(chain.edited(inverted).edited(cleared).result())
 
 
-QUERIES = {"layer_stacks": layer_stacks, "journal_log": journal_log, "chain_edits": chain_edits}
+def packbits_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of the raster of embeddings, each channel in four steps, as run-length packets."""
+    px = px_embed(spark, sf_dir)
+    bands = px.select("x", "y", F.posexplode(F.array(*CHANNELS)).alias("band", "v")).withColumn("v", 85 * F.least(F.floor(F.col("v") * 4), F.lit(3)))
+    return packbits.encode(bands, ["band", "x"], "y", "v").select("band", "x", "n_bytes", F.hex("packed").alias("packed"))
+
+
+QUERIES = {"layer_stacks": layer_stacks, "journal_log": journal_log, "chain_edits": chain_edits, "packbits_lines": packbits_lines}
 
 # -- the same in DuckDB ------------------------------------------------------------------------------
 
@@ -163,4 +170,16 @@ source AS (SELECT x, y, {', '.join(f'CASE WHEN x = 3 AND y % 500 = 5 THEN 1 - {c
 one AS ({_BOXED('source')}), two AS (SELECT x, y, {', '.join(f'{c} * 1.5 - 0.2 AS {c}' for c in CHANNELS)} FROM one), three AS ({_BOXED('two')})
 SELECT CAST(x AS BIGINT) AS x, CAST(y AS BIGINT) AS y, {', '.join(f'round(({c})::DOUBLE, 6) + 0.0 AS {c}' for c in CHANNELS)} FROM three"""
 
-ORACLE_SQL = {"layer_stacks": _STACKS, "journal_log": _JOURNAL, "chain_edits": _CHAIN}
+_PACKBITS = f"""
+WITH {sql.PX}, v AS ({' UNION ALL '.join(f'SELECT {i} AS band, x, y, 85 * least(floor({c} * 4), 3)::INTEGER AS v FROM px' for i, c in enumerate(CHANNELS))}),
+w AS (SELECT *, row_number() OVER l AS k, row_number() OVER l - row_number() OVER (PARTITION BY band, x, v ORDER BY y) AS island FROM v WINDOW l AS (PARTITION BY band, x ORDER BY y)),
+runs AS (SELECT band, x, v, min(k) AS k, count(*) AS n FROM w GROUP BY band, x, v, island),
+parts AS (SELECT *, sum(CASE WHEN n >= 3 THEN 1 ELSE 0 END) OVER (PARTITION BY band, x ORDER BY k) AS seg FROM runs),
+packets AS (
+  SELECT band, x, k + 128 * i AS k, least(n - 128 * i, 128) AS n, printf('%02X%02X', CAST((257 - least(n - 128 * i, 128)) % 256 AS INTEGER), v) AS packed FROM parts, range((n + 127) // 128) t(i) WHERE n >= 3
+  UNION ALL
+  SELECT band, x, min(k), count(*), printf('%02X', CAST(count(*) - 1 AS INTEGER)) || string_agg(printf('%02X', v), '' ORDER BY k) FROM (
+    SELECT band, x, v, seg, k + i AS k, (row_number() OVER (PARTITION BY band, x, seg ORDER BY k + i) - 1) // 128 AS part FROM parts, range(n) t(i) WHERE n < 3) GROUP BY band, x, seg, part)
+SELECT band, CAST(x AS BIGINT) AS x, CAST(sum(n) AS BIGINT) AS n_bytes, string_agg(packed, '' ORDER BY k) AS packed FROM packets GROUP BY band, x"""
+
+ORACLE_SQL = {"layer_stacks": _STACKS, "journal_log": _JOURNAL, "chain_edits": _CHAIN, "packbits_lines": _PACKBITS}
