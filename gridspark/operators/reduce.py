@@ -1,4 +1,4 @@
-"""Reductions: histograms, statistics, bounds, pyramids. All are partial aggregates before one small shuffle."""
+"""Reductions: histograms, statistics, bounds, pyramids, of each image for itself. All are partial aggregates before one small shuffle."""
 
 from __future__ import annotations
 
@@ -15,9 +15,9 @@ def to_byte(v: Column) -> Column:
 
 
 def long_form(df: DataFrame, **values: Column) -> DataFrame:
-    """channel, value: one row for each of the named values."""
+    """channel, value: one row for each of the named values, with the columns that tell the image."""
     pairs = F.array(*(F.struct(F.lit(k).alias("channel"), v.alias("value")) for k, v in values.items()))
-    return df.select(F.inline(pairs))
+    return df.select(*image(df), F.inline(pairs))
 
 
 def histogram(df: DataFrame, with_luma: bool = False) -> DataFrame:
@@ -30,60 +30,61 @@ def histogram(df: DataFrame, with_luma: bool = False) -> DataFrame:
         values["luma"] = F.least(F.floor((weighted[0] + weighted[1] + weighted[2] + 500) / 1000), F.lit(255)).cast("bigint")
     else:
         values["a"] = to_byte(p.a)
-    return long_form(df, **values).groupBy("channel", F.col("value").alias("bin")).agg(F.count("*").alias("n"))
+    return long_form(df, **values).groupBy(*image(df), "channel", F.col("value").alias("bin")).agg(F.count("*").alias("n"))
 
 
 def dense_histogram(hist: DataFrame) -> DataFrame:
     """With a row for each of the 256 bins."""
-    bins = hist.select("channel").distinct().withColumn("bin", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(255).cast("bigint"))))
-    return bins.join(hist, ["channel", "bin"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    keys = image(hist)
+    bins = hist.select(*keys, "channel").distinct().withColumn("bin", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(255).cast("bigint"))))
+    return bins.join(hist, [*keys, "channel", "bin"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
 
 
 def percentile_bin(hist: DataFrame, fraction: float) -> DataFrame:
     """channel, bin: the first bin whose running count reaches the fraction (and at least one)."""
-    running = F.sum("n").over(Window.partitionBy("channel").orderBy("bin"))
-    total = F.sum("n").over(Window.partitionBy("channel"))
-    counted = hist.select("channel", "bin", running.alias("running"), total.alias("total"))
-    return counted.where(F.col("running") >= F.greatest(F.lit(1), F.ceil(F.col("total") * fraction))).groupBy("channel").agg(F.min("bin").alias("bin"))
+    each = Window.partitionBy(*image(hist), "channel")
+    running, total = F.sum("n").over(each.orderBy("bin")), F.sum("n").over(each)
+    counted = hist.select(*image(hist), "channel", "bin", running.alias("running"), total.alias("total"))
+    return counted.where(F.col("running") >= F.greatest(F.lit(1), F.ceil(F.col("total") * fraction))).groupBy(*image(hist), "channel").agg(F.min("bin").alias("bin"))
 
 
 def channel_mean(hist: DataFrame) -> DataFrame:
-    return hist.groupBy("channel").agg((F.sum(F.col("bin") * F.col("n")) / F.sum("n")).alias("mean"))
+    return hist.groupBy(*image(hist), "channel").agg((F.sum(F.col("bin") * F.col("n")) / F.sum("n")).alias("mean"))
 
 
 def statistics(df: DataFrame) -> DataFrame:
     """channel, lo, hi, mean; zeros for an empty image."""
     p = Px.of()
     zero = lambda c: F.coalesce(c, F.lit(0.0))
-    row = df.agg(*(f(getattr(p, c)).alias(f"{c}_{n}") for c in CHANNELS for n, f in (("lo", F.min), ("hi", F.max), ("mean", F.avg))))
-    return row.select(F.inline(F.array(*(F.struct(F.lit(c).alias("channel"), *(zero(F.col(f"{c}_{n}")).alias(n) for n in ("lo", "hi", "mean"))) for c in CHANNELS))))
+    row = df.groupBy(*image(df)).agg(*(f(getattr(p, c)).alias(f"{c}_{n}") for c in CHANNELS for n, f in (("lo", F.min), ("hi", F.max), ("mean", F.avg))))
+    return row.select(*image(df), F.inline(F.array(*(F.struct(F.lit(c).alias("channel"), *(zero(F.col(f"{c}_{n}")).alias(n) for n in ("lo", "hi", "mean"))) for c in CHANNELS))))
 
 
 def channel_stats(df: DataFrame) -> DataFrame:
     """channel, lo, hi, mean of the channels and Rec. 709 luma; no rows for an empty image."""
     p = Px.of()
     values = {c: getattr(p, c) for c in CHANNELS} | {"luma": luma(p.rgb, LUMA_709)}
-    return long_form(df, **values).groupBy("channel").agg(F.min("value").alias("lo"), F.max("value").alias("hi"), F.avg("value").alias("mean"))
+    return long_form(df, **values).groupBy(*image(df), "channel").agg(F.min("value").alias("lo"), F.max("value").alias("hi"), F.avg("value").alias("mean"))
 
 
 def auto_enhance(df: DataFrame) -> DataFrame:
-    """One row: in_black, in_white from the 0.5 % and 99.5 % of luma, temp and tint of a gray world; the identity for a flat or black image."""
-    hist = histogram(df, with_luma=True)
-    low, high = (percentile_bin(hist, f).where("channel = 'luma'").agg(F.max("bin").alias(n)) for f, n in ((0.005, "low"), (0.995, "high")))
-    means = channel_mean(hist).groupBy().agg(*(F.max(F.when(F.col("channel") == c, F.col("mean"))).alias(f"m_{c}") for c in "rgb"))
-    one = low.join(high).join(means)  # one row each
+    """One row for each image: in_black, in_white from the 0.5 % and 99.5 % of luma, temp and tint of a gray world; the identity for a flat or black image."""
+    keys, hist = image(df), histogram(df, with_luma=True)
+    low, high = (percentile_bin(hist, f).where("channel = 'luma'").groupBy(*keys).agg(F.max("bin").alias(n)) for f, n in ((0.005, "low"), (0.995, "high")))
+    means = channel_mean(hist).groupBy(*keys).agg(*(F.max(F.when(F.col("channel") == c, F.col("mean"))).alias(f"m_{c}") for c in "rgb"))
+    one = low.join(high, keys or None).join(means, keys or None)  # one row each, or one for each image
     gray = (F.col("m_r") + F.col("m_g") + F.col("m_b")) / 3
     fine = (F.col("high") > F.col("low")) & (F.least("m_r", "m_g", "m_b") > 1)
     gain = lambda c: gray / F.when(F.col(c) == 0, 1.0).otherwise(F.col(c))
     kept = lambda v, d: F.when(fine, v).otherwise(d)
-    return one.select(kept(F.col("low") / 255, 0.0).alias("in_black"), kept(F.col("high") / 255, 1.0).alias("in_white"), kept((gain("m_r") - gain("m_b")) / 2, 0.0).alias("temp"), kept(gain("m_g") - 1, 0.0).alias("tint"))
+    return one.select(*keys, kept(F.col("low") / 255, 0.0).alias("in_black"), kept(F.col("high") / 255, 1.0).alias("in_white"), kept((gain("m_r") - gain("m_b")) / 2, 0.0).alias("temp"), kept(gain("m_g") - 1, 0.0).alias("tint"))
 
 
 def lossless_shape(df: DataFrame) -> DataFrame:
     """shape: the fewest channels that hold the 8-bit image (gray, graya, rgb, rgba)."""
     b = {c: to_byte(getattr(Px.of(), c)) for c in CHANNELS}
-    row = df.agg(F.bool_and((b["r"] == b["g"]) & (b["g"] == b["b"])).alias("gray"), F.bool_and(b["a"] == 255).alias("opaque"))
-    return row.select(F.concat(F.when(F.col("gray"), "gray").otherwise("rgb"), F.when(F.col("opaque"), "").otherwise("a")).alias("shape"))
+    row = df.groupBy(*image(df)).agg(F.bool_and((b["r"] == b["g"]) & (b["g"] == b["b"])).alias("gray"), F.bool_and(b["a"] == 255).alias("opaque"))
+    return row.select(*image(df), F.concat(F.when(F.col("gray"), "gray").otherwise("rgb"), F.when(F.col("opaque"), "").otherwise("a")).alias("shape"))
 
 
 def content_hash(df: DataFrame) -> DataFrame:
@@ -92,42 +93,46 @@ def content_hash(df: DataFrame) -> DataFrame:
     b = [to_byte(F.col(c)) for c in CHANNELS]
     word = (((b[0] * 256 + b[1]) * 256 + b[2]) * 256 + b[3]) % prime
     mixed = ((F.col("x") * 73856093 + F.col("y") * 19349663) % prime * 31 + word) % prime * 48271 % prime
-    return df.agg(F.count("*").alias("n"), F.coalesce(F.sum(mixed * mixed % prime), F.lit(0)).alias("digest"))
+    return df.groupBy(*image(df)).agg(F.count("*").alias("n"), F.coalesce(F.sum(mixed * mixed % prime), F.lit(0)).alias("digest"))
 
 
 def bounds(coverage: DataFrame) -> DataFrame:
     """x0, y0, x1, y1 of the selected places; nulls if there are none."""
-    return coverage.where("cov > 0").agg(F.min("x").alias("x0"), F.min("y").alias("y0"), F.max("x").alias("x1"), F.max("y").alias("y1"))
+    x, y = (F.when(F.col("cov") > 0, F.col(c)) for c in "xy")
+    return coverage.groupBy(*image(coverage)).agg(F.min(x).alias("x0"), F.min(y).alias("y0"), F.max(x).alias("x1"), F.max(y).alias("y1"))
 
 
 def selected_fraction(coverage: DataFrame) -> DataFrame:
     n = F.count("*")
-    return coverage.agg(F.when(n == 0, 0.0).otherwise(F.coalesce(F.sum("cov"), F.lit(0)) / (255 * F.when(n == 0, 1).otherwise(n))).alias("fraction"), F.coalesce(F.bool_and(F.col("cov") == 255), F.lit(True)).alias("all_one"), F.coalesce(F.bool_and(F.col("cov") == 0), F.lit(True)).alias("all_zero"))
+    return coverage.groupBy(*image(coverage)).agg(F.when(n == 0, 0.0).otherwise(F.coalesce(F.sum("cov"), F.lit(0)) / (255 * F.when(n == 0, 1).otherwise(n))).alias("fraction"), F.coalesce(F.bool_and(F.col("cov") == 255), F.lit(True)).alias("all_one"), F.coalesce(F.bool_and(F.col("cov") == 0), F.lit(True)).alias("all_zero"))
 
 
 def downsample_2x(df: DataFrame, width: int, height: int) -> DataFrame:
-    """Half the size by 2x2 means of bytes, rounded down; an odd last row or column is left out."""
+    """Half the size by 2x2 means of bytes, rounded down; an odd last row or column is left out. Images of one raster are of one size."""
     w, h = max(width // 2, 1), max(height // 2, 1)
-    cell = df.where((F.col("x") < max(2 * w, 1)) & (F.col("y") < max(2 * h, 1))).groupBy(F.floor(F.col("x") / 2).alias("x"), F.floor(F.col("y") / 2).alias("y"))
+    cell = df.where((F.col("x") < max(2 * w, 1)) & (F.col("y") < max(2 * h, 1))).groupBy(*image(df), F.floor(F.col("x") / 2).alias("x"), F.floor(F.col("y") / 2).alias("y"))
     return cell.agg(*(F.floor(F.sum(to_byte(F.col(c))) / F.count("*")).alias(c) for c in CHANNELS))
 
 
 def pyramid(df: DataFrame, width: int, height: int, levels: int) -> DataFrame:
-    """level, x, y, bytes of the channels; level 0 is the image. Each level is one aggregate of the one before."""
-    base = df.select("x", "y", *(to_byte(F.col(c)).alias(c) for c in CHANNELS))
+    """level, x, y, bytes of the channels; level 0 is the image. Each level is one aggregate of the one before. Images of one raster are of one size."""
+    keys = [c for c in image(df) if c != "level"]
+    base = df.select(*keys, "x", "y", *(to_byte(F.col(c)).alias(c) for c in CHANNELS))
     out, current = base.withColumn("level", F.lit(0)), base
     for level in range(1, levels):
         w, h = max(width // 2, 1), max(height // 2, 1)
-        cells = current.where((F.col("x") < 2 * w) & (F.col("y") < 2 * h)).groupBy(F.floor(F.col("x") / 2).alias("x"), F.floor(F.col("y") / 2).alias("y"))
+        cells = current.where((F.col("x") < 2 * w) & (F.col("y") < 2 * h)).groupBy(*keys, F.floor(F.col("x") / 2).alias("x"), F.floor(F.col("y") / 2).alias("y"))
         current = cells.agg(*(F.floor(F.sum(c) / F.count("*")).alias(c) for c in CHANNELS))
         out, width, height = out.unionByName(current.withColumn("level", F.lit(level))), w, h
     return out
 
 
 def window_opaque(df: DataFrame, x0: int, y0: int, width: int, height: int) -> DataFrame:
-    """One row: is every pixel of a window there and opaque as a byte."""
-    inside = df.where(F.col("x").between(x0, x0 + width - 1) & F.col("y").between(y0, y0 + height - 1))
-    return inside.agg(((F.count("*") == width * height) & F.coalesce(F.bool_and(to_byte(F.col("a")) == 255), F.lit(True))).alias("opaque"))
+    """One row for each image: is every pixel of a window there and opaque as a byte."""
+    keys, inside = image(df), F.col("x").between(x0, x0 + width - 1) & F.col("y").between(y0, y0 + height - 1)
+    rows = df if keys else df.where(inside)  # images without a pixel in the window have their row, too
+    full = F.coalesce(F.bool_and(F.when(inside, to_byte(F.col("a")) == 255)), F.lit(True))
+    return rows.groupBy(*keys).agg(((F.count(F.when(inside, 1)) == width * height) & full).alias("opaque"))
 
 
 def distance_transform(df: DataFrame, threshold: float = 0.5, manhattan: bool = False, limit: int = 64) -> DataFrame:

@@ -18,7 +18,7 @@ from gridspark.operators.generators import polynomial_atan2
 from gridspark.operators.point import source_over
 from gridspark.operators.reduce import to_byte
 from gridspark.operators.selection import settled
-from gridspark.plans.stencil import as_pixels, at, sampled, sizes
+from gridspark.plans.stencil import as_pixels, at, image, sampled, sizes
 
 
 def crop(px: DataFrame, x0: int, y0: int, width: int, height: int) -> DataFrame:
@@ -45,10 +45,10 @@ def tiles_of(regions: DataFrame, size: int = 256) -> DataFrame:
 
 def clone(px: DataFrame, cover: DataFrame, dx: int, dy: int) -> DataFrame:
     """Where ``cover`` (x, y, cov 0..255) is set, the pixel at (x + dx, y + dy) replaces the own one in proportion; outside the raster is transparent."""
-    source = px.select((F.col("x") - dx).alias("x"), (F.col("y") - dy).alias("y"), *(F.col(c).alias(f"s_{c}") for c in CHANNELS))
-    joined = px.join(cover.select("x", "y", (F.col("cov") / 255).alias("m")), ["x", "y"], "left").join(source, ["x", "y"], "left")
+    source = px.select(*image(px), (F.col("x") - dx).alias("x"), (F.col("y") - dy).alias("y"), *(F.col(c).alias(f"s_{c}") for c in CHANNELS))
+    joined = px.join(cover.select(*at(cover), (F.col("cov") / 255).alias("m")), at(cover), "left").join(source, at(px), "left")
     mixed = [(F.col(c) + (F.coalesce(f"s_{c}", F.lit(0.0)) - F.col(c)) * F.coalesce("m", F.lit(0.0))).alias(c) for c in CHANNELS]
-    return joined.select("x", "y", *mixed)
+    return joined.select(*at(px), *mixed)
 
 
 def _between(p: float, q: float):
@@ -58,10 +58,13 @@ def _between(p: float, q: float):
 def fill(px: DataFrame, cover: DataFrame, kind: str, c0: tuple[float, ...] = (0.0, 0.0, 0.0, 1.0), c1: tuple[float, ...] = (1.0, 1.0, 1.0, 1.0), amount: float = 1.0, seed: int = 1) -> DataFrame:
     """Fills a selection (x, y, cov) of a straight raster: ``linear``, ``radial``, ``angular``, ``reflected`` or ``diamond`` from c0 to c1
     (straight RGBA) over the bounds of the selection, or over the image where nothing is selected; ``noise`` or ``solid``."""
-    bounds = cover.where("cov > 0").agg(F.min("x").alias("x0"), F.min("y").alias("y0"), (F.max("x") + 1).alias("x1"), (F.max("y") + 1).alias("y1"))
-    whole = sizes(px.select("x", "y"))
-    frame = bounds.crossJoin(whole).select(*(F.coalesce(k, d).cast("double").alias(f"f_{k}") for k, d in (("x0", F.lit(0)), ("y0", F.lit(0)), ("x1", F.col("w")), ("y1", F.col("h")))))
-    rows = px.join(cover.select("x", "y", (F.col("cov") / 255).alias("m")), ["x", "y"], "left").crossJoin(F.broadcast(frame))  # one row
+    keys = image(px)
+    bounds = cover.where("cov > 0").groupBy(*image(cover)).agg(F.min("x").alias("x0"), F.min("y").alias("y0"), (F.max("x") + 1).alias("x1"), (F.max("y") + 1).alias("y1"))
+    whole = sizes(px.select(*at(px)))
+    both = whole.join(bounds, image(cover), "left") if image(cover) else whole.crossJoin(bounds)  # bounds are one row, or one for each image
+    frame = both.select(*keys, *(F.coalesce(k, d).cast("double").alias(f"f_{k}") for k, d in (("x0", F.lit(0)), ("y0", F.lit(0)), ("x1", F.col("w")), ("y1", F.col("h")))))
+    rows = px.join(cover.select(*at(cover), (F.col("cov") / 255).alias("m")), at(cover), "left")
+    rows = rows.join(frame, keys) if keys else rows.crossJoin(F.broadcast(frame))  # one row
     w, h = F.col("f_x1") - F.col("f_x0"), F.col("f_y1") - F.col("f_y0")
     dx, dy, half = F.col("x") - (F.col("f_x0") + w / 2), F.col("y") - (F.col("f_y0") + h / 2), F.greatest(w, h, num(1)) / 2
     t = {
@@ -77,7 +80,7 @@ def fill(px: DataFrame, cover: DataFrame, kind: str, c0: tuple[float, ...] = (0.
         made = Px(*(let(place, _between(p, q)) for p, q in zip(*ends, strict=True)))
     base, m = premultiply(Px.of()), F.coalesce("m", num(0))
     over = source_over(base, made, lambda b, s: s, 1.0)
-    return unpremultiply(base.zip(over, lambda p, q: mix(p, q, m))).select(rows, "x", "y")
+    return unpremultiply(base.zip(over, lambda p, q: mix(p, q, m))).select(rows, *at(px))
 
 
 def straighten(px: DataFrame, degrees: float, x0: int, y0: int, width: int, height: int) -> DataFrame:
@@ -93,33 +96,34 @@ def straighten(px: DataFrame, degrees: float, x0: int, y0: int, width: int, heig
 
 def curve_bytes(px: DataFrame, lut: list[int], cover: DataFrame | None = None) -> DataFrame:
     """x, y and the channels as bytes after a 256-entry table; with a selection, (byte * (255 - cov) + mapped * cov + 127) div 255."""
-    rows = px.select("x", "y", *(to_byte(F.col(c)).alias(c) for c in CHANNELS))
+    rows = px.select(*at(px), *(to_byte(F.col(c)).alias(c) for c in CHANNELS))
     table = F.array(*(F.lit(int(v)) for v in lut))
     mapped = {c: F.get(table, F.col(c).cast("int")).cast("bigint") for c in "rgb"}
     if cover is None:
-        return rows.select("x", "y", *(v.alias(c) for c, v in mapped.items()), "a")
-    rows = rows.join(cover.select("x", "y", "cov"), ["x", "y"], "left")
+        return rows.select(*at(px), *(v.alias(c) for c, v in mapped.items()), "a")
+    rows = rows.join(cover.select(*at(cover), "cov"), at(cover), "left")
     m = F.coalesce("cov", F.lit(0))
-    return rows.select("x", "y", *(F.floor((F.col(c) * (255 - m) + v * m + 127) / 255).alias(c) for c, v in mapped.items()), "a")
+    return rows.select(*at(px), *(F.floor((F.col(c) * (255 - m) + v * m + 127) / 255).alias(c) for c, v in mapped.items()), "a")
 
 
 def cmyk_to_rgba(df: DataFrame) -> DataFrame:
     """x, y and bytes r, g, b, a of ink bytes c, m, y_ink, k, by the device formula (no profile)."""
     paper = lambda ink: F.floor((1 - F.col(ink) / 255) * (1 - F.col("k") / 255) * 255 + 0.5).cast("bigint")
-    return df.select("x", "y", paper("c").alias("r"), paper("m").alias("g"), paper("y_ink").alias("b"), F.lit(255).cast("bigint").alias("a"))
+    return df.select(*at(df), paper("c").alias("r"), paper("m").alias("g"), paper("y_ink").alias("b"), F.lit(255).cast("bigint").alias("a"))
 
 
 def outline(cover: DataFrame, least: int = 128) -> DataFrame:
     """The sides of selected pixels whose neighbour is not selected: (x0, y0) to (x1, y1), with the inside on the right."""
-    own = cover.where(F.col("cov") >= least).select("x", "y")
+    keys = image(cover)
+    own = cover.where(F.col("cov") >= least).select(*at(cover))
     x, y = F.col("x"), F.col("y")
     # neighbour's offset, and the corners of the side
     sides = {(0, -1): ((x, y), (x + 1, y)), (1, 0): ((x + 1, y), (x + 1, y + 1)), (0, 1): ((x + 1, y + 1), (x, y + 1)), (-1, 0): ((x, y + 1), (x, y))}
 
     def open_side(dx: int, dy: int) -> DataFrame:
         (ax, ay), (bx, by) = sides[dx, dy]
-        beside = own.select((x - dx).alias("x"), (y - dy).alias("y"))
-        return own.join(beside, ["x", "y"], "left_anti").select(ax.alias("x0"), ay.alias("y0"), bx.alias("x1"), by.alias("y1"))
+        beside = own.select(*keys, (x - dx).alias("x"), (y - dy).alias("y"))
+        return own.join(beside, at(cover), "left_anti").select(*keys, ax.alias("x0"), ay.alias("y0"), bx.alias("x1"), by.alias("y1"))
 
     return reduce(DataFrame.unionByName, (open_side(*d) for d in sides))
 
@@ -132,12 +136,13 @@ def contours(cover: DataFrame, least: int = 128) -> DataFrame:
     sides leave a point; one that meets its start's point twice goes on. Each side learns the ring's first side and its distance from it by
     doubling: after k rounds it has seen 2**k sides, so no task walks a ring.
     """
+    keys = image(cover)
     dx, dy = F.signum(F.col("x1") - F.col("x0")), F.signum(F.col("y1") - F.col("y0"))
     heading = F.when(dx == 1, 0).when(dy == 1, 1).when(dx == -1, 2).otherwise(3)
-    sides = settled(outline(cover, least).withColumn("dir", heading).withColumn("side", F.struct((F.col("dir") != 0).alias("turned"), "y0", "x0", "dir")))
-    after = sides.select(F.col("x0").alias("x1"), F.col("y0").alias("y1"), F.col("side").alias("next"), F.col("dir").alias("then"))
+    sides = settled(outline(cover, least).withColumn("dir", heading).withColumn("side", F.struct((F.col("dir") != 0).alias("turned"), "y0", "x0", "dir", *keys)))
+    after = sides.select(*keys, F.col("x0").alias("x1"), F.col("y0").alias("y1"), F.col("side").alias("next"), F.col("dir").alias("then"))
     left_first = F.struct(F.pmod(F.col("then") - F.col("dir") + 1, F.lit(4)).alias("turn"), "next")
-    chained = sides.join(after, ["x1", "y1"]).groupBy("side").agg(F.min(left_first).getField("next").alias("far"))
+    chained = sides.join(after, [*keys, "x1", "y1"]).groupBy("side").agg(F.min(left_first).getField("next").alias("far"))
     # the least side among those seen, how far ahead it is, and the side behind the last one seen
     seen, reach = settled(chained.select("side", "far", F.struct(F.col("side").alias("first"), F.lit(0).cast("bigint").alias("ahead")).alias("head"))), 1
     while True:
@@ -157,4 +162,4 @@ def contours(cover: DataFrame, least: int = 128) -> DataFrame:
     corners = placed.join(before, ["first", "n"]).where(F.col("came") != sd).join(areas, "first")
     ring = F.struct(F.col("first.y0").alias("y"), F.col("first.x0").alias("x"))
     order = F.row_number().over(Window.partitionBy("first").orderBy("n")) - 1
-    return corners.select(ring.alias("ring"), order.cast("bigint").alias("n"), sx.alias("x"), sy.alias("y"), "outer")
+    return corners.select(*(F.col(f"first.{k}").alias(k) for k in keys), ring.alias("ring"), order.cast("bigint").alias("n"), sx.alias("x"), sy.alias("y"), "outer")

@@ -1,4 +1,4 @@
-"""Selections: u8 coverage fields (x, y, cov 0..255; absent is 0) and their algebra."""
+"""Selections: u8 coverage fields (x, y, cov 0..255; absent is 0) and their algebra, each image for itself."""
 
 from __future__ import annotations
 
@@ -14,20 +14,30 @@ from gridspark.sources.rasters import grid
 
 
 def from_channel(df: DataFrame, channel: str = "r") -> DataFrame:
-    return df.select("x", "y", F.least(F.greatest(F.round(F.col(channel) * 255), F.lit(0.0)), F.lit(255.0)).cast("bigint").alias("cov"))
+    return df.select(*at(df), F.least(F.greatest(F.round(F.col(channel) * 255), F.lit(0.0)), F.lit(255.0)).cast("bigint").alias("cov"))
 
 
 def combine(a: DataFrame, b: DataFrame, mode: str) -> DataFrame:
     """replace, add (the larger), subtract (a less its share covered by b) or intersect (the smaller)."""
-    both = a.select("x", "y", F.col("cov").alias("p")).join(b.select("x", "y", F.col("cov").alias("q")), ["x", "y"], "full_outer")
+    both = a.select(*at(a), F.col("cov").alias("p")).join(b.select(*at(a), F.col("cov").alias("q")), at(a), "full_outer")
     p, q = F.coalesce("p", F.lit(0)), F.coalesce("q", F.lit(0))
     value = {"replace": q, "add": F.greatest(p, q), "subtract": F.floor((p * (255 - q) + 127) / 255), "intersect": F.least(p, q)}[mode]
-    return both.select("x", "y", value.cast("bigint").alias("cov"))
+    return both.select(*at(a), value.cast("bigint").alias("cov"))
+
+
+def over_frame(cov: DataFrame, width: int, height: int) -> DataFrame:
+    """All places of the frame of each image that the selection knows, with null where it has no row."""
+    keys = image(cov)
+    if not keys:
+        full = grid(cov.sparkSession, width, height)
+    else:
+        full = cov.select(*keys).distinct().withColumn("y", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(height - 1).cast("bigint"))))
+        full = full.withColumn("x", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(width - 1).cast("bigint"))))
+    return full.join(cov.select(*at(cov), "cov"), at(cov), "left")
 
 
 def invert(cov: DataFrame, width: int, height: int) -> DataFrame:
-    full = grid(cov.sparkSession, width, height).join(cov, ["x", "y"], "left")
-    return full.select("x", "y", (255 - F.coalesce("cov", F.lit(0))).alias("cov"))
+    return over_frame(cov, width, height).select(*at(cov), (255 - F.coalesce("cov", F.lit(0))).alias("cov"))
 
 
 def _overlap(at: Column, lo: float, hi: float) -> Column:
@@ -67,10 +77,12 @@ def polygon(spark: SparkSession, width: int, height: int, points: list[tuple[flo
 
 
 def _near(df: DataFrame, x: int, y: int, tolerance: float) -> DataFrame:
-    """x, y of the pixels whose channels all are within the tolerance (in bytes) of the seed's."""
-    seed = df.where((F.col("x") == x) & (F.col("y") == y)).select(*(F.round(F.col(c) * 255).alias(f"k_{c}") for c in CHANNELS))
+    """x, y of the pixels whose channels all are within the tolerance (in bytes) of those of their image's pixel at the seed."""
+    keys = image(df)
+    seed = df.where((F.col("x") == x) & (F.col("y") == y)).select(*keys, *(F.round(F.col(c) * 255).alias(f"k_{c}") for c in CHANNELS))
     far = F.greatest(*(F.abs(F.round(F.col(c) * 255) - F.col(f"k_{c}")) for c in CHANNELS))
-    return df.join(F.broadcast(seed)).where(far <= tolerance).select("x", "y")  # one row
+    held = df.join(seed, keys) if keys else df.join(F.broadcast(seed))  # one row
+    return held.where(far <= tolerance).select(*at(df))
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -135,10 +147,9 @@ def feather(cov: DataFrame, sigma: float, width: int, height: int) -> DataFrame:
     r = math.ceil(3 * sigma)
     raw = {d: math.exp(-d * d / (2 * sigma * sigma)) for d in range(-r, r + 1)}
     weights = {d: w / sum(raw.values()) for d, w in raw.items()}
-    full = grid(cov.sparkSession, width, height).join(cov, ["x", "y"], "left")
-    field = full.select("x", "y", F.coalesce(F.col("cov"), F.lit(0)).cast("double").alias("r"), *(F.lit(0.0).alias(c) for c in "gba"))
+    field = over_frame(cov, width, height).select(*at(cov), F.coalesce(F.col("cov"), F.lit(0)).cast("double").alias("r"), *(F.lit(0.0).alias(c) for c in "gba"))
     soft = weighted_line(weighted_line(field, weights, "x", "zero"), weights, "y", "zero")
-    return soft.select("x", "y", F.least(F.greatest(F.round("r"), F.lit(0.0)), F.lit(255.0)).cast("bigint").alias("cov"))
+    return soft.select(*at(cov), F.least(F.greatest(F.round("r"), F.lit(0.0)), F.lit(255.0)).cast("bigint").alias("cov"))
 
 
 def mask_window(cov: DataFrame, df: DataFrame) -> DataFrame:
@@ -148,10 +159,12 @@ def mask_window(cov: DataFrame, df: DataFrame) -> DataFrame:
 
 def quick_select(df: DataFrame, painted: DataFrame) -> DataFrame:
     """The painted places and all that are connected to them through places within min(72, 16 + 1.5 sigma) bytes of the painted
-    places' mean, in each of the four channels."""
+    places' mean, in each of the four channels, in their image."""
+    keys = image(df)
     inked = df.join(painted.select(*at(painted)), at(painted), "left_semi")
-    stats = inked.agg(*(f(F.round(F.col(c) * 255)).alias(f"{n}_{c}") for c in CHANNELS for n, f in (("m", F.avg), ("s", F.stddev_pop))))
+    stats = inked.groupBy(*keys).agg(*(f(F.round(F.col(c) * 255)).alias(f"{n}_{c}") for c in CHANNELS for n, f in (("m", F.avg), ("s", F.stddev_pop))))
     far = [F.abs(F.round(F.col(c) * 255) - F.col(f"m_{c}")) > F.least(F.lit(72.0), 16 + 1.5 * F.col(f"s_{c}")) for c in CHANNELS]
-    alike = df.crossJoin(F.broadcast(stats)).where(~(far[0] | far[1] | far[2] | far[3])).select(*at(df))  # one row
+    rows = df.join(stats, keys) if keys else df.crossJoin(F.broadcast(stats))  # one row
+    alike = rows.where(~(far[0] | far[1] | far[2] | far[3])).select(*at(df))
     held = inked.select(*at(df))
     return connected(alike.unionByName(held).distinct(), held).withColumn("cov", F.lit(255).cast("bigint"))

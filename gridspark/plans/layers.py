@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 import gridspark.operators.point as point
 from gridspark.functions.pixel import CHANNELS, Px, mix, num, premultiply, unpremultiply
 from gridspark.plans.registry import KERNELS, apply
+from gridspark.plans.stencil import at
 
 # The layer file format's blend keys.
 BLEND_KEYS = {
@@ -35,7 +36,7 @@ class Layer:
 
 @dataclass
 class LayerStack:
-    """Layers bottom first; ``pixels`` holds all plates (x, y, z, r, g, b, a)."""
+    """Layers bottom first; ``pixels`` holds all plates (x, y, z, r, g, b, a), of one image or of many that share the stack."""
 
     pixels: DataFrame
     layers: list[Layer] = field(default_factory=list)
@@ -44,12 +45,12 @@ class LayerStack:
         """x, y, r, g, b, a (straight). The plates come to one row for each place by one aggregate; the fold is a projection over it."""
         plates = [v for v in self.layers if v.visible and v.opacity > 0]
         if not plates:
-            return self.pixels.select("x", "y", *CHANNELS).limit(0)
+            return self.pixels.select(*at(self.pixels), *CHANNELS).limit(0)
         kept = [v.z for v in plates if v.adjust is None]
-        wide = self.pixels.where(F.col("z").isin(kept)).groupBy("x", "y").agg(*(F.coalesce(F.max(F.when(F.col("z") == z, F.col(c))), F.lit(0.0)).alias(f"l{z}_{c}") for z in kept for c in CHANNELS))
+        wide = self.pixels.where(F.col("z").isin(kept)).groupBy(*at(self.pixels)).agg(*(F.coalesce(F.max(F.when(F.col("z") == z, F.col(c))), F.lit(0.0)).alias(f"l{z}_{c}") for z in kept for c in CHANNELS))
         for v in plates:
             if v.mask is not None:
-                wide = wide.join(v.mask.select("x", "y", F.col("m").alias(f"m{v.z}")), ["x", "y"], "left")
+                wide = wide.join(v.mask.select(*at(v.mask), F.col("m").alias(f"m{v.z}")), at(v.mask), "left")
         below, base = Px(*(num(0) for _ in CHANNELS)), num(1)
         for v in plates:
             weight: Column = F.coalesce(f"m{v.z}", F.lit(1.0)) if v.mask is not None else num(1)
@@ -68,12 +69,13 @@ class LayerStack:
             # a projection for each layer keeps the expressions small
             wide = wide.withColumns({f"acc_{c}": e for c, e in zip(CHANNELS, mixed, strict=True)})
             below = Px.of("acc_")
-        return unpremultiply(below).select(wide, "x", "y")
+        return unpremultiply(below).select(wide, *at(self.pixels))
 
     def group(self, name_z: int, layers: list[Layer], blend: str = "normal", opacity: float = 1.0) -> Layer:
         """An isolated group: its own composite becomes a plate with number ``name_z``."""
         inner = LayerStack(self.pixels, layers).composite().withColumn("z", F.lit(name_z).cast("bigint"))
-        self.pixels = self.pixels.select("x", "y", "z", *CHANNELS).unionByName(inner.select("x", "y", "z", *CHANNELS))
+        columns = [*at(self.pixels), "z", *CHANNELS]
+        self.pixels = self.pixels.select(*columns).unionByName(inner.select(*columns))
         return Layer(name_z, blend, opacity)
 
 
@@ -95,9 +97,9 @@ def adjust_chain(df: DataFrame, blur: float = 0.0, sharpen: float = 0.0, curve:
     if curve is not None:
         out = apply(out, "adjust.lut1d", lut=[v / 255 for v in curve_lut(curve)])
     if mask is not None:
-        rows = df.select("x", "y", *(F.col(c).alias(f"o_{c}") for c in CHANNELS)).join(out, ["x", "y"]).join(mask, ["x", "y"], "left")
+        rows = df.select(*at(df), *(F.col(c).alias(f"o_{c}") for c in CHANNELS)).join(out, at(df)).join(mask.select(*at(mask), "m"), at(mask), "left")
         m = F.coalesce("m", F.lit(1.0))
-        out = rows.select("x", "y", *(mix(F.col(f"o_{c}"), F.col(c), m).alias(c) for c in CHANNELS))
+        out = rows.select(*at(df), *(mix(F.col(f"o_{c}"), F.col(c), m).alias(c) for c in CHANNELS))
     return out
 
 

@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from gridspark.plans.stencil import at, image
+
 
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Strokes from the events: one for each user, in the order of time."""
@@ -25,8 +27,9 @@ def from_events(events: DataFrame) -> DataFrame:
 
 
 def dabs(samples: DataFrame, step: float) -> DataFrame:
-    """stroke, n, x, y, pressure of dab n = 0, 1, ... at n * step along the stroke; positions and pressure lie on the segment between two samples."""
-    order = Window.partitionBy("stroke").orderBy("ts", "event_id")
+    """stroke, n, x, y, pressure of dab n = 0, 1, ... at n * step along the stroke; positions and pressure lie on the segment between two samples.
+    Strokes of many images come with ``image_id``, which all that follows keeps."""
+    order = Window.partitionBy(*image(samples), "stroke").orderBy("ts", "event_id")
     before = {c: F.lag(c).over(order) for c in ("x", "y", "pressure")}
     seg = samples.withColumns({f"p_{c}": F.coalesce(v, F.col(c)) for c, v in before.items()} | {"first": F.row_number().over(order) == 1})
     seg = seg.withColumn("len", F.sqrt((F.col("x") - F.col("p_x")) * (F.col("x") - F.col("p_x")) + (F.col("y") - F.col("p_y")) * (F.col("y") - F.col("p_y"))))
@@ -36,7 +39,7 @@ def dabs(samples: DataFrame, step: float) -> DataFrame:
     hi = F.floor(F.col("to") / step + 1e-9)
     each = seg.where(hi >= lo).withColumn("n", F.explode(F.sequence(lo.cast("bigint"), hi.cast("bigint"))))
     t = F.when(F.col("len") > 0, (F.col("n") * step - F.col("from")) / F.when(F.col("len") > 0, F.col("len")).otherwise(1.0)).otherwise(0.0)
-    return each.select("stroke", "n", *((F.col(f"p_{c}") + (F.col(c) - F.col(f"p_{c}")) * t).alias(c) for c in ("x", "y", "pressure")))
+    return each.select(*image(samples), "stroke", "n", *((F.col(f"p_{c}") + (F.col(c) - F.col(f"p_{c}")) * t).alias(c) for c in ("x", "y", "pressure")))
 
 
 _STATE = "n bigint, left double, x double, y double, pressure double"
@@ -79,7 +82,7 @@ def tip(distance: Column, radius: Column, hardness: float, pencil: bool = False)
 def _built_up(hit: DataFrame) -> DataFrame:
     full = F.bool_or(F.col("c") >= 1)
     log = F.sum(F.when(F.col("c") < 1, F.log1p(-F.col("c"))).otherwise(0.0))
-    return hit.groupBy("stroke", F.col("px").alias("x"), F.col("py").alias("y")).agg(F.when(full, 1.0).otherwise(1 - F.exp(log)).alias("cover"))
+    return hit.groupBy(*image(hit), "stroke", F.col("px").alias("x"), F.col("py").alias("y")).agg(F.when(full, 1.0).otherwise(1 - F.exp(log)).alias("cover"))
 
 
 def stamp(dabs: DataFrame, radius: float, flow: float, hardness: float = 0.8, by_pressure: bool = True, flow_by_pressure: bool = False, pencil: bool = False) -> DataFrame:
@@ -87,7 +90,7 @@ def stamp(dabs: DataFrame, radius: float, flow: float, hardness: float = 0.8, by
     Dabs explode into the pixels of their footprint; the product is an order-free aggregate."""
     size = F.col("pressure") * radius if by_pressure else F.lit(float(radius))
     ink = F.col("pressure") * flow if flow_by_pressure else F.lit(float(flow))
-    d = dabs.select("stroke", "x", "y", size.alias("size"), ink.alias("ink")).where("size > 0")
+    d = dabs.select(*image(dabs), "stroke", "x", "y", size.alias("size"), ink.alias("ink")).where("size > 0")
     span = lambda c: F.explode(F.sequence(F.floor(F.col(c) - F.col("size") - 0.5).cast("bigint"), F.ceil(F.col(c) + F.col("size") - 0.5).cast("bigint")))
     cells = d.withColumn("px", span("x")).withColumn("py", span("y"))
     dx, dy = F.col("px") + 0.5 - F.col("x"), F.col("py") + 0.5 - F.col("y")
@@ -105,35 +108,35 @@ def stamp_sampled(dabs: DataFrame, tip: DataFrame, size: tuple[int, int], flow:
     roundness = roundness if 0 < roundness < math.inf else 1.0
     scale = F.lit(full / max(width, height)) * (F.col("pressure") if by_pressure else F.lit(1.0))
     ink = F.col("pressure") * flow if flow_by_pressure else F.lit(float(flow))
-    d = dabs.select("stroke", "n", "x", "y", scale.alias("sx"), (scale * roundness).alias("sy"), ink.alias("ink")).where("sx > 0 AND ink > 0")
+    d = dabs.select(*image(dabs), "stroke", "n", "x", "y", scale.alias("sx"), (scale * roundness).alias("sy"), ink.alias("ink")).where("sx > 0 AND ink > 0")
     span = lambda c, s, n: F.explode(F.sequence(F.floor(F.col(c) - F.col(s) * n / 2 - 1).cast("bigint"), F.ceil(F.col(c) + F.col(s) * n / 2 + 1).cast("bigint") - 1))
     cells = d.withColumn("px", span("x", "sx", width)).withColumn("py", span("y", "sy", height))
     tx, ty = (F.col("px") + 0.5 - F.col("x")) / F.col("sx") + width / 2, (F.col("py") + 0.5 - F.col("y")) / F.col("sy") + height / 2
     cells = cells.withColumns({"u": (width - tx if flip_x else tx) - 0.5, "v": (height - ty if flip_y else ty) - 0.5})
     fx, fy = F.col("u") - F.floor("u"), F.col("v") - F.floor("v")
     texels = [F.struct((F.floor("u") + i).alias("tx"), (F.floor("v") + j).alias("ty"), ((fx if i else 1 - fx) * (fy if j else 1 - fy)).alias("k")) for i in (0, 1) for j in (0, 1)]
-    read = cells.select("stroke", "n", "px", "py", "ink", F.inline(F.array(*texels))).where(F.col("tx").between(0, width - 1) & F.col("ty").between(0, height - 1) & (F.col("k") > 0))
-    hit = read.join(tip.select("tx", "ty", "alpha"), ["tx", "ty"]).groupBy("stroke", "n", "px", "py").agg((F.max("ink") * F.least(F.sum(F.col("k") * F.col("alpha")) / 255, F.lit(1.0))).alias("c"))
+    read = cells.select(*image(dabs), "stroke", "n", "px", "py", "ink", F.inline(F.array(*texels))).where(F.col("tx").between(0, width - 1) & F.col("ty").between(0, height - 1) & (F.col("k") > 0))
+    hit = read.join(tip.select("tx", "ty", "alpha"), ["tx", "ty"]).groupBy(*image(dabs), "stroke", "n", "px", "py").agg((F.max("ink") * F.least(F.sum(F.col("k") * F.col("alpha")) / 255, F.lit(1.0))).alias("c"))
     return _built_up(hit.where("c > 0"))
 
 
 def effective_cover(cover: DataFrame, opacity: float = 1.0, selection: DataFrame | None = None) -> DataFrame:
     """x, y, cover of a stroke: its own, times its opacity, times the selection (x, y, cov 0..255) where there is one."""
-    rows = cover.select("x", "y", F.col("cover"))
+    rows = cover.select(*at(cover), F.col("cover"))
     if selection is not None:
-        rows = rows.join(selection.select("x", "y", "cov"), ["x", "y"], "left").withColumn("cover", F.col("cover") * F.coalesce("cov", F.lit(0)) / 255)
-    return rows.select("x", "y", (F.col("cover") * min(max(opacity, 0.0), 1.0)).alias("cover")).where("cover > 0")
+        rows = rows.join(selection.select(*at(selection), "cov"), at(selection), "left").withColumn("cover", F.col("cover") * F.coalesce("cov", F.lit(0)) / 255)
+    return rows.select(*at(cover), (F.col("cover") * min(max(opacity, 0.0), 1.0)).alias("cover")).where("cover > 0")
 
 
 def paint(px: DataFrame, cover: DataFrame, colour: tuple[float, float, float], erase: bool = False) -> DataFrame:
     """The raster (straight colour) with a stroke's effective cover: the colour over it, or alpha taken away."""
-    rows = px.join(cover.select("x", "y", "cover"), ["x", "y"], "left")
+    rows = px.join(cover.select(*at(cover), "cover"), at(cover), "left")
     k = F.coalesce("cover", F.lit(0.0))
     if erase:
-        return rows.select("x", "y", *"rgb", (F.col("a") * (1 - k)).alias("a"))
+        return rows.select(*at(px), *"rgb", (F.col("a") * (1 - k)).alias("a"))
     alpha = k + F.col("a") * (1 - k)
     over = [F.when(alpha == 0, 0.0).otherwise((F.lit(float(v)) * k + F.col(c) * F.col("a") * (1 - k)) / F.when(alpha == 0, 1.0).otherwise(alpha)).alias(c) for c, v in zip("rgb", colour, strict=True)]
-    return rows.select("x", "y", *over, alpha.alias("a"))
+    return rows.select(*at(px), *over, alpha.alias("a"))
 
 
 def stroke_windows(samples: DataFrame, gap: str = "6 hours", late: str = "1 day") -> DataFrame:
