@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridspark.functions.pixel import CHANNELS, LUMA_601, LUMA_709, Px, luma
-from gridspark.plans.stencil import TILE, at, image, moved, tiled
+from gridspark.plans.stencil import TILE, at, image
 
 
 def to_byte(v: Column) -> Column:
@@ -135,29 +134,38 @@ def window_opaque(df: DataFrame, x0: int, y0: int, width: int, height: int) -> D
     return rows.groupBy(*keys).agg(((F.count(F.when(inside, 1)) == width * height) & full).alias("opaque"))
 
 
-def distance_transform(df: DataFrame, threshold: float = 0.5, manhattan: bool = False, limit: int = 64) -> DataFrame:
-    """x, y, r: the chamfer distance (steps of 1 and sqrt 2, or 1 and 2) to the nearest place with m >= threshold.
+def along(df: DataFrame, line: list[str], place: str, value: str) -> DataFrame:
+    """Adds ``near``: the least value + |place - its place| on each line; nulls say nothing.
 
-    Exact where a seed is within ``limit`` columns; 65504 where none is. Distances along the columns come first: within blocks of
-    rows by windows, and from block to block by a window over one row for each block; then tiles look along their rows.
+    Running minima within blocks of TILE places, and from block to block over one row for each block, so that a line is no unit of work."""
+    gone, to_come = F.col(value) - F.col(place), F.col(value) + F.col(place)
+    rows = df.withColumn("block", F.floor(F.col(place) / TILE))
+    blocks = rows.groupBy(*line, "block").agg(F.min(gone).alias("gone"), F.min(to_come).alias("to_come"))
+    order, part = Window.partitionBy(*line).orderBy("block"), Window.partitionBy(*line, "block").orderBy(place)
+    before, after = F.min("gone").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.min("to_come").over(order.rowsBetween(1, Window.unboundedFollowing))
+    blocks = blocks.select(*line, "block", before.alias("before"), after.alias("after"))
+    left, right = F.min(gone).over(part.rowsBetween(Window.unboundedPreceding, 0)), F.min(to_come).over(part.rowsBetween(0, Window.unboundedFollowing))
+    held = rows.withColumns({"left": left, "right": right}).join(blocks, [*line, "block"])
+    near = F.least(F.least("left", "before") + F.col(place), F.least("right", "after") - F.col(place))
+    return held.withColumn("near", near).drop("block", "left", "right", "before", "after")
+
+
+def distance_transform(df: DataFrame, threshold: float = 0.5, manhattan: bool = False) -> DataFrame:
+    """x, y, r: the chamfer distance (steps of 1 and sqrt 2, or 1 and 2) to the nearest place with m >= threshold; 65504 where an image has none.
+
+    A shortest path runs along a diagonal first and then along a row or a column, within the frame of both ends. So the seeds spread along
+    both diagonals, and what these hold spreads along rows and columns, each by ``along``; without diagonals, along rows and then columns.
     """
-    keys, diagonal = image(df), 2.0 if manhattan else 2.0**0.5
-    rows = df.select(*at(df), F.when(F.col("m") >= threshold, F.col("y")).alias("seed"), F.floor(F.col("y") / TILE).alias("block"))
-    blocks = rows.groupBy(*keys, "x", "block").agg(F.max("seed").alias("last"), F.min("seed").alias("first"))
-    line = Window.partitionBy(*keys, "x").orderBy("block")
-    above, below = F.last("last", ignorenulls=True).over(line.rowsBetween(Window.unboundedPreceding, -1)), F.first("first", ignorenulls=True).over(line.rowsBetween(1, Window.unboundedFollowing))
-    blocks = blocks.select(*keys, "x", "block", above.alias("above"), below.alias("below"))
-    part = Window.partitionBy(*keys, "x", "block").orderBy("y")
-    up, down = F.last("seed", ignorenulls=True).over(part), F.first("seed", ignorenulls=True).over(part.rowsBetween(0, Window.unboundedFollowing))
-    near = rows.withColumns({"up": up, "down": down}).join(blocks, [*keys, "x", "block"])
-    v = F.least(F.col("y") - F.coalesce("up", "above"), F.coalesce("down", "below") - F.col("y"))
-    column = near.select(*at(df), F.coalesce(v.cast("double"), F.lit(65504.0)).alias("r"), *(F.lit(0.0).alias(c) for c in "gba"))
-
-    def run(source, x, y):
-        out = np.full(source.shape[1:], 65504.0)[limit : source.shape[1] - limit, limit : source.shape[2] - limit]
-        for d in range(-limit, limit + 1):
-            v = moved(source, limit, d, 0)[0]
-            out = np.minimum(out, np.where(v < 65504, np.maximum(abs(d), v) + (diagonal - 1) * np.minimum(abs(d), v), 65504.0))
-        return np.stack([out] * 4)
-
-    return tiled(column, limit, run).select(*at(df), "r")
+    keys = image(df)
+    rows = df.select(*at(df), F.when(F.col("m") >= threshold, 0.0).alias("v"))
+    if manhattan:
+        rows = along(rows, [*keys, "y"], "x", "v").select(*at(df), F.col("near").alias("v"))
+        return along(rows, [*keys, "x"], "y", "v").select(*at(df), F.coalesce("near", F.lit(65504.0)).alias("r"))
+    step = 2.0**0.5
+    rows = rows.withColumns({"falling": F.col("x") - F.col("y"), "rising": F.col("x") + F.col("y")})
+    for line in ("falling", "rising"):
+        rows = along(rows, [*keys, line], "x", "v").withColumnRenamed("near", f"by_{line}")
+    rows = rows.select(*at(df), (F.least("by_falling", "by_rising") * step).alias("v"))
+    rows = along(rows, [*keys, "y"], "x", "v").withColumnRenamed("near", "across")
+    out = along(rows, [*keys, "x"], "y", "v")
+    return out.select(*at(df), F.coalesce(F.least("across", "near"), F.lit(65504.0)).alias("r"))
