@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from gridspark import oracle as sql
 from gridspark.functions.pixel import CHANNELS
+from gridspark.operators.heal import MARGIN, SWEEPS, heal
 from gridspark.operators.selection import shared_folder
 from gridspark.plans import journal, packbits, stacks
 from gridspark.plans.chains import Chain, Step
@@ -83,7 +84,16 @@ def packbits_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packbits.encode(bands, ["band", "x"], "y", "v").select("band", "x", "n_bytes", F.hex("packed").alias("packed"))
 
 
-QUERIES = {"layer_stacks": layer_stacks, "journal_log": journal_log, "chain_edits": chain_edits, "packbits_lines": packbits_lines}
+def heal_dabs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The raster of embeddings with a soft round patch at every fortieth row, healed from two columns and thirteen rows further."""
+    px = px_embed(spark, sf_dir)
+    patch = F.floor((F.col("y") + 3) / 40)  # a patch reaches three rows from its middle, (patch % 16, 40 * patch)
+    far = (F.col("x") - patch % 16) * (F.col("x") - patch % 16) + (F.col("y") - 40 * patch) * (F.col("y") - 40 * patch)
+    cells = px.where(far <= 9).select("x", "y", patch.alias("patch"), (1 - far / 12).alias("cover"))
+    return shown(heal(px, cells, 2, 13))
+
+
+QUERIES = {"layer_stacks": layer_stacks, "journal_log": journal_log, "chain_edits": chain_edits, "packbits_lines": packbits_lines, "heal_dabs": heal_dabs}
 
 # -- the same in DuckDB ------------------------------------------------------------------------------
 
@@ -182,4 +192,25 @@ packets AS (
     SELECT band, x, v, seg, k + i AS k, (row_number() OVER (PARTITION BY band, x, seg ORDER BY k + i) - 1) // 128 AS part FROM parts, range(n) t(i) WHERE n < 3) GROUP BY band, x, seg, part)
 SELECT band, CAST(x AS BIGINT) AS x, CAST(sum(n) AS BIGINT) AS n_bytes, string_agg(packed, '' ORDER BY k) AS packed FROM packets GROUP BY band, x"""
 
-ORACLE_SQL = {"layer_stacks": _STACKS, "journal_log": _JOURNAL, "chain_edits": _CHAIN, "packbits_lines": _PACKBITS}
+_COPIED = {c: f"coalesce(q.{c}, 0)" for c in CHANNELS}
+
+#: Windows around the patches, their inner places' four neighbours listed once, and all sweeps as a recursion over the inner places.
+_HEAL = f"""
+WITH RECURSIVE {sql.PX}, far AS (SELECT x, y, (y + 3) // 40 AS patch, (x - (y + 3) // 40 % 16) * (x - (y + 3) // 40 % 16) + (y - 40 * ((y + 3) // 40)) * (y - 40 * ((y + 3) // 40)) AS d FROM px),
+cells AS (SELECT patch, x, y, 1 - d / 12.0::DOUBLE AS cover FROM far WHERE d <= 9),
+frame AS (SELECT patch, min(x) - {MARGIN} AS x0, max(x) + {MARGIN} AS x1, min(y) - {MARGIN} AS y0, max(y) + {MARGIN} AS y1 FROM cells GROUP BY patch),
+win AS (SELECT f.patch, p.x, p.y, c.cover, {', '.join(f'p.{c} AS d{c}, {_COPIED[c]} AS s{c}' for c in CHANNELS)} FROM frame f JOIN px p ON p.x BETWEEN x0 AND x1 AND p.y BETWEEN y0 AND y1 LEFT JOIN px q ON q.x = p.x + 2 AND q.y = p.y + 13 LEFT JOIN cells c ON c.patch = f.patch AND c.x = p.x AND c.y = p.y),
+rim AS (SELECT patch, x, y, round(sa * 255) > 0 AS told, {', '.join(f'CASE WHEN round(sa * 255) > 0 THEN d{c} - s{c} ELSE 0 END AS {c}' for c in 'rgb')} FROM win WHERE cover IS NULL),
+start AS (SELECT patch, {', '.join(f'avg({c}) AS {c}' for c in 'rgb')} FROM rim WHERE told GROUP BY patch),
+beside AS MATERIALIZED (
+  SELECT w.patch, w.x, w.y, coalesce(n.x, w.x) AS nx, coalesce(n.y, w.y) AS ny, r.r, r.g, r.b FROM win w CROSS JOIN (VALUES (0, 1), (0, -1), (1, 0), (-1, 0)) t(i, j)
+  LEFT JOIN win n ON n.patch = w.patch AND n.x = w.x + i AND n.y = w.y + j LEFT JOIN rim r ON r.patch = n.patch AND r.x = n.x AND r.y = n.y WHERE w.cover IS NOT NULL),
+walk AS (
+  SELECT 0 AS k, w.patch, w.x, w.y, {', '.join(f's.{c}::DOUBLE AS {c}' for c in 'rgb')} FROM win w JOIN start s USING (patch) WHERE w.cover IS NOT NULL
+  UNION ALL
+  SELECT own.k + 1, own.patch, own.x, own.y, {', '.join(f'sum(coalesce(b.{c}, other.{c})) / 4' for c in 'rgb')} FROM walk own JOIN beside b ON b.patch = own.patch AND b.x = own.x AND b.y = own.y LEFT JOIN walk other ON other.patch = b.patch AND other.x = b.nx AND other.y = b.ny
+  WHERE own.k < {SWEEPS} GROUP BY own.k, own.patch, own.x, own.y),
+healed AS (SELECT w.x, w.y, w.cover, {', '.join(f'least(greatest(w.s{c} + coalesce(k.{c}, 0), 0), 1) AS {c}' for c in 'rgb')}, w.sa AS a FROM win w LEFT JOIN walk k ON k.k = {SWEEPS} AND k.patch = w.patch AND k.x = w.x AND k.y = w.y WHERE w.cover IS NOT NULL)
+SELECT CAST(p.x AS BIGINT) AS x, CAST(p.y AS BIGINT) AS y, {', '.join(f'round(p.{c} + (coalesce(h.{c}, p.{c}) - p.{c}) * coalesce(h.cover, 0), 6) + 0.0 AS {c}' for c in CHANNELS)} FROM px p LEFT JOIN healed h ON h.x = p.x AND h.y = p.y"""
+
+ORACLE_SQL = {"layer_stacks": _STACKS, "journal_log": _JOURNAL, "chain_edits": _CHAIN, "packbits_lines": _PACKBITS, "heal_dabs": _HEAL}
