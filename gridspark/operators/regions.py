@@ -9,6 +9,8 @@ from __future__ import annotations
 import math
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -128,13 +130,10 @@ def outline(cover: DataFrame, least: int = 128) -> DataFrame:
     return reduce(DataFrame.unionByName, (open_side(*d) for d in sides))
 
 
-def contours(cover: DataFrame, least: int = 128) -> DataFrame:
-    """The closed rings of an outline: ring, n, x, y, outer - corners only, with the inside on the right, from
-    the topmost, then leftmost side that runs to the right.
+def _placed(cover: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
+    """The sides of an outline (side, its ring's ``first``, n from there, sides of the ring), and first and outer of each ring.
 
-    ``ring`` is the start's (y, x); ``outer`` is false around a hole. Diagonal neighbours are one region, as a ring turns left where two
-    sides leave a point; one that meets its start's point twice goes on. Each side learns the ring's first side and its distance from it by
-    doubling: after k rounds it has seen 2**k sides, so no task walks a ring.
+    Each side learns the ring's first side and its distance from it by doubling: after k rounds it has seen 2**k sides, so no task walks a ring.
     """
     keys = image(cover)
     dx, dy = F.signum(F.col("x1") - F.col("x0")), F.signum(F.col("y1") - F.col("y0"))
@@ -154,12 +153,97 @@ def contours(cover: DataFrame, least: int = 128) -> DataFrame:
             break
     rings = seen.groupBy("head.first").agg(F.count("*").alias("sides"))
     placed = seen.select("side", F.col("head.first").alias("first"), "head.ahead").join(rings, "first").withColumn("n", F.pmod(-F.col("ahead"), F.col("sides")))
-    before = placed.select("first", F.pmod(F.col("n") + 1, F.col("sides")).alias("n"), F.col("side.dir").alias("came"))
     # twice the signed area: each side's x0 * y1 - x1 * y0
     sx, sy, sd = F.col("side.x0"), F.col("side.y0"), F.col("side.dir")
     twice = F.when(sd == 0, -sy).when(sd == 1, sx).when(sd == 2, sy).otherwise(-sx)
-    areas = placed.groupBy("first").agg((F.sum(twice) > 0).alias("outer"))
-    corners = placed.join(before, ["first", "n"]).where(F.col("came") != sd).join(areas, "first")
+    return placed, placed.groupBy("first").agg((F.sum(twice) > 0).alias("outer"))
+
+
+def contours(cover: DataFrame, least: int = 128) -> DataFrame:
+    """The closed rings of an outline: ring, n, x, y, outer - corners only, with the inside on the right, from
+    the topmost, then leftmost side that runs to the right.
+
+    ``ring`` is the start's (y, x); ``outer`` is false around a hole. Diagonal neighbours are one region, as a ring turns left where two
+    sides leave a point; one that meets its start's point twice goes on.
+    """
+    keys, (placed, outer) = image(cover), _placed(cover, least)
+    before = placed.select("first", F.pmod(F.col("n") + 1, F.col("sides")).alias("n"), F.col("side.dir").alias("came"))
+    corners = placed.join(before, ["first", "n"]).where(F.col("came") != F.col("side.dir")).join(outer, "first")
     ring = F.struct(F.col("first.y0").alias("y"), F.col("first.x0").alias("x"))
     order = F.row_number().over(Window.partitionBy("first").orderBy("n")) - 1
-    return corners.select(*(F.col(f"first.{k}").alias(k) for k in keys), ring.alias("ring"), order.cast("bigint").alias("n"), sx.alias("x"), sy.alias("y"), "outer")
+    return corners.select(*(F.col(f"first.{k}").alias(k) for k in keys), ring.alias("ring"), order.cast("bigint").alias("n"), F.col("side.x0").alias("x"), F.col("side.y0").alias("y"), "outer")
+
+
+#: Points of a ring that one task walks at a time.
+SEGMENT = 1 << 14
+
+
+def _walked(x: np.ndarray, y: np.ndarray, after: tuple[float, float], last: tuple[float, float], tolerance: float) -> np.ndarray:
+    """Which points stay: those further than the tolerance from the line between the last one that stayed and the one after them."""
+    stays = np.zeros(len(x), bool)
+    for i, (px, py) in enumerate(zip(x.tolist(), y.tolist(), strict=True)):
+        nx, ny = (x[i + 1], y[i + 1]) if i + 1 < len(x) else after
+        dx, dy = nx - last[0], ny - last[1]
+        length = math.hypot(dx, dy)
+        far = abs((px - last[0]) * dy - (py - last[1]) * dx) / length if length else math.hypot(px - last[0], py - last[1])
+        if far > tolerance:
+            stays[i], last = True, (px, py)
+    return stays
+
+
+def simplified(cover: DataFrame, tolerance: float, least: int = 128, segment: int = SEGMENT) -> DataFrame:
+    """The rings of an outline as by ``contours``, with the points (at every pixel's corner) that are further than ``tolerance`` from the line between the last
+    point that stayed and the next point; until one stays, each looks back to the point before it. A ring of which fewer than three would stay keeps every point.
+    So from sqrt(1/2) on, the distance of a corner from the line between its neighbours, every ring is kept as it is; below, its first corner stays.
+
+    What stays depends on all that came before, but only through the last point that stayed. So rings are cut into segments; each is walked as if the point before it had
+    stayed, and again while the segment before it hands over another one. Walks that began apart soon meet, so few segments are walked more than twice;
+    no task holds more than a segment."""
+    keys, (placed, outer) = image(cover), _placed(cover, least)
+    own = [*keys, "ring_y", "ring_x"]
+    ring = [*(F.col(f"first.{k}").alias(k) for k in keys), F.col("first.y0").alias("ring_y"), F.col("first.x0").alias("ring_x")]
+    points = placed.select(*ring, "n", F.col("side.x0").cast("double").alias("x"), F.col("side.y0").cast("double").alias("y"), F.floor(F.col("n") / segment).alias("segment"), "sides")
+    if tolerance >= 0.5**0.5:
+        every = points.join(outer.select(*ring, "outer"), own)
+        return every.select(*keys, F.struct(F.col("ring_y").alias("y"), F.col("ring_x").alias("x")).alias("ring"), F.col("n").cast("bigint").alias("n"), F.col("x").cast("bigint").alias("x"), F.col("y").cast("bigint").alias("y"), "outer")
+    points, tolerance = settled(points), max(tolerance, 0.0)
+    ends = points.where((F.col("n") % segment == segment - 1) | (F.col("n") == F.col("sides") - 1))
+    parts = F.ceil(F.col("sides") / segment)
+    handed = ends.select(*own, F.pmod(F.col("segment") + 1, parts).alias("segment"), F.struct("x", "y").alias("last"))
+    starts = points.where(F.col("n") % segment == 0)
+    after = starts.select(*own, F.pmod(F.col("segment") - 1, parts).alias("segment"), F.struct("x", "y").alias("after"))
+    fixed = settled(handed.join(after, [*own, "segment"]))
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in points.schema.fields if f.name in own)
+
+    def walk(given: DataFrame, marks: bool) -> DataFrame:
+        """Each segment's points and whether they stay, or its last point that stays: the given one if none does."""
+
+        def run(table: pa.Table) -> pa.Table:
+            table = table.sort_by("n")
+            x, y, one = table.column("x").to_numpy(), table.column("y").to_numpy(), table.slice(0, 1).to_pylist()[0]
+            last, after = ((one[k]["x"], one[k]["y"]) for k in ("last", "after"))
+            stays = _walked(x, y, after, last, tolerance)
+            if marks:
+                return table.select([*own, "n", "x", "y"]).append_column("stays", pa.array(stays))
+            where = np.flatnonzero(stays)
+            end = (float(x[where[-1]]), float(y[where[-1]])) if len(where) else last
+            return table.slice(0, 1).select([*own, "segment"]).append_column("end_x", pa.array([end[0]])).append_column("end_y", pa.array([end[1]]))
+
+        schema = f"{fields}, n bigint, x double, y double, stays boolean" if marks else f"{fields}, segment bigint, end_x double, end_y double"
+        return points.join(given, [*own, "segment"]).groupBy(*own, "segment").applyInArrow(run, schema)
+
+    ended = settled(walk(fixed, False))
+    while True:
+        told = ended.select(*own, (F.col("segment") + 1).alias("segment"), F.struct(F.col("end_x").alias("x"), F.col("end_y").alias("y")).alias("new"))
+        # a ring's first segment always looks back to the ring's last point, as its first point is a corner that stays
+        both = fixed.join(told, [*own, "segment"], "left").withColumn("new", F.coalesce("new", "last"))
+        changed = settled(both.where(F.col("new") != F.col("last")).select(*own, "segment", F.col("new").alias("last"), "after"))
+        if changed.isEmpty():
+            break
+        fixed = settled(both.select(*own, "segment", F.col("new").alias("last"), "after"))
+        ended = settled(walk(changed, False).unionByName(ended.join(changed, [*own, "segment"], "left_anti")))
+    marked = walk(fixed, True).join(outer.select(*ring, "outer"), own)
+    few = F.count(F.when(F.col("stays"), 1)).over(Window.partitionBy(*own)) < 3
+    kept = marked.withColumn("few", few).where("stays OR few")
+    order = F.row_number().over(Window.partitionBy(*own).orderBy("n")) - 1
+    return kept.select(*keys, F.struct(F.col("ring_y").alias("y"), F.col("ring_x").alias("x")).alias("ring"), order.cast("bigint").alias("n"), F.col("x").cast("bigint").alias("x"), F.col("y").cast("bigint").alias("y"), "outer")

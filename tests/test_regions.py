@@ -51,6 +51,46 @@ def test_contours_of_a_frame_and_of_nothing(spark):
     assert regions.contours(spark.createDataFrame([], "x long, y long, cov long")).count() == 0
 
 
+def unit_steps(corners):
+    """The ring's points at every pixel's corner."""
+    out = []
+    for (x, y), (nx, ny) in zip(corners, [*corners[1:], corners[0]], strict=True):
+        n = abs(nx - x) + abs(ny - y)
+        out += [(x + (nx - x) * k // n, y + (ny - y) * k // n) for k in range(n)]
+    return out
+
+
+def plain_simplified(points, tolerance):
+    kept = []
+    for i, p in enumerate(points):
+        a, b = kept[-1] if kept else points[i - 1], points[(i + 1) % len(points)]
+        dx, dy = b[0] - a[0], b[1] - a[1]
+        far = abs((p[0] - a[0]) * dy - (p[1] - a[1]) * dx) / math.hypot(dx, dy) if (dx, dy) != (0, 0) else math.dist(p, a)
+        if far > tolerance:
+            kept.append(p)
+    return kept if len(kept) >= 3 else points
+
+
+@pytest.mark.parametrize("tolerance, segment", [(0.0, 1 << 14), (0.5, 25), (0.7, 40), (2.0, 40)])
+def test_simplified_contours_against_a_walk(spark, tolerance, segment):
+    """Rings of two images, cut into short segments, whose walks hand points over to each other."""
+    rng, cells, want = random.Random(int(10 * tolerance)), [], {}
+    for image_id in (4, 9):
+        blobs = [(rng.uniform(0, 24), rng.uniform(0, 18), rng.uniform(1, 5)) for _ in range(7)]
+        inside = {(x, y) for x in range(24) for y in range(18) if any(math.dist((x, y), b[:2]) < b[2] for b in blobs)}
+        cells += [(image_id, x, y, 255 if (x, y) in inside else 0) for x in range(24) for y in range(18)]
+        want |= {(image_id, *start): (outer, plain_simplified(unit_steps(corners), tolerance)) for start, (outer, corners) in plain_rings(inside).items()}
+    got = {}
+    for r in regions.simplified(spark.createDataFrame(cells, "image_id long, x long, y long, cov long"), tolerance, segment=segment).orderBy("image_id", "ring", "n").collect():
+        got.setdefault((r.image_id, r.ring.x, r.ring.y), (r.outer, []))[1].append((r.x, r.y))
+    assert got == want
+    assert len(want) > 3
+
+
+def test_simplified_contours_of_nothing(spark):
+    assert regions.simplified(spark.createDataFrame([], "x long, y long, cov long"), 1.0).count() == 0
+
+
 def test_sampled_tip_builds_up(spark):
     alpha = {(x, y): (x * 60 + y * 35) % 256 for x in range(4) for y in range(3)}
     tip = spark.createDataFrame([(x, y, a) for (x, y), a in alpha.items()], "tx long, ty long, alpha long")
