@@ -355,6 +355,11 @@ def contours(spark, sf_dir):
     return out.select(F.col("ring.x").alias("ring_x"), F.col("ring.y").alias("ring_y"), "n", "x", "y", F.col("outer").cast("int").alias("outer"))
 
 
+def contours_simplified(spark, sf_dir):
+    out = regions.simplified(_covers(spark, sf_dir)[0], 0.6)
+    return out.select(F.col("ring.x").alias("ring_x"), F.col("ring.y").alias("ring_y"), "n", "x", "y", F.col("outer").cast("int").alias("outer"))
+
+
 def stroke_sampled_tip(spark, sf_dir):
     tip = grid(spark, 5, 4).select(F.col("x").alias("tx"), F.col("y").alias("ty"), ((F.col("x") * 50 + F.col("y") * 20) % 256).alias("alpha"))
     dabs = strokes.dabs(strokes.samples(spark, sf_dir), 40.0)
@@ -376,7 +381,7 @@ QUERIES |= {
     "mask_window": _masked_by_selection, "adjust_blur": lambda spark, sf_dir: shown(adjust_chain(px_embed(spark, sf_dir), blur=1.0)),
     "adjust_sharpen": lambda spark, sf_dir: shown(adjust_chain(px_embed(spark, sf_dir), sharpen=0.8)), "adjust_curve": lambda spark, sf_dir: shown(adjust_chain(px_embed(spark, sf_dir), curve=_CURVE)),
     "layer_masked": layer_masked, "layer_group": layer_group, "stroke_cover": stroke_cover, "stroke_paint": _painted(False), "stroke_erase": _painted(True),
-    "outline_edges": lambda spark, sf_dir: regions.outline(_covers(spark, sf_dir)[0]), "contours": contours, "stroke_sampled_tip": stroke_sampled_tip,
+    "outline_edges": lambda spark, sf_dir: regions.outline(_covers(spark, sf_dir)[0]), "contours": contours, "contours_simplified": contours_simplified, "stroke_sampled_tip": stroke_sampled_tip,
     "roi_box": lambda spark, sf_dir: _channels(apply_within(px_embed(spark, sf_dir), "conv.box", Region(2, 20, 9, 120))),
     "roi_gaussian_v": lambda spark, sf_dir: _channels(apply_within(px_embed(spark, sf_dir), "conv.gaussian_v", Region(0, 30, 16, 90), sigma=1.2, radius=3)),
 }
@@ -437,6 +442,13 @@ _CONTOURS = f"""{_COV.replace('WITH ', 'WITH RECURSIVE ', 1)}, s AS (SELECT CAST
  turns AS (SELECT first, n, x0, y0, dir, coalesce(lag(dir) OVER (PARTITION BY first ORDER BY n), last_value(dir) OVER (PARTITION BY first ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) AS came,
  sum(x0 * y1 - x1 * y0) OVER (PARTITION BY first) AS area FROM places JOIN ids USING (id))
  SELECT h.x0 AS ring_x, h.y0 AS ring_y, CAST(row_number() OVER (PARTITION BY t.first ORDER BY n) - 1 AS BIGINT) AS n, t.x0 AS x, t.y0 AS y, CAST(area > 0 AS INT) AS outer FROM turns t JOIN ids h ON h.id = t.first WHERE came <> t.dir"""
+#: The same rings' points at every pixel's corner, walked one by one with the last one that stayed.
+_SIMPLIFIED = f"""{_CONTOURS[: _CONTOURS.index(' turns AS')]} pts AS (SELECT first, n, x0 AS x, y0 AS y, coalesce(lead(x0) OVER o, first_value(x0) OVER o) AS ax, coalesce(lead(y0) OVER o, first_value(y0) OVER o) AS ay, sum(x0 * y1 - x1 * y0) OVER (PARTITION BY first) AS area FROM places JOIN ids USING (id) WINDOW o AS (PARTITION BY first ORDER BY n)),
+ steps AS (SELECT first, n, x, y, true AS stays, x AS lx, y AS ly, area FROM pts WHERE n = 0 UNION ALL
+ SELECT first, n, x, y, far > 0.6, CASE WHEN far > 0.6 THEN x ELSE lx END, CASE WHEN far > 0.6 THEN y ELSE ly END, area FROM (SELECT p.*, s.lx, s.ly, CASE WHEN p.ax = s.lx AND p.ay = s.ly THEN sqrt((p.x - s.lx) * (p.x - s.lx) + (p.y - s.ly) * (p.y - s.ly))
+ ELSE abs((p.x - s.lx) * (p.ay - s.ly) - (p.y - s.ly) * (p.ax - s.lx)) / sqrt((p.ax - s.lx) * (p.ax - s.lx) + (p.ay - s.ly) * (p.ay - s.ly)) END AS far FROM steps s JOIN pts p ON p.first = s.first AND p.n = s.n + 1)),
+ counted AS (SELECT *, count(*) FILTER (stays) OVER (PARTITION BY first) < 3 AS few FROM steps)
+SELECT h.x0 AS ring_x, h.y0 AS ring_y, CAST(row_number() OVER (PARTITION BY t.first ORDER BY n) - 1 AS BIGINT) AS n, t.x, t.y, CAST(area > 0 AS INT) AS outer FROM counted t JOIN ids h ON h.id = t.first WHERE stays OR few"""
 _SAMPLED = f"""WITH {_ORDERED}, {_SEG}, d AS (SELECT stroke, n, px + (x - px) * t AS x, py + (y - py) * t AS y FROM dab),
  c AS (SELECT *, 5 - ((gx + 0.5 - x) / 1.4 + 2.5) - 0.5 AS u, (gy + 0.5 - y) / 1.12 + 2 - 0.5 AS v FROM (SELECT *, unnest(range(CAST(floor(x) - 6 AS BIGINT), CAST(floor(x) + 7 AS BIGINT))) AS gx FROM d) CROSS JOIN range(-6, 7) k(dy) CROSS JOIN LATERAL (SELECT CAST(floor(y) AS BIGINT) + k.dy AS gy)),
  q AS (SELECT stroke, n, gx, gy, sum(greatest(1 - abs(u - tx), 0) * greatest(1 - abs(v - ty), 0) * ((tx * 50 + ty * 20) % 256)) / 255 AS k FROM c CROSS JOIN range(5) a(tx) CROSS JOIN range(4) b(ty) GROUP BY ALL)
@@ -451,7 +463,7 @@ ORACLE_SQL |= {
     **{f"fill_{kind}": _fill_sql(kind) for kind in ("linear", "radial", "angular", "reflected", "diamond", "noise", "solid")},
     "straighten_crop": f"WITH turned AS ({sql.gathered(sql.bilinear(f'(x - 7) * {_cos(-7)} + (y - 89.5) * {_sin(-7)} + 7', f'(y - 89.5) * {_cos(-7)} - (x - 7) * {_sin(-7)} + 89.5'), False)}) SELECT CAST(x - 2 AS BIGINT) AS x, CAST(y - 30 AS BIGINT) AS y, r, g, b, a FROM turned WHERE x BETWEEN 2 AND 12 AND y BETWEEN 30 AND 149",
     "roi_box": f"SELECT * FROM ({sql.KERNEL_SQL['conv.box']}) WHERE x BETWEEN 2 AND 10 AND y BETWEEN 20 AND 139", "roi_gaussian_v": f"SELECT * FROM ({sql.KERNEL_SQL['conv.gaussian_v']}) WHERE y BETWEEN 30 AND 119",
-    "stroke_sampled_tip": _SAMPLED, "contours": _CONTOURS,
+    "stroke_sampled_tip": _SAMPLED, "contours": _CONTOURS, "contours_simplified": _SIMPLIFIED,
     "curve_masked": f"""{_COV}, {_HERMITE}, p AS (SELECT px.x, px.y, {', '.join(f'{_BYTE.format("px." + c)} AS {c}' for c in 'rgba')}, coalesce(a.cov, 0) AS m FROM px LEFT JOIN a ON a.x = px.x AND a.y = px.y)
  SELECT {_XY}, {', '.join(f'CAST(({c} * (255 - m) + lut[{c} + 1] * m + 127) // 255 AS BIGINT) AS {c}' for c in 'rgb')}, a FROM p CROSS JOIN curve""",
     "cmyk_device": f"WITH {sql.PX} SELECT {_XY}, {', '.join(f'CAST(floor((1 - {_BYTE.format(i)} / 255) * (1 - {_BYTE.format("a")} / 255) * 255 + 0.5) AS BIGINT) AS {c}' for i, c in zip('rgb', 'rgb', strict=True))}, CAST(255 AS BIGINT) AS a FROM px",
