@@ -62,8 +62,10 @@ def log_ratio(raw: np.ndarray, target: np.ndarray) -> np.ndarray:
     return np.log((target + 1) / (target.sum() + len(target))) - np.log((raw + 1) / (raw.sum() + len(raw)))
 
 
-def gumbel(doc_id: Column, seed: int) -> Column:
-    u = (F.shiftrightunsigned(F.xxhash64(doc_id, F.lit(seed)), 11).cast("double") + 0.5) * F.lit(2.0**-53)
+def gumbel(doc_id: Column, text: Column, seed: int) -> Column:
+    """A document's noise, drawn by its id, or by its text where it has none."""
+    drawn = F.when(doc_id.isNull(), F.xxhash64(text, F.lit(seed))).otherwise(F.xxhash64(doc_id, F.lit(seed)))
+    u = (F.shiftrightunsigned(drawn, 11).cast("double") + 0.5) * F.lit(2.0**-53)
     return -F.log(-F.log(u))
 
 
@@ -91,19 +93,20 @@ def largest(scored: DataFrame, k: int, key: str, together: int = 50_000, bins: i
 
 
 def resample(docs: DataFrame, target_ids: DataFrame, k: int, seed: int = 7, buckets: int = BUCKETS) -> DataFrame:
-    """k of ``docs``: doc_id, log_weight, key. ``target_ids`` (doc_id) names the target documents."""
+    """k of ``docs``: doc_id, log_weight, key. ``target_ids`` (doc_id) names the target documents. Documents without an id draw by their texts."""
     few = target_ids.select(F.col("doc_id").cast("long").alias("doc_id")).distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(TARGET_DOCUMENTS)
     texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_of(docs).alias("text"))
+    texts = texts.withColumn("noise", gumbel(F.col("doc_id"), F.col("text"), seed))
     marked = texts.join(F.broadcast(few.withColumn("is_target", F.lit(True))), "doc_id", "left").withColumn("is_target", F.coalesce("is_target", F.lit(False)))
     ratio = log_ratio(*model_counts(marked, buckets))
 
     def weigh(batches):
         for rows, buf, offsets in slices(batches):
             bucket, row = ngram_buckets(buf, offsets, buckets)
-            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(np.bincount(row, ratio[bucket], len(offsets) - 1))], ["doc_id", "log_weight"])
+            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(np.bincount(row, ratio[bucket], len(offsets) - 1)), rows.column(2)], ["doc_id", "log_weight", "noise"])
 
-    weighed = texts.mapInArrow(weigh, "doc_id bigint, log_weight double")
-    scored = Scratch(docs.sparkSession, "resampling").table(weighed.withColumn("key", F.col("log_weight") + gumbel(F.col("doc_id"), seed)), "scored")
+    weighed = texts.mapInArrow(weigh, "doc_id bigint, log_weight double, noise double")
+    scored = Scratch(docs.sparkSession, "resampling").table(weighed.select("doc_id", "log_weight", (F.col("log_weight") + F.col("noise")).alias("key")), "scored")
     return largest(scored, k, "key")
 
 

@@ -481,6 +481,16 @@ def test_packed_keys():
 # -- 6 --
 
 
+def test_resampling_draws_for_each_document_without_an_id(spark):
+    """Null ids have noise of their own, and as much of it as documents with ids."""
+    rows = [(None, f"word{i} and more of the same") for i in range(400)] + [(i, "the same text") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = resampling.resample(docs, docs.select("doc_id").limit(0), 800).collect()
+    noise = {known: {round(r.key - r.log_weight, 9) for r in got if (r.doc_id is not None) == known} for known in (True, False)}
+    assert len(got) == 800 and len(noise[True]) == len(noise[False]) == 400
+    assert all(0.3 < np.mean(list(v)) < 0.9 for v in noise.values())
+
+
 def test_resampling_matches_plain_counts(spark, corpus):
     rows = [*corpus, *ODD]
     docs, good = frame(spark, rows, extra=True), frame(spark, [(i, "") for i in range(20)])
