@@ -12,8 +12,8 @@ from gridspark.sources.rasters import px_line
 
 
 def px_album(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """image_id, x, y and the channels: the line numbers' images, of different sizes."""
-    return px_line(spark, sf_dir).withColumnRenamed("z", "image_id")
+    """image_id, x, y and the channels: the line numbers' images, of different sizes; to nine decimals, so that halves of bytes don't hang on the order of a mean."""
+    return px_line(spark, sf_dir).withColumnRenamed("z", "image_id").withColumns({c: F.round(c, 9) for c in "rgb"})
 
 
 def _shown(df: DataFrame) -> DataFrame:
@@ -68,7 +68,7 @@ QUERIES = {f.__name__: f for f in (images_histogram, images_enhance, images_boun
 
 # -- the same in DuckDB ------------------------------------------------------------------------------
 
-_PX = """WITH px AS (SELECT CAST(l_linenumber AS BIGINT) AS image_id, l_orderkey % 256 AS x, l_orderkey // 256 AS y, avg(l_quantity) / 50 AS r, avg(l_discount) * 10 AS g, avg(l_tax) * 12.5 AS b, 1.0::DOUBLE AS a FROM lineitem GROUP BY l_orderkey, l_linenumber)"""
+_PX = """WITH px AS (SELECT CAST(l_linenumber AS BIGINT) AS image_id, l_orderkey % 256 AS x, l_orderkey // 256 AS y, round(avg(l_quantity) / 50, 9) AS r, round(avg(l_discount) * 10, 9) AS g, round(avg(l_tax) * 12.5, 9) AS b, 1.0::DOUBLE AS a FROM lineitem GROUP BY l_orderkey, l_linenumber)"""
 _BYTE = "CAST(least(greatest(round({} * 255), 0), 255) AS BIGINT)"
 _BYTES = {c: _BYTE.format(c) for c in CHANNELS}
 _LUMA = f"least(({_BYTES['r']} * 299 + {_BYTES['g']} * 587 + {_BYTES['b']} * 114 + 500) // 1000, 255)"
