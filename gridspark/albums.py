@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridspark.functions.pixel import CHANNELS
+from gridspark.functions.pixel import CHANNELS, rounded
 from gridspark.operators import reduce, regions, selection
 from gridspark.plans import layers, versions
 from gridspark.sources.rasters import px_line
@@ -17,7 +17,7 @@ def px_album(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _shown(df: DataFrame) -> DataFrame:
-    return df.select("image_id", "x", "y", *((F.round(c, 6) + 0.0).alias(c) for c in CHANNELS))
+    return df.select("image_id", "x", "y", *(rounded(F.col(c)).alias(c) for c in CHANNELS))
 
 
 def _covers(spark, sf_dir):
@@ -32,7 +32,7 @@ def images_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def images_enhance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every image's levels and white balance."""
-    return reduce.auto_enhance(px_album(spark, sf_dir)).select("image_id", *((F.round(c, 6) + 0.0).alias(c) for c in ("in_black", "in_white", "temp", "tint")))
+    return reduce.auto_enhance(px_album(spark, sf_dir)).select("image_id", *(rounded(F.col(c)).alias(c) for c in ("in_black", "in_white", "temp", "tint")))
 
 
 def images_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:

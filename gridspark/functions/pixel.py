@@ -57,6 +57,15 @@ def clamp(v: Column, lo=0.0, hi=1.0) -> Column:
     return F.least(F.greatest(v, lo if isinstance(lo, Column) else num(lo)), hi if isinstance(hi, Column) else num(hi))
 
 
+def rounded(v: Column, digits: int = 6) -> Column:
+    """To so many decimals as SQL rounds doubles: scaled, then halves away from zero. ``F.round`` goes by a double's shortest decimals instead,
+    so that what is a half when scaled may fall on the other side. Without negative zeros."""
+    scaled = F.abs(v * 10.0**digits)
+    near = F.rint(scaled)  # halves to even
+    whole = F.when(scaled - near == 0.5, near + 1).otherwise(near)
+    return F.when(v < 0, -whole).otherwise(whole) / 10.0**digits + 0.0
+
+
 def ratio(a: Column, b: Column, otherwise=0.0) -> Column:
     """a / b, or ``otherwise`` where b is 0 (a plain division raises there)."""
     return F.when(b == 0, otherwise).otherwise(a / F.when(b == 0, 1.0).otherwise(b))

@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import math
+from decimal import Decimal, localcontext
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from gridspark.functions.pixel import CHANNELS, Px, clamp, hash01, let, num
-from gridspark.operators.point import source_over
 from gridspark.plans.registry import kernel
 from gridspark.plans.stencil import at, sizes
 
@@ -106,6 +106,23 @@ def noise(df, seed, amount, ox, oy):
     return df.select(*at(df), v.alias("r"), v.alias("g"), v.alias("b"), num(1).alias("a"))
 
 
+def _halves(v: Decimal) -> tuple[float, float]:
+    """A number's multiple of 2**-26 and the rest."""
+    high = round(v * 2**26) / 2**26
+    return high, float(v - Decimal(high))
+
+
+def _lattice(p: float, q: float, offset_x: float, offset_y: float, ox: int, oy: int) -> Column:
+    """p * x + q * y of a place's middle less the offset, rounded once. Far down a raster, rounded products would lose a fraction's last digits,
+    which are the weights of a pattern's pixels; so high parts, whose products are exact below 2**26 pixels, are summed before the low ones."""
+    x, y = (v + 0.5 for v in _place(ox, oy))
+    p, q, offset_x, offset_y = (Decimal(repr(float(v))) for v in (p, q, offset_x, offset_y))
+    with localcontext(prec=80):
+        parts = zip(*map(_halves, (p, q, offset_x * p + offset_y * q)), strict=True)
+        high, low = (x * num(a) + y * num(b) - c for a, b, c in parts)
+    return high + low
+
+
 @kernel("gen.pattern", inputs=2, kind="frame", scale=1.0, angle_deg=0.0, offset_x=0.0, offset_y=0.0, opacity=1.0, tile_w=4, tile_h=4, ox=0, oy=0)
 def pattern(df, tile, scale, angle_deg, offset_x, offset_y, opacity, tile_w, tile_h, ox, oy):
     """The second image's corner of tile_w x tile_h (all of it for 0), repeated on a turned and scaled lattice, over the first. A scale
@@ -113,9 +130,8 @@ def pattern(df, tile, scale, angle_deg, offset_x, offset_y, opacity, tile_w, til
     if not scale > 0:
         scale, opacity = 1.0, 0.0
     opacity = min(opacity, 1.0) if opacity > 0 else 0.0
-    x, y = (v + 0.5 for v in _place(ox, oy))
     c, s = math.cos(math.radians(angle_deg)), math.sin(math.radians(angle_deg))
-    px, py = ((x - offset_x) * c + (y - offset_y) * s) / scale - 0.5, ((y - offset_y) * c - (x - offset_x) * s) / scale - 0.5
+    px, py = (_lattice(p, q, offset_x, offset_y, ox, oy) / scale - 0.5 for p, q in ((c, s), (-s, c)))
     w, h = (min(n, m) if n > 0 else m for n, m in zip((tile_w, tile_h), map(int, sizes(tile.select("x", "y")).first()), strict=True))  # one row
     if w * h > TILE_PIXELS:
         raise ValueError(f"a pattern's tile has {TILE_PIXELS} pixels at most")
@@ -123,10 +139,10 @@ def pattern(df, tile, scale, angle_deg, offset_x, offset_y, opacity, tile_w, til
     read = df.select(*at(df), *(F.col(k).alias(f"c_{k}") for k in CHANNELS), px.alias("_px"), py.alias("_py"))
     total = None
     for i, j in ((0, 0), (1, 0), (0, 1), (1, 1)):
-        fx, fy = (F.col(c) - F.floor(c) for c in ("_px", "_py"))
+        wx, wy = (F.col(v) - F.floor(v) if k else 1 - F.col(v) + F.floor(v) for v, k in (("_px", i), ("_py", j)))
         read = read.withColumns({"_sx": F.pmod(F.floor("_px") + i, F.lit(w)), "_sy": F.pmod(F.floor("_py") + j, F.lit(h))}).join(small.withColumnRenamed("_p", f"_p{i}{j}"), ["_sx", "_sy"], "left").drop("_sx", "_sy")
-        part = [F.coalesce(F.col(f"_p{i}{j}.{c}"), F.lit(0.0)) * (fx if i else 1 - fx) * (fy if j else 1 - fy) for c in CHANNELS]
+        part = [wx * wy * F.coalesce(F.col(f"_p{i}{j}.{c}"), F.lit(0.0)) for c in CHANNELS]
         total = part if total is None else [p + q for p, q in zip(total, part, strict=True)]
     read = read.withColumns({f"s_{c}": v for c, v in zip(CHANNELS, total, strict=True)})
-    over = source_over(Px.of("c_"), Px.of("s_"), lambda b, s: s, opacity)
-    return over.select(read, *at(df))
+    # both are premultiplied: plain source-over needs no colours of its own, which pixels without alpha have none of
+    return Px.of("c_").zip(Px.of("s_"), lambda b, t: t * opacity + b * (1 - F.col("s_a") * opacity)).select(read, *at(df))

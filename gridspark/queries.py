@@ -11,7 +11,7 @@ import gridspark.operators.gallery
 import gridspark.operators.generators
 import gridspark.operators.point
 import gridspark.operators.spatial  # noqa: F401
-from gridspark.functions.pixel import CHANNELS
+from gridspark.functions.pixel import CHANNELS, rounded
 from gridspark.oracle import KERNEL_SQL
 from gridspark.plans.registry import KERNELS, apply
 from gridspark.sources.rasters import height, mirrored, px_embed
@@ -47,7 +47,7 @@ PARAMS |= {name: {"opacity": 0.75} for name in KERNELS if name.startswith("compo
 def shown(df: DataFrame) -> DataFrame:
     """Channels to six decimals, without negative zeros, so that engines' last bits don't show; 0 for what is not finite."""
     finite = lambda c: F.when(F.isnan(c) | (F.abs(F.col(c)) == float("inf")), 0.0).otherwise(F.col(c))
-    return df.select("x", "y", *((F.round(finite(c), 6) + 0.0).alias(c) for c in CHANNELS))
+    return df.select("x", "y", *(rounded(finite(c)).alias(c) for c in CHANNELS))
 
 
 def kernel_query(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
