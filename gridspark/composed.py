@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridspark import oracle as sql
-from gridspark.functions.pixel import CHANNELS
+from gridspark.functions.pixel import CHANNELS, rounded
 from gridspark.operators import reduce, regions, selection
 from gridspark.plans import versions
 from gridspark.plans.layers import Layer, LayerStack, adjust_chain, curve_lut
@@ -20,7 +20,7 @@ from gridspark.streaming import strokes
 
 
 def _rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
-    return df.withColumns({c: F.round(F.col(c), digits) + 0.0 for c in columns})
+    return df.withColumns({c: rounded(F.col(c), digits) for c in columns})
 
 
 def histogram_levels(spark: SparkSession, sf_dir: str) -> DataFrame:

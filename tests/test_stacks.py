@@ -2,9 +2,11 @@
 
 import random
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from gridspark import editing
 from gridspark.plans import stacks
 from gridspark.plans.layers import Layer, LayerStack
 
@@ -149,3 +151,12 @@ def test_nothing_in_use_gives_no_rows(spark):
     assert stacks.composite(pixels, hidden).count() == 0 and stacks.composite(pixels, hidden.where("false")).count() == 0
     unknown = hidden.withColumns({"visible": F.lit(True), "grp": F.lit(5).cast("bigint")})
     assert stacks.composite(pixels, unknown).count() == 0
+
+
+def test_stacks_equal_their_sql_to_the_last_decimal(spark, tmp_path):
+    """Orders with hard mixes, thresholds and groups: plates are taken straight, never multiplied by their alpha and divided again."""
+    duckdb.execute(f"COPY (SELECT * FROM '/root/testdata/sf0.01/lineitem.parquet' WHERE l_orderkey IN (130, 246, 507, 679, 1063, 1216, 2802, 4264, 11116, 12487, 14478)) TO '{tmp_path}/lineitem.parquet'")
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet'")
+    got = sorted(map(tuple, editing.layer_stacks(spark, str(tmp_path)).select("image_id", "x", "y", *"rgba").collect()))
+    assert len(got) > 30 and got == sorted(db.execute(f"SELECT image_id, x, y, r, g, b, a FROM ({editing.ORACLE_SQL['layer_stacks']})").fetchall())
