@@ -11,9 +11,9 @@
 3. ``BANDS * ROWS`` consistent weighted samples are drawn and banded. Texts of one band value are
    compared to the most central of them, the one with the least unshared weight. In bands whose texts
    are not of one component then, the texts outside the largest one are compared to one of that component and
-   to one of their own, which are others in each of ``TURNS`` turns: the work is in proportion to the
-   bands' texts, and no group is paired up whole. Like banding itself this may miss a link, if neither of its
-   texts is a centre in any band they share; the recall is measured in the tests.
+   to one of their own, which are others in each of ``TURNS`` turns. Most links are found so, by work in proportion
+   to the bands' texts. Those that are still outside then meet every text of the band that is of another component, so
+   no link between texts that share a band is missed. Banding itself may miss one; the recall is measured in the tests.
 4. Pairs count if their exact weighted Jaccard similarity reaches the threshold; classes are
    the connected components.
 
@@ -27,6 +27,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -34,10 +35,12 @@ from gridspark.llm.common import Scratch, WordHash, mix64, packed, release, shin
 
 SIZE, THRESHOLD, FLOOR = 5, 0.8, 0.75
 BANDS, ROWS = 20, 5
-#: Turns in which texts outside a band's largest component are compared again.
+#: Turns in which texts outside a band's largest component are compared again, before all that are left are.
 TURNS = 3
 #: Bytes of text in a chunk and behind a bucket of shingles, whatever the input.
 CHUNK_BYTES, BUCKET_BYTES = 6 << 20, 8 << 20
+#: Bytes of vectors on either side when all of a band's texts meet.
+BLOCK_BYTES = 4 << 20
 _NO_ID = 2**63 - 1
 _HASH = WordHash(seed=97, lower=True)
 _TABLE = 1 << 16
@@ -246,18 +249,92 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
         labels = labels.select("a", "label")
 
 
-def _links(vectors: DataFrame, threshold: float, scratch: Scratch) -> DataFrame:
+def _apart(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows (node, band and other columns) of bands whose texts are not all of one component, with label and major: the component that most are of."""
+    rows = rows.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    sizes = rows.groupBy("band", "label").agg(F.count("*").alias("n"))
+    major = sizes.groupBy("band").agg(F.count("*").alias("kinds"), F.max(F.struct("n", "label")).alias("most")).where("kinds > 1").select("band", F.col("most.label").alias("major"))
+    return rows.join(major, "band")
+
+
+def _merged(labels: DataFrame, found: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """The labels after links (a, b) between components join these as wholes; a text without links is one of its own."""
+    if not found.limit(1).count():
+        return labels
+    joined = components(found, scratch, f"turn-{name}")
+    moved = labels.join(joined.select(F.col("node").alias("label"), F.col("label").alias("to")), "label", "left").select("node", F.coalesce("to", "label").alias("label"))
+    return scratch.table(moved.unionByName(joined.join(labels.select("node"), "node", "left_anti")), f"labels-{name}")
+
+
+def _met(threshold: float):
+    """The labels of similar texts of two blocks of one band. A pair meets in the first band that it shares."""
+
+    def run(table: pa.Table) -> pa.Table:
+        band, found = table.column("band")[0].as_py(), set()
+        sides = []
+        for left in (True, False):
+            side = table.filter(pc.equal(table.column("left"), left))
+            hashes, weights = ([np.frombuffer(v, kind) for v in side.column(c).to_pylist()] for c, kind in (("hashes", np.uint64), ("weights", np.float64)))
+            total = np.array([w.sum() for w in weights]) + side.column("rest").to_numpy()
+            order = np.argsort(total, kind="stable")
+            node, label, bands = (np.array(side.column(c).to_pylist())[order] for c in ("node", "label", "bands"))
+            inner = np.array(side.column("inner").to_pylist(), bool)[order]
+            sides.append((node, label, bands, inner, [hashes[i] for i in order], [weights[i] for i in order], total[order]))
+        (node, label, bands, _, hashes, weights, total), (node2, label2, bands2, inner2, hashes2, weights2, total2) = sides
+        if len(node) and len(node2):
+            edges = np.r_[0, np.cumsum([len(h) for h in hashes2])]
+            of, keys, weight = np.repeat(np.arange(len(node2)), np.diff(edges)), np.concatenate(hashes2), np.concatenate(weights2)
+            least = threshold - 1e-9
+            for i, (own, own_weight) in enumerate(zip(hashes, weights, strict=True)):
+                # no similarity is above the ratio of the weights
+                lo, hi = np.searchsorted(total2, (total[i] * least * (1 - 1e-9), total[i] / least * (1 + 1e-9)))
+                same = bands2[lo:hi] == bands[i]
+                asked = np.zeros(len(node2), bool)
+                asked[lo:hi] = (same.any(axis=1) & (bands[i][same.argmax(axis=1)] == band)) & (label2[lo:hi] != label[i]) & (inner2[lo:hi] | (node2[lo:hi] > node[i]))
+                if not asked.any():
+                    continue
+                part = slice(edges[lo], edges[hi])
+                mine = asked[of[part]]
+                key, w, to = keys[part][mine], weight[part][mine], of[part][mine]
+                place = np.minimum(np.searchsorted(own, key), len(own) - 1)
+                hit = own[place] == key
+                both = np.bincount(to[hit], np.minimum(own_weight[place[hit]], w[hit]), len(node2))
+                linked = asked & (both >= least * (total[i] + total2 - both))
+                found |= {(str(label[i]), str(v)) for v in label2[linked]}
+        a, b = zip(*sorted(found), strict=True) if found else ((), ())
+        return pa.table({"a": pa.array(a, pa.string()), "b": pa.array(b, pa.string())})
+
+    return run
+
+
+def _rest(rows: DataFrame, vectors: DataFrame, threshold: float, block: int) -> DataFrame:
+    """a, b: the labels of all similar texts of one band and different components (``rows`` as by ``_apart``).
+
+    Those outside the band's largest component meet all of the band, in blocks of about ``block`` bytes of vectors on either side: a task holds
+    two blocks, and the work grows with the texts outside times the texts of the band, as it must if each of these pairs is asked for."""
+    size = vectors.select("node", (F.length("hashes") + F.length("weights")).alias("size"))
+    rows = rows.select("node", "band", "label", (F.col("label") == F.col("major")).alias("inner")).join(size, "node")
+    blocks = lambda v: F.greatest(F.ceil(F.sum(v) / block), F.lit(1))
+    held = rows.groupBy("band").agg(blocks(F.when(F.col("inner"), 0).otherwise(F.col("size"))).alias("n_left"), blocks("size").alias("n_right"))
+    rows = rows.join(held, "band")
+    own = lambda side: F.pmod(F.xxhash64("node"), F.col(f"n_{side}"))
+    each = lambda side: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(f"n_{side}") - 1))
+    columns = ["node", "band", "label", "inner"]
+    left = rows.where(~F.col("inner")).select(*columns, F.lit(True).alias("left"), own("left").alias("l"), each("right").alias("r"))
+    right = rows.select(*columns, F.lit(False).alias("left"), each("left").alias("l"), own("right").alias("r"))
+    full = left.unionByName(right).join(vectors.select("node", "bands", "hashes", "weights", "rest"), "node")
+    return full.groupBy("band", "l", "r").applyInArrow(_met(threshold), "a string, b string").distinct()
+
+
+def _links(vectors: DataFrame, threshold: float, scratch: Scratch, turns: int = TURNS, block: int = BLOCK_BYTES) -> DataFrame:
     """node, label of all texts that have near duplicates."""
     members = scratch.table(vectors.select("node", "apart", F.explode("bands").alias("band")), "bands")
     centres = members.groupBy("band").agg(F.min(F.struct("apart", "node")).alias("centre"), F.count("*").alias("n")).where("n > 1").select("band", F.col("centre.node").alias("centre"))
     stars = members.join(centres, "band").where("node != centre").select(F.least("centre", "node").alias("a"), F.greatest("centre", "node").alias("b")).distinct()
     labels = components(scratch.table(verified(stars, vectors, threshold), "edges"), scratch, "first")
-    for turn in range(TURNS):
-        rows = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        sizes = rows.groupBy("band", "label").agg(F.count("*").alias("n"))
-        major = sizes.groupBy("band").agg(F.count("*").alias("kinds"), F.max(F.struct("n", "label")).alias("most")).where("kinds > 1").select("band", F.col("most.label").alias("major"))
+    for turn in range(turns):
         # bands that are of one component stay so
-        rows = scratch.table(rows.join(major, "band"), f"open-{turn}")
+        rows = scratch.table(_apart(members, labels), f"open-{turn}")
         order = F.xxhash64("node", "band", F.lit(turn)).cast("float") if turn else F.col("apart")
         one = F.struct(order.alias("order"), "node", "label")
         inner = F.col("label") == F.col("major")
@@ -265,13 +342,10 @@ def _links(vectors: DataFrame, threshold: float, scratch: Scratch) -> DataFrame:
         met = rows.where(~inner).join(centres, "band").select("node", "label", F.explode("centres").alias("centre")).where("label != centre.label")
         pairs = met.select(F.col("node").alias("a"), F.col("centre.node").alias("b"), F.col("label").alias("a_label"), F.col("centre.label").alias("b_label")).distinct()
         found = scratch.table(verified(pairs, vectors, threshold).select(F.col("a_label").alias("a"), F.col("b_label").alias("b")).distinct(), f"edges-{turn}")
-        if found.limit(1).count():
-            # the new links join components as wholes; a text without links is one of its own
-            joined = components(found, scratch, f"turn-{turn}")
-            moved = labels.join(joined.select(F.col("node").alias("label"), F.col("label").alias("to")), "label", "left").select("node", F.coalesce("to", "label").alias("label"))
-            labels = scratch.table(moved.unionByName(joined.join(labels.select("node"), "node", "left_anti")), f"labels-{turn}")
+        labels = _merged(labels, found, scratch, str(turn))
         members = rows.select("node", "apart", "band")
-    return labels
+    rows = scratch.table(_apart(members, labels), "open-rest")
+    return _merged(labels, scratch.table(_rest(rows, vectors, threshold, block), "edges-rest"), scratch, "rest")
 
 
 def _classes(docs: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
