@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from gridspark.functions.pixel import num
 from gridspark.plans.stencil import at, image
 
 
@@ -79,10 +80,26 @@ def tip(distance: Column, radius: Column, hardness: float, pencil: bool = False)
     return F.when(radius > 0, t * t * (3 - 2 * t)).otherwise(0.0)
 
 
+#: Side of the tiles by which footprints are dealt out, and pixels of footprints in a part, which one task builds up at a time.
+TILE, PART_CELLS = 32, 2_000_000
+
+
+def _dealt(d: DataFrame, x: tuple[Column, Column], y: tuple[Column, Column]) -> DataFrame:
+    """Each dab's pixels (px, py) from first to last along x and y. Dabs are dealt by stroke and tile before they explode into pixels, in as many
+    parts as all pixels take, so that neither a shuffle nor a task ever holds all of them."""
+    d = d.withColumns({n: v.cast("bigint") for n, v in zip(("x_lo", "x_hi", "y_lo", "y_hi"), (*x, *y), strict=True)})
+    cells = d.agg(F.sum(((F.col("x_hi") - F.col("x_lo") + 1) * (F.col("y_hi") - F.col("y_lo") + 1)).cast("double"))).first()[0] or 0
+    across = lambda c: F.explode(F.sequence(F.floor(F.col(f"{c}_lo") / TILE), F.floor(F.col(f"{c}_hi") / TILE)))
+    dealt = d.withColumn("q_x", across("x")).withColumn("q_y", across("y")).repartition(int(cells // PART_CELLS) + 1, *image(d), "stroke", "q_x", "q_y")
+    within = lambda c: F.explode(F.sequence(F.greatest(f"{c}_lo", F.col(f"q_{c}") * TILE), F.least(f"{c}_hi", F.col(f"q_{c}") * TILE + TILE - 1)))
+    return dealt.withColumn("px", within("x")).withColumn("py", within("y"))
+
+
 def _built_up(hit: DataFrame) -> DataFrame:
     full = F.bool_or(F.col("c") >= 1)
     log = F.sum(F.when(F.col("c") < 1, F.log1p(-F.col("c"))).otherwise(0.0))
-    return hit.groupBy(*image(hit), "stroke", F.col("px").alias("x"), F.col("py").alias("y")).agg(F.when(full, 1.0).otherwise(1 - F.exp(log)).alias("cover"))
+    built = hit.groupBy(*image(hit), "stroke", "q_x", "q_y", F.col("px").alias("x"), F.col("py").alias("y")).agg(F.when(full, 1.0).otherwise(1 - F.exp(log)).alias("cover"))
+    return built.drop("q_x", "q_y")
 
 
 def stamp(dabs: DataFrame, radius: float, flow: float, hardness: float = 0.8, by_pressure: bool = True, flow_by_pressure: bool = False, pencil: bool = False) -> DataFrame:
@@ -91,8 +108,8 @@ def stamp(dabs: DataFrame, radius: float, flow: float, hardness: float = 0.8, by
     size = F.col("pressure") * radius if by_pressure else F.lit(float(radius))
     ink = F.col("pressure") * flow if flow_by_pressure else F.lit(float(flow))
     d = dabs.select(*image(dabs), "stroke", "x", "y", size.alias("size"), ink.alias("ink")).where("size > 0")
-    span = lambda c: F.explode(F.sequence(F.floor(F.col(c) - F.col("size") - 0.5).cast("bigint"), F.ceil(F.col(c) + F.col("size") - 0.5).cast("bigint")))
-    cells = d.withColumn("px", span("x")).withColumn("py", span("y"))
+    span = lambda c: (F.floor(F.col(c) - F.col("size") - 0.5), F.ceil(F.col(c) + F.col("size") - 0.5))
+    cells = _dealt(d, span("x"), span("y"))
     dx, dy = F.col("px") + 0.5 - F.col("x"), F.col("py") + 0.5 - F.col("y")
     hit = cells.withColumn("c", F.col("ink") * tip(F.sqrt(dx * dx + dy * dy), F.col("size"), hardness, pencil)).where("c > 0")
     return _built_up(hit)
@@ -102,22 +119,27 @@ def stamp_sampled(dabs: DataFrame, tip: DataFrame, size: tuple[int, int], flow:
     """``stamp`` with a bitmap for a tip: ``tip`` has tx, ty and alpha (0 to 255), absent texels are 0; ``size`` is its width and height.
 
     The longer side is scaled to ``diameter`` pixels, the height by ``roundness`` too, and read bilinearly at the pixels' centres.
-    Every pixel of a footprint reads four texels: a join with the tip, then sums for each dab, then the product over dabs."""
+    Every pixel of a footprint reads four texels, by joins with the tip, which is broadcast; then comes the product over dabs."""
     (width, height), (flip_x, flip_y) = size, flip
     full = float(max(width, height)) if diameter is None or not 0 < diameter < math.inf else float(diameter)
     roundness = roundness if 0 < roundness < math.inf else 1.0
     scale = F.lit(full / max(width, height)) * (F.col("pressure") if by_pressure else F.lit(1.0))
     ink = F.col("pressure") * flow if flow_by_pressure else F.lit(float(flow))
     d = dabs.select(*image(dabs), "stroke", "n", "x", "y", scale.alias("sx"), (scale * roundness).alias("sy"), ink.alias("ink")).where("sx > 0 AND ink > 0")
-    span = lambda c, s, n: F.explode(F.sequence(F.floor(F.col(c) - F.col(s) * n / 2 - 1).cast("bigint"), F.ceil(F.col(c) + F.col(s) * n / 2 + 1).cast("bigint") - 1))
-    cells = d.withColumn("px", span("x", "sx", width)).withColumn("py", span("y", "sy", height))
+    span = lambda c, s, n: (F.floor(F.col(c) - F.col(s) * n / 2 - 1), F.ceil(F.col(c) + F.col(s) * n / 2 + 1) - 1)
+    cells = _dealt(d, span("x", "sx", width), span("y", "sy", height))
     tx, ty = (F.col("px") + 0.5 - F.col("x")) / F.col("sx") + width / 2, (F.col("py") + 0.5 - F.col("y")) / F.col("sy") + height / 2
     cells = cells.withColumns({"u": (width - tx if flip_x else tx) - 0.5, "v": (height - ty if flip_y else ty) - 0.5})
-    fx, fy = F.col("u") - F.floor("u"), F.col("v") - F.floor("v")
-    texels = [F.struct((F.floor("u") + i).alias("tx"), (F.floor("v") + j).alias("ty"), ((fx if i else 1 - fx) * (fy if j else 1 - fy)).alias("k")) for i in (0, 1) for j in (0, 1)]
-    read = cells.select(*image(dabs), "stroke", "n", "px", "py", "ink", F.inline(F.array(*texels))).where(F.col("tx").between(0, width - 1) & F.col("ty").between(0, height - 1) & (F.col("k") > 0))
-    hit = read.join(tip.select("tx", "ty", "alpha"), ["tx", "ty"]).groupBy(*image(dabs), "stroke", "n", "px", "py").agg((F.max("ink") * F.least(F.sum(F.col("k") * F.col("alpha")) / 255, F.lit(1.0))).alias("c"))
-    return _built_up(hit.where("c > 0"))
+    texel = F.broadcast(tip.where(F.col("tx").between(0, width - 1) & F.col("ty").between(0, height - 1)).groupBy((F.col("ty") * width + F.col("tx")).cast("bigint").alias("texel")).agg(F.sum("alpha").alias("alpha")))
+    read, total = cells, num(0)
+    for i in (0, 1):
+        for j in (0, 1):
+            tx, ty = F.floor("u") + i, F.floor("v") + j
+            place = F.when(tx.between(0, width - 1) & ty.between(0, height - 1), ty * width + tx)
+            read = read.withColumn("texel", place).join(texel.withColumnRenamed("alpha", f"a{i}{j}"), "texel", "left").drop("texel")
+            fx, fy = F.col("u") - F.floor("u"), F.col("v") - F.floor("v")
+            total = total + (fx if i else 1 - fx) * (fy if j else 1 - fy) * F.coalesce(f"a{i}{j}", F.lit(0))
+    return _built_up(read.withColumn("c", F.col("ink") * F.least(total / 255, F.lit(1.0))).where("c > 0"))
 
 
 def effective_cover(cover: DataFrame, opacity: float = 1.0, selection: DataFrame | None = None) -> DataFrame:
