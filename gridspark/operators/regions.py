@@ -78,8 +78,8 @@ def fill(px: DataFrame, cover: DataFrame, kind: str, c0: tuple[float, ...] = (0.
         made = Px(v, v, v, num(1))
     else:
         ends = [[v * c[3] for v in c[:3]] + [c[3]] for c in (c0, c0 if kind == "solid" else c1)]
-        place = clamp(t) if t is not None else num(0)
-        made = Px(*(let(place, _between(p, q)) for p, q in zip(*ends, strict=True)))
+        rows = rows.withColumn("f_t", clamp(t) if t is not None else num(0))  # once for all channels
+        made = Px(*(_between(p, q)(F.col("f_t")) for p, q in zip(*ends, strict=True)))
     base, m = premultiply(Px.of()), F.coalesce("m", num(0))
     over = source_over(base, made, lambda b, s: s, 1.0)
     return unpremultiply(base.zip(over, lambda p, q: mix(p, q, m))).select(rows, *at(px))
